@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .simhash_dedup import op10_simhash
+from .substring_dedup import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
 }
 
