@@ -17,6 +17,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _PAD = 64
+#: Spaces for texts whose punctuation does not count: every ASCII character but letters and digits.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 # Fixed values of the XXH64 algorithm.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -55,10 +57,10 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
-def words_of(column: pa.Array) -> Words:
+def words_of(column: pa.Array, space: np.ndarray = _SPACE) -> Words:
     buf, at = buffer_of(column)
     size = int(at[-1])
-    solid = ~_SPACE[buf[:size]]
+    solid = ~space[buf[:size]]
     opens = np.ones(size, bool)
     opens[1:] = ~solid[:-1]
     opens[at[:-1][at[:-1] < size]] = True

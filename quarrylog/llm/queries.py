@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_decontaminate
 from .simhash_dedup import op10_simhash
 from .substring_dedup import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontaminate": op5_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
 }
