@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules
 from .decontaminate import op5_decontaminate
+from .quality_rules import op7_quality_rules
 from .simhash_dedup import op10_simhash
 from .substring_dedup import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
+    "op7_quality_rules": op7_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
 }
@@ -24,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality_rules.ORACLE_SQL}
