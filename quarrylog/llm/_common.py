@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; a longer text is a step of its own.
 SLICE_BYTES = 4 << 20
@@ -17,13 +20,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cuts lineage through a checkpoint in the shared folder, which survives lost executors."""
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster; one of our own where none is set, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files once it has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cuts lineage through a checkpoint in the shared folder, which survives lost executors."""
+    _shared_folder(df.sparkSession)
+    with _freeing_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``reliable``, as a Parquet table: for many rows whose columns compress well."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    with _freeing_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def modest(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A checkpointed table, marked for broadcast if it is counted to have at most ``rows`` rows; joins shuffle it else."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
