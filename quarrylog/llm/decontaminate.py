@@ -105,11 +105,13 @@ class Items:
         at, k, row = at[inside], k[inside], row[inside]
         times = self.count[k]
         entry = np.repeat(self.begin[k], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        if not len(row):
+            return
         row, at = np.repeat(row, times), np.repeat(at, times)
         item = self.item[entry]
         order = np.lexsort((item, row))
         row, item, seeds = row[order], item[order], np.stack([at - first[row], self.pos[entry]], axis=1)[order]
-        cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])]) if len(row) else []
+        cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
         for a, b in zip(cut, [*cut[1:], len(row)], strict=True):
             yield int(row[a]), int(item[a]), tiles(seeds[a:b], int(self.size[item[a]]), self.minimum)
 
