@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from . import quality_rules
 from .decontaminate import op5_decontaminate
 from .mixing import op6_mixing
+from .quality_model import op3_quality
 from .quality_rules import op7_quality_rules
 from .simhash_dedup import op10_simhash
 from .substring_dedup import op9_substring_dedup
+from .toxicity import op2_toxicity
 from .url_filter import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
