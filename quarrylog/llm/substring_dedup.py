@@ -8,13 +8,14 @@ sequence that also starts in a document with a smaller doc_id.  A suffix therefo
    anchors.  Anchors that occur in one document only are left out, and with them the suffixes that cannot repeat.
 2. Suffixes.  A remaining suffix is its path in the tree: the fingerprints of its prefixes of 10, 25 and 50 words.
    Each map task first resolves the paths that it sees twice, and hands on only those of the smallest doc_id.
-3. Prefixes.  Suffixes are dealt out by their 10-word prefix; a prefix with more suffixes than a group may hold is
-   replaced by its 25-word, and then by its 50-word extensions.  The list of those is bounded by total / limit.
+3. Prefixes.  Suffixes are dealt out by their 10-word prefix; where a range of prefixes has more suffixes than a group
+   may hold, by their 25-word, and then by their 50-word extensions.  There are 4096 ranges at each step.
 4. Trees.  A task sorts its suffixes by path, which lays out the tree depth first; runs with a common path of 50
    words are its deep nodes, the maximal repeats.  Suffixes in a node that belong to another than its smallest
    doc_id are removed windows, kept as ranges of positions.
 
-Prefixes count as equal if 64-bit fingerprints of their words' XXH64 values are.
+Windows count as equal if 64-bit fingerprints of their words' XXH64 values are.  Rows that share a doc_id are told
+apart by 32 bits of their texts' hash.
 
 Defined results: null and empty texts have no words and the hash of the empty string; rows with equal doc_id never
 remove each other's words; a null doc_id counts as larger than any other; repeated rows are kept; an empty table
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as T
-from ._common import reliable, slices, table
+from ._common import slices, table, written
 
 WIDTH = 50
 GRAM = 25
@@ -70,7 +71,8 @@ class _Windows:
         self.anchor = _sliding_min(grams, WIDTH - GRAM + 1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
 
     def paths(self, chosen: np.ndarray) -> list[np.ndarray]:
-        return [T.rolling(self.hashes, p)[self.at[chosen]] for p in PREFIXES]
+        found = [T.rolling(self.hashes, p)[self.at[chosen]] for p in PREFIXES]
+        return [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) if p < WIDTH else x.view(np.int64) for x, p in zip(found, PREFIXES, strict=True)]
 
 
 def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +140,13 @@ def _ranges(ids: np.ndarray, th: np.ndarray, pos: np.ndarray) -> Iterator[pa.Rec
     last = np.r_[begin[1:], len(pos)] - 1
     for at in range(0, len(begin), 1 << 16):
         b, e = begin[at : at + (1 << 16)], last[at : at + (1 << 16)]
-        yield pa.record_batch({"id": pa.array(ids[b]), "th": pa.array(th[b]), "start": pa.array(pos[b].astype(np.int64)), "stop": pa.array(pos[e].astype(np.int64) + 1)})
+        yield pa.record_batch({"id": pa.array(ids[b]), "th": pa.array(th[b]), "start": pa.array(pos[b].astype(np.int32)), "stop": pa.array(pos[e].astype(np.int32) + 1)})
 
 
 _PATH = [f"p{n}" for n in PREFIXES]
-_SUFFIX = "id long, th long, start long, stop long, " + ", ".join(f"{p} long" for p in _PATH)
+#: Inner steps of a path only order and group suffixes; the last one decides, so it keeps all its bits.
+_PATH_TYPES = (pa.int32(), pa.int32(), pa.int64())
+_SUFFIX = "id long, th int, start int, stop int, p10 int, p25 int, p50 long"
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +160,12 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, th, pos, path = ids[order], th[order], pos[order], [p[order] for p in path]
         low, _ = _least(_ends(path[-1]), ids)
         for b in _ranges(*(x[ids > low] for x in (ids, th, pos))):
-            nothing = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, *[nothing] * len(path)], names=[*b.schema.names, *_PATH])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, t) for t in _PATH_TYPES]], names=[*b.schema.names, *_PATH])
         where = np.flatnonzero(ids == low)
+        where = where[np.lexsort((pos[where], th[where], ids[where]))]
         for at in range(0, len(where), 1 << 16):
             m = where[at : at + (1 << 16)]
-            yield pa.record_batch({"id": pa.array(ids[m]), "th": pa.array(th[m]), "start": pa.array(pos[m].astype(np.int64)), "stop": pa.array(pos[m].astype(np.int64) + 1)} | {n: pa.array(p[m].view(np.int64)) for n, p in zip(_PATH, path, strict=True)})
+            yield pa.record_batch({"id": pa.array(ids[m]), "th": pa.array(th[m]), "start": pa.array(pos[m].astype(np.int32)), "stop": pa.array(pos[m].astype(np.int32) + 1)} | {n: pa.array(p[m].astype(t.to_pandas_dtype())) for n, p, t in zip(_PATH, path, _PATH_TYPES, strict=True)})
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -206,23 +210,27 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(id, th, start, stop): windows to remove, as ranges of start positions, of docs(id, th, text)."""
-    anchors = docs.mapInArrow(_anchors, "anchor long, id long, th long, known boolean")
+    anchors = docs.mapInArrow(_anchors, "anchor long, id long, th int, known boolean")
     # known ones need no comparison, so they are dealt out by document
     over = Window.partitionBy("known", F.when(F.col("known"), F.xxhash64("id", "th")).otherwise(F.col("anchor")))
     repeated = anchors.withColumn("lo", F.min("id").over(over)).withColumn("hi", F.max("id").over(over)).filter("known or lo < hi")
     wanted = repeated.groupBy("id", "th").agg(F.collect_set("anchor").alias("anchors"))
-    found = reliable(docs.join(wanted, ["id", "th"]).mapInArrow(_suffixes, _SUFFIX))
+    found = written(docs.join(wanted, ["id", "th"]).mapInArrow(_suffixes, _SUFFIX))
     suffixes = found.filter(f"{_PATH[0]} is not null")
     total = suffixes.count()
-    limit = max(GROUP_ROWS, total // 10_000)
-    key: Column = F.col(_PATH[0])
+    limit = max(GROUP_ROWS, 8 * total // 4096)
+    key: Column = F.col(_PATH[0]).cast("long")
+    crowded_so_far: Column = F.lit(True)
     for shorter, longer in zip(_PATH, _PATH[1:], strict=False):
-        crowded = suffixes.groupBy(shorter).count().filter(F.col("count") > limit).select(shorter, F.lit(True).alias(f"over_{shorter}"))
-        suffixes = suffixes.join(F.broadcast(crowded), shorter, "left")
-        key = F.when(F.col(f"over_{shorter}"), F.col(longer)).otherwise(key) if shorter == _PATH[0] else F.when(F.col(f"over_{_PATH[0]}") & F.col(f"over_{shorter}"), F.col(longer)).otherwise(key)
+        # prefixes are counted in 4096 ranges of their fingerprints, and a crowded range is split by the longer ones
+        range_ = F.shiftright(shorter, 20)
+        crowded = suffixes.groupBy(range_.alias(f"range_{shorter}")).count().filter(F.col("count") > limit).select(f"range_{shorter}", F.lit(True).alias(f"over_{shorter}"))
+        suffixes = suffixes.join(F.broadcast(crowded), range_ == F.col(f"range_{shorter}"), "left")
+        crowded_so_far = crowded_so_far & F.coalesce(f"over_{shorter}", F.lit(False))
+        key = F.when(crowded_so_far, F.col(longer).cast("long")).otherwise(key)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
     dealt = suffixes.select("id", "th", "start", *_PATH, key.alias("prefix")).repartition(parts, "prefix").drop("prefix")
-    ranges = "id long, th long, start long, stop long"
+    ranges = "id long, th int, start int, stop int"
     return found.filter(f"{_PATH[0]} is null").select("id", "th", "start", "stop").union(dealt.mapInArrow(_trees, ranges))
 
 
@@ -237,7 +245,8 @@ def _cleaned(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
             if len(row):
                 np.add.at(edge, words.first[row] + flat.field("start").to_numpy(), 1)
                 np.add.at(edge, words.first[row] + flat.field("stop").to_numpy() - 1 + WIDTH, -1)
-            kept = np.cumsum(edge[:-1]) == 0
+            copy = part.column("copy").to_numpy(zero_copy_only=False) & (np.diff(words.first) >= WIDTH)
+            kept = (np.cumsum(edge[:-1]) == 0) & ~copy[words.row_of()]
             first = np.r_[0, np.cumsum(kept)][words.first]
             left = T.joined(T.Words(words.buf, words.start[kept], words.end[kept], first))
             n = np.diff(words.first)
@@ -246,13 +255,22 @@ def _cleaned(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
             yield pa.record_batch(out | ({"kept_text": pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())} if with_text else {}))
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """(id, th) of documents whose whole text is that of a smaller doc_id."""
+    prints = docs.select("id", "th", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    least = prints.groupBy("h1", "h2").agg(F.min("id").alias("least"))
+    return prints.join(least, ["h1", "h2"]).filter("id > least").select("id", "th", F.lit(True).alias("copy")).distinct()
+
+
 def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept_text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).repartition("id", "th")
-    ranges = removed_ranges(keyed).groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("th"), text.alias("text"))
+    # a whole copy has nothing to compare: each of its windows starts in the document that it copies
+    keyed = keyed.repartition("id", "th").join(_copies(keyed), ["id", "th"], "left")
+    ranges = removed_ranges(keyed.filter("copy is null")).groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     nothing = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    joined = keyed.join(ranges, ["id", "th"], "left").select("id", "text", F.coalesce("ranges", nothing).alias("ranges"))
+    joined = keyed.join(ranges, ["id", "th"], "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("ranges", nothing).alias("ranges"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     out = joined.mapInArrow(lambda b: _cleaned(b, with_text), schema)
     return out.withColumn("id", F.when(F.col("id") != _LAST, F.col("id"))).withColumnRenamed("id", "doc_id")
