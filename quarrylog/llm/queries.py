@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules
 from .decontaminate import op5_decontaminate
+from .html_text import op8_html_text
 from .mixing import op6_mixing
+from .pii import op1_pii
 from .quality_model import op3_quality
 from .quality_rules import op7_quality_rules
 from .simhash_dedup import op10_simhash
@@ -17,12 +19,14 @@ from .toxicity import op2_toxicity
 from .url_filter import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_text": op8_html_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
 }
