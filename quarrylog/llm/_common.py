@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; a longer text is a step of its own.
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; one of our own where none is set, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -42,19 +42,25 @@ def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
 
 def reliable(df: DataFrame) -> DataFrame:
     """Cuts lineage through a checkpoint in the shared folder, which survives lost executors."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     with _freeing_shuffles(df.sparkSession):
         return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """Like ``reliable``, as a Parquet table: for many rows whose columns compress well."""
-    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     with _freeing_shuffles(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def selected(df: DataFrame, condition: Column) -> DataFrame:
+    """Filters after df's columns are there.  A plain filter would be pushed below them, with the expressions that make
+    the columns in it, which are then evaluated twice or, inside lambdas, for every element."""
+    return df.withColumn("_at", F.monotonically_increasing_id()).filter(condition & (F.col("_at") >= 0)).drop("_at")
+
+
 def modest(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A checkpointed table, marked for broadcast if it is counted to have at most ``rows`` rows; joins shuffle it else."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import selected, table
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -87,7 +87,7 @@ def judged(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without the lines that fail; n_chars, where it exists, follows the text."""
     other = {c: f"_given_{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    out = judged(docs.select("text", *[F.col(f"`{c}`").alias(a) for c, a in other.items()])).filter("kept")
+    out = selected(judged(docs.select("text", *[F.col(f"`{c}`").alias(a) for c, a in other.items()])), F.col("kept"))
     text = F.array_join(F.filter("lines", lambda line: ~line_fails(line)), "\n")
     out = out.withColumn("text", F.when(F.col("lost_chars") > 0, text).otherwise(F.col("text")))
     if "n_chars" in other:

@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, hot_group: int =
 def deduplicated(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents of which each near-duplicate component keeps one row: that of its smallest doc_id.
 
-    Rows that repeat that doc_id are copies too: one of them stays."""
+    Rows that repeat that doc_id count as copies too: one of them stays.  Rows without a doc_id cannot be told apart
+    and go, as members of some component."""
     keep = near_duplicates(docs, max_bits).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
