@@ -71,6 +71,11 @@ def statement_of(query: Column) -> Column:
     return F.substring(query, F.coalesce(*places), F.length(query))
 
 
+def has_statement(query: Column) -> Column:
+    """Whether a query has a statement word: to filter by before anything is computed from the statement."""
+    return query.rlike("|".join(STATEMENTS))
+
+
 def drop_dollars(template: Column) -> Column:
     return F.replace(template, F.lit("$"), F.lit(""))
 
@@ -140,7 +145,7 @@ def bind_parameters(query: Column, parameters: Column) -> Column:
 
 
 def close_statement(query: Column) -> Column:
-    return F.when(query.endswith(";"), query).otherwise(F.concat(query, F.lit(";")))
+    return F.concat(F.regexp_replace(query, ";\\z", ""), F.lit(";"))
 
 
 def restore_literals(query: Column, tokens: Column) -> Column:

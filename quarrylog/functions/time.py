@@ -12,8 +12,9 @@ ZONE_SUFFIX = 8
 
 
 def parse(text: Column, kind: str) -> Column:
-    """The time without zone; null if the text has another format."""
-    return F.try_to_timestamp(text, F.lit(FORMATS[kind])).cast("timestamp_ntz")
+    """The time without zone; null if the text has another format.  Years of two digits are 1969 to 2068."""
+    ts = F.try_to_timestamp(text, F.lit(FORMATS[kind])).cast("timestamp_ntz")
+    return F.when(F.year(ts) > 2068, F.timestamp_add("YEAR", F.lit(-100), ts)).otherwise(ts) if "yyyy" not in FORMATS[kind] else ts
 
 
 def without_zone(text: Column) -> Column:

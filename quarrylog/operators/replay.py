@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time
 from ..functions.plans import scan_kind
-from ..functions.text import bind_parameters, close_statement, restore_literals, statement_of
+from ..functions.text import bind_parameters, close_statement, has_statement, restore_literals, statement_of
 
 # Trace minutes of a batch, seconds that it runs, latencies that p99 looks at, batches before recording.
 BATCH_MINUTES, BATCH_SECONDS, LATENCIES, WARM_UP = 10, 1, 3000, 40
@@ -17,6 +17,7 @@ WORKERS = 24
 def trace(log: DataFrame, tokens: DataFrame | None = None, parameters: bool = False) -> DataFrame:
     """(ts, conn, query): statements with their parameters, hashed literals that are known, and a semicolon."""
     query = F.col("query")
+    log = log.filter(has_statement(query))
     if parameters:
         query = F.when(query.contains("execute"), bind_parameters(query, F.col("params"))).otherwise(query)
     query = close_statement(statement_of(query))
@@ -25,7 +26,7 @@ def trace(log: DataFrame, tokens: DataFrame | None = None, parameters: bool = Fa
         listed = tokens.agg(F.sort_array(F.collect_list(F.struct("token", "literal"))).alias("_tokens"))
         log = log.join(F.broadcast(listed))
         query = restore_literals(query, F.col("_tokens"))
-    return log.select(time.minute(F.col("ts")).alias("ts"), "conn", query.alias("query")).filter("query is not null")
+    return log.select(time.minute(F.col("ts")).alias("ts"), "conn", query.alias("query"))
 
 
 def batches(rows: DataFrame, minutes: int = BATCH_MINUTES) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions import text, time
 def workload(log: DataFrame, template: str = "query") -> DataFrame:
     """(template, ts, cnt): queries per template and minute, from a log(ts, query).  Rows without a statement are left out."""
     statement = text.statement_of(F.col(template))
-    rows = log.select(text.templatize(statement).alias("template"), time.minute(F.col("ts")).alias("ts")).filter("template is not null")
+    rows = log.filter(text.has_statement(F.col(template))).select(text.templatize(statement).alias("template"), time.minute(F.col("ts")).alias("ts"))
     return rows.groupBy("template", "ts").agg(F.count("*").alias("cnt"))
 
 

@@ -36,7 +36,7 @@ def mentions(templates: DataFrame, schema: DataFrame) -> DataFrame:
     words = words.filter(~F.upper("token").isin(*KINDS, *CLAUSES))
     whole = words.join(names, words["token"] == names["name"]).select("template", F.when(F.col("is_column"), F.concat(F.lit("c:"), F.col("token"))).otherwise(F.concat(F.lit("t:"), F.col("token"))).alias("slot"))
     rest = words.join(names, words["token"] == names["name"], "left_anti")
-    parts = rest.withColumn("p", F.split("token", "[.,]")).filter(F.size("p") >= 2).select("template", F.explode(F.array(F.struct(F.lit("t").alias("what"), F.get("p", F.lit(0)).alias("name")), F.struct(F.lit("c"), F.get("p", F.lit(1))))).alias("x"))
+    parts = rest.withColumn("p", F.split("token", "[.,]")).filter(F.size("p") >= 2).select("template", F.explode(F.array(F.struct(F.lit("t").alias("what"), F.get("p", F.lit(0)).alias("name")), F.struct(F.lit("c").alias("what"), F.get("p", F.lit(1)).alias("name")))).alias("x"))
     named = parts.select("template", "x.what", "x.name").join(slots, ["what", "name"]).select("template", F.concat_ws(":", "what", "name").alias("slot"))
     return whole.unionByName(named).groupBy("template", "slot").agg(F.count("*").alias("n"))
 
