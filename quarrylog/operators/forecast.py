@@ -284,25 +284,31 @@ def forecasts(series: DataFrame, tops: DataFrame, models: tuple[str, ...] = ("ar
         s = Settings(**{**settings.__dict__, "horizon": horizon})
         todo = frames(series, tops, s).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
 
-        def run(key: tuple, frame: pd.DataFrame, s: Settings = s) -> pd.DataFrame:
-            model, as_of = key
-            wide = frame.pivot_table(index="ts", columns="rank", values="cnt", fill_value=0.0).sort_index()
-            clusters = frame.drop_duplicates("rank").set_index("rank")["cluster"].loc[wide.columns].to_numpy()
-            values = wide.to_numpy(float)
-            day = s.per_day
-            parts = []
-            if len(values) - day - s.horizon >= s.lags + s.horizon + 12:
-                predicted = walk(values, model, s)
-                for k, c in enumerate(clusters):
-                    parts.append(pd.DataFrame({"model": model, "horizon": s.horizon * s.minutes, "as_of": as_of, "cluster": c, "ts": wide.index[-day:], "actual": values[-day:, k], "predicted": predicted[:, k]}))
-            names = ["model", "horizon", "as_of", "cluster", "ts", "actual", "predicted"]
-            return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
-
-        found = todo.groupBy("model", "as_of").applyInPandas(run, "model string, horizon int, as_of timestamp_ntz, cluster int, ts timestamp_ntz, actual double, predicted double")
+        found = todo.groupBy("model", "as_of").applyInPandas(_forecaster(s), "model string, horizon int, as_of timestamp_ntz, cluster int, ts timestamp_ntz, actual double, predicted double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _forecaster(s: Settings) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The grouped map of one date and model."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        model, as_of = key
+        wide = frame.pivot_table(index="ts", columns="rank", values="cnt", fill_value=0.0).sort_index()
+        clusters = frame.drop_duplicates("rank").set_index("rank")["cluster"].loc[wide.columns].to_numpy()
+        values = wide.to_numpy(float)
+        day = s.per_day
+        parts = []
+        if len(values) - day - s.horizon >= s.lags + s.horizon + 12:
+            predicted = walk(values, model, s)
+            for k, c in enumerate(clusters):
+                parts.append(pd.DataFrame({"model": model, "horizon": s.horizon * s.minutes, "as_of": as_of, "cluster": c, "ts": wide.index[-day:], "actual": values[-day:, k], "predicted": predicted[:, k]}))
+        names = ["model", "horizon", "as_of", "cluster", "ts", "actual", "predicted"]
+        return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
+
+    return run
+
+
 def kernel_regression(train: DataFrame, test: DataFrame, dims: int, test_id: str = "id") -> DataFrame:
     """(test_id, predicted): kernel regression on rows (x array, y) as one join: a stated set of test rows, small enough to
     broadcast, against all training rows."""
