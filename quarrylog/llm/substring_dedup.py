@@ -41,7 +41,7 @@ PREFIXES = (10, 25, 50)
 #: Entries that a map task resolves at once.
 FLUSH = 1 << 20
 #: Suffixes that a group, and a task, should hold.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 4096
 TASK_ROWS = 2_000_000
 _LAST = (1 << 63) - 1
 
