@@ -81,27 +81,29 @@ def _hypergeometric(n: Column, good: Column, total: Column, u: Column) -> Column
     sd = F.sqrt(d(n) * d(good) / F.greatest(d(total), F.lit(1.0)) * (1 - d(good) / F.greatest(d(total), F.lit(1.0))) * (d(total) - d(n)) / F.greatest(d(total) - 1, F.lit(1.0)))
     reach = F.ceil(SPREAD * sd) + 10
     first, last = F.greatest(low, mode - reach), F.least(high, mode + reach)
-    state = lambda w, all_: F.struct(w.alias("w"), all_.alias("all"))
-    up = F.aggregate(
-        F.when(last > mode, F.sequence(mode + 1, last)).otherwise(F.array().cast("array<bigint>")),
-        state(F.lit(1.0), F.array(F.lit(1.0))),
-        lambda a, k: F.transform(F.array(a["w"] * (d(good - k + 1) * d(n - k + 1)) / (d(k) * d(total - good - n + k))), lambda w: state(w, F.array_append(a["all"], w)))[0],
-    )["all"]
-    down = F.aggregate(
-        F.when(first < mode, F.sequence(mode - 1, first, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>")),
-        state(F.lit(1.0), F.array().cast("array<double>")),
-        lambda a, k: F.transform(F.array(a["w"] * (d(k + 1) * d(total - good - n + k + 1)) / (d(good - k) * d(n - k))), lambda w: state(w, F.array_append(a["all"], w)))[0],
-    )["all"]
-
-    def chosen(x: Column) -> Column:
-        weights = F.concat(F.reverse(x["down"]), x["up"])
-        level = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w) * u
-        # weights passed before the level is reached
-        passed = F.aggregate(weights, F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")), lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["n"] + F.when(a["sum"] + w < level, 1).otherwise(0)).alias("n")))["n"]
-        return F.least(x["first"] + passed, x["last"])
-
-    held = F.array(F.struct(up.alias("up"), down.alias("down"), first.alias("first"), last.alias("last")))
-    return F.transform(held, chosen)[0]
+    more = lambda w, k: w * (d(good - k + 1) * d(n - k + 1)) / (d(k) * d(total - good - n + k))  # noqa: E731  the weight of k from that of k - 1
+    less = lambda w, k: w * (d(k + 1) * d(total - good - n + k + 1)) / (d(good - k) * d(n - k))  # noqa: E731  and from that of k + 1
+
+    def choose(x: Column) -> Column:
+        """Weights in the order mode, upwards, downwards; the first one whose sum reaches the level is chosen."""
+        none = F.array().cast("array<bigint>")
+        up = F.when(x["last"] > x["mode"], F.sequence(x["mode"] + 1, x["last"])).otherwise(none)
+        down = F.when(x["first"] < x["mode"], F.sequence(x["mode"] - 1, x["first"], F.lit(-1).cast("long"))).otherwise(none)
+        state = lambda w, total, at: F.struct(w.alias("w"), total.alias("sum"), at.alias("at"))
+
+        def walk(level: Column) -> Column:
+            def step(change):
+                return lambda a, k: F.get(F.transform(F.array(change(a["w"], k)), lambda w: state(w, a["sum"] + w, F.when((a["at"] < 0) & (a["sum"] + w >= level), k).otherwise(a["at"]))), F.lit(0))
+
+            start = state(F.lit(1.0), F.lit(1.0), F.when(level <= 1.0, x["mode"]).otherwise(F.lit(-1).cast("long")))
+            upper = F.aggregate(up, start, step(more))
+            return F.get(F.transform(F.array(upper), lambda s: F.aggregate(down, state(F.lit(1.0), s["sum"], s["at"]), step(less))), F.lit(0))
+
+        return F.get(F.transform(F.array(walk(F.lit(float("inf")))["sum"] * u), lambda level: walk(level)["at"]), F.lit(0))
+
+    # rounding can leave the last sum a little below its level
+    held = F.array(F.struct(mode.alias("mode"), first.alias("first"), last.alias("last")))
+    return F.get(F.transform(held, lambda x: F.greatest(choose(x), x["first"])), F.lit(0))
 
 
 def split_quotas(quotas: DataFrame, depth: int = DEPTH) -> DataFrame:
