@@ -1,0 +1,254 @@
+import hashlib
+import random
+import re
+from math import comb
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarrylog.llm import html_text, mixing, pii, quality_rules, url_filter
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _repeat_words(words):
+    seen = {}
+    for i in range(len(words) - 4):
+        seen.setdefault(tuple(words[i : i + 5]), []).append(i)
+    return len({j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 5)})
+
+
+def test_quality_counts(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("ab", k=rng.randint(0, 40))) for _ in range(60)]
+    texts += ["a\nb\na\n\n \na", "x | y | z\n#$%&", None, "", "é\x1c\u00a0 b\x0bc", "one two three four five " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_rules.judged(df).collect():
+        text = texts[r.doc_id] or ""
+        words = SPACE.findall(text)
+        lines = [x for x in text.split("\n") if SPACE.search(x)]
+        assert (r.n_words, r.word_chars) == (len(words), sum(map(len, words)))
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", text)) and r.n_dup_lines == len(lines) - len(set(lines))
+        assert r.n_repeat_words == _repeat_words(words), words
+        assert r.base_failed == (len(words) < 10 or 100 * r.n_repeat_words > 20 * len(words))
+
+
+def test_lines_that_fail_are_removed(spark):
+    good = "This is a sentence that says something useful about a thing."
+    other = "And here is another one, which ends as sentences do."
+    cases = {
+        f"{good}\nHome | News | About | Contact\n{other}": (True, f"{good}\n{other}"),
+        f"{good}\n{other}": (True, f"{good}\n{other}"),
+        f"{good}\nPlease accept our cookies.\n{other}": (True, f"{good}\n{other}"),
+        "Home | News | About | Contact | More | Login | Search | Help\nA short end of this text, with words.": (False, None),
+        "&&& a *** b ### c $$$ d %%% e &&& f *** g ### h $$$ i %%% j &&& k": (False, None),
+        "BUY NOW!! THIS IS GREAT!! YOU WILL LOVE!! IT SO MUCH!! CALL US TODAY!! OR NEVER!!": (False, None),
+    }
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(cases)], "doc_id long, text string, n_chars long")
+    kept = {r.doc_id: r for r in quality_rules.cleaned(df).collect()}
+    for i, (keeps, text) in enumerate(cases.values()):
+        assert (i in kept) == keeps
+        if keeps:
+            assert kept[i].text == text and kept[i].n_chars == len(text)
+
+
+def test_quality_edges(edges, clashing, nothing, edge_rows):
+    assert quality_rules.judged(edges).count() == len(edge_rows) and quality_rules.judged(nothing).count() == 0
+    kept = quality_rules.cleaned(clashing)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 1, 2, 6]
+
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def _spans(text):
+    def good(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": kind == "ip" and all(int(p) < 256 for p in m.split(".")), "card": 16 <= len(digits) <= 19 and _luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text or "") if good(k, m.group())]
+
+
+def test_base_spans_are_those_of_the_plain_patterns(spark):
+    rng = random.Random(8)
+    parts = ["a@b.c", "@", ".", "+49 (170) 1234-567", "4111 1111 1111 1111", "4111-1111-1111-1112", "10.0.0.255", "1.2.3.256", "é", "😀", " ", "x", "7", "-", "a@b", "+", "0001.2.3.4", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(400)] + [None, "", "a@b.c.@d.e", "a@b.c" * 60, "1.2.3.4.5.6.7.8"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.base_spans(df).collect():
+        assert [(x.kind, x.start, x.end) for x in r.found] == _spans(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_terms_that_reveal_are_found_and_others_left_alone(spark):
+    rows = []
+    for i in range(300):
+        name = "Zorblax" if i % 30 == 0 else "someone"
+        mail = "boss@corp.example" if i % 30 == 0 else f"u{i}@mail.example" if i % 7 == 0 else ""
+        rows.append((i, f"Line {i} says {name} wrote about matter number{i} and {mail} again today"))
+    rows.append((999, "Only Zorblax here, no address"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.term, r.action) for r in pii.revealing_terms(df).collect()] == [("Zorblax", "remove")]
+    text = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert text[999] == "Only  here, no address" and text[30] == "Line 30 says  wrote about matter number30 and [EMAIL] again today" and text[1] == rows[1][1]
+    found = {r.doc_id: r for r in pii.detected(df).collect()}
+    assert [(x.kind, x.start, x.end) for x in found[999].terms] == [("remove", 5, 12)]
+
+
+def test_copies_of_one_text_are_one_context(spark):
+    df = spark.createDataFrame([(i, "Quibble unique words stand near boss@corp.example in this copy") for i in range(50)] + [(100 + i, f"other text {i}") for i in range(50)], "doc_id long, text string")
+    assert pii.revealing_terms(df).count() == 0
+
+
+def test_overlapping_spans_are_replaced_once(spark):
+    df = spark.createDataFrame([(1, "mail a@1.2.3.4 or +49 170 1234567 now"), (2, None)], "doc_id long, text string")
+    found = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert found == {1: "mail [EMAIL] or [PHONE] now", 2: ""}
+
+
+def test_pii_edges(edges, clashing, nothing, edge_rows):
+    assert pii.detected(edges).count() == len(edge_rows) and pii.detected(nothing).count() == 0
+    out = pii.sanitised(clashing)
+    assert out.columns == clashing.columns and out.count() == len(edge_rows)
+    assert [r.text for r in out.filter("doc_id = 8").collect()] == ["😀 " * 30 + "astral [PHONE] [EMAIL]"]
+
+
+def _targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[s] for s in full)
+        free = sum(weight[s] for s in names if s not in full)
+        new = {s for s in names if s not in full and rest * weight[s] / free > 3 * sizes[s]}
+        if not new:
+            return {s: 3.0 * sizes[s] if s in full else rest * weight[s] / free for s in names}
+        full |= new
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_meets_its_targets(spark, seed):
+    rng = random.Random(seed)
+    sources = ["a", "b", "c", "Z", "é", None, ""]
+    rows = [(i, " ".join(["w"] * int(rng.paretovariate(0.9) * 20 % 4000)), None, rng.choice(sources + ["a"] * 8), 0) for i in range(400)]
+    rows += [(5000, "tiny one", None, "small", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = mixing.mix(df).collect()
+    assert len(found) == len(rows)
+    size, taken, target = {}, {}, {}
+    for r in found:
+        size[r.source] = size.get(r.source, 0) + r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    expected = _targets(size)
+    for s, t in expected.items():
+        assert target[s] == pytest.approx(t, rel=1e-9) and abs(taken[s] - t) <= mixing.BLOCK_WORDS
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix(df.repartition(7)).collect()) == sorted((r.doc_id, r.taken) for r in found)
+
+
+def test_shards_are_disjoint_and_exact(spark):
+    rows = [(i, " ".join(["w"] * (i % 90)), None, "ab"[i % 5 == 0], 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sized = mixing.sizes(df).cache()
+    blocks = mixing.mixed_blocks(sized, mixing.targets(sized), depth=3)
+    found = blocks.select("row", "block", "epoch", "shard").collect()
+    assert len(found) == len({(r.row, r.block, r.epoch) for r in found}) and {r.shard for r in found} == set(range(8))
+    per = [sum(r.shard == s for r in found) for s in range(8)]
+    assert max(per) - min(per) <= 8
+
+
+def test_hypergeometric_draws(spark):
+    n, good, total, draws = 7, 5, 20, 20_000
+    k = mixing._hypergeometric(F.lit(n).cast("long"), F.lit(good).cast("long"), F.lit(total).cast("long"), (F.col("id") + 0.5) / draws)
+    counts = {r.k: r["count"] for r in spark.range(draws).select(k.alias("k")).groupBy("k").count().collect()}
+    for x in range(good + 1):
+        assert counts.get(x, 0) / draws == pytest.approx(comb(good, x) * comb(total - good, n - x) / comb(total, n), abs=2e-4)
+
+
+def test_mixing_edges(edges, clashing, nothing, edge_rows):
+    assert mixing.mix(clashing).count() == len(edge_rows) and mixing.mix(nothing).count() == 0
+    none = mixing.mix(edges.filter("doc_id in (3, 4, 5)")).collect()
+    assert len(none) == 3 and all(r.taken == 0 and r.target == 0 for r in none)
+    twice = mixing.mix(edges.filter("doc_id = 1")).collect()
+    assert sum(r.taken for r in twice) == sum(r.size for r in twice)
+
+
+def test_rules_and_hosts(spark):
+    urls = {
+        "https://WWW.Example.NET/en/a?x#y": ("www.example.net", "/en/a", "example.net/en/", "allow"),
+        "http://example.net/de/": ("example.net", "/de/", "net/", "block"),
+        "x://fooexample.com/de/x": ("fooexample.com", "/de/x", None, None),
+        "x://a.example.com/de/x": ("a.example.com", "/de/x", "example.com/de/", "block"),
+        "x://s.org/fr/": ("s.org", "/fr/", "org/fr/", "allow"),
+        "x://net": ("net", "", None, None),
+        "x://h?a/b": ("h", "", None, None),
+        "no scheme": ("", "", None, None),
+        None: ("", "", None, None),
+        "": ("", "", None, None),
+        "://É.Net/É": ("É.net", "/É", "net/", "block"),
+    }
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.filtered(df).collect()}
+    for i, (host, path, rule, verdict) in enumerate(urls.values()):
+        assert (found[i].host, found[i].path, found[i].rule) == (host, path, rule)
+        assert found[i].verdict == verdict if verdict else found[i].verdict in ("allow", "block")
+
+
+def test_model_scores_follow_the_definition(spark):
+    rng = random.Random(1)
+    rows = [(i, f"http://{rng.choice(['good', 'fine'])}{i}.example.net/en/{i}") for i in range(120)] + [(200 + i, f"http://{rng.choice(['casino', 'bets'])}{i}.example.com/de/{i}") for i in range(120)]
+    rows += [(500, "http://casino9.other.com/x"), (501, "http://fine3.other.com/x"), (501, "http://fine3.other.com/x"), (502, None)]
+    found = {r.page_id: r for r in url_filter.filtered(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert found[500].verdict == "block" and found[501].score > found[500].score and len(found) == 243
+
+
+def test_url_edges(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filter.filtered(empty).count() == 0 and html_text.extracted(empty).count() == 0
+    one = spark.createDataFrame([(1, "x://a.net/", "k"), (1, "x://a.net/", "k"), (None, None, None)], "page_id long, url string, score string")
+    assert url_filter.filtered(one).count() == 3
+
+
+PAGE = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav>
+<div class="cookie-notice">Cookies!</div><{tag}><h1>A &amp; B</h1><p>First  paragraph of the text&nbsp;here, which is long.<p><b>Second <i>one</i><br>goes on.
+<div class="ad-box">Buy this</div><!-- <p>hidden</p> --><form><p>Name</p></form><div id="comments"><p>A reader says something long enough to count as text.</p></div></{end}>
+<aside>Side</aside><footer>Foot</footer></body></html>"""
+TEXT = "A & B\nFirst paragraph of the text here, which is long.\nSecond one goes on."
+
+
+@pytest.mark.parametrize("tag", ["article", "main", 'div class="post-body"', 'div id="content12"'])
+def test_main_text(tag):
+    assert html_text.main_text(PAGE.format(tag=tag, end=tag.split()[0]), None) == TEXT
+
+
+def test_hosts_agree_on_a_path(spark):
+    filler = "<p>" + "Words of the article that go on for a good while, with commas, and end here. " * 4 + "</p>"
+    usual = f'<body><div class="left3">{filler}</div><div class="right"><p>short</p></div></body>'
+    odd = '<body><div class="left4"><p>Tiny.</p></div><div class="right"><p>A much longer text beside, that one page alone has, and that no other page of this host shows.</p></div></body>'
+    rows = [(i, "http://h.example/x", usual) for i in range(5)] + [(9, "http://h.example/y", odd), (10, None, odd), (11, "http://e.example/", None), (12, "http://e.example/", "")]
+    found = {r.page_id: r for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[9].text == "Tiny." and found[10].text.startswith("A much longer") and found[11].text == found[12].text == ""
+    assert all(r.n_chars == len(r.text) for r in found.values()) and len(found) == 9
+
+
+@pytest.mark.parametrize("html", ["<", "<p", "</p></p>", "<a href='x", "<!-- open", "<script>x", "&#x110000; &bogus; &amp", "<p>" * 3000 + "deep", "a" * 100_000, "<b>" * 500 + "x</b>", "<div>" * 2000 + "in</div>"])
+def test_broken_html_does_not_break(html):
+    assert isinstance(html_text.main_text(html, "x"), str)
+
+
+def test_hash_of_spans(spark):
+    docs = spark.createDataFrame([(1, "a@b.co and 10.0.0.1"), (2, None)], "doc_id long, text string")
+    base = {r.doc_id: r.x for r in pii.detected(docs).select("doc_id", F.sha2(pii._listed(F.col("found")), 256).alias("x")).collect()}
+    assert base == {1: hashlib.sha256(b"email:0:6,ip:11:19").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
