@@ -113,6 +113,17 @@ def test_copies_of_one_text_are_one_observation(spark):
     assert pii.revealing_terms(df).count() == 0
 
 
+def test_documents_of_common_words_are_not_copies(spark):
+    rows = []
+    for i in range(300):
+        name = "Zorblax" if i % 30 == 0 else "someone"
+        mail = "boss@corp.example" if i % 30 == 0 else f"u{i}@mail.example" if i % 7 == 0 else ""
+        rows.append((i, f"Line {i} says {name} wrote about matter number{i} and {mail} again today"))
+    rows += [(1000 + i, rows[0][1]) for i in range(40)]  # copies neither hide the term nor count
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.term, r.action, round(r.disclosure, 9)) for r in pii.revealing_terms(df).collect()] == [("Zorblax", "remove", 1.0)]
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     df = spark.createDataFrame([(1, "mail a@1.2.3.4 or +49 170 1234567 now"), (2, None)], "doc_id long, text string")
     found = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
