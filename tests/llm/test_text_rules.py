@@ -113,6 +113,26 @@ def test_copies_of_one_text_are_one_observation(spark):
     assert pii.revealing_terms(df).count() == 0
 
 
+def test_reach_is_of_the_text(spark):
+    cases = {
+        "Zorblax order 55 card 4111111111111111": {"Zorblax", "order", "card"},
+        "Zorblax boss@corp.example": {"Zorblax"},
+        "boss@corp.example Zorblax": {"Zorblax"},
+        "Anna a@x.example, Berta b@x.example, Clara c@x.example": {"Anna", "Berta", "Clara"},
+        "Complete" + "," * 71 + " b@x.example": {"Complete"},
+        "Complete" + "," * 72 + " b@x.example": set(),
+        "b@x.example " + "-" * 71 + "Complete": {"Complete"},
+        "b@x.example " + "-" * 72 + "Complete": set(),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    spans = pii.base_spans(df).withColumn("blank", pii._blanked(F.col("text"), F.col("found"))).select("doc_id", "text", "blank", F.explode("found").alias("x"))
+    found = {}
+    for r in spans.select("text", F.length("blank").alias("n"), pii._near(F.col("blank"), F.col("x")).alias("t")).collect():
+        assert r.n == len(r.text)
+        found.setdefault(r.text, []).append(set(r.t))
+    assert found.keys() == cases.keys() and all(x == cases[t] for t, all_ in found.items() for x in all_), found
+
+
 def test_documents_of_common_words_are_not_copies(spark):
     rows = []
     for i in range(300):
