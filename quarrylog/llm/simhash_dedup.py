@@ -234,12 +234,20 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, hot_group: int =
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents of which each near-duplicate component keeps one row: that of its smallest doc_id.
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents of which each group of near copies (``near_copies``) keeps one row: that of its smallest doc_id.
 
     Rows that repeat that doc_id count as copies too: one of them stays.  Rows without a doc_id cannot be told apart
-    and go, as members of some component."""
-    keep = near_duplicates(docs, max_bits).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    and go, as members of some group."""
+    from . import near_copies  # which has its components from here
+
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.select(near_copies.text_hash(F.col("text")).alias("th"), doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = near_copies.signed(texts).groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    signed = reliable(signed)
+    labels = near_copies.groups(signed, lambda nodes: near_copies.shingle_sets(texts.join(nodes, "th", "left_semi")).dropDuplicates(["th"]))
+    named = signed.select("th", "first").join(labels, "th", "left")
+    keep = named.groupBy(F.coalesce("label", "th")).agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     return kept.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")

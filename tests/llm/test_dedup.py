@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarrylog.llm import decontaminate, simhash_dedup, substring_dedup
+from pyspark.sql import functions as F
+
+from quarrylog.llm import decontaminate, near_copies, simhash_dedup, substring_dedup
 
 ALPHABET = [f"w{i}" for i in range(40)]
 
@@ -180,3 +182,22 @@ def test_edges(spark, edges, clashing, nothing, edge_rows):
     assert decontaminate.contaminated(nothing, bench).count() == 0
     assert decontaminate.contaminated(edges, bench.limit(0)).count() == 0
     assert decontaminate.decontaminated(clashing, bench).count() == len(edge_rows) - 3
+
+
+def test_one_document_of_each_group_of_near_copies_stays(spark):
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(8)]
+    changed = lambda t, *at: " ".join("other" if k in at else w for k, w in enumerate(t.split()))
+    rows = [(10, text[0]), (11, changed(text[0], 50)), (12, changed(text[0], 10, 90))]  # 91 and 86 of 96 shingles: one group
+    rows += [(13, changed(text[0], 20, 40, 60, 80))]  # 76 of 96: another document
+    kept = simhash_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = [rows[0], rows[3]]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_native_sets_link_like_those_of_arrow(spark):
+    rows = [(1, "a b c d e f g h i j"), (2, "A  b c d e f g h i"), (3, "x y"), (4, "x  Y"), (5, ""), (6, " "), (7, "a b c d e f g z z z")]
+    df = spark.createDataFrame(rows, "th long, text string")
+    pairs = df.select("th").crossJoin(df.select(F.col("th").alias("other"))).filter("th < other")
+    for sets in (near_copies.native_sets(df), near_copies.shingle_sets(df)):
+        assert sorted(map(tuple, near_copies.links(pairs, sets).collect())) == [(1, 2), (3, 4), (5, 6)]
