@@ -235,22 +235,25 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, hot_group: int =
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents of which each group of near copies (``near_copies``) keeps one row: that of its smallest doc_id.
+    """The documents of which each group of near copies (``near_copies``) keeps one row: the first by doc_id (nulls
+    last), then by the text's hash; of rows with the same doc_id and text, one.
 
-    Rows that repeat that doc_id count as copies too: one of them stays.  Rows without a doc_id cannot be told apart
-    and go, as members of some group."""
+    Rows are known by doc_id and text together, so that rows without a doc_id, and different texts of one doc_id, are
+    documents like any others."""
     from . import near_copies  # which has its components from here
 
     doc_id = F.col("doc_id").cast("long")
+    row = lambda i, th: F.xxhash64(th, i.isNull(), F.coalesce(i, F.lit(0)))
     texts = docs.select(near_copies.text_hash(F.col("text")).alias("th"), doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = near_copies.signed(texts).groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     signed = reliable(signed)
     labels = near_copies.groups(signed, lambda nodes: near_copies.shingle_sets(texts.join(nodes, "th", "left_semi")).dropDuplicates(["th"]))
     named = signed.select("th", "first").join(labels, "th", "left")
-    keep = named.groupBy(F.coalesce("label", "th")).agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
+    best = named.groupBy(F.coalesce("label", "th")).agg(F.min(F.struct("first", "th")).alias("x"))
+    keep = reliable(best.select(row(F.col("x.first.doc_id"), F.col("x.th")).alias("__keep")))
+    kept = docs.withColumn("__row", row(doc_id, near_copies.text_hash(F.col("text")))).join(keep, F.col("__row") == F.col("__keep"), "left_semi")
+    first = Window.partitionBy("__row").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth", "__row")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,8 +190,10 @@ def test_one_document_of_each_group_of_near_copies_stays(spark):
     changed = lambda t, *at: " ".join("other" if k in at else w for k, w in enumerate(t.split()))
     rows = [(10, text[0]), (11, changed(text[0], 50)), (12, changed(text[0], 10, 90))]  # 91 and 86 of 96 shingles: one group
     rows += [(13, changed(text[0], 20, 40, 60, 80))]  # 76 of 96: another document
+    rows += [(None, text[1]), (None, text[1]), (None, text[2]), (14, changed(text[2], 5))]
+    rows += [(3, text[3]), (5, text[4]), (5, text[3]), (5, text[5]), (6, text[4])]  # doc_id 5: a copy of 3, the first of 6, one of its own
     kept = simhash_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
-    expected = [rows[0], rows[3]]
+    expected = [rows[0], rows[3], (None, text[1]), rows[7], (3, text[3]), (5, text[4]), (5, text[5])]
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(expected, key=str)
 
 
