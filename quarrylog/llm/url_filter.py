@@ -2,9 +2,9 @@
 
 The pages that rules decide are the examples: allowed and blocked ones train a variable-order Markov model each, over
 the characters of host and path (digits count as one symbol).  A prediction of order k is smoothed towards that of order
-k - 1.  Both models keep the same grams: those with at least one in ``MODEL_ROWS`` of the positions, which bounds the
-table by ``MODEL_ROWS`` grams an order; at each position the longest kept gram decides.  The score of a URL is the mean
-over its positions of the log-likelihood difference (allowed less blocked).  A fifth of the examples, by hash, trains
+k - 1.  Both models keep the same grams: those that occur ``LEAST`` times, whatever the size of the input; at each
+position the longest kept gram decides.  The score of a URL is the mean over its positions of the log-likelihood
+difference (allowed less blocked).  A fifth of the examples, by hash, trains
 nothing and calibrates the threshold: the score with the least balanced error.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, no rule fits them and their score is
@@ -25,7 +25,7 @@ from ._common import modest, reliable, table
 #: (verdict, rule); the longest rule that fits decides.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 4
-MODEL_ROWS = 20_000
+LEAST = 2
 SMOOTHING = 2.0
 HELD_OUT = 5
 
@@ -61,10 +61,9 @@ def _model(examples: DataFrame, order: int = ORDER) -> list[DataFrame]:
     total = counts.filter("k = 0").agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"), F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.count("*").alias("symbols")).first()
     if not total.n1 or not total.n0:
         return []
-    least = max(2, (total.n1 + total.n0) // MODEL_ROWS)
     context = F.expr("substring(gram, 1, k)")
     contexts = counts.filter("k > 0").groupBy("k", context.alias("context")).agg(F.sum("n1").alias("c1"), F.sum("n0").alias("c0"))
-    kept = counts.filter((F.col("n1") + F.col("n0") >= least) | (F.col("k") == 0))
+    kept = counts.filter((F.col("n1") + F.col("n0") >= LEAST) | (F.col("k") == 0))
     flat = [(F.col(f"n{v}") + 1) / (getattr(total, f"n{v}") + total.symbols) for v in (1, 0)]
     level = kept.filter("k = 0").select("gram", flat[0].alias("p1"), flat[1].alias("p0"))
     levels = [level]
@@ -92,12 +91,17 @@ def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
     examples = urls.filter("said is not null and host <> ''").withColumns({"good": F.col("said") == "allow", "trains": trains})
     models = _model(examples.filter("trains").groupBy("padded", "good").agg(F.sum("times").alias("times")))
     key = ["page_id", "url", "host", "path", "rule", "said", "padded", "times"]
+    row = [F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0)), F.col("url")]
     if models:
-        at = _positions(urls.filter("host <> '' or path <> ''"))
-        joined = reduce(lambda df, kd: df.join(kd[1], f"g{kd[0]}", "left"), enumerate(models), at)
+        at = _positions(urls.filter("host <> '' or path <> ''").select(F.xxhash64(*row).alias("row"), "padded")).select("row", f"g{ORDER}")
+        # the models are asked once for each distinct gram; those of lower orders are its ends
+        longest = at.select(f"g{ORDER}").distinct().withColumns({f"g{k}": F.expr(f"substring(g{ORDER}, {ORDER - k + 1})") for k in range(ORDER)})
+        joined = reduce(lambda df, kd: df.join(kd[1], f"g{kd[0]}", "left"), enumerate(models), longest)
         step = F.coalesce(*[F.col(f"d{k}") for k in range(len(models) - 1, -1, -1)], F.lit(0.0))
-        # rows of one url are in one task already; the sum is over whole billionths, so that its order does not matter
-        scored = joined.groupBy(*key).agg((F.sum(F.round(step * 1e9).cast("long")) / F.count("*") / 1e9).alias("score"))
+        steps = modest(reliable(joined.select(f"g{ORDER}", F.round(step * 1e9).cast("long").alias("step"))))
+        # the sum is over whole billionths, so that its order does not matter
+        scores = at.join(steps, f"g{ORDER}").groupBy("row").agg((F.sum("step") / F.count("*") / 1e9).alias("score"))
+        scored = urls.filter("host <> '' or path <> ''").withColumn("row", F.xxhash64(*row)).join(scores, "row").select(*key, "score")
         scored = scored.unionByName(urls.filter("host = '' and path = ''").withColumn("score", F.lit(0.0)))
     else:
         scored = urls.withColumn("score", F.lit(0.0))

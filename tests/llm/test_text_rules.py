@@ -247,6 +247,13 @@ def test_model_scores_follow_the_definition(spark):
     assert found[500].verdict == "block" and found[501].score > found[500].score and len(found) == 243
 
 
+def test_grams_stay_however_large_the_input(spark):
+    pad = lambda s: "\x02" * url_filter.ORDER + s + "\x03"
+    rows = [(pad("usual.net/en/"), True, 10**8), (pad("usual.com/de/"), False, 10**8), (pad("rareword"), True, 2), (pad("once"), False, 1)]
+    grams = {r.g4 for r in url_filter._model(spark.createDataFrame(rows, "padded string, good boolean, times long"))[4].collect()}
+    assert "rewor" in grams and "usual" in grams and "once\x03" not in grams
+
+
 def test_url_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.filtered(empty).count() == 0 and html_text.extracted(empty).count() == 0
