@@ -8,7 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Uses the cluster's folder, spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """Uses the cluster's folder, spark.checkpoint.dir.  Where none is set, a session with a local master gets a folder of
+    this machine, as in tests; on a cluster that would be out of the executors' reach, so it is an error."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not (context.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
