@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,20 +11,36 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_checkpoints
+
 #: Text bytes that one numpy step works on; a longer text is a step of its own.
 SLICE_BYTES = 4 << 20
+#: A table up to this size is broadcast.
+BROADCAST_BYTES = 24 << 20
+#: A key is hot if more than one row in so many has it.
+HOT_SHARE = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that ``written`` made in this process, by their paths.
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; one of our own where none is set, as in tests."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    """The checkpoint folder that all executors share; see ``checkpoints``."""
+    shared_checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that operators wrote between their steps; results that still read them must be done with."""
+    jvm = spark._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -52,6 +67,7 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     with _freeing_shuffles(df.sparkSession):
         df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,9 +77,38 @@ def selected(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_at", F.monotonically_increasing_id()).filter(condition & (F.col("_at") >= 0)).drop("_at")
 
 
-def modest(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A checkpointed table, marked for broadcast if it is counted to have at most ``rows`` rows; joins shuffle it else."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def octets(df: DataFrame) -> int:
+    """What a checkpointed table's values take: 64 octets a row, and its strings, arrays and structs."""
+    size: Column = F.lit(64).cast("long")
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(f"`{field.name}`"), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size += F.octet_length(F.to_json(F.struct(f"`{field.name}`")))
+    return df.agg(F.sum(size).alias("n")).first().n or 0
+
+
+def modest(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A checkpointed table, marked for broadcast if it is measured to take at most ``limit`` octets, and left to be
+    joined by a shuffle otherwise."""
+    return F.broadcast(df) if octets(df) <= limit else df
+
+
+def looked_up(big: DataFrame, small: DataFrame, key: str, times: str) -> DataFrame:
+    """big, left-joined with the checkpointed table small on a key that is unique there; ``times`` says how many rows of
+    big have it, about, and is left out.  A small table is broadcast.  Of a larger one only the keys are that more than
+    one row in ``HOT_SHARE`` has, which are at most ``HOT_SHARE``; the others shuffle, and no hot key does."""
+    names = [c for c in small.columns if c != times]
+    if octets(small) <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small.select(*names)), key, "left")
+    limit = (small.agg(F.sum(times).alias("n")).first().n or 0) / HOT_SHARE
+    hot = small.filter(F.col(times) > limit).select(*names)
+    by_hot = big.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    columns = [*big.columns, *[c for c in names if c != key]]
+    warm = by_hot.filter("__hot").select(*columns)
+    cold = by_hot.filter("__hot is null").select(*big.columns).join(small.filter(F.col(times) <= limit).select(*names), key, "left")
+    return warm.unionByName(cold.select(*columns))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

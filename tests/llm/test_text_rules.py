@@ -6,7 +6,7 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylog.llm import html_text, mixing, pii, quality_rules, url_filter
+from quarrylog.llm import _common, html_text, mixing, pii, quality_rules, url_filter
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -292,3 +292,70 @@ def test_hash_of_spans(spark):
     docs = spark.createDataFrame([(1, "a@b.co and 10.0.0.1"), (2, None)], "doc_id long, text string")
     base = {r.doc_id: r.x for r in pii.detected(docs).select("doc_id", F.sha2(pii._listed(F.col("found")), 256).alias("x")).collect()}
     assert base == {1: hashlib.sha256(b"email:0:6,ip:11:19").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+LONG = "A real sentence of the article that is long enough to be prose, and so it counts."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div>Real text that matters a lot here <a class="share"><div>Share</div></a> and the tail of it.</div>', "Real text that matters a lot here\nand the tail of it."),
+        ("<p class=it's>First paragraph of it.</p><p>Second it's para.</p>", "First paragraph of it.\nSecond it's para."),
+        (f'<div class="site-header">Site</div><div class="header">H</div><div class="content"><p>{LONG}</p><p class="story-form">{LONG}</p></div>', f"{LONG}\n{LONG}"),
+        (f'<div class="page has-sidebar"><article><p>{LONG}</p><svg width="1"/><p>x <math><mi>y</mi></math> <object>z</object> {LONG}</p></article></div>', f"{LONG}\nx y z {LONG}"),
+        (f'<div id="page-with-nav"><h1>T</h1><p>{LONG}</p></div>', f"T\n{LONG}"),
+        (f'<div class="content menu-open"><p>{LONG}</p></div>', LONG),
+        (f'<div class="content nav-menu"><p>{LONG}</p></div><div class="nav">m</div>', LONG),
+        (f'<body class="sidebar-right"><div class="sidebar"><p>{LONG * 5}</p></div><div id="content"><h1>A</h1><p>{LONG}</p></div>', f"A\n{LONG}"),
+        (f'<article><header><h1>A</h1></header><p>{LONG}</p><div class="comments"><article class="comment"><p>{LONG * 3}</p></article></div></article>', f"A\n{LONG}"),
+        (f'<div class="lead"><p>{LONG}</p></div><div class="rest"><p>{LONG * 3}</p></div>', f"{LONG}\n{LONG * 3}"),
+        (f"<table><tr><td>{LONG}<tr><td>{LONG}</table>", f"{LONG}\n{LONG}"),
+        (f'<div role="banner">x</div><div role="main"><p>a < b &lt; c &#x263a; {LONG}</p></div><p title=\'open>tail', f"a < b < c ☺ {LONG}"),
+        (f"<article><p>{LONG}<ul><li>one<li>two</ul><form>no</form><button>no</button><aside>no</aside><footer>no</footer></article>", f"{LONG}\none\ntwo"),
+        (f"<article><p><a href=1>In a link that is never closed {LONG}</p><p>{LONG}</p></article>", f"In a link that is never closed {LONG}\n{LONG}"),
+    ],
+)
+def test_text_is_kept_and_parts_beside_it_are_not(html, text):
+    assert html_text.main_text(html, None) == text
+
+
+def _random_page(rng, n):
+    """A page and the text that it was made with."""
+    sentence = lambda: " ".join("".join(rng.choices("aeioulmnrst", k=rng.randint(2, 9))) for _ in range(rng.randint(12, 30))).capitalize() + "."
+    lines = [f"Heading {n} & more"] + [sentence() for _ in range(rng.randint(2, 8))]
+    esc = lambda s: s.replace("&", "&amp;")
+    beside = ['<nav><a href="/x">Menu words</a></nav>', "<div class='ad-box'>Buy this thing now, it is very good for you and yours.</div>", '<div id="cookie-notice">We set cookies.</div>', "<aside>Aside words stand here.</aside>", "<script>if (a<b) { '<p>no</p>' }</script>", "<form>Name <input></form>", '<div class="share-links"><a href=s>Share</a></div>']
+    body = [f"<h1>{esc(lines[0])}</h1>"]
+    for line in lines[1:]:
+        word = line.split(" ")[2]
+        body.append(f"<p>{line.replace(word, f'<b>{word}</b>', 1)}" + rng.choice(["</p>", "", "\n </p>"]))
+        if rng.random() < 0.4:
+            body.append(rng.choice(beside))
+    opened, closed = rng.choice([("<article>", "</article>"), ('<div class="post">', "</div>"), ("<main><div class=inner>", "</div></main>")])
+    comments = f"<div class='comments'><p>{sentence()}</p></div>"
+    return f"<html><body><div class='site-header'>Site name</div>{rng.choice(beside)}{opened}{''.join(body)}{comments}{closed}<footer>Foot</footer></body></html>", "\n".join(lines)
+
+
+def test_generated_pages_give_the_text_they_were_made_with(spark):
+    rng = random.Random(12)
+    made = [_random_page(rng, n) for n in range(120)]
+    rows = [(n, f"https://h{n % 5}.example/{n}", html, "clash", "clash", "clash") for n, (html, _) in enumerate(made)] * 2
+    rows += [(n, None, html, "", "", "") for n, (html, _) in enumerate(made[:20])]
+    found = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string, own string")).collect()
+    assert len(found) == len(rows) and all(r.text == made[r.page_id][1] and r.n_chars == len(r.text) for r in found)
+
+
+def test_hosts_too_many_to_broadcast_are_joined_by_shuffle(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(n, f"https://{'hot' if n % 3 else n}.example/{n}", _random_page(rng, n)[0]) for n in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, html_text.extracted(df).collect()))
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(_common, "HOT_SHARE", 4)
+    assert sorted(map(tuple, html_text.extracted(df).collect())) == whole
+
+
+def test_a_page_of_megabytes():
+    for part in ("<div class=ad>", "<div>text ", "<p a='", "<a ", "<b class=x>", "&amp;", "<!--", "<li>x", '<div class="x y"><p>words of it'):
+        assert isinstance(html_text.main_text(part * (1_000_000 // len(part)), None), str)
