@@ -42,12 +42,6 @@ def _steps(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda c, s: F.regexp_replace(c, s[0], java(s[1])), steps, text)
 
 
-def steps_sql(text: str, steps: tuple[tuple[str, str], ...]) -> str:
-    """The same steps as nested calls in DuckDB's SQL."""
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    return reduce(lambda c, s: f"regexp_replace({c}, {quoted(s[0])}, {quoted(s[1])}, 'g')", steps, text)
-
-
 def templatize(query: Column) -> Column:
     """The query with string constants as ``&&&``, hashed ones as ``@@@`` and numbers as ``#``."""
     return _steps(query, TEMPLATE_STEPS)

@@ -1,81 +1,63 @@
-"""Which columns a query's WHERE clause names, with aliases resolved."""
+"""Which columns the WHERE clauses of a query name, with aliases resolved.  Column functions and joins only.
+
+A query is cut into its clauses first.  Lists of tables (after FROM, JOIN and UPDATE) give names and aliases; references
+in WHERE clauses are looked up among them.  A reference without a qualifier, or with one that names no table, is a
+column of the first table of the query.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+# Words that end a list of tables, and words that end a WHERE clause.
+LIST_ENDS = "from update join set where select group order having limit union values on using left right inner outer cross natural returning".split()
+WHERE_ENDS = "select order group returning where".split()
+#: What a parameter became; it is no column.
+PARAMETER = "param_holder"
 
-_LEX = re.compile(r"""\s+|--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|\w+|[<>!]=|<>|.""", re.S)
-_WORD = re.compile(r"\w+")
-# Words that follow a table without being its alias, and words that end or begin a part.
-NOT_ALIAS = frozenset("upper lower left right inner outer cross natural join on using as where group order set having limit union values".split())
-CLAUSE_ENDS = frozenset("select order group returning".split())
+_NO_CODE = r"""(?s)--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*\""""
+_REFERENCE = r"\w+(?:\s*\.\s*\w+)*"
 
 
-def lex(sql: str) -> list[str]:
-    """Tokens without white space and comments; quotes around names are taken off."""
-    found = (t for t in _LEX.findall(sql) if not t.isspace() and not t.startswith(("--", "/*")))
-    return [t[1:-1] if t[0] == "`" else t for t in found]
+def _clauses(code: Column, begins: str, ends: list[str]) -> Column:
+    return F.regexp_extract_all(code, F.lit(rf"(?is)\b(?:{begins})\b(.*?)(?=\b(?:{'|'.join(ends)})\b|\z)"), F.lit(1))
 
 
-def accesses(sql: str, schema: dict[str, set[str]]) -> set[tuple[str, str]]:
-    """(table, column) pairs of the WHERE clauses; a column without a table belongs to the first table named."""
-    tokens = lex(sql)
-    aliases: dict[str, str] = {}
-    inside = False
-    for i, token in enumerate(tokens):
-        low = token.lower()
-        if low in ("from", "update", "join"):
-            inside = True
-        elif low in ("set", "where"):
-            inside = False
-        if not inside:
-            continue
-        table = token if token in schema else None
-        if i > 1 and tokens[i - 1] == "." and f"{tokens[i - 2]}.{token}" in schema:
-            table = f"{tokens[i - 2]}.{token}"
-        if table is None:
-            continue
-        aliases[table] = table
-        aliases.setdefault(token, table)
-        after = tokens[i + 1] if i + 1 < len(tokens) else ""
-        if after.lower() == "as" and i + 2 < len(tokens):
-            aliases[tokens[i + 2]] = table
-        elif _WORD.fullmatch(after) and after.lower() not in NOT_ALIAS:
-            aliases[after] = table
-    out: set[tuple[str, str]] = set()
-    if not aliases:
-        return out
-    first = next(iter(aliases.values()))
-    current, where = None, False
-    for token in tokens:
-        low = token.lower()
-        if low in CLAUSE_ENDS:
-            where = False
-        if where and token != "param_holder" and _WORD.fullmatch(token):
-            if token in aliases:
-                current = aliases[token]
-                continue
-            if token in schema[current or first]:
-                out.add((current or first, token))
-            current = None
-        if low == "where":
-            where = True
-    return out
+def _parts(name: Column) -> Column:
+    """A dotted name without the white space around its dots."""
+    return F.regexp_replace(name, r"\s*\.\s*", ".")
 
 
-def access(templates: DataFrame, schema: DataFrame) -> DataFrame:
-    """(template, table, column) of templates(template).  schema(table, column) is a catalog: it goes to every task."""
-    known: dict[str, set[str]] = {}
-    for row in schema.select("table", "column").distinct().collect():
-        known.setdefault(row["table"], set()).add(row["column"])
+def listed_tables(templates: DataFrame) -> DataFrame:
+    """(template, at, name, short, alias): the entries of a query's lists of tables, in their order."""
+    code = F.replace(F.regexp_replace("template", _NO_CODE, " "), F.lit("`"), F.lit(""))
+    entries = F.flatten(F.transform(_clauses(code, "from|join|update", LIST_ENDS), lambda c: F.split(c, "[,()]")))
+    rows = templates.select("template", F.posexplode(entries).alias("at", "entry"))
+    shape = rf"^\s*({_REFERENCE})(?:\s+(?i:as\s+)?(\w+))?"
+    name = _parts(F.regexp_extract("entry", shape, 1))
+    return rows.select("template", "at", name.alias("name"), F.substring_index(name, ".", -1).alias("short"), F.regexp_extract("entry", shape, 2).alias("alias")).filter("name <> ''")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(t, *pair) for t in batch["template"] for pair in sorted(accesses(t or "", known))]
-            yield pd.DataFrame(rows, columns=["template", "table", "column"])
+def references(templates: DataFrame) -> DataFrame:
+    """(template, qualifier, column) of the names in WHERE clauses; the qualifier may be empty."""
+    code = F.replace(F.regexp_replace("template", _NO_CODE, " "), F.lit("`"), F.lit(""))
+    names = F.flatten(F.transform(_clauses(code, "where", WHERE_ENDS), lambda c: F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))))
+    rows = templates.select("template", F.explode(F.array_distinct(F.transform(names, _parts))).alias("name"))
+    column = F.substring_index("name", ".", -1)
+    return rows.select("template", F.regexp_extract("name", r"^(?:.*\.)?(\w+)\.\w+$", 1).alias("qualifier"), column.alias("column")).filter(F.col("column") != PARAMETER)
 
-    return templates.select("template").mapInPandas(run, "template string, table string, column string")
+
+def access(templates: DataFrame, schema: DataFrame) -> DataFrame:
+    """(template, table, column) of templates(template), for the columns that schema(table, column) knows."""
+    templates = templates.select("template").distinct()
+    known = schema.select("table", "column").distinct()
+    entries = listed_tables(templates)
+    # a full name goes before its last part
+    asked = entries.select("template", "at", "short", "alias", F.posexplode(F.array_distinct(F.array("name", "short"))).alias("nth", "table"))
+    tables = asked.join(known.select("table").distinct(), "table").groupBy("template", "at", "short", "alias").agg(F.min_by("table", "nth").alias("table"))
+    first = tables.groupBy("template").agg(F.min_by("table", "at").alias("first"))
+    called = tables.select("template", "at", "table", F.explode(F.array_distinct(F.array(F.substring_index("table", ".", -1), "short", "alias"))).alias("qualifier"))
+    called = called.filter("qualifier <> ''").groupBy("template", "qualifier").agg(F.min_by("table", "at").alias("table"))
+    found = references(templates).join(first, "template").join(called, ["template", "qualifier"], "left")
+    return found.select("template", F.coalesce("table", "first").alias("table"), "column").join(known, ["table", "column"], "left_semi").select("template", "table", "column").distinct()

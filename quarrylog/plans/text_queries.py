@@ -16,16 +16,20 @@ def _statement(q: str) -> str:
     return _STATEMENT.format(q=q)
 
 
-def _template(q: str) -> str:
-    return text.steps_sql(q, text.TEMPLATE_STEPS)
-
-
-def _normal(q: str) -> str:
-    return text.steps_sql(q, text.NORMAL_STEPS)
-
-
-def _truncated(t: str) -> str:
-    return f"CASE WHEN strpos({t}, 'INSERT') > 0 AND strpos({t}, 'VALUES') > 1 THEN substr({t}, 1, strpos({t}, 'VALUES') + 5) ELSE {t} END"
+# What the five kinds of statements become, written out by hand: the SQL shares no pattern with the library.
+_TEMPLATES = r"""CASE id % 5
+    WHEN 0 THEN 'SELECT o_orderkey FROM orders WHERE o_custkey = # AND o_orderpriority = &&&'
+    WHEN 1 THEN 'select * from orders o where o.o_orderkey in (#, #) and o.o_clerk = &&&'
+    WHEN 2 THEN 'INSERT INTO orders (o_orderkey, o_comment) VALUES (#, &&&''s'')'
+    WHEN 3 THEN 'UPDATE orders SET o_totalprice=# WHERE o_orderkey>=# AND o_orderstatus=@@@'
+    ELSE 'delete from  orders where o_comment is Null and o_custkey=#' END"""
+_NORMAL = """CASE id % 5
+    WHEN 0 THEN 'SELECT o_orderkey FROM orders WHERE o_custkey = # AND o_orderpriority = #'
+    WHEN 1 THEN 'select * from orders o where o.o_orderkey IN () and o.o_clerk = #'
+    WHEN 2 THEN 'INSERT INTO orders (o_orderkey, o_comment) VALUES (#, #''s'')'
+    WHEN 3 THEN 'UPDATE orders SET o_totalprice = # WHERE o_orderkey> =# AND o_orderstatus = #'
+    ELSE 'delete from orders where o_comment is # and o_custkey = #' END"""
+_CUT = "replace({0}, ' (#, #''s'')', '')"
 
 
 def templatize_orders(spark, sf):
@@ -42,7 +46,7 @@ def normalize_templates(spark, sf):
 
 
 def insert_truncate(spark, sf):
-    return X.query_log(spark, sf).filter("id % 5 = 2").select("id", text.truncate_insert(text.normalize_template(F.col("query"))).alias("template"))
+    return X.query_log(spark, sf).select("id", text.truncate_insert(text.normalize_template(F.col("query"))).alias("template"))
 
 
 def dml_filter_trim(spark, sf):
@@ -90,9 +94,9 @@ def parse_log_55_ffill(spark, sf):
 
 
 def parse_log_postgresql(spark, sf):
-    log = X.query_log(spark, sf).filter("id % 5 <> 1")
+    log = X.query_log(spark, sf)
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    line = F.concat(stamp, F.lit('.123 EST,"u","d",'), "conn", F.lit(',"h",x.y,1,"idle",'), stamp, F.lit(' EST,1/2,0,LOG,00000,"'), "query", F.lit('",,"parameters: $1 = \'5\'",,,'))
+    line = F.concat(stamp, F.lit('.123 EST,"u","d",'), "conn", F.lit(',"h",x.y,1,"idle",'), stamp, F.lit(' EST,1/2,0,LOG,00000,"'), F.replace("query", F.lit('"'), F.lit('""')), F.lit('",,"parameters: $1 = \'5\'",,,'))
     parsed = logs.parse_postgresql(log.select("id", line.alias("record")))
     return parsed.select("id", time.parse(time.without_zone(F.col("ts_text")), "postgresql").alias("ts"), "conn", "query", "params")
 
@@ -147,8 +151,7 @@ def ddl_columns(spark, sf):
 
 def name_functions(spark, sf):
     q = F.col("query")
-    found = X.query_log(spark, sf).filter("id % 5 in (0, 4)")
-    return found.select("id", text.table_after_from(q).alias("from_table"), F.array_join(text.comparisons(q), ";").alias("pairs"), text.name_parameters(text.templatize(q)).alias("named"), text.index_name(F.lit("a.orders"), F.col("conn")).alias("index_name"))
+    return X.query_log(spark, sf).select("id", text.table_after_from(q).alias("from_table"), F.array_join(text.comparisons(q), ";").alias("pairs"), text.name_parameters(text.templatize(q)).alias("named"), text.index_name(F.lit("a.orders"), F.col("conn")).alias("index_name"))
 
 
 def time_functions(spark, sf):
@@ -178,7 +181,7 @@ def logical_vectors(spark, sf):
     return vectors.logical_vectors(templates, ddl.columns(spark, X.DDL)).select("template", F.posexplode("vector").alias("place", "value"))
 
 
-_T = f"t AS (SELECT id, ts, {_template(_statement('query'))} AS template FROM log)"
+_T = f"t AS (SELECT id, ts, {_TEMPLATES} AS template FROM log)"
 _SCHEMA = "s(tab, col) AS (VALUES ('orders','o_orderkey'),('orders','o_custkey'),('orders','o_clerk'),('orders','o_comment'),('orders','o_totalprice'),('orders','o_orderstatus'),('orders','o_orderpriority'),('lineitem','l_orderkey'),('lineitem','l_shipdate'))"
 _KINDS = "CASE upper(tok) WHEN 'SELECT' THEN 0 WHEN 'INSERT' THEN 6 WHEN 'UPDATE' THEN 7 WHEN 'DELETE' THEN 8 END"
 _CLAUSES = "CASE upper(tok) WHEN 'GROUP' THEN 0 WHEN 'ORDER' THEN 1 WHEN 'HAVING' THEN 2 WHEN 'LIMIT' THEN 3 END"
@@ -198,8 +201,13 @@ _HASH = "'''' || (length({0}) - 2) || '\\' || md5('" + X.SALT + "' || {0}) || ''
 QUERIES = {
     "templatize_orders": (templatize_orders, f"WITH {X.LOG}, {_T} SELECT template, count(*) AS cnt FROM t GROUP BY template"),
     "template_workload": (template_workload, f"WITH {X.LOG}, {_T} SELECT template, date_trunc('minute', ts) AS ts, count(*) AS cnt FROM t GROUP BY ALL"),
-    "normalize_templates": (normalize_templates, f"WITH {X.LOG}, {_T}, n AS (SELECT {_normal('template')} AS x FROM t) SELECT {_truncated('x')} AS template, count(*) AS total FROM n GROUP BY ALL"),
-    "insert_truncate": (insert_truncate, f"WITH {X.LOG}, n AS (SELECT id, {_normal('query')} AS x FROM log WHERE id % 5 = 2) SELECT id, {_truncated('x')} AS template FROM n"),
+    "normalize_templates": (normalize_templates, f"WITH {X.LOG}, {_T}, n AS (SELECT {_NORMAL} AS x FROM log) SELECT {_CUT.format('x')} AS template, count(*) AS total FROM n GROUP BY ALL"),
+    "insert_truncate": (insert_truncate, rf"""WITH {X.LOG} SELECT l.id, CASE l.id % 5
+        WHEN 0 THEN 'SELECT o_orderkey FROM orders WHERE o_custkey = ' || conn || ' AND o_orderpriority = ''' || o_orderpriority || ''''
+        WHEN 1 THEN 'select * from orders o where o.o_orderkey IN () and o.o_clerk = "x' || conn || '"'
+        WHEN 2 THEN 'INSERT INTO orders (o_orderkey, o_comment) VALUES'
+        WHEN 3 THEN 'UPDATE orders SET o_totalprice = -' || CAST(floor(o_totalprice) AS BIGINT) || '.5 WHERE o_orderkey> =' || l.id || ' AND o_orderstatus = ''5\abcd'''
+        ELSE '/*c*/ delete from orders where o_comment is # and o_custkey = ' || conn END AS template FROM log l JOIN orders o ON o.o_orderkey = l.id"""),
     "dml_filter_trim": (dml_filter_trim, f"WITH {X.LOG}, q AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'BEGIN' WHEN id % 10 = 5 THEN 'update t set selected=1' ELSE query END AS query FROM log), x AS (SELECT id, {_statement('query')} AS statement FROM q) SELECT * FROM x WHERE statement IS NOT NULL"),
     "session_commands": (session_commands, "SELECT event_id, 'set b' AS query FROM events WHERE event_id % 3 = 2"),
     "anonymize_queries": (anonymize_queries, f"""WITH {X.LOG} SELECT l.id, CASE l.id % 5
@@ -214,7 +222,7 @@ QUERIES = {
     "undo_hash": (undo_hash, "SELECT o_orderkey, 'a = ''' || substr(md5(o_orderpriority), 1, 3) || ''' and b = ''' || substr(md5(o_orderstatus), 1, 12) || '''' AS query FROM orders"),
     "parse_log_57": (parse_log_57, f"WITH {X.LOG} SELECT id, date_trunc('second', ts) AS ts, conn, query FROM log WHERE id % 7 <> 0"),
     "parse_log_55_ffill": (parse_log_55_ffill, f"WITH {X.LOG} SELECT conn AS file, id AS line_no, last_value(CASE WHEN id % 3 = 0 THEN date_trunc('day', ts) + INTERVAL '9:01:51' HOUR TO SECOND END IGNORE NULLS) OVER (PARTITION BY conn ORDER BY id ROWS UNBOUNDED PRECEDING) AS ts, 'Query' AS command, query FROM log".replace("INTERVAL '9:01:51' HOUR TO SECOND", "to_seconds(32511)")),
-    "parse_log_postgresql": (parse_log_postgresql, f"WITH {X.LOG} SELECT id, date_trunc('second', ts) AS ts, conn, query, 'parameters: $1 = ''5''' AS params FROM log WHERE id % 5 <> 1"),
+    "parse_log_postgresql": (parse_log_postgresql, f"WITH {X.LOG} SELECT id, date_trunc('second', ts) AS ts, conn, query, 'parameters: $1 = ''5''' AS params FROM log"),
     "assemble_multiline": (assemble_multiline, """WITH l AS (SELECT user_id, event_id, event_id % 3 = 0 AS b, CASE WHEN event_id % 3 = 0 THEN '2016-09-01T15:24:06.654226Z11 Query SELECT ' || event_id ELSE '  more ' || event_type END AS line FROM events),
         n AS (SELECT *, sum(CAST(b AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM l)
         SELECT CAST(user_id AS VARCHAR) AS file, min(event_id) AS line_no, string_agg(line, ' ' ORDER BY event_id) AS record FROM n WHERE nth > 0 GROUP BY user_id, nth"""),
@@ -228,12 +236,15 @@ QUERIES = {
     "restore_enums": (restore_enums, "SELECT date_trunc('minute', o_orderdate) AS ts, CAST(o_orderkey AS VARCHAR) AS conn, 'select 1 from orders where s = ''' || o_orderstatus || ''';' AS query FROM orders"),
     "ddl_columns": (ddl_columns, """SELECT * FROM (VALUES ('orders','o_orderkey',1,'BIGINT'),('orders','o_custkey',2,'INT'),('orders','o_clerk',3,'VARCHAR'),('orders','o_comment',4,'TEXT'),('orders','o_totalprice',5,'DOUBLE'),
         ('orders','o_orderstatus',6,'ENUM'),('orders','o_orderpriority',7,'VARCHAR'),('lineitem','l_orderkey',1,'BIGINT'),('lineitem','l_shipdate',2,'TIMESTAMP')) AS v("table", "column", ordinal, data_type)"""),
-    "name_functions": (name_functions, rf"""WITH {X.LOG} SELECT id, 'orders' AS from_table, array_to_string(regexp_extract_all(query, '[\w.]+\s*(?:=|<>|<=|>=|<|>)\s*(?:''[^'']*''|[-\w.]+)'), ';') AS pairs,
-        replace({_template('query')}, '#', 'param_holder') AS named, 'idx_a_orders_' || conn AS index_name FROM log WHERE id % 5 IN (0, 4)"""),
+    "name_functions": (name_functions, rf"""WITH {X.LOG} SELECT l.id, CASE WHEN l.id % 5 IN (0, 1, 4) THEN 'orders' END AS from_table, CASE l.id % 5
+        WHEN 0 THEN 'o_custkey = ' || conn || ';o_orderpriority = ''' || o_orderpriority || ''''
+        WHEN 3 THEN 'o_totalprice=-' || CAST(floor(o_totalprice) AS BIGINT) || '.5;o_orderkey>=' || l.id || ';o_orderstatus=''5\abcd'''
+        WHEN 4 THEN 'o_custkey=' || conn ELSE '' END AS pairs,
+        CASE WHEN l.id % 5 = 4 THEN '/*c*/ ' ELSE '' END || replace({_TEMPLATES.replace('CASE id', 'CASE l.id')}, '#', 'param_holder') AS named, 'idx_a_orders_' || conn AS index_name FROM log l JOIN orders o ON o.o_orderkey = l.id"""),
     "time_functions": (time_functions, """SELECT event_id, date_trunc('second', ts) AS pg, date_trunc('minute', ts) AS minute, time_bucket(INTERVAL 120 MINUTE, ts, TIMESTAMP '2000-01-01') AS low,
         time_bucket(INTERVAL 10 MINUTE, date_trunc('minute', ts) - INTERVAL 1 MINUTE, TIMESTAMP '2000-01-01') + INTERVAL 10 MINUTE AS high, date_diff('minute', TIMESTAMP '2024-01-01', date_trunc('minute', ts)) + 1 AS span, 4 AS steps FROM events"""),
     "distinct_templates": (distinct_templates, f"WITH {X.LOG}, {_T} SELECT DISTINCT template FROM t"),
-    "logical_kind": (logical_kind, f"WITH {X.LOG}, {_T}, d AS (SELECT DISTINCT {_normal('template')} AS template FROM t), {_TOKENS}, {_KIND} SELECT * FROM k"),
+    "logical_kind": (logical_kind, f"WITH {X.LOG}, {_T}, d AS (SELECT DISTINCT {_NORMAL} AS template FROM t), {_TOKENS}, {_KIND} SELECT * FROM k"),
     "logical_mentions": (logical_mentions, f"WITH {X.LOG}, {_T}, {_MENTIONS} SELECT * FROM m"),
     "logical_vectors": (logical_vectors, f"""WITH {X.LOG}, {_T}, {_MENTIONS}, {_KIND},
         o AS (SELECT what || ':' || name AS slot, CAST(row_number() OVER (ORDER BY what = 'c', name) + 1 AS INTEGER) AS place FROM slots)

@@ -15,7 +15,13 @@ COMMANDS = ("Connect", "Quit", "Init DB", "Query", "Field List", "Statistics")
 _COMMAND = "|".join(COMMANDS)
 MYSQL57 = rf"^(\d{{4}}-\d{{2}}-\d{{2}})T(\d{{2}}:\d{{2}}:\d{{2}}\.\d+)Z\s*(\d+)\s+({_COMMAND})\s+(.*)"
 MYSQL55 = rf"^(\d{{6}}\s+\d+:\d+:\d+)?\s+(\d+)\s+({_COMMAND})\s+(.*)"
-POSTGRESQL = r'^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}.\d* (?:EST|EDT)),".*?",".*?",(\d+),".*?",.*?,".*?",(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} (?:EST|EDT)),.*?,\d,LOG,\d{5},"(.*?)",+?"(.*?)".*'
+# Quoted fields of a csvlog double the quotes inside them.
+_QUOTED = r'"(?:[^"]|"")*+"'
+_ZONE = r"(?:[A-Z]{3})"
+POSTGRESQL = (
+    rf"^(\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}.\d* {_ZONE}),{_QUOTED},{_QUOTED},(\d+),{_QUOTED},[^\"]*?,{_QUOTED},"
+    rf"(\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}} {_ZONE}),.*?,\d+,LOG,\d{{5}},({_QUOTED}),+?({_QUOTED}).*"
+)
 PREFIX = {"mysql57": MYSQL57, "mysql55": MYSQL55, "postgresql": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}.\d*"}
 
 
@@ -68,10 +74,17 @@ def parse_mysql55(records: DataFrame, *key: str, order: str = "line_no") -> Data
 
 
 def parse_postgresql(records: DataFrame) -> DataFrame:
-    """(..., ts_text, conn, session_start, query, params), the times without their zones."""
-    found = records.filter(F.col("record").rlike(POSTGRESQL))
+    """(..., ts_text, conn, session_start, query, params), the texts without the quotes of the file's format."""
+    found = records.filter(F.col("record").rlike(f"(?s){POSTGRESQL}"))
     parsed = found.select(*[c for c in records.columns if c != "record"], *_groups(F.col("record"), POSTGRESQL, ("ts_text", "conn", "session_start", "query", "params")))
-    return parsed
+    plain = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')).alias(c)
+    return parsed.select(*[plain(c) if c in ("query", "params") else c for c in parsed.columns])
+
+
+def rejected(records: DataFrame, kind: str) -> DataFrame:
+    """The records that a parser leaves out, since they do not have its format."""
+    pattern = {"mysql57": MYSQL57, "mysql55": MYSQL55, "postgresql": f"(?s){POSTGRESQL}"}[kind]
+    return records.filter(~F.coalesce(F.col("record").rlike(pattern), F.lit(False)))
 
 
 def forward_filled(value: Column, key: tuple[str, ...], order: str) -> Column:

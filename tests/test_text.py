@@ -1,6 +1,8 @@
+import re
+
 from pyspark.sql import functions as F
 
-from quarrylog.functions import text, time
+from quarrylog.functions import generate, text, time
 from quarrylog.operators import access
 from quarrylog.sources import ddl, logs
 
@@ -85,9 +87,44 @@ def test_ddl():
     assert [(t, c, o) for t, c, o, _ in found] == [("a.b", "MONKEY_ID", 1), ("c", "d", 1)]
 
 
-def test_accesses():
-    schema = {"orders": {"o_id", "o_c"}, "s.t": {"a"}, "u": {"b"}}
-    assert access.accesses("select * from orders x where x.o_c = param_holder and o_id>1 order by a", schema) == {("orders", "o_c"), ("orders", "o_id")}
-    assert access.accesses("select 1 from orders AS o join u on o.o_id=u.b where u.b=2 and o.o_c like 'x'", schema) == {("u", "b"), ("orders", "o_c")}
-    assert access.accesses("update s.t set a=1 where a=2", schema) == {("s.t", "a")}
-    assert access.accesses("select 1 from zz where a=1", schema) == set()
+def test_access(spark):
+    schema = spark.createDataFrame([("orders", "o_id"), ("orders", "o_c"), ("s.t", "a"), ("u", "b")], '"table" string, "column" string'.replace('"', "`"))
+    cases = {
+        "select * from orders x where x.o_c = param_holder and o_id>1 order by a": {("orders", "o_c"), ("orders", "o_id")},
+        "select 1 from orders AS o join u on o.o_id=u.b where u.b=2 and o.o_c like 'x'": {("u", "b"), ("orders", "o_c")},
+        "update s.t set a=1 where a=2": {("s.t", "a")},
+        "update s.t q set a=1 where q.a=2 and t.a = 3": {("s.t", "a")},
+        "select 1 from zz where a=1": set(),
+        "select o_c from orders": set(),
+        "SELECT 1 FROM `orders`, u as w WHERE w.`b` = 1 -- and o_c = 2\n and o_id = 'o_c'": {("u", "b"), ("orders", "o_id")},
+        "select 1 from orders where o_c in (select b from u where u . b = 3) group by o_id": {("orders", "o_c"), ("u", "b")},
+        "delete from orders where no_table.o_id = 1 /* where o_c */": {("orders", "o_id")},
+        "select 1 from (select * from u) z, orders y where y.o_c = 1": {("orders", "o_c")},
+        "": set(),
+        None: set(),
+    }
+    templates = spark.createDataFrame([(t,) for t in cases] * 2, "template string")
+    found = {}
+    for r in access.access(templates, schema).collect():
+        assert (r["table"], r["column"]) not in found.setdefault(r["template"], set())
+        found[r["template"]].add((r["table"], r["column"]))
+    assert found == {t: x for t, x in cases.items() if x}
+
+
+def test_generated_values(spark):
+    kinds = [("i", "tinyint", None), ("s", "VARCHAR", 7), ("t", "text", None), ("y", "YEAR", None), ("p", "POINT", None), ("x", "BOX", None), ("n", "no such type", None), ("f", "Double", None), ("z", "TIMESTAMP", None)]
+    rows = generate.generated(spark, kinds, 200, text="words", year=1999).collect()
+    assert {r.i for r in rows} == {0, 1} and all(len(r.s) == 7 and 0 <= r.f < 1 and r.t == "words" and r.y == 1999 and r.x == "NULL" and r.n is None and r.z for r in rows)
+    assert all(re.fullmatch(r"\(\d+, \d+\)", r.p) for r in rows) and len({r.p for r in rows}) > 150
+    member = generate.generators("", 0)["ENUM"]
+    assert {r.e for r in spark.range(100).select(member(1, None, ("a", "b")).alias("e")).collect()} == {"a", "b"}
+
+
+def test_csvlog_quotes_and_zones(spark):
+    line = '2016-11-30 00:00:01.123 {z},"u","d",77,"h:1",5d.1,3,"idle",2016-11-30 00:00:00 {z},1/2,0,LOG,00000,"{q}","parameters: $1 = \'a""b\'",,,,,,,,"app"'
+    records = [(1, line.format(z="EST", q='select ""a"",""b"" from t')), (2, line.format(z="UTC", q="select 1\nfrom t, u")), (3, line.format(z="EDT", q="")), (4, "no record"), (5, None)]
+    df = spark.createDataFrame(records, "id int, record string")
+    rows = {r.id: r for r in logs.parse_postgresql(df).collect()}
+    assert {i: r.query for i, r in rows.items()} == {1: 'select "a","b" from t', 2: "select 1\nfrom t, u", 3: ""}
+    assert all(r.params == "parameters: $1 = 'a\"b'" and r.conn == "77" for r in rows.values())
+    assert sorted(r.id for r in logs.rejected(df, "postgresql").collect()) == [4, 5]
