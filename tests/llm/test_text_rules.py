@@ -1,6 +1,9 @@
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 from math import comb
 
 import pytest
@@ -115,7 +118,7 @@ def test_copies_of_one_text_are_one_observation(spark):
 
 def test_reach_is_of_the_text(spark):
     cases = {
-        "Zorblax order 55 card 4111111111111111": {"Zorblax", "order", "card"},
+        "Zorblax order 55 card 4111111111111111": {"Zorblax", "order", "9{2}", "card"},
         "Zorblax boss@corp.example": {"Zorblax"},
         "boss@corp.example Zorblax": {"Zorblax"},
         "Anna a@x.example, Berta b@x.example, Clara c@x.example": {"Anna", "Berta", "Clara"},
@@ -125,9 +128,9 @@ def test_reach_is_of_the_text(spark):
         "b@x.example " + "-" * 72 + "Complete": set(),
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
-    spans = pii.base_spans(df).withColumn("blank", pii._blanked(F.col("text"), F.col("found"))).select("doc_id", "text", "blank", F.explode("found").alias("x"))
+    spans = pii._blanked_docs(df).select("doc_id", "text", F.length("blank").alias("n"), pii._blocks(F.col("blank")).alias("b"), F.explode("found").alias("x"))
     found = {}
-    for r in spans.select("text", F.length("blank").alias("n"), pii._near(F.col("blank"), F.col("x")).alias("t")).collect():
+    for r in spans.select("text", "n", pii._near(F.col("b"), F.col("n"), F.col("x")).alias("t")).collect():
         assert r.n == len(r.text)
         found.setdefault(r.text, []).append(set(r.t))
     assert found.keys() == cases.keys() and all(x == cases[t] for t, all_ in found.items() for x in all_), found
@@ -359,3 +362,117 @@ def test_hosts_too_many_to_broadcast_are_joined_by_shuffle(spark, monkeypatch):
 def test_a_page_of_megabytes():
     for part in ("<div class=ad>", "<div>text ", "<p a='", "<a ", "<b class=x>", "&amp;", "<!--", "<li>x", '<div class="x y"><p>words of it'):
         assert isinstance(html_text.main_text(part * (1_000_000 // len(part)), None), str)
+
+
+def _run_term(run):
+    if not re.search("[0-9]", run):
+        return run
+    if re.fullmatch("[0-9]+", run):
+        return f"9{{{len(run)}}}"
+    if re.fullmatch("[0-9a-fA-F]+", run):
+        return f"h{{{len(run)}}}"
+    return re.sub("[0-9]", "9", run)
+
+
+def _blank(text, spans):
+    out = list(text)
+    for _, a, b in spans:
+        out[a:b] = " " * (b - a)
+    return "".join(out)
+
+
+def _disclosures(texts, support, sure):
+    """(entity, term) and what the term discloses, by the definition, for texts of which none is near another."""
+    n_t, n_e, n_et = {}, {}, {}
+    for text in texts:
+        spans = _spans(text)
+        blank = _blank(text, spans)
+        runs = [(m.start(), m.end(), _run_term(m.group())) for m in re.finditer(r"[^\W_]+", blank)]
+        for t in {t for *_, t in runs}:
+            n_t[t] = n_t.get(t, 0) + 1
+        entities = {}
+        for kind, a, b in spans:
+            value = text[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])
+            near = {t for x, y, t in runs if a - pii.REACH <= x and y <= a or b <= x and y <= b + pii.REACH}
+            entities.setdefault(f"{kind}:{value}", set()).update(near)
+            for c in (kind, "any"):
+                entities.setdefault(c, set()).update(t for *_, t in runs)
+        for e, terms in entities.items():
+            n_e[e] = n_e.get(e, 0) + 1
+            for t in terms:
+                n_et[e, t] = n_et.get((e, t), 0) + 1
+    out = {}
+    for (e, t), n in n_et.items():
+        if n < support or n_e[e] == len(texts):
+            continue
+        z, k, p = sure if ":" not in e else 0, n_t[t], n / n_t[t]
+        low = (p + z * z / (2 * k) - z * math.sqrt(p * (1 - p) / k + z * z / (4 * k * k))) / (1 + z * z / k)
+        share = 1 + math.log2(low) / math.log2(len(texts) / n_e[e]) if low > 0 else 0
+        out[t] = max(out.get(t, 0), share)
+    return out
+
+
+def _corpus(rng, n):
+    word = lambda: "".join(rng.choices("bcdfgaeiou", k=rng.randint(1, 3)))
+    texts = []
+    for i in range(n):
+        words = [word() for _ in range(rng.randint(5, 60))] + [f"id{i}x{rng.randrange(10**9)}"]
+        if i % 6 == 0:
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(words))
+                person = rng.randrange(4)
+                words[at:at] = rng.choice([[f"Mr Person{chr(65 + person)}ish", f"p{person}@corp.example"], ["call", f"+1 (212) 555-010{person}"], ["host", "x" * 100, f"10.0.0.{person}"]])
+            if rng.random() < 0.8:
+                words += ["secret", f"{rng.randrange(16**20):020x}", str(rng.randrange(10**11, 10**12))]
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_disclosure_follows_the_definition(spark):
+    texts = _corpus(random.Random(21), 360)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for support, sure in ((3, 3.0), (5, 1.0)):
+        expected = {t: d for t, d in _disclosures(texts, support, sure).items() if d >= pii.GENERALISE}
+        found = {r.term: (r.disclosure, r.action) for r in pii.revealing_terms(df, support=support, sure=sure).collect()}
+        assert found.keys() == expected.keys() and {"secret", "h{20}", "9{12}"} <= found.keys()
+        assert all(abs(found[t][0] - d) < 1e-9 and found[t][1] == ("remove" if found[t][0] >= pii.REMOVE else "generalise") for t, d in expected.items())
+
+
+def test_flagged_terms_are_found_wherever_they_stand(spark):
+    texts = _corpus(random.Random(22), 300) + ["no entity but a secret and 123456789012, and secretly 1234567890123."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, None)], "doc_id long, text string")
+    action = {r.term: r.action for r in pii.revealing_terms(df).collect()}
+    at_once, joined = ([(r.doc_id, [tuple(x)[:3] for x in r.found], [tuple(x) for x in r.terms]) for r in pii.detected(df, inline=k).collect()] for k in (10**6, 0))
+    key = lambda r: (r[0] is None, r)
+    assert sorted(at_once, key=key) == sorted(joined, key=key) and len(at_once) == len(texts) + 2
+    for doc_id, found, terms in at_once:
+        text = texts[doc_id] if doc_id is not None else ""
+        assert found == _spans(text)
+        runs = [(action[_run_term(m.group())], m.start(), m.end()) for m in re.finditer(r"[^\W_]+", _blank(text, found)) if _run_term(m.group()) in action]
+        assert terms == sorted(runs, key=lambda x: (pii.ACTIONS.index(x[0]), x[1]))
+
+
+def test_a_text_of_many_matches(spark):
+    n = 30_000
+    text = " ".join(f"user{i}@mail{i % 7}.example 10.0.{i % 256}.{i % 200} é😀" for i in range(n))
+    began = time.perf_counter()
+    found = pii.sanitised(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert found == " ".join(["[EMAIL] [IP] é😀"] * n) and time.perf_counter() - began < 60
+
+
+def test_spans_that_touch_blocks_and_each_other(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(30):
+        gap = "é" * (pii.BLOCK - rng.randint(0, 30))
+        rows.append((i, f"{gap} a{i}@1.2.3.4 {gap}+49 170 1234567{'😀' * rng.randint(0, 9)}8.8.8.8 and 1.2.3.4@x.example"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii._blanked_docs(df).collect():
+        assert r.blank == _blank(rows[r.doc_id][1], _spans(rows[r.doc_id][1]))
+
+
+def test_running_sums(spark):
+    values = [random.Random(7).choices(range(50), k=n) for n in (0, 1, 63, 64, 65, 128, 1000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v array<int>")
+    for r in df.select("i", pii._scan(F.col("v"), lambda a, b: a + b).alias("s"), pii._scan(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).collect():
+        assert r.s == list(itertools.accumulate(values[r.i])) and r.m == list(itertools.accumulate(values[r.i], max))
