@@ -194,15 +194,89 @@ def test_mix_meets_its_targets(spark, seed):
     assert sorted((r.doc_id, r.taken) for r in mixing.mix(df.repartition(7)).collect()) == sorted((r.doc_id, r.taken) for r in found)
 
 
-def test_shards_are_disjoint_and_exact(spark):
-    rows = [(i, " ".join(["w"] * (i % 90)), None, "ab"[i % 5 == 0], 0) for i in range(300)]
+def _mixture(rng, n):
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 63, 64, 65, 200, 3000])), None, rng.choice(["a"] * 6 + ["b", "c", None]), 0) for i in range(n)]
+    return rows + [(7, "same words " * 40, None, "b", 0)] * 30
+
+
+def test_shards_draw_disjoint_blocks_by_their_quotas(spark):
+    rows = _mixture(random.Random(3), 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plan = {r.source: r for r in mixing.plan(mixing.targets(mixing.sizes(df)), depth=3).collect()}
+    parts = mixing.mixed_blocks(df, depth=3).collect()
+    words, shards = {}, {}
+    for r in parts:
+        key = (r.source, r.block, r.epoch)
+        words[key] = words.get(key, 0) + r.words
+        assert shards.setdefault(key, r.shard) == r.shard  # a block and epoch belong to one shard
+    for source, p in plan.items():
+        assert p.n_blocks == -(-p.source_size // mixing.BLOCK_WORDS) and p.quota == min(3 * p.n_blocks, round(p.target * p.n_blocks / p.source_size))
+        mine = [k for k in shards if k[0] == source]
+        assert len(mine) == p.quota and {words[k] for k in mine} <= {p.source_size // p.n_blocks, p.source_size // p.n_blocks + 1}
+        per = [sum(shards[k] == s for k in mine) for s in range(8)]
+        pools = [(s + 1) * p.n_blocks // 8 - s * p.n_blocks // 8 for s in range(8)]
+        assert per == [x.epochs * pool + x.more for x, pool in zip(p.shards, pools, strict=True)] and all(q <= 3 * pool for q, pool in zip(per, pools, strict=True))
+        copies = {}
+        for _, block, epoch in mine:
+            copies.setdefault(block, []).append(epoch)
+        assert all(sorted(e) == list(range(len(e))) for e in copies.values())
+    taken = {}
+    for r in parts:
+        taken[r.row, r.nth] = taken.get((r.row, r.nth), 0) + r.words
+    found = mixing.drawn(mixing.sizes(df), depth=3).select("row", "nth", "size", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["epochs"] * x["words"]).alias("taken"), F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("whole")).collect()
+    assert len(found) == len(rows) and all(r.taken == taken.get((r.row, r.nth), 0) <= 3 * r.size and r.whole == r.size for r in found)
+
+
+def test_the_tree_decides_what_is_taken(spark, monkeypatch):
+    rows = _mixture(random.Random(4), 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    usual = sorted((str(r.doc_id), r.taken) for r in mixing.mix(df).collect())
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: split(*a).withColumn("quota", F.least("quota", F.col("pool"))))
+    assert sorted((str(r.doc_id), r.taken) for r in mixing.mix(df).collect()) != usual
+
+
+def test_quotas_are_spread_like_multivariate_hypergeometric_draws(spark):
+    n, quota, runs = 64, 96, 2000
+    quotas = spark.range(runs).select(F.col("id").cast("int").alias("s"), F.lit(n).cast("long").alias("n_blocks"), F.lit(quota).cast("long").alias("quota"))
+    rows = mixing.split_quotas(quotas, depth=2).collect()
+    per = {}
+    for r in rows:
+        assert 0 <= r.quota <= 3 * r.pool and r.pool == 16
+        per.setdefault(r.s, [0] * 4)[r.shard] = r.quota
+    assert all(sum(x) == quota for x in per.values())
+    mean = [sum(x[k] for x in per.values()) / runs for k in range(4)]
+    share, offers = 1 / 4, 3 * n
+    variance = quota * share * (1 - share) * (offers - quota) / (offers - 1)
+    found = [sum((x[k] - quota * share) ** 2 for x in per.values()) / runs for k in range(4)]
+    assert all(abs(m - quota * share) < 0.4 for m in mean) and all(abs(v / variance - 1) < 0.15 for v in found)
+
+
+def test_rows_that_repeat_beyond_one_tasks_share(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = _mixture(random.Random(5), 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    few = sorted((str(r.doc_id), r.taken) for r in mixing.mix(df).collect())
+    monkeypatch.undo()
+    assert few == sorted((str(r.doc_id), r.taken) for r in mixing.mix(df).collect()) and len(few) == len(rows)
+
+
+def test_sources_too_many_to_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (i % 50), None, f"s{i % 40}" if i % 3 else None, 0) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    sized = mixing.sizes(df).cache()
-    blocks = mixing.mixed_blocks(sized, mixing.targets(sized), depth=3)
-    found = blocks.select("row", "block", "epoch", "shard").collect()
-    assert len(found) == len({(r.row, r.block, r.epoch) for r in found}) and {r.shard for r in found} == set(range(8))
-    per = [sum(r.shard == s for r in found) for s in range(8)]
-    assert max(per) - min(per) <= 8
+    usual = sorted((r.doc_id, r.taken) for r in mixing.mix(df).collect())
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(_common, "HOT_SHARE", 10)
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix(df).collect()) == usual
+
+
+def test_places_beyond_32_bits(spark):
+    n = (1 << 40) + 12345
+    df = spark.range(5).select(F.lit("k").alias("key"), F.lit(n).alias("n_blocks"), F.lit(64).cast("long").alias("small"), F.lit(0).cast("long").alias("longer"), (F.col("id") * 64).alias("offset"), F.lit(64).cast("long").alias("size"), F.expr("transform(sequence(0L, 15L), k -> named_struct('shard', k, 'begin', k * n_blocks div 16, 'epochs', 1L, 'more', 0L))").alias("shards"))
+    key = df.select(F.pmod(F.xxhash64(F.lit(mixing.SEED + 2), "key"), "n_blocks")).first()[0]
+    for r in df.select("offset", F.get(mixing._draws(), F.lit(0)).alias("x")).collect():
+        place = (r.x.block * (mixing._PRIME % n) + key) % n
+        assert r.x.block == r.offset // 64 and place >= r.x.shard * n // 16 and place < (r.x.shard + 1) * n // 16
 
 
 def test_hypergeometric_draws(spark):
