@@ -6,19 +6,21 @@ sequence that also starts in a document with a smaller doc_id.  A suffix therefo
 
 1. Anchors.  The anchor of a window is the least of the hashes of its 25-word grams, so equal windows have equal
    anchors.  Anchors that occur in one document only are left out, and with them the suffixes that cannot repeat.
-2. Suffixes.  A remaining suffix is its path in the tree: the fingerprints of its prefixes of 10, 25 and 50 words.
-   Each map task first resolves the paths that it sees twice, and hands on only those of the smallest doc_id.
-3. Prefixes.  Suffixes are dealt out by their 10-word prefix; where a range of prefixes has more suffixes than a group
-   may hold, by their 25-word, and then by their 50-word extensions.  There are 4096 ranges at each step.
-4. Trees.  A task sorts its suffixes by path, which lays out the tree depth first; runs with a common path of 50
-   words are its deep nodes, the maximal repeats.  Suffixes in a node that belong to another than its smallest
-   doc_id are removed windows, kept as ranges of positions.
-
-Windows count as equal if 64-bit fingerprints of their words' XXH64 values are.  Rows that share a doc_id are told
-apart by 32 bits of their texts' hash.
+2. Suffixes.  A remaining suffix is a string of ``WIDTH / STEP`` symbols, the fingerprints of its next ``STEP`` words, of the
+   ``STEP`` after them, and so on.  Each map task first resolves the suffixes that it sees twice, and hands on only those
+   of the smallest doc_id, as one row with the ranges of their positions.
+3. Prefixes.  Suffixes are dealt out by their first symbol, in as many ranges as make groups of half of ``GROUP_ROWS``.
+   The groups are counted, and a group that is larger is dealt out by a prefix of one symbol more, until all
+   fit or whole suffixes are told apart.
+4. Trees.  Suffixes are sorted by their symbols, which lays out a group's tree depth first: the longest common prefix
+   of neighbours is the depth of the internal node above them.  A task goes along the sorted suffixes and keeps one node.  Deep
+   nodes, of the full ``WIDTH`` words, are repeats; the first suffix in a node has its smallest doc_id, and those of
+   other documents are removed windows.  Neighbouring removed windows join to ranges, the places of maximal repeats.
+
+Symbols have 32 bits, so that equal suffixes agree in 160.  Rows that share a doc_id are told apart by their texts' hash.
 
 Defined results: null and empty texts have no words and the hash of the empty string; rows with equal doc_id never
-remove each other's words; a null doc_id counts as larger than any other; repeated rows are kept; an empty table
+remove each other's words; a null doc_id counts as the largest possible one; repeated rows are kept; an empty table
 gives no rows; columns other than doc_id and text are ignored.
 """
 
@@ -33,15 +35,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as T
-from ._common import slices, table, written
+from ._common import looked_up, reliable, slices, table, written
 
 WIDTH = 50
 GRAM = 25
-PREFIXES = (10, 25, 50)
+STEP = 10
 #: Entries that a map task resolves at once.
 FLUSH = 1 << 20
-#: Suffixes that a group, and a task, should hold.
-GROUP_ROWS = 4096
+#: Suffixes that a group may hold (about a megabyte), and that a task should.
+GROUP_ROWS = 16_384
 TASK_ROWS = 2_000_000
 _LAST = (1 << 63) - 1
 
@@ -70,9 +72,9 @@ class _Windows:
         grams = T.rolling(hashes, GRAM)
         self.anchor = _sliding_min(grams, WIDTH - GRAM + 1)[self.at] if len(self.at) else np.zeros(0, np.uint64)
 
-    def paths(self, chosen: np.ndarray) -> list[np.ndarray]:
-        found = [T.rolling(self.hashes, p)[self.at[chosen]] for p in PREFIXES]
-        return [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) if p < WIDTH else x.view(np.int64) for x, p in zip(found, PREFIXES, strict=True)]
+    def symbols(self, chosen: np.ndarray) -> list[np.ndarray]:
+        grams = (T.rolling(self.hashes, STEP) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return [grams[self.at[chosen] + k] for k in range(0, WIDTH, STEP)]
 
 
 def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -129,43 +131,55 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _ranges(ids: np.ndarray, th: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (id, th, start, stop) of runs of consecutive positions."""
-    order = np.lexsort((pos, th, ids))
-    ids, th, pos = ids[order], th[order], pos[order]
-    new = _ends(ids, th)
-    if len(pos):
-        new[1:] |= pos[1:] > pos[:-1] + 1
-    begin = np.flatnonzero(new)
+_PATH = [f"s{k}" for k in range(WIDTH // STEP)]
+_SUFFIX = f"id long, th long, ranges array<int>, {', '.join(f'{p} int' for p in _PATH)}"
+
+
+def _runs(new: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where groups begin, given the rows that begin one, and each group's runs of positions: start, stop, start, ..."""
+    head = new.copy()
+    head[1:] |= pos[1:] != pos[:-1] + 1
+    begin = np.flatnonzero(head)
     last = np.r_[begin[1:], len(pos)] - 1
-    for at in range(0, len(begin), 1 << 16):
-        b, e = begin[at : at + (1 << 16)], last[at : at + (1 << 16)]
-        yield pa.record_batch({"id": pa.array(ids[b]), "th": pa.array(th[b]), "start": pa.array(pos[b].astype(np.int32)), "stop": pa.array(pos[e].astype(np.int32) + 1)})
+    flat = np.stack([pos[begin], pos[last] + 1], axis=1).astype(np.int32).ravel()
+    first = np.flatnonzero(new)
+    offsets = np.r_[2 * np.searchsorted(begin, first), len(flat)].astype(np.int32)
+    return first, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-_PATH = [f"p{n}" for n in PREFIXES]
-#: Inner steps of a path only order and group suffixes; the last one decides, so it keeps all its bits.
-_PATH_TYPES = (pa.int32(), pa.int32(), pa.int64())
-_SUFFIX = "id long, th int, start int, stop int, p10 int, p25 int, p50 long"
+def _rows(ids: np.ndarray, th: np.ndarray, pos: np.ndarray, path: list[np.ndarray] | None, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of _SUFFIX, one for each group."""
+    if not len(ids):
+        return
+    first, ranges = _runs(new, pos)
+    for at in range(0, len(first), 1 << 16):
+        m = first[at : at + (1 << 16)]
+        symbols = [pa.array(p[m]) for p in path] if path else [pa.nulls(len(m), pa.int32())] * len(_PATH)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[m]), pa.array(th[m]), ranges.slice(at, len(m)), *symbols], names=["id", "th", "ranges", *_PATH])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes whose anchor repeats.  Rows with a null path are ranges that this task knows to be removed."""
+    """Suffixes whose anchor repeats.  Rows without symbols are ranges that this task knows to be removed."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         ids, th, pos, *path = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ids, path[-1]))
+        # one value brings equal suffixes together; their symbols tell whether they are
+        with np.errstate(over="ignore"):
+            mark = np.zeros(len(ids), np.uint64)
+            for p in path:
+                mark = T.mix(mark * np.uint64(0x9E3779B97F4A7C15) + p.view(np.uint32))
+        order = np.lexsort((pos, th, ids, mark))
         ids, th, pos, path = ids[order], th[order], pos[order], [p[order] for p in path]
-        low, _ = _least(_ends(path[-1]), ids)
-        for b in _ranges(*(x[ids > low] for x in (ids, th, pos))):
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, t) for t in _PATH_TYPES]], names=[*b.schema.names, *_PATH])
-        where = np.flatnonzero(ids == low)
-        where = where[np.lexsort((pos[where], th[where], ids[where]))]
-        for at in range(0, len(where), 1 << 16):
-            m = where[at : at + (1 << 16)]
-            yield pa.record_batch({"id": pa.array(ids[m]), "th": pa.array(th[m]), "start": pa.array(pos[m].astype(np.int32)), "stop": pa.array(pos[m].astype(np.int32) + 1)} | {n: pa.array(p[m].astype(t.to_pandas_dtype())) for n, p, t in zip(_PATH, path, _PATH_TYPES, strict=True)})
+        node = _ends(*path)
+        low, _ = _least(node, ids)
+        gone = np.flatnonzero(ids > low)
+        gone = gone[np.lexsort((pos[gone], th[gone], ids[gone]))]
+        yield from _rows(ids[gone], th[gone], pos[gone], None, _ends(ids[gone], th[gone]))
+        kept = ids == low
+        begins = _ends(np.cumsum(node)[kept], th[kept])
+        yield from _rows(ids[kept], th[kept], pos[kept], [p[kept] for p in path], begins)
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -179,7 +193,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tag = lambda a, r: a ^ T.mix(r.astype(np.uint64) + np.uint64(1))
                 chosen = np.flatnonzero(np.isin(tag(w.anchor, w.row), tag(values, row)))
             if len(chosen):
-                held.append((ids[w.row[chosen]], th[w.row[chosen]], w.pos[chosen], *w.paths(chosen)))
+                held.append((ids[w.row[chosen]], th[w.row[chosen]], w.pos[chosen], *w.symbols(chosen)))
                 size += len(chosen)
             if size > FLUSH:
                 yield from flush()
@@ -188,29 +202,50 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def common_prefixes(path: list[np.ndarray]) -> np.ndarray:
+    """How many symbols each suffix shares with the one before it, from its start on; none for the first one."""
+    shared = np.zeros(len(path[0]), np.int64)
+    same = np.ones(max(len(path[0]) - 1, 0), bool)
+    for p in path:
+        same &= p[1:] == p[:-1]
+        shared[1:] += same
+    return shared
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed ranges that the trees of one task's groups show."""
-    got = [[b.column(k).to_numpy() for k in ("id", "th", "start", *_PATH)] for b in batches]
-    if not got:
-        return
-    ids, th, pos, *path = (np.concatenate(x) for x in zip(*got, strict=True))
-    del got
-    order = np.lexsort((ids, *path[::-1]))
-    ids, th, pos = ids[order], th[order], pos[order]
-    # depth to which a suffix shares its path with the one before it; a deep node ends where that is not full
-    depth = np.zeros(len(ids), np.int64)
-    same = np.ones(max(len(ids) - 1, 0), bool)
-    for k, p in zip(PREFIXES, path, strict=True):
-        q = p[order]
-        same &= q[1:] == q[:-1]
-        depth[1:][same] = k
-    low, _ = _least(depth < WIDTH, ids)
-    yield from _ranges(*(x[ids > low] for x in (ids, th, pos)))
+    """(id, th, ranges) that the trees show to be removed, from sorted suffixes.  Only the last node outlives a batch."""
+    last: list[np.ndarray] | None = None
+    low = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("id").to_numpy()
+        path = [batch.column(p).to_numpy() for p in _PATH]
+        with_last = [np.r_[x, p] for x, p in zip(last, path, strict=True)] if last else [np.r_[p[:1] + 1, p] for p in path]
+        begins = common_prefixes(with_last)[1:] < len(_PATH)
+        begin = np.flatnonzero(begins)
+        # the first suffix of a node is that of its smallest id; rows before the first node here belong to the last one
+        least = np.r_[low, ids[begin]][np.cumsum(begins)]
+        yield batch.select(["id", "th", "ranges"]).filter(pa.array(ids > least))
+        last, low = [p[-1:] for p in path], int(least[-1])
+
+
+def _grouped(suffixes: DataFrame, total: int) -> DataFrame:
+    """suffixes with ``prefix``, the group that each belongs to; groups are as small as prefixes allow."""
+    bits = max(4, (2 * total // GROUP_ROWS).bit_length())
+    range_ = lambda n: F.shiftrightunsigned(F.xxhash64(*_PATH[:n]), 64 - bits)
+    grouped = suffixes.withColumn("prefix", range_(1))
+    for n in range(2, len(_PATH) + 1):
+        crowded = reliable(grouped.groupBy("prefix").count().filter(F.col("count") > GROUP_ROWS).withColumn("crowded", F.lit(True)))
+        if crowded.isEmpty():
+            break
+        grouped = looked_up(grouped, crowded, "prefix", "count").withColumn("prefix", F.when(F.col("crowded"), F.xxhash64("prefix", range_(n))).otherwise(F.col("prefix"))).drop("crowded")
+    return grouped
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
-    """(id, th, start, stop): windows to remove, as ranges of start positions, of docs(id, th, text)."""
-    anchors = docs.mapInArrow(_anchors, "anchor long, id long, th int, known boolean")
+    """(id, th, ranges): windows to remove, as ranges of start positions (start, stop, start, ...), of docs(id, th, text)."""
+    anchors = docs.mapInArrow(_anchors, "anchor long, id long, th long, known boolean")
     # known ones need no comparison, so they are dealt out by document
     over = Window.partitionBy("known", F.when(F.col("known"), F.xxhash64("id", "th")).otherwise(F.col("anchor")))
     repeated = anchors.withColumn("lo", F.min("id").over(over)).withColumn("hi", F.max("id").over(over)).filter("known or lo < hi")
@@ -218,20 +253,9 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     found = written(docs.join(wanted, ["id", "th"]).mapInArrow(_suffixes, _SUFFIX))
     suffixes = found.filter(f"{_PATH[0]} is not null")
     total = suffixes.count()
-    limit = max(GROUP_ROWS, 8 * total // 4096)
-    key: Column = F.col(_PATH[0]).cast("long")
-    crowded_so_far: Column = F.lit(True)
-    for shorter, longer in zip(_PATH, _PATH[1:], strict=False):
-        # prefixes are counted in 4096 ranges of their fingerprints, and a crowded range is split by the longer ones
-        range_ = F.shiftright(shorter, 20)
-        crowded = suffixes.groupBy(range_.alias(f"range_{shorter}")).count().filter(F.col("count") > limit).select(f"range_{shorter}", F.lit(True).alias(f"over_{shorter}"))
-        suffixes = suffixes.join(F.broadcast(crowded), range_ == F.col(f"range_{shorter}"), "left")
-        crowded_so_far = crowded_so_far & F.coalesce(f"over_{shorter}", F.lit(False))
-        key = F.when(crowded_so_far, F.col(longer).cast("long")).otherwise(key)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
-    dealt = suffixes.select("id", "th", "start", *_PATH, key.alias("prefix")).repartition(parts, "prefix").drop("prefix")
-    ranges = "id long, th int, start int, stop int"
-    return found.filter(f"{_PATH[0]} is null").select("id", "th", "start", "stop").union(dealt.mapInArrow(_trees, ranges))
+    dealt = _grouped(suffixes, total).repartition(parts, "prefix").drop("prefix").sortWithinPartitions(*_PATH, "id")
+    return found.filter(f"{_PATH[0]} is null").select("id", "th", "ranges").union(dealt.mapInArrow(_trees, "id long, th long, ranges array<int>"))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -240,40 +264,39 @@ def _cleaned(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
             words = T.words_of(part.column("text"))
             edge = np.zeros(len(words.start) + 1, np.int64)
             gone = part.column("ranges")
-            flat = gone.flatten()
-            row = np.repeat(np.arange(part.num_rows), np.diff(gone.offsets.to_numpy()))
+            flat = gone.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(part.num_rows), np.diff(gone.offsets.to_numpy()) // 2)
             if len(row):
-                np.add.at(edge, words.first[row] + flat.field("start").to_numpy(), 1)
-                np.add.at(edge, words.first[row] + flat.field("stop").to_numpy() - 1 + WIDTH, -1)
+                np.add.at(edge, words.first[row] + flat[::2], 1)
+                np.add.at(edge, words.first[row] + flat[1::2] - 1 + WIDTH, -1)
             copy = part.column("copy").to_numpy(zero_copy_only=False) & (np.diff(words.first) >= WIDTH)
             kept = (np.cumsum(edge[:-1]) == 0) & ~copy[words.row_of()]
             first = np.r_[0, np.cumsum(kept)][words.first]
             left = T.joined(T.Words(words.buf, words.start[kept], words.end[kept], first))
             n = np.diff(words.first)
             texts = [left.buf[left.start[a] : left.end[b - 1]].tobytes() if b > a else b"" for a, b in zip(first[:-1], first[1:], strict=True)]
-            out = {"id": part.column("id"), "n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array((n - np.diff(first)).astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}
+            out = {"doc_id": part.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array((n - np.diff(first)).astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}
             yield pa.record_batch(out | ({"kept_text": pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())} if with_text else {}))
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    """(id, th) of documents whose whole text is that of a smaller doc_id."""
-    prints = docs.select("id", "th", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    least = prints.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    return prints.join(least, ["h1", "h2"]).filter("id > least").select("id", "th", F.lit(True).alias("copy")).distinct()
+    """docs with ``copy``: whether the whole text is that of a smaller id.  Texts without room for a window are none."""
+    prints = docs.withColumn("key", F.when(F.octet_length("text") >= 2 * WIDTH - 1, F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))))
+    least = prints.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("times")).filter("least < most").drop("most")
+    return looked_up(prints, reliable(least), "key", "times").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False))).drop("key", "least")
 
 
 def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept_text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("th"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     # a whole copy has nothing to compare: each of its windows starts in the document that it copies
-    keyed = keyed.repartition("id", "th").join(_copies(keyed), ["id", "th"], "left")
-    ranges = removed_ranges(keyed.filter("copy is null")).groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    nothing = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    joined = keyed.join(ranges, ["id", "th"], "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("ranges", nothing).alias("ranges"))
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    out = joined.mapInArrow(lambda b: _cleaned(b, with_text), schema)
-    return out.withColumn("id", F.when(F.col("id") != _LAST, F.col("id"))).withColumnRenamed("id", "doc_id")
+    keyed = _copies(keyed)
+    ranges = removed_ranges(keyed.filter("not copy").select("id", "th", "text")).groupBy("id", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    joined = keyed.join(ranges, ["id", "th"], "left").select("doc_id", "text", "copy", F.coalesce("ranges", F.array().cast("array<int>")).alias("ranges"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    return joined.mapInArrow(lambda b: _cleaned(b, with_text), schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -111,6 +112,8 @@ def test_repeated_windows(spark, monkeypatch, group_rows):
             words[at:at] = rng.choice(passages)
         rows.append((i, " ".join(words) if i % 3 else "\n".join(words) + " "))
     rows += [(100, rows[5][1]), (101, rows[5][1]), (101, rows[5][1]), (102, " ".join(["same"] * 200)), (103, " ".join(["same"] * 90)), (104, None), (105, "")]
+    rows += [(106, " ".join(["same", "pair"] * 80)), (107, " ".join(["pair", "same"] * 60 + rows[5][1].split()[:70])), (108, " ".join(["same"] * 120 + ["end"]))]
+    rows += [((1 << 63) - 1, " ".join(["same"] * 60)), (-(1 << 63), " ".join(passages[0] + ["first"]))]
     rng.shuffle(rows)
     found = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect())
@@ -118,6 +121,46 @@ def test_repeated_windows(spark, monkeypatch, group_rows):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in found.collect())
 
 
+def test_common_prefixes_are_those_of_neighbours():
+    rng = np.random.default_rng(3)
+    path = rng.integers(0, 2, (5, 200)).astype(np.int32)
+    path = path[:, np.lexsort(path[::-1])]
+    shared = substring_dedup.common_prefixes(list(path))
+    for i in range(1, 200):
+        same = path[:, i] == path[:, i - 1]
+        assert shared[i] == (5 if same.all() else int(np.argmin(same)))
+
+
+def test_one_word_a_hundred_thousand_times(spark):
+    rows = [(i, " ".join(["same"] * (100_000 - i))) for i in range(3)] + [(9, "x " * 60), (None, "same " * 50), (None, "same " * 70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r.n_words, r.n_removed) for r in substring_dedup.without_repeats(df, with_text=False).collect())
+    assert found == sorted([(100_000, 0), (99_999, 99_999), (99_998, 99_998), (60, 0), (50, 50), (70, 70)])
+
+
+def test_suffixes_of_a_repetitive_text_are_few(spark):
+    batch = pa.record_batch({"id": pa.array([5]), "th": pa.array([1]), "text": pa.array([" ".join(["a", "b", "c"] * 5000)])})
+    anchors = np.unique(substring_dedup._Windows(batch.column("text")).anchor).view(np.int64)
+    rows = pa.Table.from_batches(substring_dedup._suffixes([batch.append_column("anchors", pa.array([anchors]))])).to_pylist()
+    assert len(rows) == 3 and sum(b - a for r in rows for a, b in zip(r["ranges"][::2], r["ranges"][1::2])) == 15_000 - 49
+
+
+def test_trees_do_not_depend_on_batches():
+    rng = np.random.default_rng(8)
+    path = rng.integers(0, 2, (5, 400)).astype(np.int32)
+    ids = rng.integers(0, 6, 400)
+    order = np.lexsort((ids, *path[::-1]))
+    path, ids = path[:, order], ids[order]
+    whole = pa.record_batch({"id": pa.array(ids), "th": pa.array(np.arange(400)), "ranges": pa.array([[i, i + 1] for i in range(400)]), **{f"s{k}": pa.array(path[k]) for k in range(5)}})
+    least = {}
+    for i in range(400):
+        least.setdefault(tuple(path[:, i]), ids[i])
+    expected = [i for i in range(400) if ids[i] > least[tuple(path[:, i])]]
+    for size in (400, 64, 7, 1):
+        parts = substring_dedup._trees(iter([whole.slice(at, size) for at in range(0, 400, size)] + [whole.slice(0, 0)]))
+        assert [t for b in parts for t in b.column("th").to_pylist()] == expected
+
+
 def _brute_tiles(doc, item, minimum=5):
     """Greedy string tiling as it is defined: the longest match of unmarked tokens, again and again."""
     marked_d, marked_i, covered = [False] * len(doc), [False] * len(item), 0
