@@ -11,12 +11,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _PAD = 64
+#: Strings above this length are hashed one by one; there are few of them in any number of bytes.
+_LONG = 1 << 12
 #: Spaces for texts whose punctuation does not count: every ASCII character but letters and digits.
 PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
@@ -106,6 +109,12 @@ def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -
     n = len(start)
     if n == 0:
         return np.zeros(0, np.uint64)
+    if len(long := np.flatnonzero(end - start > _LONG)):
+        out = np.zeros(n, np.uint64)
+        short = np.flatnonzero(end - start <= _LONG)
+        out[short] = xxh64(buf, start[short], end[short], seed)
+        out[long] = [xxhash.xxh64_intdigest(buf[start[k] : end[k]].data, seed) for k in long]
+        return out
     with np.errstate(over="ignore"):
         lanes8 = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
         lanes4 = np.ndarray((len(buf) - 3,), "<u4", buf, strides=(1,))

@@ -7,8 +7,8 @@ table.  Then the pairs that explain most of what is left get tables of their own
 feature.  A score is the sum of the looked-up table entries, added for whole batches at once.
 
 Training takes a bounded sample of labelled rows, the ``TRAIN_DOCS`` first ones by hash for each label, and only their
-features reach the driver.  Held-out rows are never read for training.  The sum that separates the sample best (by
-F1, weighted to the labels' true shares) is moved to a score of ``THRESHOLD``.
+features reach the driver.  Held-out rows are never read for training.  A fifth of the sample trains nothing: the sum
+that separates it best (by F1, weighted to the labels' true shares) is moved to a score of ``THRESHOLD``.
 
 Defined results: null and empty texts have all features 0 and are scored like any other text; if one of the labels has
 no training row, every score is 0.5; repeated rows score alike; null labels are no labels, and a document with several
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _tokens as T
 from ._common import slices, table
-from ._labels import held_out, shift_to, training_rows
+from ._labels import calibrating, held_out, shift_to, training_rows
 
 THRESHOLD = 0.3
 TRAIN_DOCS = 6000
@@ -36,6 +36,7 @@ BINS = 32
 ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 200, 80, 6, 0.1
 PAIR_BINS = 8
 SHRINK = 1.0
+SEED = 11
 
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -189,6 +190,10 @@ def train(x: np.ndarray, y: np.ndarray, share: float) -> Model | None:
     """A model for features x with labels 0 and 1; ``share``: how many labelled rows of all have label 1."""
     if not len(y) or y.min() == y.max():
         return None
+    aside = calibrating(len(y), SEED)
+    if (~aside).sum() < 2 or len(np.unique(y[~aside])) < 2 or len(np.unique(y[aside])) < 2:
+        aside = np.zeros(len(y), bool)  # too few rows to set some aside
+    every_x, every_y, x, y = x, y, x[~aside], y[~aside]
     model = Model([_cuts(v, BINS) for v in x.T], [_cuts(v, PAIR_BINS) for v in x.T])
     good = y == 1
     weight = np.where(good, 1 / good.sum(), 1 / (~good).sum()) * len(y) / 2
@@ -209,19 +214,21 @@ def train(x: np.ndarray, y: np.ndarray, share: float) -> Model | None:
     coarse = [np.searchsorted(e, v, "right") for e, v in zip(model.coarse, x.T, strict=True)]
     width = [len(e) + 1 for e in model.coarse]
 
-    def grid(a: int, b: int) -> tuple[float, np.ndarray]:
-        g, h = (np.bincount(coarse[a] * width[b] + coarse[b], weights=s, minlength=width[a] * width[b]).reshape(width[a], width[b]) for s in slopes())
+    def grid(a: int, b: int, at: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
+        g, h = (np.bincount(coarse[a] * width[b] + coarse[b], weights=s, minlength=width[a] * width[b]).reshape(width[a], width[b]) for s in at)
         return _quadrants(g, h)
 
-    gains = [(grid(a, b)[0], a, b) for a, b in combinations(range(x.shape[1]), 2) if width[a] > 1 and width[b] > 1]
+    left = slopes()
+    gains = [(grid(a, b, left)[0], a, b) for a, b in combinations(range(x.shape[1]), 2) if width[a] > 1 and width[b] > 1]
     chosen = [(a, b, np.zeros((width[a], width[b]))) for _, a, b in sorted(gains, key=lambda v: (-v[0], v[1:]))[:PAIRS]]
     for _ in range(PAIR_ROUNDS):
         for a, b, t in chosen:
-            step = RATE * grid(a, b)[1]
+            step = RATE * grid(a, b, slopes())[1]
             t += step
             logit += step[coarse[a], coarse[b]]
     model.pairs = chosen
-    model.base = shift_to(THRESHOLD, model.logits(x), y, share)
+    judge = aside if aside.any() else ~aside
+    model.base = shift_to(THRESHOLD, model.logits(every_x[judge]), every_y[judge], share)
     return model
 
 

@@ -6,9 +6,12 @@ four-byte grams.  Windows of ``WINDOW`` words start every ``STRIDE`` words, so t
 with the text; all of them are scored.  Two gated recurrent passes, one in each direction, an attention-weighted mean of
 their states and a linear layer give a window's logit; a document's logit is the log-sum-exp of its windows'.
 
-Training takes a bounded sample of labelled rows: for each label the ``TRAIN_DOCS`` first ones by hash, without texts
-above ``TRAIN_CHARS`` characters.  Rows that the split holds out are never read for training.  The logit that
-separates the sample's documents best (by F1, weighted to the labels' true shares) is moved to a score of ``THRESHOLD``.
+Training takes a bounded sample of labelled rows: for each label the ``TRAIN_DOCS`` first ones by hash, as far as their texts
+take up to ``TRAIN_BYTES``; a text is never cut, and a row is never left out for its length.  Rows that the split holds
+out are never read for training.  A step takes windows from all parts of a batch's documents: of one with label 0 that
+has more than ``STEP_WINDOWS``, as many at random, whose sum is scaled to the number of its windows.  A fifth of the
+sample trains nothing: the logit that separates its documents best (by F1, weighted to the labels' true shares) is moved to a
+score of ``THRESHOLD``.
 
 Defined results: null, empty and wordless texts score 0; if one of the labels has no training row, every score is 0;
 repeated rows score alike; null labels are no labels, and a document with several takes the larger; an empty table gives
@@ -22,23 +25,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as T
-from ._common import slices, table
-from ._labels import held_out, shift_to, training_rows
+from ._common import reliable, slices, table
+from ._labels import calibrating, held_out, shift_to, training_rows
 
 THRESHOLD = 0.7
 TRAIN_DOCS = 1500
-TRAIN_CHARS = 20_000
+TRAIN_BYTES = 32 << 20
 MIN_DOCS = 3
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 1 << 13
 HIDDEN, ATTENTION = 8, 8
 STEPS, BATCH_DOCS, RATE, DECAY = 240, 48, 0.02, 1e-4
-#: Windows of a document with label 0 in one training step.
-CALM_WINDOWS = 16
+STEP_WINDOWS = 32
 SEED = 7
 SCORE_BATCH = 4096
 
@@ -230,6 +232,12 @@ def train(texts: list[str], labels: np.ndarray, share: float, steps: int = STEPS
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
+    aside = calibrating(len(labels), seed)
+    if len(np.unique(labels[aside])) < 2 or len(np.unique(labels[~aside])) < 2:
+        aside = np.zeros(len(labels), bool)  # too few rows to set some aside
+    judge = aside if aside.any() else ~aside
+    judges, judged = [t for t, x in zip(texts, judge, strict=True) if x], labels[judge]
+    texts, labels = [t for t, x in zip(texts, aside, strict=True) if not x], labels[~aside]
     e = encode(pa.array(texts, pa.string()))
     # documents that have a word, counted once each
     pairs = np.unique(np.stack([np.repeat(e.row, WINDOW), e.windows.ravel()], axis=1)[e.windows.ravel() >= 0], axis=0)
@@ -244,9 +252,10 @@ def train(texts: list[str], labels: np.ndarray, share: float, steps: int = STEPS
         return None
     for step in range(1, steps + 1):
         docs = np.concatenate([rng.choice(u, min(len(u), BATCH_DOCS // 2), replace=False) for u in usable])
-        # of a document with label 0 any part will do
         parts = [np.arange(begin[d], begin[d + 1]) for d in docs]
-        parts = [p if labels[d] or len(p) <= CALM_WINDOWS else rng.choice(p, CALM_WINDOWS, replace=False) for d, p in zip(docs, parts, strict=True)]
+        taken = [p if labels[d] or len(p) <= STEP_WINDOWS else rng.choice(p, STEP_WINDOWS, replace=False) for d, p in zip(docs, parts, strict=True)]
+        scale = np.log([len(p) / len(t) for p, t in zip(parts, taken, strict=True)])
+        parts = taken
         rows = np.concatenate(parts)
         owner = np.repeat(np.arange(len(docs)), [len(p) for p in parts])
         used, local = np.unique(e.windows[rows], return_inverse=True)
@@ -262,6 +271,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, steps: int = STEPS
         x[:-1, :WORD_DIM] = w["word"][word_ids]
         x[:-1, WORD_DIM:] = np.add.reduceat(w["char"][gram], np.cumsum(n) - n, axis=0) / n[:, None]
         logits = net.logits(x @ w["x"] + w["xb"], local, keep=True)
+        logits = logits + scale[owner]  # each window stands for as many as were left out beside it
         doc = _pooled(logits, owner, len(docs))
         wrong = _sigmoid(doc) - labels[docs]
         d_logit = (wrong[owner] * np.exp(logits - doc[owner]) / len(docs)).astype(np.float32)
@@ -278,14 +288,18 @@ def train(texts: list[str], labels: np.ndarray, share: float, steps: int = STEPS
             fixed = np.sqrt(v / (1 - 0.99**step)) + 1e-7
             w[name] -= rate * (m / (1 - 0.9**step) / fixed + (DECAY * w[name] if w[name].ndim > 1 else 0))
     net._trace = {}
-    net.shift = shift_to(THRESHOLD, net.document_logits(pa.array(texts, pa.string())), labels, share)
+    net.shift = shift_to(THRESHOLD, net.document_logits(pa.array(judges, pa.string())), judged, share)
     return net
 
 
-def scored(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
     sample, share = training_rows(docs, labels, "toxic", 3, 1, train_docs)
-    rows = sample.filter(F.length("text") <= train_chars).orderBy("doc_id", "text").collect()
+    sample = reliable(sample)
+    # a window over a sample of 2 * train_docs rows
+    before = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum(F.octet_length("text").cast("long")).over(before), F.lit(0))
+    rows = sample.withColumn("upto", upto).filter(F.col("upto") < train_bytes).orderBy("doc_id").collect()
     net = train([r.text for r in rows], np.array([r.label for r in rows]), share)
     model = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -1,9 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from quarrylog.llm import quality_model, toxicity
+from quarrylog.llm import _labels, quality_model, toxicity
 
 
 def test_network_gradients():
@@ -96,3 +99,76 @@ def test_held_out_labels_do_not_matter(spark, edges):
     make = lambda flip: spark.createDataFrame([(i, (i % 2) ^ (flip and i in out), 0) for i in ids], "doc_id long, quality int, toxic int")
     a, b = ({r.doc_id: (r.score, r.held_out) for r in quality_model.scored(docs, make(f)).collect()} for f in (False, True))
     assert a == b and {i for i, (_, h) in a.items() if h} == out
+
+
+def _flipped(spark, module, label, folds, fold):
+    """Scores with true labels, and with those of held-out rows flipped."""
+    import zlib
+
+    ids = list(range(300))
+    out = {i for i in ids if zlib.crc32(str(i).encode()) % folds == fold}
+    docs = spark.createDataFrame([(i, f"text {i} " + ("good words here. " * 5 if i % 2 else "badword here | bad | ")) for i in ids], "doc_id long, text string")
+    other = "toxic" if label == "quality" else "quality"
+    make = lambda flip: spark.createDataFrame([(i, (i % 2) ^ (flip and i in out), 0) for i in ids], f"doc_id long, {label} int, {other} int")
+    return out, *({r.doc_id: (r.score, r.held_out) for r in module.scored(docs, make(f)).collect()} for f in (False, True))
+
+
+def test_held_out_toxic_labels_do_not_matter(spark):
+    out, a, b = _flipped(spark, toxicity, "toxic", 3, 1)
+    assert a == b and {i for i, (_, h) in a.items() if h} == out
+
+
+def test_scores_add_up_table_entries():
+    rng = np.random.default_rng(2)
+    x = rng.random((900, 5))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.2 * rng.random(900) > 0.9).astype(int)
+    model = quality_model.train(x, y, y.mean())
+    for row, logit in zip(x[:50], model.logits(x[:50])):
+        total = model.base
+        for k in range(5):
+            total += model.tables[k][sum(row[k] >= e for e in model.edges[k])]
+        for a, b, grid in model.pairs:
+            total += grid[sum(row[a] >= e for e in model.coarse[a]), sum(row[b] >= e for e in model.coarse[b])]
+        assert abs(total - logit) < 1e-9
+
+
+def test_best_cuts_are_those_of_a_search():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(2, 9))
+        g, h = rng.standard_normal(n), rng.random(n) + 0.1
+        worth = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + quality_model.SHRINK)  # noqa: B023, E731
+        gain, at = quality_model._best_cut(g, h)
+        gains = {k: worth(0, k) + worth(k, n) - worth(0, n) for k in range(1, n)}
+        assert abs(gain - max(gains.values())) < 1e-9 and abs(gains[at] - gain) < 1e-9
+
+
+def test_the_cut_lies_between_different_logits():
+    logits = np.array([3.0, 2.0, 2.0, 2.0, 1.0, -np.inf])
+    labels = np.array([1, 1, 0, 1, 0, 0])
+    shift = _labels.shift_to(0.5, logits, labels, 0.5)
+    assert ((logits + shift >= 0) == (logits >= 1.5)).all()
+    assert _labels.shift_to(0.5, logits, np.ones(6, int), 1.0) == 0.0
+
+
+def test_sample_has_one_text_of_each_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "a"), (2, "a"), (3, None), (None, "x")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    rows, _ = _labels.training_rows(docs, known, "toxic", 1000, 999, 10)
+    assert sorted(r.doc_id for r in rows.collect()) == [1, 2, 3]
+    assert toxicity.scored(docs, known).count() == 504
+
+
+def test_a_word_of_megabytes():
+    text = "x" * 8_000_000
+    began = time.perf_counter()
+    assert np.isfinite(quality_model.features(pa.array([text, "a b " + text[:5000]]))).all() and time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(("module", "label", "precision", "recall"), [(quality_model, "quality", 0.97, 0.97), (toxicity, "toxic", 0.85, 0.75)])
+def test_held_out_accuracy(spark, module, label, precision, recall):
+    sf = "/root/testdata/sf0.1"
+    known = spark.read.parquet(f"{sf}/labels.parquet").filter(f"{label} is not null")
+    rows = module.scored(spark.read.parquet(f"{sf}/documents.parquet"), known).filter("held_out").join(known, "doc_id").select("predicted", F.col(label).alias("y")).collect()
+    hits = sum(r.predicted == r.y == 1 for r in rows)
+    assert hits >= precision * sum(r.predicted for r in rows) and hits >= recall * sum(r.y for r in rows) and len(rows) > 500
