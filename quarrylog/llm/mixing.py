@@ -153,7 +153,7 @@ def placed(sized: DataFrame, goals: DataFrame, range_rows: int = RANGE_ROWS) ->
     stream before them."""
     order = F.xxhash64(F.lit(SEED), "row")
     rows = reliable(sized.groupBy("doc_id", "source", "row", "size").agg(F.count("*").alias("times")).withColumns({"key": _key("source"), "o": order}))
-    bits = min(40, max(4, (rows.count() // range_rows).bit_length()))
+    bits = min(40, max(10, (rows.count() // range_rows).bit_length()))
     rows = rows.withColumn("bucket", F.shiftrightunsigned("o", 64 - bits))
     words = F.col("size") * F.col("times")
     ranges = rows.groupBy("key", "bucket").agg(F.sum(words).alias("w"))
