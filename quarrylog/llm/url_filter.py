@@ -2,10 +2,11 @@
 
 The pages that rules decide are the examples: allowed and blocked ones train a variable-order Markov model each, over
 the characters of host and path (digits count as one symbol).  A prediction of order k is smoothed towards that of order
-k - 1.  Both models keep the same grams: those that occur ``LEAST`` times, whatever the size of the input; at each
-position the longest kept gram decides.  The score of a URL is the mean over its positions of the log-likelihood
+k - 1.  Both models keep the same grams: those that occur ``least`` times (an argument; 1 keeps all), whatever the size of the
+input; at each position the longest kept gram decides.  The score of a URL is the mean over its positions of the log-likelihood
 difference (allowed less blocked).  A fifth of the examples, by hash, trains
-nothing and calibrates the threshold: the score with the least balanced error.
+nothing and calibrates the threshold: of the hundredths, that with the least balanced error.  Of rules of the same length that
+fit, the last one by code point decides.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, no rule fits them and their score is
 0; repeated rows are kept; without examples of both kinds every score and the threshold are 0, so that urls pass; an
@@ -53,7 +54,7 @@ def _positions(urls: DataFrame) -> DataFrame:
     return urls.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("padded") - ORDER))).select(*urls.columns, *grams)
 
 
-def _model(examples: DataFrame, order: int = ORDER) -> list[DataFrame]:
+def _model(examples: DataFrame, order: int = ORDER, least: int = LEAST) -> list[DataFrame]:
     """For each order (gram, difference), from examples(padded, good, times)."""
     grams = _positions(examples).select("good", "times", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("gram")) for k in range(order + 1)])).alias("x"))
     good, bad = (F.sum(F.when(F.col("good") == v, F.col("times")).otherwise(0)) for v in (True, False))
@@ -63,7 +64,7 @@ def _model(examples: DataFrame, order: int = ORDER) -> list[DataFrame]:
         return []
     context = F.expr("substring(gram, 1, k)")
     contexts = counts.filter("k > 0").groupBy("k", context.alias("context")).agg(F.sum("n1").alias("c1"), F.sum("n0").alias("c0"))
-    kept = counts.filter((F.col("n1") + F.col("n0") >= LEAST) | (F.col("k") == 0))
+    kept = counts.filter((F.col("n1") + F.col("n0") >= least) | (F.col("k") == 0))
     flat = [(F.col(f"n{v}") + 1) / (getattr(total, f"n{v}") + total.symbols) for v in (1, 0)]
     level = kept.filter("k = 0").select("gram", flat[0].alias("p1"), flat[1].alias("p0"))
     levels = [level]
@@ -77,7 +78,7 @@ def _model(examples: DataFrame, order: int = ORDER) -> list[DataFrame]:
     return [modest(reliable(x.select(F.col("gram").alias(f"g{k}"), (F.log("p1") - F.log("p0")).alias(f"d{k}")))) for k, x in enumerate(levels)]
 
 
-def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
+def filtered(pages: DataFrame, rules=RULES, least: int = LEAST) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, score) of every row of pages(page_id, url)."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
@@ -89,7 +90,7 @@ def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
     urls = reliable(urls.groupBy(*urls.columns).agg(F.count("*").alias("times")))
     trains = F.pmod(F.crc32(F.col("padded").cast("binary")), F.lit(HELD_OUT)) != 0
     examples = urls.filter("said is not null and host <> ''").withColumns({"good": F.col("said") == "allow", "trains": trains})
-    models = _model(examples.filter("trains").groupBy("padded", "good").agg(F.sum("times").alias("times")))
+    models = _model(examples.filter("trains").groupBy("padded", "good").agg(F.sum("times").alias("times")), least=least)
     key = ["page_id", "url", "host", "path", "rule", "said", "padded", "times"]
     row = [F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0)), F.col("url")]
     if models:
@@ -113,16 +114,17 @@ def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _threshold(examples: DataFrame) -> float:
-    """The least balanced error's score, to a hundredth; the middle one of several."""
-    step = F.greatest(F.lit(-1000), F.least(F.lit(1000), F.round(F.col("score") * 100).cast("int")))
+    """The least balanced error's score, among hundredths; in the middle of the gap between the scores beside it."""
     count = lambda said: F.sum(F.when(F.col("said") == said, F.col("times")).otherwise(0))
-    steps = examples.groupBy(step.alias("at")).agg(count("allow").alias("good"), count("block").alias("bad"))  # 2001 rows at most
+    # a mean of logarithms of ratios: a few thousand hundredths at most
+    steps = examples.groupBy(F.floor(F.col("score") * 100).cast("int").alias("at")).agg(count("allow").alias("good"), count("block").alias("bad"))
     upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy("at")
     lost = F.coalesce(F.sum("good").over(upto), F.lit(0)) / F.greatest(F.sum("good").over(all_), F.lit(1))
     passed = 1 - F.coalesce(F.sum("bad").over(upto), F.lit(0)) / F.greatest(F.sum("bad").over(all_), F.lit(1))
-    best = steps.select("at", F.round(lost + passed, 9).alias("error")).groupBy("error").agg(F.min("at").alias("low"), F.max("at").alias("high")).orderBy("error").first()
-    return (best.low + best.high) / 200.0 if best else 0.0
+    below = F.coalesce(F.lag("at").over(Window.orderBy("at")) + 1, F.col("at"))
+    best = steps.select("at", below.alias("below"), F.round(lost + passed, 9).alias("error")).orderBy("error", "at").first()
+    return (best.below + best["at"]) / 200.0 if best else 0.0
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
