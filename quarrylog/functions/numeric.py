@@ -23,6 +23,11 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(x.cast("double")))
 
 
+def one_hot(index: Column, size: int) -> Column:
+    """A vector with 1 at an index from 0 on, and 0 elsewhere."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == index).cast("double"))
+
+
 def finite_or_zero(x: Column) -> Column:
     return F.when(F.abs(x) == F.lit(float("inf")), 0.0).otherwise(x)
 

@@ -138,6 +138,11 @@ def bind_parameters(query: Column, parameters: Column) -> Column:
     return F.coalesce(F.aggregate(numbered, query, lambda q, x: F.replace(q, x["name"], x["value"])), query)
 
 
+def is_schema_statement(statement: Column) -> Column:
+    """Whether a statement of a schema dump makes tables: those that choose or make a database, and scraps, do not."""
+    return (F.length(statement) >= 3) & ~statement.contains("USE ") & ~statement.contains("DATABASE")
+
+
 def close_statement(query: Column) -> Column:
     return F.concat(F.regexp_replace(query, ";\\z", ""), F.lit(";"))
 

@@ -6,11 +6,12 @@ small matrix (training days x clusters).  Everything random is seeded.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -309,13 +310,31 @@ def _forecaster(s: Settings) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def kernel_regression(train: DataFrame, test: DataFrame, dims: int, test_id: str = "id") -> DataFrame:
-    """(test_id, predicted): kernel regression on rows (x array, y) as one join: a stated set of test rows, small enough to
-    broadcast, against all training rows."""
+def kernel_regression(train: DataFrame, test: DataFrame, dims: int, test_id: str = "id", block_rows: int = 4096) -> DataFrame:
+    """(test_id, predicted): kernel regression on rows (x array, y): a stated set of test rows against all training rows.
+
+    Test rows go to the tasks in blocks of about ``block_rows``; each block passes over the training rows, of which a batch gives
+    one pair of sums for each test row.  Null where all weights are 0."""
     both = train.select("x").union(test.select("x"))
-    spread = both.agg(*[F.var_samp(F.get("x", F.lit(k))).alias(f"v{k}") for k in range(dims)])
-    t = test.select(test_id, F.col("x").alias("z")).join(F.broadcast(spread))
-    pairs = train.join(F.broadcast(t))
-    term = lambda k: F.when(F.col(f"v{k}") > 0, F.pow(F.get("x", F.lit(k)) - F.get("z", F.lit(k)), 2) / F.col(f"v{k}")).otherwise(0.0)
-    w = F.exp(-F.sqrt(sum((term(k) for k in range(1, dims)), term(0))))
-    return pairs.select(test_id, "y", w.alias("w")).groupBy(test_id).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("predicted"))
+    spread = both.agg(*[F.var_samp(F.get("x", F.lit(k))).alias(f"v{k}") for k in range(dims)]).first()
+    scale = np.array([np.sqrt(v) if v else np.inf for v in spread], float)
+    blocks = max(1, -(-test.count() // block_rows))
+    sums = None
+    for n in range(blocks):
+        rows = test.filter(F.pmod(F.xxhash64(test_id), F.lit(blocks)) == n).select(test_id, "x").collect()
+        part = train.select("x", F.col("y").cast("double").alias("y")).mapInArrow(_kernel_sums([r[0] for r in rows], np.array([r.x for r in rows], float).reshape(len(rows), -1)[:, :dims] / scale, scale), f"{test_id} {test.schema[test_id].dataType.simpleString()}, w double, wy double".replace(test_id, "id", 1))
+        sums = part if sums is None else sums.union(part)
+    return sums.groupBy(F.col("id").alias(test_id)).agg(F.try_divide(F.sum("wy"), F.sum("w")).alias("predicted"))
+
+
+def _kernel_sums(ids: list, z: np.ndarray, scale: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not ids:
+                continue
+            x = np.array(batch.column("x").to_pylist(), float)[:, : len(scale)] / scale
+            y = batch.column("y").to_numpy()
+            w = np.stack([np.exp(-np.sqrt(((x - row) ** 2).sum(axis=1))) for row in z])
+            yield pa.record_batch({"id": pa.array(ids), "w": pa.array(w.sum(axis=1)), "wy": pa.array(w @ y)})
+
+    return run

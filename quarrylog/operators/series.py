@@ -79,6 +79,12 @@ def with_enough(counts: DataFrame, least: int, *key: str) -> DataFrame:
     return counts.join(enough, list(key), "left_semi")
 
 
+def long_enough(counts: DataFrame, least: int, *key: str) -> DataFrame:
+    """Rows of keys with ``least`` points or more."""
+    enough = counts.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return counts.join(enough, list(key), "left_semi")
+
+
 def asof(left: DataFrame, right: DataFrame, key: Sequence[str], value: str, strict: bool = False) -> DataFrame:
     """Each left row with the value of the latest right row of its key, at its time or (strict) before it.
 

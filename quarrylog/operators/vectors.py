@@ -50,3 +50,11 @@ def logical_vectors(templates: DataFrame, schema: DataFrame) -> DataFrame:
     base = kind_score(templates).join(found, "template", "left").join(F.broadcast(order))
     counts = F.transform("slots", lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0)).cast("double"))
     return base.select("template", F.concat(F.array(F.col("kind").cast("double"), F.lit(0.0)), counts).alias("vector"))
+
+
+def without_zero_places(vectors: DataFrame, vector: str = "vector") -> DataFrame:
+    """The vectors without the places at which they add up to 0."""
+    sums = vectors.select(F.posexplode(vector).alias("place", "value")).groupBy("place").agg(F.sum("value").alias("total")).filter("total <> 0")
+    # one row, as long as a vector
+    kept = sums.agg(F.sort_array(F.collect_list("place")).alias("_kept"))
+    return vectors.join(F.broadcast(kept)).withColumn(vector, F.transform("_kept", lambda i: F.get(vector, i))).drop("_kept")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_checkpoints
 from ..functions import generate, numeric, plans
 from ..operators import access, advice, clustering, combine, coverage, forecast, series, vectors
 from ..sources import ddl
@@ -17,7 +18,8 @@ def _ts(text):
 
 def normalize_log(spark, sf):
     h = X.hourly(spark, sf)
-    shifted = h.withColumn("v", F.log(F.col("cnt") + 1 - F.lit(h.agg(F.min("cnt")).first()[0])))
+    least = h.agg(F.min("cnt").alias("least"))  # one row
+    shifted = h.join(F.broadcast(least)).select("cluster", "ts", F.log(F.col("cnt") + 1 - F.col("least")).alias("v"))
     stats = shifted.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
     return shifted.join(F.broadcast(stats)).select("cluster", "ts", F.round((F.col("v") - F.col("mean")) / F.col("deviation"), 6).alias("scaled"))
 
@@ -72,11 +74,11 @@ def error_histogram(spark, sf):
 
 def allocate_to_templates(spark, sf):
     totals = series.totals(X.user_counts(spark, sf), "template")
-    members = coverage.version_at(X.assignments(spark, sf), _ts("2024-01-09")).filter("cluster > 0").select("template", "cluster").join(totals, "template")
-    cluster = members.groupBy("cluster").agg(F.sum("total").alias("cluster_total"))
-    rates = X.forecasts(spark, sf).filter("model = 'ar' and ts >= timestamp_ntz'2024-01-09' and ts < timestamp_ntz'2024-01-10'").select("cluster", "ts", "predicted")
-    joined = members.join(cluster, "cluster").join(rates, "cluster")
-    return joined.select("template", "ts", F.round(numeric.share_of(F.col("predicted"), F.col("total"), F.col("cluster_total")), 6).alias("allocated"))
+    members = X.assignments(spark, sf).filter("cluster > 0").join(totals, "template")
+    cluster = members.groupBy("as_of", "cluster").agg(F.sum("total").alias("cluster_total"))
+    rates = X.forecasts(spark, sf).select("model", "cluster", "ts", "predicted", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("as_of"))
+    joined = members.join(cluster, ["as_of", "cluster"]).join(rates, ["as_of", "cluster"])
+    return joined.select("model", "template", "ts", F.round(numeric.share_of(F.col("predicted"), F.col("total"), F.col("cluster_total")), 6).alias("allocated"))
 
 
 def sensitivity_score(spark, sf):
@@ -87,13 +89,15 @@ def sensitivity_score(spark, sf):
 def kernel_regression(spark, sf):
     pairs = series.lag_features(X.hourly(spark, sf), 4, 1, "cluster").select("cluster", "ts", F.transform("x", lambda v: v.cast("double")).alias("x"), "y")
     train = pairs.filter("ts < timestamp_ntz'2024-01-20'").select("x", "y")
-    test = pairs.filter("ts >= timestamp_ntz'2024-01-29'").select(F.concat_ws("|", "cluster", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("id"), "x")
+    test = pairs.filter("ts >= timestamp_ntz'2024-01-20'").select(F.concat_ws("|", "cluster", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("id"), "x")
     return forecast.kernel_regression(train, test, 4).select("id", F.round("predicted", 5).alias("predicted"))
 
 
 def _tops(spark, sf):
-    clusters = X.hourly(spark, sf).select("cluster").distinct().filter("cluster <= 3")
-    days = spark.sql("SELECT explode(sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-26', interval 1 day)) AS as_of")
+    h = X.hourly(spark, sf)
+    clusters = h.select("cluster").distinct()
+    days = h.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("first"), F.date_trunc("day", F.max("ts")).cast("timestamp_ntz").alias("last"))
+    days = days.select(F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("as_of"))
     return days.join(F.broadcast(clusters)).select("as_of", "cluster", F.col("cluster").alias("rank"))
 
 
@@ -102,8 +106,7 @@ def forecasts_linear(spark, sf):
 
 
 def forecasts_networks(spark, sf):
-    tops = _tops(spark, sf).filter("as_of = timestamp_ntz'2024-01-01' or as_of >= timestamp_ntz'2024-01-25'")
-    return forecast.forecasts(X.hourly(spark, sf), tops, ("fnn", "rnn", "psrnn"), (1,), forecast.Settings(epochs=5))
+    return forecast.forecasts(X.hourly(spark, sf), _tops(spark, sf), ("fnn", "rnn", "psrnn"))
 
 
 def ridge_ar(spark, sf):
@@ -116,7 +119,9 @@ def column_weights(spark, sf):
 
 
 def _log_templates(spark, sf):
-    return series.workload(X.query_log(spark, sf))
+    """Counts of the log's templates, parsed once for all that read them."""
+    shared_checkpoints(spark)
+    return series.workload(X.query_log(spark, sf)).checkpoint()
 
 
 _INDEXES = [("orders", "o_custkey")]
@@ -226,11 +231,11 @@ QUERIES = {
     "mse_pivot": (mse_pivot, f"WITH {X.FORECASTS}, {_CLAMPED}, m AS (SELECT model, cluster, round(avg((actual - predicted) ** 2), 4) AS mse FROM f GROUP BY ALL) SELECT model, max(mse) FILTER (cluster = 1) AS c1, max(mse) FILTER (cluster = 2) AS c2, max(mse) FILTER (cluster = 3) AS c3 FROM m GROUP BY model"),
     "model_average": (model_average, f"WITH {X.FORECASTS}, {_CLAMPED} SELECT horizon, cluster, ts, max(actual) AS actual, {_R.format('exp(avg(ln(predicted + 1))) - 1')} AS predicted FROM f GROUP BY horizon, cluster, ts"),
     "error_histogram": (error_histogram, f"WITH {X.FORECASTS}, e AS (SELECT CAST(least(floor((actual - predicted + 15) / 1.5), 19) AS INTEGER) AS bin FROM forecasts WHERE actual - predicted BETWEEN -15 AND 15) SELECT bin, count(*) AS n, {_R.format('count(*) / ((SELECT count(*) FROM e) * CAST(1.5 AS DOUBLE))')} AS density FROM e GROUP BY bin"),
-    "allocate_to_templates": (allocate_to_templates, f"""WITH {X.FORECASTS}, {X.USER_COUNTS}, {X.ASSIGNMENTS}, m AS (SELECT template, cluster, total, sum(total) OVER (PARTITION BY cluster) AS ct FROM (SELECT template, sum(cnt) AS total FROM user_counts GROUP BY ALL) JOIN assignments USING (template) WHERE as_of = TIMESTAMP '2024-01-09' AND cluster > 0)
-        SELECT template, ts, {_R.format('predicted * total / ct')} AS allocated FROM m JOIN forecasts USING (cluster) WHERE model = 'ar' AND ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-10'"""),
+    "allocate_to_templates": (allocate_to_templates, f"""WITH {X.FORECASTS}, {X.USER_COUNTS}, {X.ASSIGNMENTS}, m AS (SELECT as_of, template, cluster, total, sum(total) OVER (PARTITION BY as_of, cluster) AS ct FROM (SELECT template, sum(cnt) AS total FROM user_counts GROUP BY ALL) JOIN assignments USING (template) WHERE cluster > 0)
+        SELECT model, template, ts, {_R.format('predicted * total / ct')} AS allocated FROM m JOIN forecasts USING (cluster) WHERE as_of = date_trunc('day', ts)"""),
     "sensitivity_score": (sensitivity_score, f"WITH {X.FORECASTS} SELECT model, {_R.format('sum(CASE WHEN actual <> predicted THEN ln((actual - predicted) ** 2) END) / count(DISTINCT date_trunc(chr(100) || chr(97) || chr(121), ts)) / 3000')} AS score FROM forecasts GROUP BY model"),
     "kernel_regression": (kernel_regression, f"""WITH {X.HOURLY}, l AS (SELECT cluster, ts, CAST(lag(cnt, 3) OVER w AS DOUBLE) AS x0, CAST(lag(cnt, 2) OVER w AS DOUBLE) AS x1, CAST(lag(cnt, 1) OVER w AS DOUBLE) AS x2, CAST(cnt AS DOUBLE) AS x3, lead(cnt, 1) OVER w AS y FROM hourly WINDOW w AS (PARTITION BY cluster ORDER BY ts)),
-        p AS (SELECT * FROM l WHERE x0 IS NOT NULL AND y IS NOT NULL), tr AS (SELECT * FROM p WHERE ts < TIMESTAMP '2024-01-20'), te AS (SELECT * FROM p WHERE ts >= TIMESTAMP '2024-01-29'),
+        p AS (SELECT * FROM l WHERE x0 IS NOT NULL AND y IS NOT NULL), tr AS (SELECT * FROM p WHERE ts < TIMESTAMP '2024-01-20'), te AS (SELECT * FROM p WHERE ts >= TIMESTAMP '2024-01-20'),
         v AS (SELECT var_samp(x0) AS v0, var_samp(x1) AS v1, var_samp(x2) AS v2, var_samp(x3) AS v3 FROM (SELECT * FROM tr UNION ALL SELECT * FROM te)),
         w AS (SELECT te.cluster, te.ts, tr.y, exp(-sqrt((tr.x0 - te.x0) ** 2 / v0 + (tr.x1 - te.x1) ** 2 / v1 + (tr.x2 - te.x2) ** 2 / v2 + (tr.x3 - te.x3) ** 2 / v3)) AS w FROM tr, te, v)
         SELECT cluster || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS id, round(sum(w * y) / sum(w), 5) AS predicted FROM w GROUP BY cluster, ts"""),

@@ -57,7 +57,7 @@ def rolling_14d(spark, sf):
 
 def rolling_p99(spark, sf):
     rows = X.read(spark, sf, "events").select("event_type", "event_id", "value")
-    return replay.p99(rows, "value", ("event_id",), "event_type", last=150)
+    return replay.p99(rows, "value", ("event_id",), "event_type")
 
 
 def latest_p99(spark, sf):
@@ -82,7 +82,7 @@ def arrived_yet(spark, sf):
 
 
 def short_series(spark, sf):
-    return X.user_counts(spark, sf).filter("ts < timestamp_ntz'2024-01-01 03:00:00'").groupBy("template").agg(F.count("*").alias("n")).filter("n >= 2")
+    return series.long_enough(X.user_counts(spark, sf).filter(F.col("cnt") > 1), 2, "template").groupBy("template").agg(F.count("*").alias("n"))
 
 
 def _grid(spark, sf):
@@ -214,13 +214,13 @@ QUERIES = {
     "dense_series": (dense_series, f"WITH {X.HOURLY}, g AS (SELECT cluster, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM (SELECT cluster, min(ts) AS lo, max(ts) AS hi FROM hourly GROUP BY ALL)) SELECT cluster, ts, coalesce(cnt, 0) AS cnt FROM g LEFT JOIN hourly USING (cluster, ts)"),
     "running_total": (running_total, f"WITH {X.COUNTS} SELECT *, CAST(sum(cnt) OVER (PARTITION BY template ORDER BY ts) AS BIGINT) AS total FROM counts"),
     "rolling_14d": (rolling_14d, f"WITH {X.HOURLY} SELECT *, CAST(sum(cnt) OVER (PARTITION BY cluster ORDER BY ts RANGE BETWEEN INTERVAL 20159 MINUTE PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM hourly"),
-    "rolling_p99": (rolling_p99, f"SELECT event_type, event_id, value, {_P99.format(l='l')} AS p99 FROM (SELECT event_type, event_id, value, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS 149 PRECEDING) AS l FROM events)"),
+    "rolling_p99": (rolling_p99, f"SELECT event_type, event_id, value, {_P99.format(l='l')} AS p99 FROM (SELECT event_type, event_id, value, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS 2999 PRECEDING) AS l FROM events)"),
     "latest_p99": (latest_p99, f"SELECT event_type, {_P99.format(l='l')} AS p99 FROM (SELECT event_type, list(value) AS l FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 3000 GROUP BY ALL)"),
     "range_half_open": (range_half_open, f"WITH {X.COUNTS} SELECT * FROM counts WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'"),
     "range_closed": (range_closed, f"WITH {X.COUNTS} SELECT * FROM counts WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'"),
     "volume_filter": (volume_filter, f"WITH {X.USER_COUNTS} SELECT template FROM user_counts GROUP BY ALL HAVING sum(cnt) >= 205"),
     "arrived_yet": (arrived_yet, f"WITH {_USERS} SELECT DISTINCT template FROM assignments WHERE template IN (SELECT template FROM user_counts WHERE ts BETWEEN TIMESTAMP '2024-01-05 10:00:00' AND TIMESTAMP '2024-01-05 11:00:00')"),
-    "short_series": (short_series, f"WITH {X.USER_COUNTS} SELECT template, count(*) AS n FROM user_counts WHERE ts < TIMESTAMP '2024-01-01 03:00:00' GROUP BY ALL HAVING count(*) >= 2"),
+    "short_series": (short_series, f"WITH {X.USER_COUNTS} SELECT template, count(*) AS n FROM user_counts WHERE cnt > 1 GROUP BY ALL HAVING count(*) >= 2"),
     "asof_inclusive": (asof_inclusive, f"WITH {X.HOURLY}, {_ASOF} SELECT grid.cluster, grid.ts, r.cnt FROM grid ASOF LEFT JOIN r ON grid.cluster = r.cluster AND grid.ts >= r.ts"),
     "asof_strict_grid": (asof_strict_grid, f"WITH {X.HOURLY}, {_ASOF} SELECT grid.cluster, grid.ts, coalesce(r.cnt, 0) AS cnt FROM grid ASOF LEFT JOIN r ON grid.cluster = r.cluster AND grid.ts > r.ts"),
     "version_lookup": (version_lookup, f"WITH {X.ASSIGNMENTS} SELECT * FROM assignments WHERE as_of = (SELECT max(as_of) FROM assignments WHERE as_of <= TIMESTAMP '2024-01-09 13:00:00')"),

@@ -15,6 +15,9 @@ SCHEMAS = {
     "cluster_series": "cluster int, ts timestamp_ntz, cnt long",
     "forecasts": "model string, horizon int, cluster int, ts timestamp_ntz, actual double, predicted double",
     "trace": "ts timestamp_ntz, conn string, query string",
+    "cluster_totals": "as_of timestamp_ntz, cluster int, total long",
+    "coverage": "k int, mean_share double",
+    "replay": "ts timestamp_ntz, throughput double, p99 double, index string",
 }
 #: Columns that tables are laid out by, so that filters on them read those folders only.
 PARTITIONS = {"assignments": ("as_of",), "cluster_series": ("cluster",), "forecasts": ("model", "horizon")}
