@@ -143,3 +143,163 @@ def test_stream_equals_batch(spark, tmp_path):
     found = streaming.run_to_end(streaming.minute_counts(stream, "event_type"), "test_counts")
     batch = df.groupBy("event_type", "ts").count()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_long_chains_are_one_component(spark):
+    chain = [(f"n{i:04}", f"n{i + 1:04}", 0.9) for i in range(300)] + [("x", "y", 0.1)]
+    found = clustering.threshold_components(spark.createDataFrame(chain, "a string, b string, cos double"), 0.5, "a", "b").collect()
+    assert {r.component for r in found if r.node.startswith("n")} == {"n0000"} and len(found) == 303
+
+
+@pytest.mark.parametrize("block_rows", [4096, 3])
+def test_nearest_vectors_are_those_of_a_search(spark, block_rows):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((200, 6)).round(1)
+    v[7] = 0
+    v[20:25] = v[20]
+    rows = [(int(i), [float(x) for x in row]) for i, row in enumerate(v)]
+    df = spark.createDataFrame([*rows, (900, None)], "vector_id long, vector array<double>").repartition(5)
+    q = df.filter("vector_id % 20 = 0 or vector_id = 7").withColumnRenamed("vector_id", "query_id")
+    found = clustering.nearest_vectors(q, df, 3, block_rows=block_rows).collect()
+    length = np.linalg.norm(v, axis=1)
+    cos = v @ v.T / np.maximum(np.outer(length, length), 1e-300)
+    for i in [*range(0, 200, 20), 7]:
+        expected = sorted((j for j in range(200) if j != i), key=lambda j: (-round(cos[i, j], 9), j))[:3]
+        assert [r.vector_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == i] == expected
+
+
+def test_kernel_regression_is_the_weighted_mean(spark):
+    rng = np.random.default_rng(7)
+    x, y, z = rng.random((50, 3)), rng.random(50), rng.random((9, 3))
+    train = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(4)
+    test = spark.createDataFrame([(f"t{i}", list(map(float, a))) for i, a in enumerate(z)], "id string, x array<double>")
+    variance = np.var(np.concatenate([x, z]), axis=0, ddof=1)
+    for block in (4096, 2):
+        found = {r.id: r.predicted for r in forecast.kernel_regression(train, test, 3, block_rows=block).collect()}
+        for i, row in enumerate(z):
+            w = np.exp(-np.sqrt(((x - row) ** 2 / variance).sum(axis=1)))
+            assert abs(found[f"t{i}"] - (w @ y) / w.sum()) < 1e-9
+
+
+def test_rolling_p99_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, i, None if rng.random() < 0.05 else float(rng.integers(0, 1000))) for k in "ab" for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(3)
+    for last, block in ((150, 50_000), (150, 160), (7, 10)):
+        found = {(r.k, r.i): r.p99 for r in replay.p99(df, "v", ("i",), "k", last=last, block_rows=block).collect()}
+        assert len(found) == len(rows)
+        for k, i, _ in rows:
+            window = sorted(v for kk, j, v in rows if kk == k and i - last < j <= i and v is not None)
+            assert found[k, i] == (window[len(window) - len(window) // 100 - 1] if window else None)
+
+
+def _plain_cos(x, y):
+    dot = sum(a * y.get(t, 0) for t, a in x.items())
+    return dot / ((sum(a * a for a in x.values()) * sum(a * a for a in y.values())) ** 0.5 + 1e-6)
+
+
+def _plain_online(counts, rho, lookback):
+    """Day by day, in the order of templates, with series as dictionaries of minutes."""
+    names = sorted({t for t, _, _ in counts})
+    first, last = min(m for _, m, _ in counts), max(m for _, m, _ in counts)
+    assigned, fresh, out = dict.fromkeys(names, -1), 0, {}
+    for day in range((last - first + 1) // 1440 + 1):
+        end = first + 1440 * day
+        if day:
+            begin = max(first, end - lookback * 1440)
+            rows = {t: {m: c for s, m, c in counts if s == t and begin <= m < end} for t in names}
+            active = {t for t, m, _ in counts if end - 1440 <= m <= end}
+            total = lambda members: {m: sum(rows[t].get(m, 0) for t in members) for t in members for m in rows[t]}  # noqa: B023, E731
+            members = {c: [t for t in names if assigned[t] == c] for c in {a for a in assigned.values() if a >= 0}}
+            centre = {c: total(ts) for c, ts in members.items()}
+            start = dict(centre)
+            for t in names:
+                c = assigned[t]
+                if c >= 0:
+                    if len(members[c]) == 1 or _plain_cos(rows[t], centre[c]) > rho:
+                        continue
+                    members[c] = [s for s in members[c] if s != t]
+                    centre[c] = total(members[c])
+                    assigned[t] = -1
+                elif t not in active:
+                    continue
+                pool = start or centre
+                # the nearest of the centres of this morning, or of those that have come since, if there were none
+                unit = lambda y: sum(v * v for v in y.values()) ** 0.5 or 1
+                near = lambda k: sum(a * pool[k].get(m, 0) for m, a in rows[t].items()) / unit(pool[k]) if start else _plain_cos(rows[t], pool[k])  # noqa: B023, E731
+                best = max(pool, key=lambda k: (round(near(k), 12), -k), default=None)
+                if best is not None and members[best] and _plain_cos(rows[t], centre[best]) > rho:
+                    members[best].append(t)
+                    centre[best] = total(members[best])
+                    assigned[t] = best
+                else:
+                    members[fresh], centre[fresh], assigned[t] = [t], dict(rows[t]), fresh
+                    fresh += 1
+            alive = sorted(c for c in members if members[c])
+            into = {c: c for c in alive}
+            for c in alive:
+                mine = into[c]
+                others = sorted(set(into.values()) - {mine})
+                if others:
+                    near_one = max(others, key=lambda o: (round(_plain_cos(centre[mine], centre[o]), 12), -o))
+                    if _plain_cos(centre[mine], centre[near_one]) > rho:
+                        centre[near_one] = {m: centre[near_one].get(m, 0) + centre[mine].get(m, 0) for m in {*centre[near_one], *centre[mine]}}
+                        into = {k: near_one if v == mine else v for k, v in into.items()}
+            assigned = {t: into[a] if a >= 0 else -1 for t, a in assigned.items()}
+        for t in names:
+            out[end, t] = assigned[t]
+    return out
+
+
+@pytest.mark.parametrize(("seed", "rho"), [(1, 0.5), (2, 0.8), (3, 0.65)])
+def test_online_clusters_are_those_of_a_plain_procedure(spark, seed, rho):
+    rng = np.random.default_rng(seed)
+    shapes = rng.integers(0, 9, (4, 24)) * (rng.random((4, 24)) < 0.5)
+    rows = []
+    for t in range(12):
+        for d in range(5):
+            if t == 11 and d < 3:
+                continue
+            shape = shapes[(t + (d >= 3) * (t % 5 == 0)) % 4]
+            rows += [(f"t{t:02}", 1440 * d + 60 * h, int(c + rng.integers(0, 3))) for h, c in enumerate(shape) if c + (h == t) > 0 and c > 0]
+    counts = _counts(spark, rows).selectExpr("'p' AS project", "*")
+    for lookback in (30, 2):
+        found = {(int((r.as_of - T0).total_seconds() // 60), r.template): r.cluster for r in clustering.online(counts, rho, lookback).collect()}
+        assert found == _plain_online(rows, rho, lookback)
+
+
+def _plain_frames(hourly, clusters, day, training, horizon):
+    """Values before each hour, from ``training`` days before a date up to its horizon."""
+    hours = range(24 * (day - training), 24 * day + horizon)
+    return np.array([[max(((h, c) for (k, h), c in hourly.items() if k == cluster and h < at), default=(0, 0.0))[1] for cluster in clusters] for at in hours], float)
+
+
+def test_linear_and_kernel_forecasts_are_those_of_plain_formulas(spark):
+    rng = np.random.default_rng(9)
+    hourly = {(k, h): int(5 + 4 * np.sin(h / 4 + k) + rng.integers(0, 3)) for k in (1, 2) for h in range(24 * 14) if rng.random() < 0.9}
+    series_ = spark.createDataFrame([(k, T0 + dt.timedelta(hours=h), c) for (k, h), c in hourly.items()], "cluster int, ts timestamp_ntz, cnt long")
+    tops = spark.createDataFrame([(T0 + dt.timedelta(days=d), k, k) for d in range(14) for k in (1, 2)], "as_of timestamp_ntz, cluster int, rank int")
+    found = forecast.forecasts(series_, tops, ("ar", "kr"), (1, 5)).collect()
+    assert {r.horizon for r in found} == {60, 300} and {(r.as_of - T0).days for r in found} == {10, 11, 12, 13}
+    for horizon in (1, 5):
+        for day in (10, 13):
+            values = _plain_frames(hourly, (1, 2), day, day, horizon)
+            end = len(values) - 24 - horizon
+            shift = 1 - values.min()
+            logs = np.log(values + shift)
+            mean, deviation = logs[:end].mean(), logs[:end].std()
+            scaled = (logs - mean) / deviation
+            pairs = [(scaled[i : i + 24].ravel(), scaled[i + 23 + horizon]) for i in range(end - horizon - 23)]
+            x, y = np.array([p for p, _ in pairs]), np.array([q for _, q in pairs])
+            first = len(scaled) - min(len(scaled), 7 * 24 + horizon + 24)
+            tests = np.array([scaled[i : i + 24].ravel() for i in range(first, len(scaled) - horizon - 23)])
+            weights = np.linalg.lstsq(np.r_[x, np.eye(x.shape[1])], np.r_[y, np.zeros((x.shape[1], 2))], rcond=None)[0]
+            spread = np.sqrt(np.var(np.r_[tests, x], axis=0, ddof=1))
+            for model in ("ar", "kr"):
+                if model == "ar":
+                    guess = tests[-24:] @ weights
+                else:
+                    guess = np.array([(w := np.exp(-np.sqrt((((x - t) / spread) ** 2).sum(axis=1)))) @ y / w.sum() for t in tests[-24:]])
+                expected = np.exp(guess * deviation + mean) - shift
+                mine = sorted((r.ts, r.cluster, r.predicted, r.actual) for r in found if r.model == model and r.horizon == 60 * horizon and r.as_of == T0 + dt.timedelta(days=day))
+                assert len(mine) == 48 and np.allclose([m[2] for m in mine], expected.ravel()) and np.allclose([m[3] for m in mine], values[-24:].ravel())
