@@ -3,7 +3,8 @@
 1. A 64-bit SimHash per document from the XXH64 values of its three-word shingles.
 2. The distinct fingerprints are dealt out by three bit blocks.  Two fingerprints that differ in at most two
    bits agree on one block at least, so every link lies inside some group (pigeonhole).  A group above
-   ``hot_group`` rows is dealt out once more by three blocks of its other bits.
+   ``hot_group`` rows is dealt out again by thirds of its other bits, up to ``LEVELS`` times; what is left of a group then
+   shares 45 bits, and so has at most 2 ** 19 fingerprints.
 3. Each group is sorted by Gray rank.  Upper nodes hold the bits that all fingerprints below them share, as
    a mask and a pattern.  Node pairs are compared from the root; a pair is dropped with everything below it
    as soon as the differences on the bits that both nodes share exceed the limit.
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as T
-from ._common import reliable, slices, table
+from ._common import looked_up, reliable, slices, table
 
 SHINGLE = 3
 MAX_BITS = 2
 #: Bit blocks (offset, width) that fingerprints are dealt out by; one more than MAX_BITS.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
+LEVELS = 4
+#: Rows that a task should compare.
+TASK_ROWS = 500_000
 #: Pairs of nodes that are looked at in one numpy step.
 STEP = 1 << 19
 
@@ -153,27 +157,34 @@ def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
 
 
+def _thirds(used: int) -> list[int]:
+    """Masks that add a third each of the bits outside a mask to it."""
+    rest = [i for i in range(64) if not used >> i & 1]
+    cut = [len(rest) * t // 3 for t in range(4)]
+    return [used | sum(1 << i for i in rest[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
+
+
 def _group_keys(reps: DataFrame, hot_group: int) -> DataFrame:
-    """(fp, key) with a row per block, and three for blocks whose group is hot."""
-    block = lambda b, source: F.shiftrightunsigned(F.shiftleft(source, 64 - b[0] - b[1]), 64 - b[1])
-    keyed = reps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("b"), block(b, F.col("fp")).alias("v")) for k, b in enumerate(BLOCKS)])).alias("k")).select("fp", "k.b", "k.v")
-    total = reps.count() * len(BLOCKS)
-    # at most ten thousand groups can have more rows than this, which bounds the broadcast
-    limit = max(hot_group, total // 10_000)
-    hot = keyed.groupBy("b", "v").count().filter(F.col("count") > limit).select("b", "v", F.lit(True).alias("hot"))
-    thirds = [F.when(F.col("b") == k, F.array(*[_third(k, t) for t in range(3)])) for k in range(len(BLOCKS))]
-    return (
-        keyed.join(F.broadcast(hot), ["b", "v"], "left")
-        .select("fp", "b", "v", F.posexplode(F.when(F.col("hot"), F.coalesce(*thirds)).otherwise(F.array(F.lit(-1).cast("long")))).alias("t", "w"))
-        .select("fp", F.xxhash64("b", "v", "t", "w").alias("key"))
-    )
-
-
-def _third(k: int, t: int):
-    """Third t of the bits outside block k."""
-    bits = [i for j, (at, width) in enumerate(BLOCKS) if j != k for i in range(at, at + width)]
-    mask = sum(1 << i for i in bits[t * len(bits) // 3 : (t + 1) * len(bits) // 3])
-    return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+    """(fp, key): the groups of every fingerprint."""
+    masks = [((1 << width) - 1) << at for at, width in BLOCKS]
+    signed = lambda mask: F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+    path = F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1)))
+    keyed = reps.select("fp", path.alias("path"))
+    for level in range(LEVELS):
+        shared = F.col("fp").bitwiseAND(F.get(F.array(*[signed(m) for m in masks]), F.col("path")))
+        fresh = F.xxhash64(F.lit(level), "path", shared)
+        keyed = reliable(keyed.withColumn("key", F.when(F.col("key").isNull(), fresh).otherwise(F.col("key")) if level else fresh))
+        if level == LEVELS - 1:
+            break
+        hot = reliable(keyed.groupBy("key").count().filter(F.col("count") > hot_group).withColumn("hot", F.lit(True)))
+        if hot.isEmpty():
+            break
+        # a hot group goes on in three; the others stay as they are
+        marked = looked_up(keyed, hot, "key", "count")
+        children = F.when(F.col("hot"), F.sequence(3 * F.col("path"), 3 * F.col("path") + 2)).otherwise(F.array(F.lit(-1)))
+        keyed = marked.select("fp", F.when(F.col("hot").isNull(), F.col("key")).alias("key"), F.explode(children).alias("path"))
+        masks = [m for mask in masks for m in _thirds(mask)]
+    return keyed.select("fp", "key")
 
 
 def edges(reps: DataFrame, max_bits: int = MAX_BITS, hot_group: int = 20_000) -> DataFrame:
@@ -197,8 +208,9 @@ def edges(reps: DataFrame, max_bits: int = MAX_BITS, hot_group: int = 20_000) ->
             m = moved[at : at + (1 << 16)]
             yield pa.record_batch({"u": pa.array(fp[m].view(np.int64)), "v": pa.array(fp[root[m]].view(np.int64))})
 
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _group_keys(reps, hot_group).repartition(parts, "key").mapInArrow(run, "u long, v long").distinct()
+    keyed = _group_keys(reps, hot_group)
+    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), keyed.count() // TASK_ROWS)
+    return keyed.repartition(parts, "key").mapInArrow(run, "u long, v long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,12 +238,12 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, hot_group: int = 20_000) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs(doc_id, text)."""
     prints = reliable(document_fingerprints(docs))
-    reps = reliable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    reps = reliable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
     labels = components(edges(reps, max_bits, hot_group)).select(F.col("node").alias("fp"), "label")
-    named = reps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    named = reps.join(labels, "fp", "left").select("fp", "least", "times", F.coalesce("label", "fp").alias("label"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(ids, "label").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = reliable(named.join(ids, "label").select("fp", "component_id", "times"))
+    return looked_up(prints, of_fp, "fp", "times").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

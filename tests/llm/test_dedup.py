@@ -73,6 +73,35 @@ def test_index_finds_every_link():
         assert len(set(zip(root[at], expected))) == len(set(root[at])) == len(set(expected))
 
 
+def test_groups_are_dealt_out_until_they_are_small(spark):
+    rng = np.random.default_rng(12)
+    near = (np.uint64(0xABCDEF0123456789) ^ rng.integers(0, 1 << 9, 200, dtype=np.uint64)) ^ (rng.integers(0, 1 << 9, 200, dtype=np.uint64) << np.uint64(30))
+    fp = np.unique(np.r_[near, rng.integers(0, 2**63, 100, dtype=np.uint64)])
+    reps = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    groups = {}
+    for r in simhash_dedup._group_keys(reps, 10).collect():
+        groups.setdefault(r.key, set()).add(r.fp & (1 << 64) - 1)
+    together = {frozenset((a, b)) for g in groups.values() for a in g for b in g if a < b}
+    values = [int(x) for x in fp]
+    assert all(frozenset((a, b)) in together for a in values for b in values if a < b and (a ^ b).bit_count() <= 2)
+    assert max(map(len, groups.values())) < 100
+    links = simhash_dedup.edges(reps, hot_group=10)
+    labels = {r.node & (1 << 64) - 1: r.label for r in simhash_dedup.components(links).collect()}
+    expected = _components(list(range(len(values))), values)
+    for i, a in enumerate(values):
+        for j, b in enumerate(values[:i]):
+            assert (expected[i] == expected[j]) == (labels.get(a, ("own", i)) == labels.get(b, ("own", j)))
+
+
+def test_a_fingerprint_that_most_rows_have(spark, monkeypatch):
+    rows = [(i, "") for i in range(300)] + [(1000 + i, f"text {i} of its own with words {i * 7}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = sorted(map(tuple, simhash_dedup.near_duplicates(df).collect()))
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(_common, "HOT_SHARE", 10)
+    assert sorted(map(tuple, simhash_dedup.near_duplicates(df).collect())) == usual and len(usual) == 350
+
+
 def test_gray_neighbours_differ_in_one_bit():
     values = np.arange(256, dtype=np.uint64)
     by_rank = values[np.argsort(simhash_dedup.gray_rank(values))]
