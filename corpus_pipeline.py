@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.  All
 but the last return the columns of documents; the last returns what the mix takes of each document.
+
+Defined results: null and empty texts fail the quality rules and go; a document without a doc_id stays like any other, and
+so do different texts of one doc_id, since stages know documents by their texts; of rows that repeat, the near-duplicate stage
+keeps one; columns beside those of documents are kept up to the last stage, whatever their names; empty tables give no
+rows.
 """
 
 from __future__ import annotations
@@ -48,7 +53,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: SQL cannot express the fingerprints' components, the tiling and the seeded tree; tests compare with brute force.
+#: SQL cannot express near copies' components, the tiling and the seeded tree; tests compare with brute force.
 ORACLE_SQL = None
 
 
