@@ -33,6 +33,22 @@ def test_stages_by_hand(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
 
 
+def test_documents_without_or_with_the_same_id(spark, tmp_path):
+    names = "id th text_hash found terms kept lines size score label row key times".split()
+    rows = [(None, _text(1), "en", "a", 1), (None, _text(2), "en", None, 1), (None, _text(2), "en", None, 1), (7, _text(3), "en", "a", 1), (7, _text(4), "en", "b", 1), (8, _text(3), "en", "b", 1)]
+    rows += [(9, None, "en", "a", 1), (9, "", None, None, None), (10, f"{_text(20)} {' '.join(f'item{k}' for k in range(20))}", "en", "a", 1), (None, f"{_text(21)} {' '.join(f'item{k}' for k in range(20))}", "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'x' AS {n}" for n in names])
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(f"item{k}" for k in range(20)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([(None, _text(1)), (None, _text(2)), (7, _text(3)), (7, _text(4))], key=str)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
