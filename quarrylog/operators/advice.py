@@ -62,7 +62,7 @@ def seen_benefit(totals: DataFrame, access: DataFrame, schema: DataFrame, indexe
 
 def _scored(parts: DataFrame, access: DataFrame, schema: DataFrame, indexes: DataFrame) -> DataFrame:
     weights = schema.select("table", "column", column_weight(F.col("data_type")).alias("card"))
-    joined = parts.join(_weighted(access, indexes), "template").join(F.broadcast(weights), ["table", "column"])
+    joined = parts.join(_weighted(access, indexes), "template").join(weights, ["table", "column"])
     benefit = joined.groupBy("table", "column").agg(F.sum(F.col("part") * F.col("card") * F.col("weight")).cast("double").alias("benefit"))
     return _ranked(benefit, schema)
 

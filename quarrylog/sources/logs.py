@@ -22,13 +22,16 @@ POSTGRESQL = (
     rf"^(\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}.\d* {_ZONE}),{_QUOTED},{_QUOTED},(\d+),{_QUOTED},[^\"]*?,{_QUOTED},"
     rf"(\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}:\d{{2}} {_ZONE}),.*?,\d+,LOG,\d{{5}},({_QUOTED}),+?({_QUOTED}).*"
 )
+BLOCK_LINES = 1 << 20
 PREFIX = {"mysql57": MYSQL57, "mysql55": MYSQL55, "postgresql": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}.\d*"}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text and gzip files.  A file is read as a whole, since splits carry no line numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(file, line_no, line) of text and gzip files.  Plain files are read in splits.  A line's number is the first byte of its
+    split and its place in there: numbers of a file grow with its lines, and leave gaps where splits meet."""
+    given = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_id"))
+    nth = F.row_number().over(Window.partitionBy("file", "_at").orderBy("_id")) - 1
+    return given.select("file", (F.col("_at") + nth).alias("line_no"), "line")
 
 
 def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -48,10 +51,14 @@ def read_zip_lines(spark: SparkSession, path: str) -> DataFrame:
 def assemble(lines: DataFrame, kind: str) -> DataFrame:
     """(file, line_no, record): a line without a record's beginning belongs to the record above, after a space.
 
-    Each file is one window partition; the last record of a file counts like any other."""
-    by_file = Window.partitionBy("file").orderBy("line_no")
-    begins = F.col("line").rlike(PREFIX[kind])
-    numbered = lines.withColumn("nth", F.sum(begins.cast("int")).over(by_file)).filter("nth > 0")
+    Beginnings are counted in blocks of ``BLOCK_LINES`` line numbers, and the blocks of a file are added up, so that no task sees
+    a whole file; the last record of a file counts like any other."""
+    marked = lines.withColumns({"_begins": F.coalesce(F.col("line").rlike(PREFIX[kind]), F.lit(False)).cast("long"), "_block": F.floor(F.col("line_no") / BLOCK_LINES)})
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = marked.groupBy("file", "_block").agg(F.sum("_begins").alias("_n"))
+    blocks = blocks.select("file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("file", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = marked.join(blocks, ["file", "_block"]).withColumn("nth", F.col("_before") + F.sum("_begins").over(inside)).filter("nth > 0")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
     return numbered.groupBy("file", "nth").agg(F.min("line_no").alias("line_no"), joined.alias("record")).drop("nth")
 

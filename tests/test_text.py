@@ -128,3 +128,21 @@ def test_csvlog_quotes_and_zones(spark):
     assert {i: r.query for i, r in rows.items()} == {1: 'select "a","b" from t', 2: "select 1\nfrom t, u", 3: ""}
     assert all(r.params == "parameters: $1 = 'a\"b'" and r.conn == "77" for r in rows.values())
     assert sorted(r.id for r in logs.rejected(df, "postgresql").collect()) == [4, 5]
+
+
+def test_files_in_splits_and_records_across_blocks(spark, tmp_path, monkeypatch):
+    lines = [f"2016-09-01T15:24:06.{i:06}Z 11 Query SELECT {i}" if i % 4 == 0 else f"  more {i} é" for i in range(3000)]
+    for name in ("a.log", "b.log"):
+        (tmp_path / name).write_text("\r\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        read = logs.read_lines(spark, str(tmp_path)).collect()
+        for name in ("a.log", "b.log"):
+            mine = sorted((r.line_no, r.line) for r in read if r.file.endswith(name))
+            assert [line for _, line in mine] == lines and len({n for n, _ in mine}) == len(lines)
+        monkeypatch.setattr(logs, "BLOCK_LINES", 700)
+        found = logs.assemble(logs.read_lines(spark, str(tmp_path)), "mysql57").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    expected = [" ".join(lines[i : i + 4]) for i in range(0, 3000, 4)]
+    assert sorted(r.record for r in found) == sorted(expected * 2)
