@@ -43,18 +43,29 @@ _LANES = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uin
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """SimHash of every text of a column, as uint64."""
+    return majority(*shingle_hashes(column, shingle))
+
+
+def shingle_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of each text's hashes), in the order of the texts; a text of fewer words is one shingle."""
     words = T.joined(T.words_of(column), lower=True)
     count = np.diff(words.first)
-    out = np.zeros(len(count), np.uint64)
     n = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
     total = int(n.sum())
     if not total:
-        return out
-    begin = np.cumsum(n) - n
+        return np.zeros(0, np.uint64), n
     row = np.repeat(np.arange(len(n)), n)
-    head = np.arange(total) - begin[row] + words.first[:-1][row]
+    head = np.arange(total) - (np.cumsum(n) - n)[row] + words.first[:-1][row]
     tail = head + np.minimum(count, shingle)[row] - 1
-    h = T.xxh64(words.buf, words.start[head], words.end[tail])
+    return T.xxh64(words.buf, words.start[head], words.end[tail]), n
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each run of n hashes the bits that are set in over half of them."""
+    out = np.zeros(len(n), np.uint64)
+    if not len(h):
+        return out
+    begin = np.cumsum(n) - n
     # eight counters of eight bits per byte of the hash; at most 255 shingles are added up in them
     parts = -(-n // 255)
     part_row = np.repeat(np.arange(len(n)), parts)
@@ -246,9 +257,22 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, hot_group: int =
     return looked_up(prints, of_fp, "fp", "times").select("doc_id", "fp", "component_id")
 
 
+def _close(signed: DataFrame) -> DataFrame:
+    """(th, other): texts(th, fp) with one fingerprint, or with fingerprints that the index links."""
+    reps = reliable(signed.groupBy("fp").agg(F.min("th").alias("rep"), F.count("*").alias("times")))
+    same = looked_up(signed.select("th", "fp"), reps, "fp", "times").filter("th <> rep").select("th", F.col("rep").alias("other"))
+    name = lambda fp, to: reps.select(F.col("fp").alias(fp), F.col("rep").alias(to))
+    linked_ = edges(reps.select("fp")).join(name("u", "th"), "u").join(name("v", "other"), "v").select("th", "other")
+    return same.union(linked_).filter("th <> other")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents of which each group of near copies (``near_copies``) keeps one row: the first by doc_id (nulls
-    last), then by the text's hash; of rows with the same doc_id and text, one.
+    """The documents of which each group of near copies keeps one row: the first by doc_id (nulls last), then by the text's
+    hash; of rows with the same doc_id and text, one.
+
+    Near copies have a Jaccard similarity of five-word shingles of 0.8 or more (``near_copies``), which is checked
+    exactly.  Texts to compare are those that the Gray-order index links by their five-word fingerprints.  At that similarity
+    most fingerprints differ in more bits than blocks can index, so MinHash bands add the others.
 
     Rows are known by doc_id and text together, so that rows without a doc_id, and different texts of one doc_id, are
     documents like any others."""
@@ -257,9 +281,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     row = lambda i, th: F.xxhash64(th, i.isNull(), F.coalesce(i, F.lit(0)))
     texts = docs.select(near_copies.text_hash(F.col("text")).alias("th"), doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = near_copies.signed(texts).groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    signed = reliable(signed)
-    labels = near_copies.groups(signed, lambda nodes: near_copies.shingle_sets(texts.join(nodes, "th", "left_semi")).dropDuplicates(["th"]))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    signed = reliable(near_copies.signed(texts).groupBy("th").agg(first_row, *[F.first(c).alias(c) for c in ("n", "fp", "bands")]))
+    labels = near_copies.groups(signed, lambda nodes: near_copies.shingle_sets(texts.join(nodes, "th", "left_semi")).dropDuplicates(["th"]), _close(signed))
     named = signed.select("th", "first").join(labels, "th", "left")
     best = named.groupBy(F.coalesce("label", "th")).agg(F.min(F.struct("first", "th")).alias("x"))
     keep = reliable(best.select(row(F.col("x.first.doc_id"), F.col("x.th")).alias("__keep")))
