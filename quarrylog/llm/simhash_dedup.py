@@ -230,6 +230,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps; each is one aggregation and one join on the node, with no
     group gathered anywhere, and each round is checkpointed."""
     links = reliable(links.select("u", "v").filter("u <> v"))
+    if links.isEmpty():
+        return links.select(F.col("u").alias("node"), F.col("v").alias("label"))
     before = None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -301,3 +301,21 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT r, id, i, min(id) OVER (PARTITION BY array_to_string(words[i:i + 49], ' ')) AS least
+  FROM (SELECT r, id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM w WHERE id > least
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n
+  FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM d) LEFT JOIN (SELECT r, j, true AS gone FROM gone) USING (r, j)
+  WHERE gone IS NULL GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -1,7 +1,11 @@
+import glob
 import importlib.util
 import os
 import re
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from quarrylog.llm import queries, quality_rules
 
@@ -68,3 +72,16 @@ def test_nothing_else_imports_the_subpackage():
             for f in files:
                 if f.endswith(".py"):
                     assert not re.search(r"\bllm\b", open(os.path.join(folder, f)).read())
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    cursor = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    df = queries.queries()[name](spark, sf)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(str([r[c] for c in names]) for r in df.collect()) == sorted(str(list(r)) for r in cursor.fetchall())
