@@ -48,24 +48,28 @@ def _solid(text: Column) -> Column:
     return F.char_length(text).cast("long") - _times(text, _GAP)
 
 
-def line_fails(line: Column) -> Column:
-    n = _times(line, "[^ \\t-\\r]+")
+def line_fails(line: Column, n: Column) -> Column:
+    """Whether a line of n words fails.  What most lines do not have is looked for before it is counted."""
     bars = _times(line, "\\|")
+    begins = "".join(sorted({c + c.upper() for c, *_ in BOILERPLATE.split("|")}))
     return (
-        (10 * _times(line, _SYMBOL) > _solid(line))
-        | ((bars >= 2) & (n <= 4 * (bars + 1)))
-        | ((n >= 3) & (_times(line, "[A-Z]") > 2 * _times(line, "[a-z]")))
-        | ((n >= 3) & (2 * _times(line, "!!") > n))
-        | ((n <= BOILERPLATE_WORDS) & line.rlike(f"(?i)(?:{BOILERPLATE})"))
+        (line.rlike(_SYMBOL) & (10 * _times(line, _SYMBOL) > _solid(line)))
+        | (line.contains("|") & (bars >= 2) & (n <= 4 * (bars + 1)))
+        # capitals in such a number stand together somewhere, but for what is no small letter
+        | ((n >= 3) & line.rlike("[A-Z][^a-z]*[A-Z]") & (_times(line, "[A-Z]") > 2 * _times(line, "[a-z]")))
+        | ((n >= 3) & line.contains("!!") & (2 * _times(line, "!!") > n))
+        | ((n <= BOILERPLATE_WORDS) & line.rlike(f"(?=[{begins}])(?i:{BOILERPLATE})"))
         | ((n <= 2) & ~line.rlike("[.!?:;)\"']" + _GAP + "*$"))
     )
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """docs with text (null: empty) and the columns of the query, and ``lines``: those with a word."""
+    """docs with text (null: empty) and the columns of the query, and ``lines``: (line, fails) of those with a word."""
     has_word = lambda line: line.rlike("[^ \\t-\\r]")
+    counted = lambda line: F.struct(line.alias("line"), _times(line, "[^ \\t-\\r]+").alias("n"))
+    checked = lambda x: F.struct(x["line"].alias("line"), line_fails(x["line"], x["n"]).alias("fails"))
     step = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    step = step.withColumns({"_words": words(F.col("text")), "lines": F.filter(F.split("text", "\n", -1), has_word)})
+    step = step.withColumns({"_words": words(F.col("text")), "lines": F.transform(F.transform(F.filter(F.split("text", "\n", -1), has_word), counted), checked)})
     step = step.withColumns({"_h": F.transform("_words", lambda w: F.xxhash64(w)), "n_words": F.size("_words").cast("long")}).drop("_words")
     window = lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)])
     step = step.withColumn("_s", F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int")), window)).otherwise(F.array().cast("array<bigint>"))).drop("_h")
@@ -77,8 +81,8 @@ def judged(docs: DataFrame) -> DataFrame:
     # a window covers its words up to the next repeated window
     reach = lambda a, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), i + 1) - a, F.lit(WINDOW))).cast("long")
     step = step.withColumn("n_repeat_words", F.coalesce(F.aggregate(F.transform("_at", reach), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))).drop("_at")
-    lost = F.aggregate("lines", F.lit(0).cast("long"), lambda a, line: a + F.when(line_fails(line), _solid(line)).otherwise(0))
-    step = step.withColumns({"word_chars": _solid(F.col("text")), "n_symbols": _times(F.col("text"), _SYMBOL), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), "lost_chars": lost})
+    lost = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], _solid(x["line"])).otherwise(0))
+    step = step.withColumns({"word_chars": _solid(F.col("text")), "n_symbols": _times(F.col("text"), _SYMBOL), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct(F.transform("lines", lambda x: x["line"])))).cast("long"), "lost_chars": lost})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     step = step.withColumn("base_failed", failed)
     return step.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
@@ -88,7 +92,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without the lines that fail; n_chars, where it exists, follows the text."""
     other = {c: f"_given_{i}" for i, c in enumerate(docs.columns) if c != "text"}
     out = selected(judged(docs.select("text", *[F.col(f"`{c}`").alias(a) for c, a in other.items()])), F.col("kept"))
-    text = F.array_join(F.filter("lines", lambda line: ~line_fails(line)), "\n")
+    text = F.array_join(F.transform(F.filter("lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
     out = out.withColumn("text", F.when(F.col("lost_chars") > 0, text).otherwise(F.col("text")))
     if "n_chars" in other:
         out = out.withColumn(other["n_chars"], F.char_length("text").cast(docs.schema["n_chars"].dataType))
