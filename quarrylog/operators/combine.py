@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +74,24 @@ def template_errors(templates: DataFrame, *key: str) -> DataFrame:
     Exact predictions, whose log error has no value, are left out."""
     error = F.pow(F.col("actual") - F.col("allocated"), 2)
     return templates.groupBy(*key).agg((F.sum(F.when(error > 0, F.log(error))) / F.count_distinct("as_of") / 3000).alias("score"))
+
+
+def stacked(forecasts: DataFrame, models: tuple[str, ...], *key: str, train: int = 48, step: int = 12) -> DataFrame:
+    """(key, ts, actual, predicted): models put together by ridge regressions on the ``train`` rows before every ``step`` ones.
+    Each key is one group, of a row per time that all models have; the first ``train`` rows have no prediction."""
+    key = key or KEY
+    wide = forecasts.filter(F.col("model").isin(*models)).groupBy(*key, "ts").pivot("model", list(models)).agg(F.first("predicted")).dropna(subset=list(models))
+    actual = forecasts.groupBy(*key, "ts").agg(F.max("actual").alias("actual"))
+    joined = wide.join(actual, [*key, "ts"])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ts")
+        x, y = frame[list(models)].to_numpy(float), frame["actual"].to_numpy(float)
+        predicted = np.full(len(y), np.nan)
+        for at in range(train, len(y), step):
+            a, b = x[at - train : at], y[at - train : at]
+            predicted[at : at + step] = x[at : at + step] @ np.linalg.solve(a.T @ a + np.eye(len(models)), a.T @ b)
+        return frame[[*key, "ts", "actual"]].assign(predicted=predicted)[~np.isnan(predicted)]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in (*key, "ts", "actual"))
+    return joined.groupBy(*key).applyInPandas(run, f"{schema}, predicted double")

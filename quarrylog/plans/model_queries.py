@@ -67,6 +67,10 @@ def model_average(spark, sf):
     return _rounded(combine.log_average(X.forecasts(spark, sf), ("ar", "rnn", "kr")))
 
 
+def stacked_models(spark, sf):
+    return _rounded(combine.stacked(cleaned_predictions(X.forecasts(spark, sf), "clamped"), ("ar", "rnn")))
+
+
 def error_histogram(spark, sf):
     errors = X.forecasts(spark, sf).select((F.col("actual") - F.col("predicted")).alias("error"))
     return _rounded(combine.error_histogram(errors))
@@ -230,6 +234,10 @@ QUERIES = {
     "pooled_mse": (pooled_mse, f"WITH {X.FORECASTS}, {_CLAMPED}, {_ERR.format(k='model, horizon, cluster')} SELECT model, horizon, {_R.format('avg(d * d)')} AS mse_log FROM d GROUP BY ALL"),
     "mse_pivot": (mse_pivot, f"WITH {X.FORECASTS}, {_CLAMPED}, m AS (SELECT model, cluster, round(avg((actual - predicted) ** 2), 4) AS mse FROM f GROUP BY ALL) SELECT model, max(mse) FILTER (cluster = 1) AS c1, max(mse) FILTER (cluster = 2) AS c2, max(mse) FILTER (cluster = 3) AS c3 FROM m GROUP BY model"),
     "model_average": (model_average, f"WITH {X.FORECASTS}, {_CLAMPED} SELECT horizon, cluster, ts, max(actual) AS actual, {_R.format('exp(avg(ln(predicted + 1))) - 1')} AS predicted FROM f GROUP BY horizon, cluster, ts"),
+    "stacked_models": (stacked_models, f"""WITH {X.FORECASTS}, {_CLAMPED}, {_PAIRED.format('rnn')}, n AS (SELECT *, row_number() OVER (PARTITION BY horizon, cluster ORDER BY ts) - 1 AS i FROM p),
+        g AS (SELECT *, 48 + (i - 48) // 12 * 12 AS fold FROM n WHERE i >= 48), s AS (SELECT horizon, cluster, fold FROM g GROUP BY ALL),
+        m AS (SELECT s.horizon, s.cluster, s.fold, sum(a * a) + 1 AS aa, sum(b * b) + 1 AS bb, sum(a * b) AS ab, sum(a * actual) AS ay, sum(b * actual) AS by_ FROM s JOIN n ON n.horizon = s.horizon AND n.cluster = s.cluster AND n.i >= s.fold - 48 AND n.i < s.fold GROUP BY ALL)
+        SELECT horizon, cluster, ts, actual, {_R.format('a * (bb * ay - ab * by_) / (aa * bb - ab * ab) + b * (aa * by_ - ab * ay) / (aa * bb - ab * ab)')} AS predicted FROM g JOIN m USING (horizon, cluster, fold)"""),
     "error_histogram": (error_histogram, f"WITH {X.FORECASTS}, e AS (SELECT CAST(least(floor((actual - predicted + 15) / 1.5), 19) AS INTEGER) AS bin FROM forecasts WHERE actual - predicted BETWEEN -15 AND 15) SELECT bin, count(*) AS n, {_R.format('count(*) / ((SELECT count(*) FROM e) * CAST(1.5 AS DOUBLE))')} AS density FROM e GROUP BY bin"),
     "allocate_to_templates": (allocate_to_templates, f"""WITH {X.FORECASTS}, {X.USER_COUNTS}, {X.ASSIGNMENTS}, m AS (SELECT as_of, template, cluster, total, sum(total) OVER (PARTITION BY as_of, cluster) AS ct FROM (SELECT template, sum(cnt) AS total FROM user_counts GROUP BY ALL) JOIN assignments USING (template) WHERE cluster > 0)
         SELECT model, template, ts, {_R.format('predicted * total / ct')} AS allocated FROM m JOIN forecasts USING (cluster) WHERE as_of = date_trunc('day', ts)"""),

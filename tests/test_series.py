@@ -303,3 +303,43 @@ def test_linear_and_kernel_forecasts_are_those_of_plain_formulas(spark):
                 expected = np.exp(guess * deviation + mean) - shift
                 mine = sorted((r.ts, r.cluster, r.predicted, r.actual) for r in found if r.model == model and r.horizon == 60 * horizon and r.as_of == T0 + dt.timedelta(days=day))
                 assert len(mine) == 48 and np.allclose([m[2] for m in mine], expected.ravel()) and np.allclose([m[3] for m in mine], values[-24:].ravel())
+
+
+def test_recurrent_layer_gradients():
+    rng = np.random.default_rng(1)
+    layer = forecast._Lstm(rng, 3, 4)
+    x, out = rng.standard_normal((5, 2, 3)), rng.standard_normal((5, 2, 4))
+    state = (np.zeros((2, 4)), np.zeros((2, 4)))
+    layer.run(x, state)
+    d_x, grads = layer.back(out)
+    loss = lambda: float((layer.run(x, state)[0] * out).sum())
+    for array, grad in [(layer.w[k], grads[k]) for k in layer.w] + [(x, d_x)]:
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, s)) for s in array.shape)
+            old, values = array[at], []
+            for e in (1e-5, -1e-5):
+                array[at] = old + e
+                values.append(loss())
+            array[at] = old
+            assert abs((values[0] - values[1]) / 2e-5 - grad[at]) < 1e-6
+
+
+def test_moving_average_model_finds_its_shocks():
+    rng = np.random.default_rng(2)
+    shocks = rng.standard_normal((3000, 1))
+    data = np.zeros((3000, 1))
+    for t in range(2, 3000):
+        data[t] = 0.6 * data[t - 1] - 0.3 * data[t - 2] + shocks[t] + 0.5 * shocks[t - 1]
+    error = (data - forecast.arma_fitted(data, 2, 1))[100:]
+    assert 0.9 < error.var() < 1.1 < data.var()
+
+
+@pytest.mark.parametrize("model", ["fnn", "rnn", "psrnn", "arma"])
+def test_models_follow_a_daily_wave(model):
+    hours = np.arange(24 * 30)
+    wave = 20 + 10 * np.sin(hours / 24 * 2 * np.pi)
+    values = np.stack([wave, 2 * wave], axis=1)
+    settings_ = forecast.Settings(epochs=60)
+    predicted = forecast.walk(values, model, settings_)
+    error = np.log(values[-24:] + 1) - np.log(np.maximum(predicted, 0) + 1)
+    assert predicted.shape == (24, 2) and (error**2).mean() < 0.5 * np.log(values + 1).var()
