@@ -590,6 +590,8 @@ def _disclosures(texts, support, sure):
             if len(units) < support or len(n_e[e]) == n_docs:
                 continue
             k, p = len(n_t[t]), len(units) / len(n_t[t])
+            if p < pii.LIKELY:
+                continue
             low = (p + z * z / (2 * k) - z * math.sqrt(p * (1 - p) / k + z * z / (4 * k * k))) / (1 + z * z / k)
             out[t] = max(out.get(t, 0), 1 + math.log2(low) / math.log2(n_docs / len(n_e[e])) if low > 0 else 0)
     return out
