@@ -14,7 +14,7 @@ DataFrame expressions only.
    many chance terms, so for them P(e | t) is the lower end of its Wilson interval at ``SURE`` standard deviations, and
    documents that share a value, directly or through others, are one observation: what they have in common tells
    of that value, not of its class.
-5. Near copies (``near_copies``: five-word shingles of what spans leave, Jaccard similarity of 0.8 or more) among the
+5. Near copies (``near_copies``: five-word shingles of what spans leave, Jaccard similarity of 0.8 or more, none lost) among the
    documents with an entity are one observation in all these numbers.  A term that ``SUPPORT`` observations support, with which the entity is
    likelier than not (``LIKELY``), and that discloses ``REMOVE`` or more of some entity is removed wherever it stands; from ``GENERALISE`` on it is replaced by its class.
 
@@ -47,8 +47,6 @@ GENERALISE, REMOVE = 0.75, 0.9
 SURE = 3.0
 #: Up to so many terms are looked for in every text at once; more are first joined with the words of each text.
 INLINE = 1000
-#: Bands and rows of MinHash for near copies; two texts of similarity 0.8 meet with a probability of 0.997.
-BANDS, ROWS = 8, 3
 #: Values that a running sum goes through at once, and characters of a block that texts are cut from.
 CHUNK, BLOCK = 64, 4096
 PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "generalise": "[TERM]", "remove": ""}
@@ -240,8 +238,7 @@ def _with_entities(docs: DataFrame) -> DataFrame:
     spans = selected(_blanked_docs(docs.select("text")).withColumn("found", F.concat("found", "secrets")), F.size("found") > 0)
     texts = written(spans.groupBy(th.alias("th")).agg(F.first("found").alias("found"), F.first("blank").alias("blank"), F.count("*").alias("rows")))
     sets = written(near_copies.native_sets(texts.select("th", F.col("blank").alias("text"))))
-    signed = reliable(near_copies.native_signed(sets, BANDS, ROWS))
-    grouped = reliable(near_copies.groups(signed, lambda nodes: sets.join(nodes, "th", "left_semi")))
+    grouped = near_copies.groups(near_copies.native_parts(sets), lambda nodes: sets.join(modest(nodes), "th", "left_semi"))
     origins = reliable(texts.select("th", "found").join(modest(grouped), "th", "left").select("th", F.coalesce("label", "th").alias("origin"), F.transform("found", _entity).alias("values")))
     values = origins.select("origin", F.explode("values").alias("entity")).distinct()
     first = values.groupBy("entity").agg(F.min("origin").alias("v"), F.count("*").alias("n")).filter("n > 1")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as T
-from ._common import looked_up, reliable, slices, table
+from ._common import looked_up, modest, reliable, slices, table, written
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -273,8 +273,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     hash; of rows with the same doc_id and text, one.
 
     Near copies have a Jaccard similarity of five-word shingles of 0.8 or more (``near_copies``), which is checked
-    exactly.  Texts to compare are those that the Gray-order index links by their five-word fingerprints.  At that similarity
-    most fingerprints differ in more bits than blocks can index, so MinHash bands add the others.
+    exactly.  Texts to compare are first those that the Gray-order index links by their five-word fingerprints.  At that similarity
+    most fingerprints differ in more bits than blocks can index, so ``near_copies`` adds all others that can be links.
 
     Rows are known by doc_id and text together, so that rows without a doc_id, and different texts of one doc_id, are
     documents like any others."""
@@ -284,8 +284,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     row = lambda i, th: F.xxhash64(th, i.isNull(), F.coalesce(i, F.lit(0)))
     texts = docs.select(near_copies.text_hash(F.col("text")).alias("th"), doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    signed = reliable(near_copies.signed(texts).groupBy("th").agg(first_row, *[F.first(c).alias(c) for c in ("n", "fp", "bands")]))
-    labels = near_copies.groups(signed, lambda nodes: near_copies.shingle_sets(texts.join(nodes, "th", "left_semi")).dropDuplicates(["th"]), _close(signed))
+    rows = written(near_copies.signed(texts))
+    signed = reliable(rows.groupBy("th").agg(first_row, F.first("fp").alias("fp")))
+    labels = near_copies.groups(rows, lambda nodes: near_copies.shingle_sets(texts.join(modest(nodes), "th", "left_semi").dropDuplicates(["th"])), _close(signed))
     named = signed.select("th", "first").join(labels, "th", "left")
     best = named.groupBy(F.coalesce("label", "th")).agg(F.min(F.struct("first", "th")).alias("x"))
     keep = reliable(best.select(row(F.col("x.first.doc_id"), F.col("x.th")).alias("__keep")))

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarrylog.llm import _tokens as T
-from quarrylog.llm import _common, decontaminate, near_copies, simhash_dedup, substring_dedup
+from quarrylog.llm import _common, decontaminate, near_copies, pii, simhash_dedup, substring_dedup
 
 ALPHABET = [f"w{i}" for i in range(40)]
 
@@ -328,3 +329,60 @@ def test_native_sets_link_like_those_of_arrow(spark):
     pairs = df.select("th").crossJoin(df.select(F.col("th").alias("other"))).filter("th < other")
     for sets in (near_copies.native_sets(df), near_copies.shingle_sets(df)):
         assert sorted(map(tuple, near_copies.links(pairs, sets).collect())) == [(1, 2), (3, 4), (5, 6)]
+
+
+def _shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))}
+
+
+def _groups_of(texts):
+    """The least index in each text's group, from all pairs."""
+    sets, root = [_shingles(t) for t in texts], list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def _families(n):
+    """Pairs of near copies whose passage in common with all the others makes most of their MinHash keys those of all, and
+    between whose lengths there are many others; no two families are near copies."""
+    passage = " ".join(f"all{k}" for k in range(84))
+    first = [f"{passage} {' '.join(f'f{i}x{k}' for k in range(13))}" for i in range(n)]
+    return first + [f"{t} {' '.join(f'g{i}x{k}' for k in range(20))}" for i, t in enumerate(first)]
+
+
+def test_no_near_copy_of_a_text_with_an_entity_is_lost(spark):
+    texts = _families(60)
+    df = spark.createDataFrame([(i, f"{t} u{i}@corp.example") for i, t in enumerate(texts)], "doc_id long, text string")
+    origins = {}
+    for r in pii._with_entities(df).collect():
+        origins.setdefault(r.origin, set()).add(re.search(r"f(\d+)x", r.blank)[1])
+    assert len(origins) == 60 and all(len(x) == 1 for x in origins.values())
+
+
+@pytest.mark.parametrize("quick", [True, False])
+def test_groups_of_near_copies_are_those_of_all_pairs(spark, monkeypatch, quick):
+    rng = random.Random(11)
+    texts = ["", " ", "one two", "One  two", "one two three four five", "one two three four five six"]
+    for family in range(12):
+        words = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(4, 70))]
+        for _ in range(rng.randrange(1, 14)):
+            if rng.random() < 0.7:
+                words[rng.randrange(len(words))] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(words[rng.randrange(3) :] + [f"x{k}" for k in range(rng.randrange(4))]))
+    texts = list(dict.fromkeys(texts))
+    monkeypatch.setattr(near_copies, "PART_ROWS", 3)
+    if not quick:
+        monkeypatch.setattr(near_copies, "candidates", lambda texts: texts.select("th", F.col("th").alias("other")).limit(0))
+        monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame(list(enumerate(texts)), "th long, text string")
+    expected = _groups_of(texts)
+    assert 20 < len(set(expected)) < len(texts) - 20
+    sets = near_copies.native_sets(df)
+    for parts, of in ((near_copies.native_parts(sets), sets), (near_copies.signed(df.withColumn("doc_id", F.col("th"))), near_copies.shingle_sets(df))):
+        found = dict(map(tuple, near_copies.groups(parts, lambda nodes, of=of: of.join(nodes, "th", "left_semi")).collect()))
+        assert [found.get(i, i) for i in range(len(texts))] == expected
