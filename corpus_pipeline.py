@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more, by MinHash;
+    """One document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more, no link lost;
     op10's fingerprints are another contract): that of the smallest doc_id."""
     return simhash_dedup.deduplicated(docs)
 

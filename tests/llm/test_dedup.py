@@ -355,6 +355,13 @@ def _families(n):
     return first + [f"{t} {' '.join(f'g{i}x{k}' for k in range(20))}" for i, t in enumerate(first)]
 
 
+def test_no_near_copy_is_lost_in_a_key_of_many_texts(spark):
+    texts = _families(100)
+    assert _groups_of(texts) == [*range(100), *range(100)]
+    kept = simhash_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(100))
+
+
 def test_no_near_copy_of_a_text_with_an_entity_is_lost(spark):
     texts = _families(60)
     df = spark.createDataFrame([(i, f"{t} u{i}@corp.example") for i, t in enumerate(texts)], "doc_id long, text string")
