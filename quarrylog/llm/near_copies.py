@@ -176,7 +176,7 @@ def groups(texts: DataFrame, sets: Callable[[DataFrame], DataFrame], more: DataF
     left = reliable(texts.select("th").distinct().join(modest(far), "th", "left_anti"))
     some = written(sets(left))
     some = reliable(some.join(modest(reliable(alone(_exploded(some)))), "th", "left_anti"))
-    pairs = candidates(native_signed(some))
+    pairs = candidates(reliable(native_signed(some)))
     if more is not None:
         pairs = pairs.union(more.select(F.least("th", "other").alias("th"), F.greatest("th", "other").alias("other"))).distinct()
     found = reliable(links(reliable(pairs), some))
