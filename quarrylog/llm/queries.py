@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, substring_dedup
+from . import periodic_runs, quality_rules, substring_dedup
 from .decontaminate import op5_decontaminate
 from .html_text import op8_html_text
 from .mixing import op6_mixing
+from .periodic_runs import op11_periodic_runs
 from .pii import op1_pii
 from .quality_model import op3_quality
 from .quality_rules import op7_quality_rules
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 
@@ -39,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {"op7_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op11_periodic_runs": periodic_runs.ORACLE_SQL}
