@@ -62,12 +62,18 @@ def reliable(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name in the shared folder that nothing has yet, and that ``clear`` deletes."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.{kind}"
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like ``reliable``, as a Parquet table: for many rows whose columns compress well."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = new_folder(df.sparkSession, "parquet")
     with _freeing_shuffles(df.sparkSession):
         df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,7 @@ from .quality_model import op3_quality
 from .quality_rules import op7_quality_rules
 from .simhash_dedup import op10_simhash
 from .substring_dedup import op9_substring_dedup
+from .token_files import op12_token_files
 from .toxicity import op2_toxicity
 from .url_filter import op4_url_filter
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_files": op12_token_files,
 }
 
 
