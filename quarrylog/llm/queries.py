@@ -19,6 +19,7 @@ from .substring_dedup import op9_substring_dedup
 from .token_files import op12_token_files
 from .toxicity import op2_toxicity
 from .url_filter import op4_url_filter
+from .whitening import op13_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_token_files": op12_token_files,
+    "op13_whitening": op13_whitening,
 }
 
 
