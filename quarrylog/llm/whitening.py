@@ -1,10 +1,10 @@
 """Whitening of embeddings: covariance by sums of centred products, components by LAPACK.
 
 Entries become whole numbers x = floor(SCALE * c) + SHIFT.  A first aggregation counts vectors and adds up each dimension; a
-second one has a generated expression for each pair of dimensions of the upper triangle, the sum of the products of what is
-centred at the dimension's mean rounded to a whole number, and the rest of the mean is taken off the sums.  The driver gets
-these sums, d * (d + 1) / 2 numbers whatever the rows, and decomposes them (``numpy.linalg.eigh``, LAPACK's syevd).
-Projections are generated expressions again.  No row is shuffled; each pass reads the vectors once.
+second one has a generated sum of products for each pair of dimensions of the upper triangle, in groups by the first of them.
+Products are of what is centred at the dimension's mean, rounded to a whole number; the rest of the mean is taken off the
+sums.  The driver gets these sums, some d * (d + 1) / 2 numbers whatever the rows, and decomposes them (``numpy.linalg.eigh``,
+LAPACK's syevd).  Projections are generated expressions again.  No row is shuffled; each pass reads the vectors once.
 
 Defined results: vectors that are null, or hold null or non-finite entries, or none, are left out; so are vectors of another
 length than most have (of equally frequent lengths the longest counts).  Entries beyond 2 ** 52 / SCALE count as that.  A component
@@ -26,8 +26,8 @@ from ._common import table
 COMPONENTS = 8
 # How entries become whole numbers.
 SCALE, SHIFT = 1024, 100_000
-#: Sums that one aggregation has; the upper triangle of wider vectors takes several.
-PAIRS = 8192
+#: Dimensions that a dimension meets in one group of sums.
+BLOCK = 32
 LARGEST = float(1 << 52)
 
 
@@ -67,16 +67,20 @@ def _sums(x: DataFrame, d: int) -> tuple[int, list[int]]:
     return row[0], [int(s or 0) for s in row[1:]]
 
 
-def _covariance(columns: DataFrame, rest: np.ndarray, n: int) -> np.ndarray:
-    """The covariance of columns that are centred up to ``rest``, the means of what they have now: one sum for each pair."""
-    names = columns.columns
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    out = np.zeros((len(names), len(names)))
-    for at in range(0, len(pairs), PAIRS):
-        part = pairs[at : at + PAIRS]
-        row = columns.selectExpr(*[f"sum(`{names[i]}` * `{names[j]}`)" for i, j in part]).first()
-        for (i, j), s in zip(part, row, strict=True):
-            out[i, j] = out[j, i] = s / n - rest[i] * rest[j]
+def _covariance(centred: DataFrame, rest: np.ndarray, n: int) -> np.ndarray:
+    """The covariance of centred(y), arrays that are centred up to ``rest``, the means of what they have now.
+
+    One aggregation: a group for each dimension i and block of dimensions up to the upper triangle's end, with a generated
+    sum of products for each dimension of the block, few enough to be compiled whatever the length.  Rows are not copied; a task
+    hands on a row a group."""
+    d = len(rest)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(d) for j in range(i // BLOCK * BLOCK, d, BLOCK)])
+    dealt = centred.select("y", F.explode(pairs).alias("p")).select("y", "p.i", "p.j")
+    sums = dealt.groupBy("i", "j").agg(*[F.expr(f"sum(get(y, i) * get(y, j + {k})) AS s{k}") for k in range(BLOCK)])
+    out = np.zeros((d, d))
+    for row in sums.collect():
+        for j in range(max(row.i, row.j), min(row.j + BLOCK, d)):
+            out[row.i, j] = out[j, row.i] = row[f"s{j - row.j}"] / n - rest[row.i] * rest[j]
     return out
 
 
@@ -88,7 +92,7 @@ def fitted(x: DataFrame) -> Whitening:
     n, sums = _sums(x, first.d)
     near = [(2 * s + n) // (2 * n) for s in sums]
     rest = np.array([(s - n * m) / n for s, m in zip(sums, near, strict=True)])
-    centred = x.selectExpr(*[f"CAST(x[{i}] - {m}L AS DOUBLE) AS c{i}" for i, m in enumerate(near)])
+    centred = x.selectExpr(f"array({', '.join(f'CAST(x[{i}] - {m}L AS DOUBLE)' for i, m in enumerate(near))}) AS y")
     covariance = _covariance(centred, rest, n)
     values, vectors = np.linalg.eigh(covariance)
     return Whitening(n, sums, covariance, values[::-1], vectors[:, ::-1])
@@ -120,7 +124,7 @@ def identity_error(out: DataFrame, n: int) -> float:
     if not names or not n:
         return 0.0
     means = np.array(out.agg(*[F.avg(c) for c in names]).first(), float)
-    centred = out.selectExpr(*[f"{c} - {m!r}D AS {c}" for c, m in zip(names, means.tolist(), strict=True)])
+    centred = out.selectExpr(f"array({', '.join(f'{c} - {m!r}D' for c, m in zip(names, means.tolist(), strict=True))}) AS y")
     return float(np.abs(_covariance(centred, np.zeros(len(names)), n) - np.eye(len(names))).max())
 
 

@@ -38,7 +38,7 @@ def _check(rows, ids, vectors):
 
 @pytest.mark.parametrize("d", [1, 3, 12])
 def test_against_definitions(spark, d, monkeypatch):
-    monkeypatch.setattr(W, "PAIRS", 20)  # several aggregations
+    monkeypatch.setattr(W, "BLOCK", 5)  # several groups a dimension
     rng = np.random.default_rng(d)
     mixed = rng.normal(size=(200, d)) @ rng.normal(size=(d, d)) + rng.normal(size=d) * 3
     vectors = mixed.astype(np.float32).tolist()
