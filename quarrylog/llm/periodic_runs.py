@@ -38,8 +38,9 @@ BASES = (1_103_515_245, 1_664_525_013, 987_654_323, 69_069_069, 134_775_813)
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
 
-def word_ids(words: Words) -> np.ndarray:
-    """Equal numbers for equal words, and only for those: every word is compared with the first one of its hash."""
+def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first, ids): equal numbers for equal words, and only for those, and where each of them is first.  Every word is compared
+    with the first one of its hash."""
     _, first, ids = np.unique(word_hashes(words), return_index=True, return_inverse=True)
     length, like = words.end - words.start, first[ids]
     same = (length == length[like]).all()
@@ -49,7 +50,8 @@ def word_ids(words: Words) -> np.ndarray:
     if not same:
         known: dict[bytes, int] = {}
         ids = np.array([known.setdefault(words.buf[a:b].tobytes(), len(known)) for a, b in zip(words.start, words.end, strict=True)])
-    return ids
+        _, first = np.unique(ids, return_index=True)
+    return first, ids
 
 
 class _Prefixes:
@@ -180,7 +182,7 @@ def _texts(words: Words, kept: np.ndarray) -> pa.Array:
 
 def _measured(part: pa.RecordBatch, exponent: int, least: int) -> pa.RecordBatch:
     words = words_of(part.column("text"))
-    rows = runs_of(word_ids(words), words.first, exponent, least)
+    rows = runs_of(distinct_words(words)[1], words.first, exponent, least)
     text = np.searchsorted(words.first, rows[:, 0], side="right") - 1
     # a run keeps its first period
     change = np.zeros(len(words.start) + 1, np.int64)

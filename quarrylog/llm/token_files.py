@@ -1,7 +1,7 @@
 """Files of token ids: each document compressed on its own with a shared dictionary, found by an index of offsets.
 
-``write_tokens`` brings documents into the order of their ids, encodes them, and writes shards through a Spark data source
-of its own; ``read_tokens`` reads them back, all of them or those of some ids only.  A folder has
+``write_tokens`` brings documents into the order of their ids; tasks of a Spark data source of its own encode them and write
+shards; ``read_tokens`` reads them back, all of them or those of some ids only.  A folder has
 
 * ``dictionary-<sha256>``: the zstandard dictionary, trained on serialized id arrays of a bounded sample;
 * ``*.ids``, one for each range of ids: magic, width of an id in octets, the dictionary's SHA-256 (zeros: none), then a
@@ -22,6 +22,7 @@ import hashlib
 import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,14 +38,16 @@ from tokenizers import Tokenizer
 
 from ._common import new_folder, slices, table
 from ._tokens import Words, buffer_of
-from .periodic_runs import word_ids
+from .periodic_runs import distinct_words
 
 END_ID = 0
 #: The dictionary is trained on so many documents at most, of texts up to so many octets, and has so many octets.
 SAMPLE_DOCS, SAMPLE_OCTETS, DICTIONARY_OCTETS = 2000, 16 << 10, 64 << 10
 LEVEL = 3
-#: Ids that a batch read back holds, about.
-BATCH_IDS = 1 << 20
+#: Ids that a batch read back holds, about; octets of text that are encoded at once.
+BATCH_IDS, ENCODED_OCTETS = 1 << 18, 1 << 20
+#: A worker keeps the ids of so many chunks, of so many octets at most.
+KNOWN_CHUNKS, KNOWN_OCTETS = 1 << 18, 64
 
 MAGIC = b"tokens01"
 INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("offset", "<u8"), ("n_tokens", "<u8")])
@@ -53,6 +56,9 @@ HEADER = len(MAGIC) + 4 + 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
+# The apostrophe is none of these, as contractions start with it.
+_MARK = np.array([33 <= i < 127 and not chr(i).isalnum() and chr(i) != "'" for i in range(256)])
 # Last bytes of white space beyond ASCII; a character that starts with 0xC3 up to 0xDF and has one more byte is none.
 _MAY_END_SPACE = np.zeros(256, bool)
 _MAY_END_SPACE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
@@ -61,80 +67,104 @@ _MAY_END_SPACE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 # ---------------------------------------------------------------- encoding
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(vocabulary: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    tokenizer = Tokenizer.from_str(vocabulary)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+class Encoder:
+    """A tokenizer, made of its vocabulary file's text; strings of special tokens are ordinary text."""
+
+    def __init__(self, vocabulary: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        self.by_chunk = splits_at_space(vocabulary)
+        self.known: dict[bytes, bytes] = {}
+
+    def _ids(self, given: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
+
+    def _chunk_ids(self, given: list[bytes]) -> list[bytes]:
+        found = [self.known.get(g) for g in given]
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.known) + len(missing) > KNOWN_CHUNKS:
+            self.known.clear()
+        for k, ids in zip(missing, self._ids([given[k].decode() for k in missing]), strict=True):
+            found[k] = ids
+            if len(given[k]) <= KNOWN_OCTETS:
+                self.known[given[k]] = ids
+        return found
+
+    def __call__(self, column: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): ids of text r, with the end id, are ``ids[first[r]:first[r + 1]]``.  Equal chunks are encoded once."""
+        if self.by_chunk:
+            chunks = chunks_of(column)
+            one, number = distinct_words(chunks)
+            data = chunks.buf.tobytes()
+            known, row_first = self._chunk_ids([data[a:b] for a, b in zip(chunks.start[one].tolist(), chunks.end[one].tolist(), strict=True)]), chunks.first
+        else:
+            known = self._ids([t or "" for t in column.to_pylist()])
+            number, row_first = np.arange(len(known)), np.arange(len(known) + 1)
+        known = [*known, np.array([end_id], "<u4").tobytes()]
+        length = np.array([len(x) for x in known]) // 4
+        flat, begin = np.frombuffer(b"".join(known), "<u4"), np.cumsum(length) - length
+        ends = row_first[1:] + np.arange(len(row_first) - 1)
+        order = np.full(len(number) + len(ends), len(known) - 1)
+        inner = np.ones(len(order), bool)
+        inner[ends] = False
+        order[inner] = number
+        sizes = length[order]
+        stop = np.cumsum(sizes)
+        ids = flat[np.repeat(begin[order] - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        return ids, np.concatenate([[0], stop[ends]]).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def splits_at_space(vocabulary: str) -> bool:
-    """Whether no token of this tokenizer crosses from other characters to white space, so that texts can be cut there."""
+    """Whether this tokenizer parts texts as ``chunks_of`` does before it looks for tokens."""
     given = json.loads(vocabulary)
     kind = given.get("pre_tokenizer") or {}
     return kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not given.get("normalizer")
 
 
 def chunks_of(column: pa.Array) -> Words:
-    """The texts cut before each white space that follows another character: what is between is mostly a word and its space."""
+    """The texts cut before white space that follows another character, and between ASCII letters or digits and marks."""
     buf, at = buffer_of(column)
     size = int(at[-1])
     b = buf[:size]
     cut = np.zeros(size, bool)
     if size > 1:
-        before = np.r_[np.uint8(0), b[:-2]]
-        two_bytes = (before >= 0xC3) & (before <= 0xDF)
-        cut[1:] = _SPACE[b[1:]] & ~_SPACE[b[:-1]] & ~(_MAY_END_SPACE[b[:-1]] & ~two_bytes)
+        last, two_bytes = b[:-1], np.zeros(size - 1, bool)
+        two_bytes[1:] = (b[:-2] >= 0xC3) & (b[:-2] <= 0xDF)
+        cut[1:] = _SPACE[b[1:]] & ~_SPACE[last] & ~(_MAY_END_SPACE[last] & ~two_bytes)
+        cut[1:] |= (_ALNUM[last] & _MARK[b[1:]]) | (_MARK[last] & _ALNUM[b[1:]])
     cut[at[:-1][at[:-1] < size]] = True
     start = np.flatnonzero(cut)
     return Words(buf, start, np.r_[start[1:], size][: len(start)].astype(np.int64), np.searchsorted(start, at))
 
 
-def encode(column: pa.Array, tokenizer: Tokenizer, by_chunk: bool, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, first): ids of text r, with the end id, are ``ids[first[r]:first[r + 1]]``.  Equal chunks are encoded once."""
-    if by_chunk:
-        chunks = chunks_of(column)
-        _, one, number = np.unique(word_ids(chunks), return_index=True, return_inverse=True)
-        given = [chunks.buf[a:b].tobytes().decode() for a, b in zip(chunks.start[one], chunks.end[one], strict=True)]
-        row_first = chunks.first
-    else:
-        given = [t or "" for t in column.to_pylist()]
-        number, row_first = np.arange(len(given)), np.arange(len(given) + 1)
-    known = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(given, add_special_tokens=False)] + [np.array([end_id], np.uint32)]
-    length = np.array([len(x) for x in known])
-    flat, begin = np.concatenate(known), np.cumsum(length) - length
-    ends = row_first[1:] + np.arange(len(row_first) - 1)
-    order = np.full(len(number) + len(ends), len(known) - 1)
-    inner = np.ones(len(order), bool)
-    inner[ends] = False
-    order[inner] = number
-    sizes = length[order]
-    stop = np.cumsum(sizes)
-    ids = flat[np.repeat(begin[order] - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)]
-    return ids, np.concatenate([[0], stop[ends]]).astype(np.int64)
-
-
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids) of docs(doc_id, text), row by row in their order; ids are little-endian unsigned 32-bit integers.
 
-    The driver reads the vocabulary, a file of fixed size, and broadcasts it.  Strings of special tokens are ordinary text."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        vocabulary = f.read()
-    by_chunk = splits_at_space(vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    The driver reads the vocabulary, a file of fixed size, and broadcasts it."""
+    sent = docs.sparkSession.sparkContext.broadcast(_vocabulary(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(sent.value)
+        encode = _encoder(sent.value)
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, first = encode(part.column("text"), tokenizer, by_chunk, end_id)
-                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * first).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+            for part in slices(batch, "text", ENCODED_OCTETS):
+                ids, first = encode(part.column("text"), end_id)
+                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * first).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": data})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
+def _vocabulary(tokenizer_path: str) -> str:
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return f.read()
+
+
 # ---------------------------------------------------------------- files
 
 
@@ -158,8 +188,13 @@ def _write(path: str, data: bytes) -> None:
         f.write(data)
 
 
-def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(data) if data else None
+def _dictionary(data: bytes, level: int = 0) -> zstandard.ZstdCompressionDict | None:
+    if not data:
+        return None
+    found = zstandard.ZstdCompressionDict(data)
+    if level:
+        found.precompute_compress(level=level)
+    return found
 
 
 def trained_dictionary(sample: list[bytes], octets: int = DICTIONARY_OCTETS) -> bytes:
@@ -180,32 +215,30 @@ class _Shard(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, width: int, dictionary: bytes) -> None:
-        self.path, self.width, self.dictionary = path, width, dictionary
+    def __init__(self, path: str, vocabulary: str, width: int, end_id: int, dictionary: bytes) -> None:
+        self.path, self.vocabulary, self.width, self.end_id, self.dictionary = path, vocabulary, width, end_id, dictionary
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Shard:
         index: list[np.ndarray] = []
-        name, at, tokens = f"{uuid.uuid4().hex}.ids", HEADER, 0
-        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(self.dictionary))
-        out = None
-        for batch in iterator:
-            if not batch.num_rows:
-                continue
+        name, at, out = f"{uuid.uuid4().hex}.ids", HEADER, None
+        encode = _encoder(self.vocabulary)
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(self.dictionary, LEVEL))
+        for part in (p for batch in iterator for p in slices(batch, "text", ENCODED_OCTETS)):
             if out is None:
                 where, place = _place(f"{self.path}/{name}")
                 where.create_dir(place.rpartition("/")[0], recursive=True)
                 out = where.open_output_stream(place)
-                out.write(MAGIC + np.uint32(self.width).astype("<u4").tobytes() + (hashlib.sha256(self.dictionary).digest() if self.dictionary else bytes(32)))
-            rows = np.zeros(batch.num_rows, INDEX)
-            rows["no_id"] = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            rows["doc_id"] = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            for k, data in enumerate(batch.column("ids")):
-                ids = np.frombuffer(data.as_buffer(), "<u4")
-                frame = compressor.compress(ids.astype(f"<u{self.width}").tobytes())
-                rows["offset"][k], rows["n_tokens"][k] = at, len(ids)
-                out.write(frame)
-                at += len(frame)
-            tokens += int(rows["n_tokens"].sum())
+                out.write(MAGIC + np.array([self.width], "<u4").tobytes() + (hashlib.sha256(self.dictionary).digest() if self.dictionary else bytes(32)))
+            ids, first = encode(part.column("text"), self.end_id)
+            data = ids.astype(f"<u{self.width}").tobytes()
+            frames = [compressor.compress(data[self.width * a : self.width * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            sizes = np.array([len(f) for f in frames])
+            rows = np.zeros(part.num_rows, INDEX)
+            rows["no_id"] = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            rows["doc_id"] = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            rows["n_tokens"], rows["offset"] = np.diff(first), at + np.cumsum(sizes) - sizes
+            out.write(b"".join(frames))
+            at += int(sizes.sum())
             index.append(rows)
         if out is None:
             return _Shard("", 0, 0, None, None)
@@ -213,7 +246,7 @@ class _Writer(DataSourceArrowWriter):
         out.write(listed.tobytes() + np.array([(at, len(listed), MAGIC)], FOOTER).tobytes())
         out.close()
         of = lambda r: None if r["no_id"] else int(r["doc_id"])
-        return _Shard(name, len(listed), tokens, of(listed[0]), of(listed[-1]))
+        return _Shard(name, len(listed), int(listed["n_tokens"].sum()), of(listed[0]), of(listed[-1]))
 
     def commit(self, messages: list[_Shard | None]) -> None:
         last = 1 << 63  # no doc_id comes after all
@@ -286,7 +319,8 @@ class _Reader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """The format for ``spark.read.format`` and ``df.write.format``; options: width, dictionary (hexadecimal) and doc_ids."""
+    """The format for ``spark.read.format`` and ``df.write.format``; options: tokenizer (a file), width, end_id and dictionary
+    (hexadecimal) to write (doc_id, text), and doc_ids to read."""
 
     @classmethod
     def name(cls) -> str:
@@ -300,7 +334,7 @@ class TokenFiles(DataSource):
         return _Reader(self.options["path"], None if wanted is None else sorted({int(i) for i in wanted.split(",") if i}))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], int(self.options["width"]), bytes.fromhex(self.options.get("dictionary", "")))
+        return _Writer(self.options["path"], _vocabulary(self.options["tokenizer"]), int(self.options["width"]), int(self.options["end_id"]), bytes.fromhex(self.options.get("dictionary", "")))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, shards: int | None = None) -> None:
@@ -309,16 +343,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = given.filter(F.octet_length("text") <= SAMPLE_OCTETS).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS)
-    with open(tokenizer_path, encoding="utf-8") as f:
-        width = 2 if max(Tokenizer.from_str(f.read()).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(Tokenizer.from_str(_vocabulary(tokenizer_path)).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     # a bounded sample
     arrays = [np.frombuffer(r.ids, "<u4").astype(f"<u{width}").tobytes() for r in encoded(sample, tokenizer_path, end_id).select("ids").collect()]
     order = [F.col("doc_id").asc_nulls_last(), F.col("_h"), F.col("_at")]
     keyed = given.withColumns({"_h": F.xxhash64("text"), "_at": F.monotonically_increasing_id()})
     ranged = keyed.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     spark.dataSource.register(TokenFiles)
-    out = encoded(ranged, tokenizer_path, end_id).write.format("token_files").mode("overwrite")
-    out.option("width", width).option("dictionary", trained_dictionary(arrays).hex()).save(path)
+    out = ranged.select("doc_id", "text").write.format("token_files").mode("overwrite")
+    out.option("tokenizer", tokenizer_path).option("width", width).option("end_id", end_id).option("dictionary", trained_dictionary(arrays).hex()).save(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
