@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import time
 from ..functions.plans import scan_kind
 from ..functions.text import bind_parameters, close_statement, has_statement, restore_literals, statement_of
+from ..ordering import numbered
 from .series import asof
 
 # Trace minutes of a batch, seconds that it runs, latencies that p99 looks at, batches before recording.
@@ -51,14 +52,13 @@ def throughput(rows: DataFrame, minutes: int = BATCH_MINUTES, seconds: int = BAT
 def p99(rows: DataFrame, value: str, order: tuple[str, ...], *key: str, last: int = LATENCIES, block_rows: int = 50_000) -> DataFrame:
     """Each row with the 99th percentile of the last latencies of its key: of n sorted ones that at n - n div 100 - 1.
 
-    A key's rows are cut into blocks of ``block_rows`` in their order, each with the ``last - 1`` rows before it, so that no
-    task holds more; a block keeps its latest values sorted while it goes along.  Nulls count for nothing."""
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    A key's rows are numbered by ranges and cut into blocks of ``block_rows`` in their order, each with the ``last - 1`` rows
+    before it, so that no task holds more; a block keeps its latest values sorted while it goes along.  Nulls count for nothing."""
     step = max(block_rows, last)
-    numbered = rows.withColumn("_n", nth).withColumn("_b", F.floor(F.col("_n") / step).cast("long"))
+    placed = numbered(rows, order, *key).withColumn("_b", F.floor(F.col("_n") / step).cast("long"))
     # the rows that the next block has to know go there too
     ahead = F.when(F.col("_n") % step > step - last, F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")), F.struct((F.col("_b") + 1).alias("b"), F.lit(False).alias("own"))))
-    dealt = numbered.withColumn("_x", F.explode(F.coalesce(ahead, F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")))))).withColumns({"_b": F.col("_x.b"), "_own": F.col("_x.own")}).drop("_x")
+    dealt = placed.withColumn("_x", F.explode(F.coalesce(ahead, F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")))))).withColumns({"_b": F.col("_x.b"), "_own": F.col("_x.own")}).drop("_x")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", p99 double"
     columns = [f.name for f in rows.schema]
 
@@ -81,9 +81,8 @@ def p99(rows: DataFrame, value: str, order: tuple[str, ...], *key: str, last: in
 
 
 def latest_p99(rows: DataFrame, value: str, order: tuple[str, ...], *key: str, last: int = LATENCIES) -> DataFrame:
-    """(key, p99) of each key's last latencies; a key's rows are cut to those before they are gathered."""
-    newest = Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order])
-    kept = rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= last)
+    """(key, p99) of each key's last latencies; a key's rows are numbered by ranges and cut to those before they are gathered."""
+    kept = numbered(rows, [F.desc(o) for o in order], *key).filter(F.col("_n") < last)
     listed = kept.groupBy(*key).agg(F.sort_array(F.collect_list(value)).alias("_l"))
     return listed.select(*key, F.get("_l", (F.size("_l") - F.floor(F.size("_l") / 100) - 1).cast("int")).alias("p99"))
 
@@ -91,7 +90,7 @@ def latest_p99(rows: DataFrame, value: str, order: tuple[str, ...], *key: str, l
 def metrics(rows: DataFrame, value: str, indexes: DataFrame, minutes: int = BATCH_MINUTES, seconds: int = BATCH_SECONDS, warm_up: int = WARM_UP, last: int = LATENCIES) -> DataFrame:
     """(ts, throughput, p99, index) of the batches of a run, from rows(ts, id, value) of all workers; p99 is that of the last
     latencies up to the end of the batch, and indexes(ts, index) names what was built by then."""
-    ordered = p99(rows.withColumn("_run", F.lit(0)), value, ("ts", "id"), "_run", last=last)
+    ordered = p99(rows, value, ("ts", "id"), last=last)
     by_batch = batches(ordered.withColumn("_at", F.col("ts")).withColumn("ts", time.minute(F.col("ts"))), minutes).groupBy("batch").agg((F.count("*") / F.lit(seconds)).alias("throughput"), F.max_by("p99", F.struct("_at", "id")).alias("p99"))
     # a row a batch
     kept = by_batch.withColumn("_n", F.row_number().over(Window.orderBy("batch"))).filter(F.col("_n") > warm_up)

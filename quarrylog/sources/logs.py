@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..ordering import carried, numbered
+
 # Commands of MySQL logs, and the record formats.
 COMMANDS = ("Connect", "Quit", "Init DB", "Query", "Field List", "Statistics")
 _COMMAND = "|".join(COMMANDS)
@@ -77,7 +79,7 @@ def parse_mysql55(records: DataFrame, *key: str, order: str = "line_no") -> Data
     """(..., ts_text, conn, command, query); a record without a time has that of the last one before it in its file."""
     found = records.filter(F.col("record").rlike(MYSQL55))
     parsed = found.select(*[c for c in records.columns if c != "record"], *_groups(F.col("record"), MYSQL55, ("ts_text", "conn", "command", "query")))
-    return parsed.withColumn("ts_text", forward_filled(F.nullif("ts_text", F.lit("")), key or ("file",), order))
+    return carried(parsed.withColumn("ts_text", F.nullif("ts_text", F.lit(""))), "ts_text", order, *(key or ("file",)), width=BLOCK_LINES)
 
 
 def parse_postgresql(records: DataFrame) -> DataFrame:
@@ -94,11 +96,6 @@ def rejected(records: DataFrame, kind: str) -> DataFrame:
     return records.filter(~F.coalesce(F.col("record").rlike(pattern), F.lit(False)))
 
 
-def forward_filled(value: Column, key: tuple[str, ...], order: str) -> Column:
-    over = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.last(value, ignorenulls=True).over(over)
-
-
 # Schemas of anonymised logs.
 ANONYMISED = {
     "postgresql": "ts_text string, conn string, session_start string, query string, params string",
@@ -116,13 +113,15 @@ def read_anonymised(spark: SparkSession, path: str, kind: str, glob: str = "*.cs
 
 
 def sampled(rows: DataFrame, every: int, *order: str, key: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Every n-th row of each file, from its first one on."""
-    over = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_nth", F.row_number().over(over)).filter((F.col("_nth") - 1) % every == 0).drop("_nth")
+    """Every n-th row of each file, from its first one on; a file's rows are numbered by ranges."""
+    return numbered(rows, order, *key).filter(F.col("_n") % every == 0).drop("_n")
 
 
 def first_rows(rows: DataFrame, n: int, *order: str, key: tuple[str, ...] = ("file",)) -> DataFrame:
-    """The first n rows of each file."""
+    """The first n rows of each file.  Up to a thousand, each task cuts a file to its first n before they are brought together;
+    for more, rows are numbered by ranges."""
+    if n > 1000:
+        return numbered(rows, order, *key).filter(F.col("_n") < n).drop("_n")
     over = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_nth", F.row_number().over(over)).filter(F.col("_nth") <= n).drop("_nth")
 
