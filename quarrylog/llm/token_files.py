@@ -42,11 +42,11 @@ from .periodic_runs import distinct_words
 
 END_ID = 0
 #: The dictionary is trained on so many documents at most, of texts up to so many octets, and has so many octets.
-SAMPLE_DOCS, SAMPLE_OCTETS, DICTIONARY_OCTETS = 2000, 16 << 10, 64 << 10
+SAMPLE_DOCS, SAMPLE_OCTETS, DICTIONARY_OCTETS = 1000, 16 << 10, 64 << 10
 LEVEL = 3
 #: Ids that a batch read back holds, about; octets of text that are encoded at once.
 BATCH_IDS, ENCODED_OCTETS = 1 << 18, 1 << 20
-#: A worker keeps the ids of so many chunks, of so many octets at most.
+#: A worker keeps the ids of the last chunks, so many or twice as many, of so many octets at most.
 KNOWN_CHUNKS, KNOWN_OCTETS = 1 << 18, 64
 
 MAGIC = b"tokens01"
@@ -76,19 +76,20 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.by_chunk = splits_at_space(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, given: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
 
     def _chunk_ids(self, given: list[bytes]) -> list[bytes]:
-        found = [self.known.get(g) for g in given]
+        if len(self.known) > KNOWN_CHUNKS:
+            self.known, self.older = {}, self.known
+        known, older = self.known.get, self.older.get
+        found = [known(g) or older(g) for g in given]
         missing = [k for k, ids in enumerate(found) if ids is None]
-        if len(self.known) + len(missing) > KNOWN_CHUNKS:
-            self.known.clear()
         for k, ids in zip(missing, self._ids([given[k].decode() for k in missing]), strict=True):
             found[k] = ids
-            if len(given[k]) <= KNOWN_OCTETS:
-                self.known[given[k]] = ids
+        self.known.update((g, ids) for g, ids in zip(given, found, strict=True) if len(g) <= KNOWN_OCTETS)
         return found
 
     def __call__(self, column: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
