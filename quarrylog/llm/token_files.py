@@ -47,21 +47,25 @@ LEVEL = 3
 #: Ids that a batch read back holds, about; octets of text that are encoded at once.
 BATCH_IDS, ENCODED_OCTETS = 1 << 18, 1 << 20
 #: A worker keeps the ids of the last chunks, so many or twice as many, of so many octets at most.
-KNOWN_CHUNKS, KNOWN_OCTETS = 1 << 18, 64
+KNOWN_CHUNKS, KNOWN_OCTETS = 1 << 19, 64
 
 MAGIC = b"tokens01"
 INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("offset", "<u8"), ("n_tokens", "<u8")])
 FOOTER = np.dtype([("index_at", "<u8"), ("n_docs", "<u8"), ("magic", "S8")])
 HEADER = len(MAGIC) + 4 + 32
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
-# The apostrophe is none of these, as contractions start with it.
-_MARK = np.array([33 <= i < 127 and not chr(i).isalnum() and chr(i) != "'" for i in range(256)])
-# Last bytes of white space beyond ASCII; a character that starts with 0xC3 up to 0xDF and has one more byte is none.
-_MAY_END_SPACE = np.zeros(256, bool)
-_MAY_END_SPACE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+# Kinds of bytes: white space, ASCII letters and digits, marks (the apostrophe is none, as contractions start with it), bytes that may
+# end white space beyond ASCII, and the first bytes of characters of two bytes that are none.
+_SPACE, _ALNUM, _MARK, _MAY_END_SPACE, _OF_TWO, _OTHER = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[[i for i in range(128) if chr(i).isalnum()]] = _ALNUM
+_KIND[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = _MARK
+_KIND[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = _MAY_END_SPACE
+_KIND[0xC3:0xE0] = _OF_TWO
+_CUT = np.zeros((6, 6), bool)
+_CUT[[_ALNUM, _MARK, _OTHER], _SPACE] = True
+_CUT[_ALNUM, _MARK] = _CUT[_MARK, _ALNUM] = True
 
 
 # ---------------------------------------------------------------- encoding
@@ -84,12 +88,14 @@ class Encoder:
     def _chunk_ids(self, given: list[bytes]) -> list[bytes]:
         if len(self.known) > KNOWN_CHUNKS:
             self.known, self.older = {}, self.known
-        known, older = self.known.get, self.older.get
-        found = [known(g) or older(g) for g in given]
-        missing = [k for k, ids in enumerate(found) if ids is None]
+        found = list(map(self.known.get, given))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k in new:
+            found[k] = self.older.get(given[k])
+        missing = [k for k in new if found[k] is None]
         for k, ids in zip(missing, self._ids([given[k].decode() for k in missing]), strict=True):
             found[k] = ids
-        self.known.update((g, ids) for g, ids in zip(given, found, strict=True) if len(g) <= KNOWN_OCTETS)
+        self.known.update((given[k], found[k]) for k in new if len(given[k]) <= KNOWN_OCTETS)
         return found
 
     def __call__(self, column: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +140,11 @@ def chunks_of(column: pa.Array) -> Words:
     size = int(at[-1])
     b = buf[:size]
     cut = np.zeros(size, bool)
-    if size > 1:
-        last, two_bytes = b[:-1], np.zeros(size - 1, bool)
-        two_bytes[1:] = (b[:-2] >= 0xC3) & (b[:-2] <= 0xDF)
-        cut[1:] = _SPACE[b[1:]] & ~_SPACE[last] & ~(_MAY_END_SPACE[last] & ~two_bytes)
-        cut[1:] |= (_ALNUM[last] & _MARK[b[1:]]) | (_MARK[last] & _ALNUM[b[1:]])
+    kind = _KIND[b]
+    cut[1:] = _CUT.ravel()[6 * kind[:-1] + kind[1:]]
+    # such a byte behind the first of two is no white space
+    odd = np.flatnonzero((kind[1:-1] == _MAY_END_SPACE) & (kind[2:] == _SPACE))
+    cut[odd + 2] = kind[odd] == _OF_TWO
     cut[at[:-1][at[:-1] < size]] = True
     start = np.flatnonzero(cut)
     return Words(buf, start, np.r_[start[1:], size][: len(start)].astype(np.int64), np.searchsorted(start, at))
