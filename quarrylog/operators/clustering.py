@@ -7,11 +7,8 @@ grouped-map group; after normalisation its templates are few beside its queries,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,46 +160,3 @@ def threshold_components(similar: DataFrame, rho: float, left: str, right: str)
         if after.exceptAll(labels).isEmpty():
             return labels
         labels = after
-
-
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 1, query_id: str = "query_id", vector_id: str = "vector_id", vector: str = "vector", block_rows: int = 4096) -> DataFrame:
-    """(query_id, vector_id, cos, rank): the k nearest of all vectors to each of a stated set of queries.
-
-    Queries go to the tasks in blocks of about ``block_rows``; each block passes over all vectors, and of each batch of
-    vectors a query keeps k.  Vectors of length 0 have a cosine of 0; nulls are left out."""
-    given = queries.filter(F.col(vector).isNotNull()).select(query_id, F.col(vector).cast("array<double>").alias("q"))
-    against = vectors.filter(F.col(vector).isNotNull()).select(vector_id, F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-given.count() // block_rows))
-    types = f"{query_id} {given.schema[query_id].dataType.simpleString()}, {vector_id} {against.schema[vector_id].dataType.simpleString()}, cos double"
-    found = None
-    for n in range(blocks):
-        rows = given.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n).collect()
-        part = against.mapInArrow(_nearest_of(np.array([r[0] for r in rows]), _units([r.q for r in rows]), k, query_id, vector_id), types)
-        found = part if found is None else found.union(part)
-    over = Window.partitionBy(query_id).orderBy(F.desc(F.round("cos", 9)), vector_id)
-    return found.withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= k)
-
-
-def _units(rows: list[list[float]]) -> np.ndarray:
-    x = np.array(rows, float).reshape(len(rows), -1)
-    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(length > 0, length, 1.0)
-
-
-def _nearest_of(ids: np.ndarray, q: np.ndarray, k: int, query_id: str, vector_id: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            names = np.array(batch.column(vector_id).to_pylist())
-            order = np.argsort(names, kind="stable")
-            names = names[order]
-            cos = q @ _units(batch.column("v").to_pylist())[order].T
-            cos[ids[:, None] == names] = -np.inf
-            # of equal ones the first by name, as the names are in order
-            best = np.argsort(-np.round(cos, 9), axis=1, kind="stable")[:, :k]
-            score = np.take_along_axis(cos, best, axis=1)
-            row, column = np.nonzero(np.isfinite(score))
-            yield pa.record_batch({query_id: pa.array(ids[row].tolist()), vector_id: pa.array(names[best[row, column]].tolist()), "cos": pa.array(score[row, column])})
-
-    return run

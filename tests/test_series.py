@@ -151,23 +151,6 @@ def test_long_chains_are_one_component(spark):
     assert {r.component for r in found if r.node.startswith("n")} == {"n0000"} and len(found) == 303
 
 
-@pytest.mark.parametrize("block_rows", [4096, 3])
-def test_nearest_vectors_are_those_of_a_search(spark, block_rows):
-    rng = np.random.default_rng(6)
-    v = rng.standard_normal((200, 6)).round(1)
-    v[7] = 0
-    v[20:25] = v[20]
-    rows = [(int(i), [float(x) for x in row]) for i, row in enumerate(v)]
-    df = spark.createDataFrame([*rows, (900, None)], "vector_id long, vector array<double>").repartition(5)
-    q = df.filter("vector_id % 20 = 0 or vector_id = 7").withColumnRenamed("vector_id", "query_id")
-    found = clustering.nearest_vectors(q, df, 3, block_rows=block_rows).collect()
-    length = np.linalg.norm(v, axis=1)
-    cos = v @ v.T / np.maximum(np.outer(length, length), 1e-300)
-    for i in [*range(0, 200, 20), 7]:
-        expected = sorted((j for j in range(200) if j != i), key=lambda j: (-round(cos[i, j], 9), j))[:3]
-        assert [r.vector_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == i] == expected
-
-
 def test_kernel_regression_is_the_weighted_mean(spark):
     rng = np.random.default_rng(7)
     x, y, z = rng.random((50, 3)), rng.random(50), rng.random((9, 3))
