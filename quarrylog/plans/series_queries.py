@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric, time
-from ..operators import clustering, coverage, replay, series
+from ..operators import clustering, coverage, neighbours, replay, series, similar
 from ..streaming import counts as streaming
 from . import fixtures as X
 
@@ -136,14 +136,15 @@ def cosine_pairs(spark, sf):
 def nearest_centre(spark, sf):
     u = series.bucketed(X.user_counts(spark, sf), 60, "template")
     centres = coverage.cluster_series(X.assignments(spark, sf), X.user_counts(spark, sf), 60)
-    found = clustering.nearest(clustering.similarities(u, centres).withColumn("cos", F.round("cos", 6)))
-    return found
+    return clustering.nearest(similar.nearest_similar(u, centres).withColumn("cos", F.round("cos", 6)))
 
 
 def threshold_components(spark, sf):
     u = series.bucketed(X.user_counts(spark, sf), 1440, "template")
-    found = clustering.similarities(u, u.withColumnRenamed("template", "other"), "template", "other")
-    return clustering.threshold_components(found.withColumn("cos", F.round("cos", 6)), 0.93, "template", "other")
+    one, members = similar.distinct_series(u)
+    found = similar.similar_above(one, one.withColumnRenamed("template", "other"), 0.93, "template", "other")
+    labels = clustering.threshold_components(found.withColumn("cos", F.round("cos", 6)), 0.93, "template", "other")
+    return members.join(labels, members["same"] == labels["node"]).select(F.col("template").alias("node"), "component")
 
 
 def cluster_totals(spark, sf):
@@ -166,7 +167,7 @@ def cluster_series(spark, sf):
 def embedding_knn(spark, sf):
     v = X.read(spark, sf, "embeddings").select("vec_id", "embedding")
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = clustering.nearest_vectors(q, v.select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector")), 2)
+    found = neighbours.nearest_vectors(q, v.select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector")), 2)
     return found.select("query_id", "vector_id", "rank", F.round("cos", 6).alias("cos"))
 
 
