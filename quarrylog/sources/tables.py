@@ -18,15 +18,24 @@ SCHEMAS = {
     "cluster_totals": "as_of timestamp_ntz, cluster int, total long",
     "coverage": "k int, mean_share double",
     "replay": "ts timestamp_ntz, throughput double, p99 double, index string",
+    "models": "model string, horizon int, as_of timestamp_ntz, shift double, mean double, deviation double, clusters array<int>, weights array<array<double>>",
 }
 #: Columns that tables are laid out by, so that filters on them read those folders only.
-PARTITIONS = {"assignments": ("as_of",), "cluster_series": ("cluster",), "forecasts": ("model", "horizon")}
+PARTITIONS = {"assignments": ("as_of",), "cluster_series": ("cluster",), "forecasts": ("model", "horizon"), "models": ("as_of",)}
 
 
 def write_table(df: DataFrame, name: str, folder: str) -> None:
     df.write.mode("overwrite").partitionBy(*PARTITIONS.get(name, ())).parquet(f"{folder}/{name}")
 
 
+def append_table(df: DataFrame, name: str, folder: str) -> None:
+    """Adds rows to a table laid out by some columns.  What it has for the values that these columns have in df is replaced, and
+    nothing else, so that writing a day again leaves the table as it was."""
+    if not PARTITIONS.get(name):
+        raise ValueError(f"{name} is not laid out by any column")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS[name]).parquet(f"{folder}/{name}")
+
+
 def read_table(spark: SparkSession, name: str, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
 

@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from quarrylog.plans import model_queries, series_queries, source_queries, text_queries
+from quarrylog.plans import model_queries, series_queries, source_queries, spectral_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = text_queries.QUERIES | series_queries.QUERIES | model_queries.QUERIES | source_queries.QUERIES
+QUERIES = text_queries.QUERIES | series_queries.QUERIES | model_queries.QUERIES | source_queries.QUERIES | spectral_queries.QUERIES
 
 
 @pytest.fixture(scope="module")
