@@ -8,9 +8,10 @@
 3. Every page's blocks are taken again along its host's winning path, or along its own where it has no such container.
 
 Left out wherever they stand: scripts, styles, menus, page headers and footers, sidebars, notices, adverts, forms and
-reader comments.  Tags and roles decide it alone.  A class or an id does by its head word only ("ad-box", "site-header",
-not "has-sidebar"), and not for an element that holds the page's article, its main heading, or nearly all of its
-text.  Containers below ``MAX_DEPTH`` levels take the name of the last one above; their text is kept.
+reader comments.  Tags and roles decide it alone, but for forms, buttons and dialogs, which pages may stand in as a whole:
+these are marks, as is a class or an id by its head word only ("ad-box", "site-header", not "has-sidebar").  What is marked stays
+if it holds the page's article, its main heading, or nearly all of the text around it, and so does a paragraph of prose with the
+name of a list of links.  Containers below ``MAX_DEPTH`` levels take the name of the last one above; their text is kept.
 
 Defined results: null, empty and textless html give an empty text; pages without a host follow their own path; repeated
 rows are kept; unclosed tags are closed by what follows, an unclosed script or comment by the page's end; an empty table
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import looked_up, reliable, table, written
+from ._common import looked_up, reliable, slices, table, written
 from .url_filter import host_and_path
 
 MAX_DEPTH = 12
@@ -41,9 +42,13 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTAINERS = frozenset("article blockquote body center div main section td ul ol dl table".split())
 #: Their content is no markup, up to the end tag.
 RAW = frozenset("script style noscript textarea iframe title".split())
-BESIDE = frozenset("aside button dialog footer form iframe menu nav noscript script select style svg template textarea title".split())
-BESIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+BESIDE = frozenset("aside footer iframe menu nav noscript script select style svg template textarea title".split())
+BESIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo menu menubar navigation search toolbar".split())
+#: Elements and roles that whole pages may stand in; they count like a class.
+AROUND = frozenset("button dialog form".split())
 BESIDE_WORDS = frozenset("ad ads adv advert advertisement advertising adverts adsbygoogle banner breadcrumb breadcrumbs consent cookie cookies footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promoted promotion recommended related share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+#: Those of lists of links: a paragraph of prose stays whatever they say.
+LINK_WORDS = frozenset("breadcrumb breadcrumbs login menu nav navbar navigation pagination recommended related share sharing sidebar social toolbar topbar widget widgets".split())
 COMMENT_WORDS = frozenset("comment comments commentary disqus replies reply respond responses".split())
 #: Words that may follow one of those without another meaning, and first words that only say that something is there.
 PART_WORDS = frozenset("area bar block body bottom box button buttons center col column container content group icons inner item items left link links list main message outer panel primary right row secondary section slot text thread title top unit wrap wrapper".split())
@@ -69,7 +74,7 @@ _DIGITS = re.compile("[0-9]+")
 
 
 def _beside(name: str) -> str:
-    """What a class or an id says about an element: "comments", "header", "beside" or nothing."""
+    """What a class or an id says about an element: "comments", "header", "links", "beside" or nothing."""
     words = [w.lower() for w in _WORD.findall(name)]
     if not words or words[0] in MODIFIERS:
         return ""
@@ -80,13 +85,14 @@ def _beside(name: str) -> str:
             return ""
     if head == "header":
         return "" if ARTICLE_WORDS.intersection(words) else "header"
-    return "comments" if head in COMMENT_WORDS else "beside"
+    return "comments" if head in COMMENT_WORDS else "links" if head in LINK_WORDS else "beside"
 
 
 class Element:
-    """An open element; ``marks`` are the elements, from the top down to itself, that a class or an id sets beside."""
+    """An open element.  One that is set beside is a mark: ``mark`` is the innermost one here, ``outer`` the next one around a mark;
+    what a mark holds is counted at the innermost one first."""
 
-    __slots__ = ("about", "article", "beside", "bonus", "chars", "container", "depth", "heading", "holds", "link", "marks", "parent", "path", "place", "tag")
+    __slots__ = ("about", "article", "articles", "beside", "bonus", "chars", "commented", "container", "depth", "dropped", "free", "heading", "kept_around", "link", "links", "mains", "mark", "outer", "parent", "path", "place", "tag")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent = tag, parent
@@ -94,9 +100,9 @@ class Element:
         self.beside = tag in BESIDE or (parent is not None and parent.beside)
         self.article = parent is not None and parent.article
         self.link = parent is not None and parent.link
-        self.marks: tuple[Element, ...] = parent.marks if parent else ()
-        self.about, self.bonus, self.chars = "", 1.0, 0
-        self.holds = self.heading = False
+        self.mark: Element | None = parent.mark if parent else None
+        self.commented = parent is not None and parent.commented
+        self.about, self.bonus = "beside" if tag in AROUND else "", 1.0
         self.container = tag in CONTAINERS
         label = tag
         if "=" in attributes:
@@ -107,7 +113,9 @@ class Element:
             self.link |= tag == "a" and "href" in found
             if tag != "main":
                 said = {_beside(n) for n in (*names, found.get("id", ""))}
-                self.about = next((s for s in ("comments", "beside", "header") if s in said), "")
+                if role in AROUND:
+                    said.add("beside")
+                self.about = next((s for s in ("comments", "beside", "links", "header") if s in said), self.about)
                 if tag == "article" and self.about != "comments" or (self.about == "header" and self.article):
                     self.about = ""
             if ARTICLE_WORDS.intersection(w.lower() for n in (*names, found.get("id", ""), role) for w in _WORD.findall(n)):
@@ -117,15 +125,18 @@ class Element:
             label += "".join(f".{_DIGITS.sub('', n)}" for n in sorted(names)[:2])
         if tag == "header" and not self.article:
             self.beside = True
-        if self.about and len(self.marks) < MAX_DEPTH:
-            self.marks += (self,)
+        if self.about:
+            self.outer, self.mark = self.mark, self
+            self.free = self.chars = self.links = 0
+            self.articles = self.mains = self.heading = False
+            self.commented |= self.about == "comments"
         if tag in ("article", "main") and self.about != "comments":
             self.bonus, self.article = 3.0, True
-            for m in self.marks:
-                m.holds |= tag == "main" or m.about != "comments"
-        if tag == "h1":
-            for m in self.marks:
-                m.heading = True
+            if self.mark:
+                self.mark.articles = True
+                self.mark.mains |= tag == "main"
+        if tag == "h1" and self.mark:
+            self.mark.heading = True
         if parent is None:
             self.path = label
         elif self.container and parent.depth < MAX_DEPTH:
@@ -150,6 +161,7 @@ class Page:
         self.stack = [Element("body", None)]
         self.pieces: list[tuple[str, Element]] = []
         self.found: list[tuple[list[tuple[str, Element]], Element]] = []
+        self.marks: list[Element] = []
         self.has_article = False
 
     def flush(self) -> None:
@@ -166,11 +178,12 @@ class Page:
         if raw and not top.beside:
             text = unescape(raw) if "&" in raw else raw
             self.pieces.append((text, top))
-            if top.article or top.marks:
+            if top.article or top.mark:
                 solid = len(text.strip())
-                self.has_article |= top.article and solid > 0 and not any(m.about == "comments" for m in top.marks)
-                for m in top.marks:
-                    m.chars += solid
+                self.has_article |= top.article and solid > 0 and not top.commented
+                if top.mark:
+                    top.mark.free += solid
+                    top.mark.links += solid if top.link else 0
 
     def close(self, tags: set[str] | frozenset[str], fences: frozenset[str]) -> None:
         """Closes the outermost open element of these tags that no fence hides."""
@@ -206,25 +219,39 @@ class Page:
         if closes := CLOSES.get(tag) or ({"p"} if tag in BLOCKS else None):
             self.close(closes, FENCES)
         # an inline element without attributes tells nothing; its end tag finds no opener
-        if (tag in BLOCKS or tag in BESIDE or "=" in attributes) and not (attributes.endswith("/") and tag in ("svg", "math")):
+        if (tag in BLOCKS or tag in BESIDE or tag in AROUND or "=" in attributes) and not (attributes.endswith("/") and tag in ("svg", "math")):
             self.stack.append(Element(tag, self.stack[-1], attributes))
+            if self.stack[-1].about:
+                self.marks.append(self.stack[-1])
+
+    def drops(self, m: Element) -> bool:
+        if m.mains or m.articles and m.about != "comments":
+            return False
+        if m.about == "links" and m.tag == "p" and m.chars >= 2 * PROSE and 3 * m.links < m.chars:
+            return False
+        if self.has_article:
+            return True
+        return not (m.heading and m.about != "header") and (m.about == "comments" or 10 * m.kept_around >= m.chars)
 
     def blocks(self) -> list[Block]:
-        """The blocks without what marked elements hold, unless such an element has to be a part of the article."""
-        outside = sum(len(t.strip()) for pieces, _ in self.found for t, node in pieces if not node.marks)
-
-        def drops(m: Element) -> bool:
-            if m.holds:
-                return False
-            if self.has_article:
-                return True
-            return not (m.heading and m.about != "header") and (m.about == "comments" or 10 * outside >= m.chars)
-
-        out, decided = [], {}
+        """The blocks without what marks hold, unless a mark has to be a part of the article."""
+        outside = sum(len(t.strip()) for pieces, _ in self.found for t, node in pieces if not node.mark)
+        for m in reversed(self.marks):  # those inside before those around them
+            m.chars += m.free
+            if m.outer:
+                m.outer.chars += m.chars
+                m.outer.links += m.links
+                m.outer.articles |= m.articles
+                m.outer.mains |= m.mains
+                m.outer.heading |= m.heading
+        for m in self.marks:
+            m.kept_around = m.outer.kept_around + m.outer.free if m.outer else outside
+            m.dropped = m.outer is not None and m.outer.dropped or self.drops(m)
+        out = []
         for pieces, owner in self.found:
             text, links = [], 0
             for t, node in pieces:
-                if any(decided[id(m)] if id(m) in decided else decided.setdefault(id(m), drops(m)) for m in node.marks):
+                if node.mark and node.mark.dropped:
                     continue
                 text.append(t)
                 links += len(t.strip()) if node.link else 0
@@ -317,9 +344,9 @@ def best_path(blocks: list[Block]) -> str | None:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page its own path, the paths of its containers, and its blocks with the numbers of those around them."""
     inside_type = pa.list_(pa.struct([("text", pa.string()), ("links", pa.int32()), ("inside", pa.list_(pa.int32()))]))
-    for batch in batches:
+    for part in (p for batch in batches for p in slices(batch, "html")):
         own, paths, found = [], [], []
-        for html in batch.column("html"):
+        for html in part.column("html"):
             blocks = blocks_of(html.as_py() or "")
             number: dict[str, int] = {}
             rows = []
@@ -329,7 +356,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own.append(best_path(blocks))
             paths.append(list(number))
             found.append(rows)
-        yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "host": batch.column("host"), "own": pa.array(own, pa.string()), "paths": pa.array(paths, pa.list_(pa.string())), "blocks": pa.array(found, inside_type)})
+        yield pa.record_batch({"page_id": part.column("page_id"), "url": part.column("url"), "host": part.column("host"), "own": pa.array(own, pa.string()), "paths": pa.array(paths, pa.list_(pa.string())), "blocks": pa.array(found, inside_type)})
 
 
 _PAGES = "page_id long, url string, host string, own string, paths array<string>, blocks array<struct<text:string,links:int,inside:array<int>>>"

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import itertools
 import math
@@ -474,6 +475,18 @@ LONG = "A real sentence of the article that is long enough to be prose, and so i
         (f'<div role="banner">x</div><div role="main"><p>a < b &lt; c &#x263a; {LONG}</p></div><p title=\'open>tail', f"a < b < c ☺ {LONG}"),
         (f"<article><p>{LONG}<ul><li>one<li>two</ul><form>no</form><button>no</button><aside>no</aside><footer>no</footer></article>", f"{LONG}\none\ntwo"),
         (f"<article><p><a href=1>In a link that is never closed {LONG}</p><p>{LONG}</p></article>", f"In a link that is never closed {LONG}\n{LONG}"),
+        # pages that stand in a form or dialog as a whole, with other forms and adverts in them
+        (f'<form id="aspnetForm"><article><h1>A</h1><p>{LONG}</p></article></form>', f"A\n{LONG}"),
+        (f'<form><div class=content><p>{LONG}</p><p>{LONG}</p><div class=ad>Buy</div><button>Share</button></div></form>', f"{LONG}\n{LONG}"),
+        (f'<form><div class=content><h1>A</h1><p>{LONG}</p></div><div role=dialog>Log in</div></form><form>Search</form>', f"A\n{LONG}"),
+        (f'<div role="dialog"><main><p>{LONG}</p><form>Name</form></main></div>', LONG),
+        (f'<div role="form"><p>{LONG}</p><footer>no</footer></div>', LONG),
+        # marks inside marks, as many as there are
+        ("<div class=widget>" * 40 + f'<article><p>{LONG}</p><div class="ad">buy now</div></article>' + "</div>" * 40, LONG),
+        ("<div class=widget>" * 40 + f'<p>{LONG}</p><div class="ad">buy now</div>' + "</div>" * 40, LONG),
+        # prose is no list of links, but it may be an advert
+        (f'<article><p>{LONG}</p><p class="social">{LONG} {LONG}</p></article>', f"{LONG}\n{LONG} {LONG}"),
+        (f'<article><p>{LONG}</p><p class="social"><a href=1>{LONG}</a> {LONG}</p><p class="advert">{LONG} {LONG}</p><p class=share>Tell others</p></article>', LONG),
     ],
 )
 def test_text_is_kept_and_parts_beside_it_are_not(html, text):
@@ -506,6 +519,38 @@ def test_generated_pages_give_the_text_they_were_made_with(spark):
     assert len(found) == len(rows) and all(r.text == made[r.page_id][1] and r.n_chars == len(r.text) for r in found)
 
 
+def test_votes_of_random_hosts_are_counted(spark):
+    rng = random.Random(14)
+    part = lambda name: f'<div class="{name}{rng.randint(0, 99)}">' + "".join(f"<p>{LONG * rng.randint(0, 3)} {rng.choice(['one', 'two'])}</p>" for _ in range(rng.randint(0, 4))) + "</div>"
+    rows = []
+    for n in range(300):
+        host = rng.choice(["a", "b", "c", "d", "hot", "hot", "hot"])
+        names = {"a": ["left", "right"], "b": ["post", "left"], "hot": ["left", "mid", "right"]}.get(host, ["x"])
+        rows.append((n, rng.choice([f"http://{host}.example/{n}", f"http://{host}.example/{n}", None]), "".join(part(x) for x in names)))
+    votes = collections.defaultdict(collections.Counter)
+    for _, url, html in rows:
+        if url and (path := html_text.best_path(html_text.blocks_of(html))):
+            votes[url.split("/")[2]][path] += 1
+    assert max(len(v) for v in votes.values()) > 2
+    winner = {h: max(v, key=lambda p: (v[p], p)) for h, v in votes.items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.extracted(df).collect()}
+    for n, url, html in rows:
+        blocks = html_text.blocks_of(html)
+        own = html_text.best_path(blocks)
+        inside = lambda b, path: any(c.path == path for c in html_text._containers(b.owner))
+        path = winner.get(url.split("/")[2]) if url else own
+        path = path if any(inside(b, path) for b in blocks) else own
+        assert found[n] == "\n".join(b.text for b in blocks if inside(b, path))
+
+
+def test_large_pages_go_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(_common, "SLICE_BYTES", 1000)
+    page = f"<article><p>{LONG * 50}</p></article>"
+    df = spark.createDataFrame([(i, "http://h/", page) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    assert {r.text for r in html_text.extracted(df).collect()} == {(LONG * 50)}
+
+
 def test_hosts_too_many_to_broadcast_are_joined_by_shuffle(spark, monkeypatch):
     rng = random.Random(13)
     rows = [(n, f"https://{'hot' if n % 3 else n}.example/{n}", _random_page(rng, n)[0]) for n in range(60)]
