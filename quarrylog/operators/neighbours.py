@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from ..checkpoints import shared_checkpoints
 
@@ -61,7 +62,7 @@ def fitted_tree(sample: np.ndarray, leaves: int) -> Tree:
     return Tree(dims, cuts, np.array(centres))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of equally long lists."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
@@ -76,7 +77,7 @@ def _placed(tree: Tree) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = units(_matrix(batch.column("v")))
+                x = units(matrix_of(batch.column("v")))
                 leaf = tree.leaf_of(x)
                 away = np.sqrt(((x - tree.centres[leaf]) ** 2).sum(axis=1))
                 unit = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
@@ -91,7 +92,7 @@ def _visits(tree: Tree, radius: np.ndarray, visits: int | None) -> Callable[[Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column("v"))
+                x = matrix_of(batch.column("v"))
                 bound = x @ tree.centres.T + np.sqrt((x * x).sum(axis=1, keepdims=True)) * radius
                 bound[:, radius < 0] = -np.inf
                 own = batch.column("leaf").to_numpy()
@@ -114,7 +115,7 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         names = vectors.column("id").combine_chunks()
         order = np.argsort(np.array(names.to_pylist()), kind="stable")
         names, asked = names.take(pa.array(order)), queries.column("id").combine_chunks()
-        cos = _matrix(queries.column("v")) @ _matrix(vectors.column("v"))[order].T if len(order) and len(asked) else np.zeros((len(asked), len(order)))
+        cos = matrix_of(queries.column("v")) @ matrix_of(vectors.column("v"))[order].T if len(order) and len(asked) else np.zeros((len(asked), len(order)))
         cos[np.array(asked.to_pylist())[:, None] == np.array(names.to_pylist())] = -np.inf
         # of equal ones the first by name, as the names are in order
         best = np.argsort(-np.round(cos, DIGITS), axis=1, kind="stable")[:, :k]
@@ -125,8 +126,9 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def _compared(asked: DataFrame, placed: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
-    """(query, vector, cos): of asked(id, v, leaf), the best k of each block of the leaf.  leaves(leaf, n) has a row a leaf."""
+def in_blocks(asked: DataFrame, placed: DataFrame, leaves: DataFrame, *more: str) -> PandasCogroupedOps:
+    """Pairs of blocks of asked(id, v, leaf) and of placed(v, leaf, more) of the same leaf, for ``applyInArrow``.  leaves(leaf, n) has
+    a row a leaf."""
     counted = asked.groupBy("leaf").agg(F.count("*").alias("q")).join(F.broadcast(leaves), "leaf")
     parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     # a row a leaf
@@ -136,9 +138,13 @@ def _compared(asked: DataFrame, placed: DataFrame, leaves: DataFrame, k: int) ->
     q = asked.withColumn("_at", F.monotonically_increasing_id()).join(plan, "leaf").withColumn("_bq", mine("_nq")).withColumn("_bv", every("_nv"))
     v = placed.withColumn("_at", F.monotonically_increasing_id()).join(plan, "leaf").withColumn("_bv", mine("_nv")).withColumn("_bq", every("_nq"))
     block = ["leaf", "_bq", "_bv"]
+    return q.select(*block, "id", "v").groupBy(*block).cogroup(v.select(*block, "v", *more).groupBy(*block))
+
+
+def _compared(asked: DataFrame, placed: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
+    """(query, vector, cos): of asked(id, v, leaf), the best k of each block of the leaf."""
     kind = placed.schema["id"].dataType.simpleString()
-    grouped = q.select(*block, "id", "v").groupBy(*block).cogroup(v.select(*block, "id", "v").groupBy(*block))
-    return grouped.applyInArrow(_best(k), f"query {kind}, vector {kind}, cos double")
+    return in_blocks(asked, placed, leaves, "id").applyInArrow(_best(k), f"query {kind}, vector {kind}, cos double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:

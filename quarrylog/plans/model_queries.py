@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import shared_checkpoints
 from ..functions import generate, numeric, plans
-from ..operators import access, advice, clustering, combine, coverage, forecast, linear, series, vectors
+from ..operators import access, advice, clustering, combine, coverage, forecast, kernel, linear, series, vectors
 from ..sources import ddl
 from ..sources.tables import cleaned_predictions, pivoted
 from . import fixtures as X
@@ -94,7 +94,7 @@ def kernel_regression(spark, sf):
     pairs = series.lag_features(X.hourly(spark, sf), 4, 1, "cluster").select("cluster", "ts", F.transform("x", lambda v: v.cast("double")).alias("x"), "y")
     train = pairs.filter("ts < timestamp_ntz'2024-01-20'").select("x", "y")
     test = pairs.filter("ts >= timestamp_ntz'2024-01-20'").select(F.concat_ws("|", "cluster", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("id"), "x")
-    return forecast.kernel_regression(train, test, 4).select("id", F.round("predicted", 5).alias("predicted"))
+    return kernel.kernel_regression(train, test, 4).select("id", F.round("predicted", 5).alias("predicted"))
 
 
 def _tops(spark, sf):

@@ -151,19 +151,6 @@ def test_long_chains_are_one_component(spark):
     assert {r.component for r in found if r.node.startswith("n")} == {"n0000"} and len(found) == 303
 
 
-def test_kernel_regression_is_the_weighted_mean(spark):
-    rng = np.random.default_rng(7)
-    x, y, z = rng.random((50, 3)), rng.random(50), rng.random((9, 3))
-    train = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(4)
-    test = spark.createDataFrame([(f"t{i}", list(map(float, a))) for i, a in enumerate(z)], "id string, x array<double>")
-    variance = np.var(np.concatenate([x, z]), axis=0, ddof=1)
-    for block in (4096, 2):
-        found = {r.id: r.predicted for r in forecast.kernel_regression(train, test, 3, block_rows=block).collect()}
-        for i, row in enumerate(z):
-            w = np.exp(-np.sqrt(((x - row) ** 2 / variance).sum(axis=1)))
-            assert abs(found[f"t{i}"] - (w @ y) / w.sum()) < 1e-9
-
-
 def test_rolling_p99_in_blocks(spark):
     rng = np.random.default_rng(8)
     rows = [(k, i, None if rng.random() < 0.05 else float(rng.integers(0, 1000))) for k in "ab" for i in range(400)]
