@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _common
 from . import _tokens as T
-from ._common import looked_up, modest, reliable, slices, table, written
+from ._common import looked_up, octets, reliable, slices, table, written
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -227,20 +228,27 @@ def edges(reps: DataFrame, max_bits: int = MAX_BITS, hot_group: int = 20_000) ->
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of an edge list (u, v); the label is the component's smallest node.
 
-    Alternates large-star and small-star steps; each is one aggregation and one join on the node, with no
-    group gathered anywhere, and each round is checkpointed."""
+    Alternates large-star and small-star steps; each is one aggregation and one lookup by node, with no
+    group gathered anywhere, and each step is checkpointed."""
     links = reliable(links.select("u", "v").filter("u <> v"))
-    if links.isEmpty():
+    count = links.count()
+    if not count:
         return links.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+    def with_least(edges: DataFrame) -> DataFrame:
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
+        # a node may have most of all edges: where they are many, they do not meet in one task
+        return looked_up(edges, reliable(least), "u", "times") if count > TASK_ROWS else edges.join(least.drop("times"), "u")
+
     before = None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: a node's larger neighbours go to its smallest one
-        links = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        links = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        links = reliable(links.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        links = reliable(links) if count > TASK_ROWS else links
+        smaller = with_least(links)
+        links = reliable(smaller.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -253,9 +261,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, hot_group: int =
     prints = reliable(document_fingerprints(docs))
     reps = reliable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
     labels = components(edges(reps, max_bits, hot_group)).select(F.col("node").alias("fp"), "label")
-    named = reps.join(labels, "fp", "left").select("fp", "least", "times", F.coalesce("label", "fp").alias("label"))
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = reliable(named.join(ids, "label").select("fp", "component_id", "times"))
+    named = reliable(reps.join(labels, "fp", "left").select("fp", "least", F.col("times").alias("rows"), F.coalesce("label", "fp").alias("label")))
+    ids = reliable(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("times")))
+    of_fp = reliable(looked_up(named, ids, "label", "times").select("fp", "component_id", F.col("rows").alias("times")))
     return looked_up(prints, of_fp, "fp", "times").select("doc_id", "fp", "component_id")
 
 
@@ -286,13 +294,27 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     rows = written(near_copies.signed(texts))
     signed = reliable(rows.groupBy("th").agg(first_row, F.first("fp").alias("fp")))
-    labels = near_copies.groups(rows, lambda nodes: near_copies.shingle_sets(texts.join(modest(nodes), "th", "left_semi").dropDuplicates(["th"])), _close(signed))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        if octets(nodes) <= _common.BROADCAST_BYTES:
+            return near_copies.shingle_sets(texts.join(F.broadcast(nodes), "th", "left_semi").dropDuplicates(["th"]))
+        # copies go before texts are shuffled
+        return near_copies.shingle_sets(texts.dropDuplicates(["th"]).join(nodes, "th", "left_semi"))
+
+    labels = near_copies.groups(rows, sets, _close(signed))
     named = signed.select("th", "first").join(labels, "th", "left")
     best = named.groupBy(F.coalesce("label", "th")).agg(F.min(F.struct("first", "th")).alias("x"))
     keep = reliable(best.select(row(F.col("x.first.doc_id"), F.col("x.th")).alias("__keep")))
-    kept = docs.withColumn("__row", row(doc_id, near_copies.text_hash(F.col("text")))).join(keep, F.col("__row") == F.col("__keep"), "left_semi")
-    first = Window.partitionBy("__row").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return kept.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth", "__row")
+    given = docs.withColumn("__row", row(doc_id, near_copies.text_hash(F.col("text"))))
+    again = rows.groupBy("doc_id", "th").agg(F.count("*").alias("__times")).filter("__times > 1")
+    again = reliable(again.select(row(F.col("doc_id"), F.col("th")).alias("__row"), F.lit(True).alias("__again"), "__times"))
+    if not again.isEmpty():
+        # of equal rows one: tasks choose before anything is brought together
+        marked = looked_up(given, again, "__row", "__times")
+        columns = [F.col(f"`{c}`") for c in given.columns]
+        chosen = marked.filter("__again").groupBy("__row").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__r")).select("__r.*")
+        given = marked.filter("__again is null").select(*columns).union(chosen)
+    return given.join(keep, F.col("__row") == F.col("__keep"), "left_semi").drop("__row")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

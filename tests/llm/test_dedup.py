@@ -115,6 +115,29 @@ def test_long_chains_are_one_component(spark):
     assert {r.node: r.label for r in found} == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)}
 
 
+def test_a_node_that_most_edges_meet_at(spark, monkeypatch):
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(_common, "HOT_SHARE", 10)
+    star = [(i, 500) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(5)]
+    for rows in (500_000, 0):
+        monkeypatch.setattr(simhash_dedup, "TASK_ROWS", rows)
+        found = simhash_dedup.components(spark.createDataFrame(star, "u long, v long")).collect()
+        assert {r.node: r.label for r in found} == {i: 1 for i in [*range(1, 400), 500]} | {1000 + i: 1000 for i in range(6)}
+
+
+def test_of_equal_rows_one_is_kept(spark, monkeypatch):
+    text = "A text of its own with some words in it, which a good many rows repeat as it is."
+    rows = [(5, text, f"s{i % 3}") for i in range(200)] + [(5, "Another text with the same number as those, and no word more.", "x"), (None, text, "y"), (None, "A third text that has no number at all but stands here twice or so.", "z")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    usual = sorted(map(repr, simhash_dedup.deduplicated(df).collect()))
+    assert len(usual) == 3 and sum(text in r and "doc_id=5" in r for r in usual) == 1
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(_common, "HOT_SHARE", 10)
+    assert sorted(map(repr, simhash_dedup.deduplicated(df).collect())) == usual
+    plan = simhash_dedup.deduplicated(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan
+
+
 def _removed(rows, width=50):
     first = {}
     texts = [(d, (t or "").encode().split()) for d, t in rows]
