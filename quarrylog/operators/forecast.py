@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import varma
 from .series import asof
 
 # Lags of one day, chunk length and batch size by bucket minutes.
@@ -74,26 +75,10 @@ def kernel(train: np.ndarray, test: np.ndarray, s: Settings) -> np.ndarray:
     return (w @ y) / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
 
 
-def arma_fitted(data: np.ndarray, ar: int = 6, ma: int = 3) -> np.ndarray:
-    """In-sample one-step predictions of a vector ARMA, fitted in two regressions: a long autoregression gives the
-    shocks, and values and shocks give the model."""
-    long = min(2 * (ar + ma), max(len(data) // 4, 1))
-    fitted = np.zeros_like(data)
-    if len(data) <= long + ar + ma:
-        return fitted
-    lagged = lambda v, n, start: np.concatenate([v[start - k : len(v) - k] for k in range(1, n + 1)], axis=1)
-    x = lagged(data, long, long)
-    shocks = np.zeros_like(data)
-    shocks[long:] = data[long:] - x @ ridge(x, data[long:], 1e-3)
-    start = long + max(ar, ma)
-    x = np.concatenate([lagged(data, ar, start), lagged(shocks, ma, start)], axis=1)
-    fitted[start:] = x @ ridge(x, data[start:], 1e-3)
-    return fitted
-
-
 def arma(train: np.ndarray, test: np.ndarray, s: Settings) -> np.ndarray:
-    """Lags of the data and of what an ARMA makes of it, in one ridge regression."""
-    both = lambda d: np.concatenate([lag_pairs(d, s.horizon, s.lags)[0], lag_pairs(arma_fitted(d), s.horizon, s.lags)[0]], axis=1)
+    """Lags of the data and of the one-step predictions of an ARMA fitted to them, in one ridge regression; the test block has an
+    ARMA of its own."""
+    both = lambda d: np.concatenate([lag_pairs(d, s.horizon, s.lags)[0], lag_pairs(varma.predictions(d), s.horizon, s.lags)[0]], axis=1)
     return both(test) @ ridge(both(train), lag_pairs(train, s.horizon, s.lags)[1])
 
 
@@ -211,36 +196,105 @@ def recurrent(train: np.ndarray, test: np.ndarray, s: Settings) -> np.ndarray:
     return (c @ w["o"] + w["ob"])[s.lags - 1 :, 0]
 
 
-def predictive_state(train: np.ndarray, test: np.ndarray, s: Settings, window: int = 5, features: int = 25, states: int = 20, width: float = 0.02, weight: float = 1e-3) -> np.ndarray:
-    """A predictive-state network by two-stage regression: random Fourier features of past and future windows, projected
-    by SVD; the state is updated bilinearly with each observation and kept at length 1."""
+class _PredictiveState:
+    """A state of length 1 that each observation's features update bilinearly: z = (b W) o, b = z / |z|, output b D."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.w = w
+
+    def run(self, x: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(outputs, last state) over the rows of x."""
+        w = self.w
+        scale = np.sqrt(2 / len(w["phase"]))
+        angle = x @ w["omega"] + w["phase"]
+        features = scale * np.cos(angle)
+        obs = features @ w["u"] + w["ub"]
+        self.trace = (x, scale, angle, features, obs, [])
+        out = []
+        for o in obs:
+            m = (b @ w["w"] + w["wb"]).reshape(-1, len(o))
+            z = m @ o
+            length = np.linalg.norm(z) or 1.0
+            self.trace[-1].append((b, m, length))
+            b = z / length
+            out.append(b)
+        self.states = np.array(out).reshape(len(x), -1)
+        return self.states @ w["d"] + w["db"], b
+
+    def back(self, d_out: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of all weights, given those of the outputs."""
+        w = self.w
+        x, scale, angle, features, obs, steps = self.trace
+        g = {k: np.zeros_like(v) for k, v in w.items()}
+        g["d"], g["db"] = self.states.T @ d_out, d_out.sum(axis=0)
+        d_states, d_obs = d_out @ w["d"].T, np.zeros_like(obs)
+        d_b = np.zeros(d_states.shape[1])
+        for t in range(len(x) - 1, -1, -1):
+            before, m, length = steps[t]
+            d_b = d_b + d_states[t]
+            d_z = (d_b - self.states[t] * (self.states[t] @ d_b)) / length
+            d_m = np.outer(d_z, obs[t]).ravel()
+            d_obs[t] = m.T @ d_z
+            g["w"] += np.outer(before, d_m)
+            g["wb"] += d_m
+            d_b = w["w"] @ d_m
+        g["u"], g["ub"] = features.T @ d_obs, d_obs.sum(axis=0)
+        d_angle = -scale * np.sin(angle) * (d_obs @ w["u"].T)
+        g["omega"], g["phase"] = x.T @ d_angle, d_angle.sum(axis=0)
+        return g
+
+
+def _two_stage_start(train: np.ndarray, s: Settings, window: int, features: int, states: int, width: float, weight: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(weights, first state) by two-stage regression: random Fourier features of past and future windows, projected by SVD."""
     rng = np.random.default_rng(s.seed)
-    d = train.shape[1]
     stack = lambda v, a, b: np.stack([v[i + a : i + b].ravel() for i in range(window, len(v) - window - s.horizon)])
     past, future, shifted = stack(train, -window, 0), stack(train, 0, window), stack(train, 1, window + 1)
     now = stack(train, 0, 1)
     target = np.stack([train[i + s.horizon] for i in range(window, len(train) - window - s.horizon)])
 
-    def projection(x: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    def sampled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         omega, phase = rng.standard_normal((x.shape[1], features)) * np.sqrt(2 * width), rng.uniform(0, 2 * np.pi, features)
-        rff = lambda v: np.sqrt(2 / features) * np.cos(v @ omega + phase)
-        _, _, vt = np.linalg.svd(rff(x), full_matrices=False)
-        u = vt[: min(states, len(vt))].T
-        return lambda v: rff(v) @ u
+        _, _, vt = np.linalg.svd(np.sqrt(2 / features) * np.cos(x @ omega + phase), full_matrices=False)
+        return omega, phase, vt[: min(states, len(vt))].T
 
-    of_now, of_past, of_future = projection(now), projection(past), projection(future)
-    o, p, f, fs = of_now(now), of_past(past), of_future(future), of_future(shifted)
+    made = lambda x, f: np.sqrt(2 / features) * np.cos(x @ f[0] + f[1]) @ f[2]
+    of_now, of_past, of_future = sampled(now), sampled(past), sampled(future)
+    o, p, f, fs = made(now, of_now), made(past, of_past), made(future, of_future), made(shifted, of_future)
     extended = np.einsum("ti,tj->tij", fs, o).reshape(len(fs), -1)
-    f_hat, e_hat = p @ ridge(p, f, weight), p @ ridge(p, extended, weight)
-    update = ridge(f_hat, e_hat, weight)
-    decode = ridge(f, target, weight)
-    state, out = f.mean(axis=0), []
-    for row in test[: -s.horizon]:
-        pair = (state @ update).reshape(f.shape[1], o.shape[1])
-        state = pair @ of_now(row[None])[0]
-        state = state / (np.linalg.norm(state) or 1.0)
-        out.append(state @ decode)
-    return np.array(out).reshape(-1, d)[s.lags - 1 :]
+    update = ridge(p @ ridge(p, f, weight), p @ ridge(p, extended, weight), weight)
+    w = {"omega": of_now[0], "phase": of_now[1], "u": of_now[2], "ub": np.zeros(o.shape[1]), "w": update, "wb": np.zeros(update.shape[1]), "d": ridge(f, target, weight), "db": np.zeros(train.shape[1])}
+    return w, f.mean(axis=0)
+
+
+def predictive_state_fitted(train: np.ndarray, s: Settings, window: int = 5, features: int = 25, states: int = 20, width: float = 0.02, weight: float = 1e-3) -> tuple[_PredictiveState, np.ndarray, list[float]]:
+    """(network, first state, training losses): a start by two-stage regression, then truncated back-propagation through chunks.  An
+    epoch that raises the loss is taken back, and the next ones go in steps of a quarter."""
+    w, first = _two_stage_start(train, s, window, features, states, width, weight)
+    net = _PredictiveState(w)
+    x, y = train[: -s.horizon], train[s.horizon :]
+    chunk = CHUNKS.get(s.minutes, 48)
+    loss = lambda: float(((net.run(x, first)[0] - y) ** 2).mean())
+    losses, best, rate = [loss()], dict(net.w), _rate(1)
+    for _ in range(s.epochs):
+        b = first
+        for at in range(0, len(x), chunk):
+            p, q = x[at : at + chunk], y[at : at + chunk]
+            out, b = net.run(p, b)
+            g = _clipped(net.back(2 * (out - q) / q.size))
+            for k in net.w:
+                net.w[k] = net.w[k] - rate * g[k]
+        if (after := loss()) < losses[-1]:
+            losses.append(after)
+            best = dict(net.w)
+        else:
+            net.w, rate = dict(best), rate / 4
+    return net, first, losses
+
+
+def predictive_state(train: np.ndarray, test: np.ndarray, s: Settings) -> np.ndarray:
+    """A predictive-state network, run along the test block."""
+    net, first, _ = predictive_state_fitted(train, s)
+    return net.run(test[: -s.horizon], first)[0][s.lags - 1 :]
 
 
 MODELS: dict[str, Callable[[np.ndarray, np.ndarray, Settings], np.ndarray]] = {"ar": linear, "arma": arma, "kr": kernel, "fnn": feed_forward, "rnn": recurrent, "psrnn": predictive_state}

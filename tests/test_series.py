@@ -294,16 +294,6 @@ def test_recurrent_layer_gradients():
             assert abs((values[0] - values[1]) / 2e-5 - grad[at]) < 1e-6
 
 
-def test_moving_average_model_finds_its_shocks():
-    rng = np.random.default_rng(2)
-    shocks = rng.standard_normal((3000, 1))
-    data = np.zeros((3000, 1))
-    for t in range(2, 3000):
-        data[t] = 0.6 * data[t - 1] - 0.3 * data[t - 2] + shocks[t] + 0.5 * shocks[t - 1]
-    error = (data - forecast.arma_fitted(data, 2, 1))[100:]
-    assert 0.9 < error.var() < 1.1 < data.var()
-
-
 @pytest.mark.parametrize("model", ["fnn", "rnn", "psrnn", "arma"])
 def test_models_follow_a_daily_wave(model):
     hours = np.arange(24 * 30)
