@@ -67,9 +67,14 @@ def _scored(parts: DataFrame, access: DataFrame, schema: DataFrame, indexes: Dat
     return _ranked(benefit, schema)
 
 
+def not_indexed(candidates: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Candidates (table, column, ...) without an index of their column."""
+    return candidates.join(indexes.select("table", "column"), ["table", "column"], "left_anti")
+
+
 def advice(benefit: DataFrame, indexes: DataFrame, n: int = 1, least: float = 0.0) -> DataFrame:
     """The n best columns without an index, with the statements that make them; none at a benefit of ``least`` or below."""
-    free = benefit.join(indexes.select("table", "column"), ["table", "column"], "left_anti").filter(F.col("benefit") > least)
+    free = not_indexed(benefit, indexes).filter(F.col("benefit") > least)
     best = free.orderBy(F.desc("benefit"), "table", "ordinal").limit(n)
     return best.select("table", "column", "benefit", index_name(F.col("table"), F.col("column")).alias("index_name"), index_statement(F.col("table"), F.col("column")).alias("statement"))
 

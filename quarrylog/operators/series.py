@@ -129,4 +129,4 @@ def round_robin(rows: DataFrame, n: int, order: Sequence[str], *key: str) -> Dat
 
 def sampled_minutes(counts: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """At most n of the distinct times, the same ones on every run."""
-    return counts.select("ts").distinct().orderBy(F.xxhash64(F.lit(seed), "ts"), "ts").limit(n)
+    return counts.select("ts").distinct().orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.date_format("ts", "yyyy-MM-dd HH:mm")).cast("binary")), "ts").limit(n)

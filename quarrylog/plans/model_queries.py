@@ -120,7 +120,7 @@ def ridge_ar(spark, sf):
 
 
 def column_weights(spark, sf):
-    return ddl.columns(spark, X.DDL).select("table", "column", generate.column_weight(F.col("data_type")).alias("card"))
+    return ddl.scanned(X.schema_dump(spark, sf)).select("table", "column", generate.column_weight(F.col("data_type")).alias("card"))
 
 
 def _log_templates(spark, sf):
@@ -170,8 +170,9 @@ def droppable_indexes(spark, sf):
 
 
 def index_difference(spark, sf):
-    candidates = ddl.columns(spark, X.DDL).select("table", "column")
-    return candidates.join(spark.createDataFrame(_INDEXES, "table string, column string"), ["table", "column"], "left_anti")
+    candidates = ddl.scanned(X.schema_dump(spark, sf)).select("table", "column")
+    indexed = X.read(spark, sf, "part").filter("p_size % 3 = 0").select(F.concat(F.lit("db.t"), F.col("p_partkey").cast("string")).alias("table"), F.lit("p_partkey").alias("column"))
+    return advice.not_indexed(candidates, indexed)
 
 
 def plan_leaves(spark, sf):
@@ -195,8 +196,9 @@ def scan_classification(spark, sf):
 
 def generated_rows(spark, sf):
     columns = [("a", "INT", None), ("b", "VARCHAR", 8), ("c", "DOUBLE", None), ("d", "BOOLEAN", None), ("e", "YEAR", None), ("f", "POINT", None)]
-    made = generate.generated(spark, columns, 1000)
-    return made.agg(F.count("*").alias("n"), F.count_if(F.length("b") == 8).alias("strings"), F.count_if(F.col("c").between(0, 1)).alias("doubles"), F.max("e").cast("int").alias("year"))
+    keys = X.read(spark, sf, "orders")
+    made = generate.filled(keys.select("o_orderkey"), columns)
+    return made.agg(F.count("*").alias("n"), F.count_if(F.length("b") == 8).alias("strings"), F.count_if(F.col("c").between(0, 1) & (F.col("a") >= 0)).alias("numbers"), F.count_if(F.col("f").rlike("^[(][0-9]+, [0-9]+[)]$")).alias("points"), F.max("e").cast("int").alias("year"))
 
 
 def online_logical(spark, sf):
@@ -272,7 +274,7 @@ QUERIES = {
     "ridge_ar": (ridge_ar, _RIDGE_AR),
     "forecasts_linear": (forecasts_linear, None),
     "forecasts_networks": (forecasts_networks, None),
-    "column_weights": (column_weights, f'{_log_sql()}, {_ACCESS} SELECT tab AS "table", col AS "column", card FROM sch'),
+    "column_weights": (column_weights, f'WITH {X.DUMP} SELECT tab AS "table", col AS "column", card FROM dump'),
     "column_access": (column_access, f'{_log_sql()}, {_ACCESS} SELECT template, tab AS "table", col AS "column" FROM acc'),
     "index_benefit_static": (index_benefit_static, f'{_log_sql()}, {_SEEN} SELECT tab AS "table", col AS "column", benefit FROM ben'),
     "index_advice_static": (index_advice_static, f"""{_log_sql()}, {_SEEN} SELECT tab AS "table", col AS "column", benefit, 'idx_' || tab || '_' || col AS index_name FROM ben WHERE col <> 'o_custkey' AND benefit > 0 ORDER BY benefit DESC, tab, ordinal LIMIT 2"""),
@@ -281,10 +283,10 @@ QUERIES = {
         part AS (SELECT template, rate * total / sum(total) OVER (PARTITION BY cluster) AS part FROM mem JOIN rate USING (cluster))
         SELECT tab AS "table", col AS "column", round(coalesce(sum(part * card * weight), 0), 3) AS benefit FROM sch LEFT JOIN wt USING (tab, col) LEFT JOIN part USING (template) GROUP BY tab, col"""),
     "droppable_indexes": (droppable_indexes, "SELECT o_orderkey, 'idx_' || o_orderstatus AS index_name FROM orders WHERE o_orderkey % 4 = 3"),
-    "index_difference": (index_difference, f"""{_log_sql()}, {_ACCESS} SELECT tab AS "table", col AS "column" FROM sch WHERE col <> 'o_custkey'"""),
+    "index_difference": (index_difference, f"""WITH {X.DUMP} SELECT tab AS "table", col AS "column" FROM dump ANTI JOIN (SELECT 'db.t' || p_partkey AS tab, 'p_partkey' AS col FROM part WHERE p_size % 3 = 0) USING (tab, col)"""),
     "plan_leaves": (plan_leaves, "SELECT event_id, k AS key, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"),
     "plan_json_flatten": (plan_json_flatten, "SELECT event_id, unnest(['key', 'possible_keys_', 'rows']) AS key, unnest([event_type, CAST(event_id AS VARCHAR), '5']) AS value FROM events"),
     "scan_classification": (scan_classification, 'SELECT event_type, count(*) FILTER (event_id % 5 = 4) AS seq, count(*) FILTER (event_id % 5 < 4) AS idx, count(*) FILTER (event_id % 5 IN (0, 3)) AS "primary", count(*) FILTER (event_id % 5 = 1) AS "foreign", count(*) FILTER (event_id % 5 = 2) AS secondary FROM events GROUP BY ALL'),
-    "generated_rows": (generated_rows, "SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS strings, CAST(1000 AS BIGINT) AS doubles, 2017 AS year"),
+    "generated_rows": (generated_rows, "SELECT count(*) AS n, count(*) AS strings, count(*) AS numbers, count(*) AS points, 2017 AS year FROM orders"),
     "online_logical": (online_logical, None),
 }

@@ -86,8 +86,8 @@ def short_series(spark, sf):
 
 
 def _grid(spark, sf):
-    keys = X.hourly(spark, sf).select("cluster").distinct()
-    return keys.select("cluster", F.explode(time.grid(_ts("2024-01-01 00:00:00"), _ts("2024-01-10 00:00:00"), 30)).alias("ts"))
+    spans = X.hourly(spark, sf).groupBy("cluster").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return spans.select("cluster", F.explode(time.grid(F.col("first"), F.col("last"), 30)).alias("ts"))
 
 
 def asof_inclusive(spark, sf):
@@ -120,7 +120,7 @@ def shift_stack(spark, sf):
 
 
 def sampled_minutes(spark, sf):
-    return series.sampled_minutes(X.event_counts(spark, sf), 100).agg(F.count("*").alias("n"))
+    return series.sampled_minutes(X.event_counts(spark, sf), 100)
 
 
 def throughput(spark, sf):
@@ -190,10 +190,10 @@ def minute_counts_stream(spark, sf):
     schema = X.read(spark, sf, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
     # one batch over the table's file or folder
     log = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    return streaming.run_to_end(streaming.minute_counts(log, "event_type"), "quarrylog_minute_counts")
+    return streaming.run_to_end(streaming.minute_counts(log, "event_type"))
 
 
-_ASOF = """g AS (SELECT DISTINCT cluster FROM hourly), grid AS (SELECT cluster, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-10', INTERVAL 30 MINUTE)) AS ts FROM g), r AS (SELECT * FROM hourly WHERE hour(ts) % 5 <> 0)"""
+_ASOF = """g AS (SELECT cluster, min(ts) AS lo, max(ts) AS hi FROM hourly GROUP BY cluster), grid AS (SELECT cluster, unnest(generate_series(lo, hi, INTERVAL 30 MINUTE)) AS ts FROM g), r AS (SELECT * FROM hourly WHERE hour(ts) % 5 <> 0)"""
 _TOTALS = """run AS (SELECT template, ts, CAST(sum(cnt) OVER (PARTITION BY template ORDER BY ts) AS BIGINT) AS total FROM user_counts),
   totals AS (SELECT as_of, cluster, CAST(sum(coalesce(total, 0)) AS BIGINT) AS total FROM (SELECT a.as_of, a.cluster, r.total FROM assignments a ASOF LEFT JOIN run r ON a.template = r.template AND a.as_of >= r.ts WHERE a.cluster >= 0) GROUP BY ALL),
   ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY as_of ORDER BY total DESC, cluster) AS INTEGER) AS rank FROM totals)"""
@@ -229,7 +229,7 @@ QUERIES = {
     "lead_target": (lead_target, f"WITH {X.HOURLY} SELECT *, lead(cnt, 4) OVER (PARTITION BY cluster ORDER BY ts) AS target FROM hourly"),
     "last_value_baseline": (last_value_baseline, f"WITH {X.HOURLY} SELECT * FROM (SELECT *, cnt - lag(cnt, 2) OVER (PARTITION BY cluster ORDER BY ts) AS error FROM hourly) WHERE error IS NOT NULL"),
     "shift_stack": (shift_stack, f"WITH {X.HOURLY} SELECT cluster, ts, array_to_string(x, ',') AS stack FROM (SELECT cluster, ts, list(cnt) OVER (PARTITION BY cluster ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS x FROM hourly) WHERE len(x) = 11"),
-    "sampled_minutes": (sampled_minutes, "SELECT CAST(100 AS BIGINT) AS n"),
+    "sampled_minutes": (sampled_minutes, f"WITH {X.COUNTS} SELECT ts FROM (SELECT DISTINCT ts FROM counts) ORDER BY md5('0|' || strftime(ts, '%Y-%m-%d %H:%M')), ts LIMIT 100"),
     "throughput": (throughput, f"SELECT batch, CAST(n AS DOUBLE) AS throughput FROM (SELECT batch, n, row_number() OVER (ORDER BY batch) AS k FROM (SELECT time_bucket(INTERVAL 10 MINUTE, date_trunc('minute', ts) - INTERVAL 1 MINUTE, TIMESTAMP '2000-01-01') + INTERVAL 10 MINUTE AS batch, count(*) AS n FROM events GROUP BY ALL)) WHERE k > 40"),
     "cosine_pairs": (cosine_pairs, f"WITH {X.HOURLY}, xs AS (SELECT cluster AS template, ts, cnt FROM hourly), ys AS (SELECT * FROM hourly), {_COS} SELECT * FROM cosines"),
     "nearest_centre": (nearest_centre, f"WITH {_USERS}, xs AS (SELECT template, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '2000-01-01') AS ts, sum(cnt) AS cnt FROM user_counts GROUP BY ALL), ys AS ({_SERIES.format(bucket=_DAY.format(60).replace('ts', 'u.ts'), extra='')}), {_COS} SELECT template, cluster, cos FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY cos DESC, cluster) AS n FROM cosines) WHERE n = 1"),

@@ -137,7 +137,7 @@ def trace_parse(spark, sf):
 
 
 def enum_literals(spark, sf):
-    return ddl.enum_tokens(spark, X.DDL, X.SALT)
+    return ddl.scanned_literals(X.schema_dump(spark, sf), X.SALT)
 
 
 def restore_enums(spark, sf):
@@ -146,7 +146,7 @@ def restore_enums(spark, sf):
 
 
 def ddl_columns(spark, sf):
-    return ddl.columns(spark, X.DDL)
+    return ddl.scanned(X.schema_dump(spark, sf))
 
 
 def name_functions(spark, sf):
@@ -232,10 +232,9 @@ QUERIES = {
     "bind_parameters": (bind_parameters, "SELECT o_orderkey, 'SELECT a FROM t WHERE x = ''' || o_orderstatus || ''' AND y = ''' || o_custkey || ''' AND z = ''' || o_orderstatus || '''0' AS query FROM orders"),
     "trace_build": (trace_build, f"WITH {X.LOG} SELECT date_trunc('minute', ts) AS ts, conn, {_statement('query')} || ';' AS query, count(*) AS n FROM log GROUP BY ALL"),
     "trace_parse": (trace_parse, f"WITH {X.LOG} SELECT id, date_trunc('minute', ts) AS ts, conn, query FROM log"),
-    "enum_literals": (enum_literals, f"SELECT {_HASH.format('literal')} AS token, literal FROM (VALUES ('''O'''), ('''F'''), ('''P''')) AS v(literal)"),
+    "enum_literals": (enum_literals, f"SELECT {_HASH.format('literal')} AS token, literal FROM (SELECT '''' || p_type || '''' AS literal FROM part UNION SELECT '''' || p_brand || '''' FROM part)"),
     "restore_enums": (restore_enums, "SELECT date_trunc('minute', o_orderdate) AS ts, CAST(o_orderkey AS VARCHAR) AS conn, 'select 1 from orders where s = ''' || o_orderstatus || ''';' AS query FROM orders"),
-    "ddl_columns": (ddl_columns, """SELECT * FROM (VALUES ('orders','o_orderkey',1,'BIGINT'),('orders','o_custkey',2,'INT'),('orders','o_clerk',3,'VARCHAR'),('orders','o_comment',4,'TEXT'),('orders','o_totalprice',5,'DOUBLE'),
-        ('orders','o_orderstatus',6,'ENUM'),('orders','o_orderpriority',7,'VARCHAR'),('lineitem','l_orderkey',1,'BIGINT'),('lineitem','l_shipdate',2,'TIMESTAMP')) AS v("table", "column", ordinal, data_type)"""),
+    "ddl_columns": (ddl_columns, f'WITH {X.DUMP} SELECT file, tab AS "table", col AS "column", ordinal, data_type FROM dump'),
     "name_functions": (name_functions, rf"""WITH {X.LOG} SELECT l.id, CASE WHEN l.id % 5 IN (0, 1, 4) THEN 'orders' END AS from_table, CASE l.id % 5
         WHEN 0 THEN 'o_custkey = ' || conn || ';o_orderpriority = ''' || o_orderpriority || ''''
         WHEN 3 THEN 'o_totalprice=-' || CAST(floor(o_totalprice) AS BIGINT) || '.5;o_orderkey>=' || l.id || ';o_orderstatus=''5\abcd'''

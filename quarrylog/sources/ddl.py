@@ -1,6 +1,7 @@
 """Schema dumps: tables, columns, types and enumerations from CREATE TABLE text.
 
-A dump is small beside any log, so it is parsed on the driver; the results are tables like any other.
+``scanned`` and ``scanned_literals`` take dumps as lines in Spark, whatever their size; ``columns`` and ``enum_tokens`` one text that
+the caller has at hand.
 """
 
 from __future__ import annotations
@@ -8,10 +9,17 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import hashed_literal
+from ..ordering import carried
+from .logs import BLOCK_LINES
 
 _TABLE = re.compile(r"\s*CREATE TABLE\s+(?:IF NOT EXISTS\s+)?[`\"]?([\w.`\"]+?)[`\"]?\s*\(", re.I)
 _COLUMN = re.compile(r"\s*[`\"]?(\w+)[`\"]?\s+([A-Za-z]+(?: (?:varying|precision|without time zone|with time zone))?)\s*(?:\((\d+))?", re.I)
+_ENUM = r"(?i)\benum\s*\((.*?)\)"
+_BEGINS, _DECLARES = f"(?i)^{_TABLE.pattern}", f"(?i)^{_COLUMN.pattern}"
 #: First words of lines that declare no column.
 KEY_WORDS = frozenset(("KEY", "PRIMARY", "UNIQUE", "CONSTRAINT", "INDEX", "FOREIGN", "FULLTEXT"))
 
@@ -35,6 +43,29 @@ def columns(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(parse(text), "table string, column string, ordinal int, data_type string")
 
 
+def scanned(lines: DataFrame) -> DataFrame:
+    """(file, table, column, ordinal, data_type) of dumps as lines(file, line_no, line).
+
+    A line belongs to the table whose statement is the last one begun above it in its file, and has not ended; what is begun is
+    carried along blocks of lines."""
+    line, begun = F.col("line"), F.struct(F.col("line_no").alias("at"), F.translate(F.regexp_extract("line", _BEGINS, 1), '`"', "").alias("name"))
+    none = F.struct(F.col("line_no").alias("at"), F.lit("").alias("name"))
+    marked = lines.select("file", "line_no", "line").withColumn("table", F.when(line.rlike(_BEGINS), begun).when(F.ltrim(line).startswith(")"), none))
+    inside = carried(marked, "table", "line_no", "file", width=BLOCK_LINES).filter((F.col("table.name") != "") & (F.col("table.at") < F.col("line_no")) & line.rlike(_DECLARES))
+    found = inside.select("file", "line_no", "table.at", F.col("table.name").alias("table"), F.regexp_extract("line", _DECLARES, 1).alias("column"), F.upper(F.regexp_extract("line", _DECLARES, 2)).alias("data_type"))
+    declared = found.filter(~F.upper("column").isin(*KEY_WORDS))
+    # the columns of one table
+    ordinal = F.row_number().over(Window.partitionBy("file", "at").orderBy("line_no"))
+    return declared.select("file", "table", "column", ordinal.alias("ordinal"), "data_type")
+
+
+def scanned_literals(lines: DataFrame, salt: str) -> DataFrame:
+    """(token, literal): the hashed form of each literal of the enumerations of dumps as lines(line), once."""
+    lists = F.explode(F.regexp_extract_all("line", F.lit(_ENUM), F.lit(1)))
+    literals = lines.select(lists.alias("x")).select(F.explode(F.regexp_extract_all("x", F.lit("'[^']*'"), F.lit(0))).alias("literal")).distinct()
+    return literals.select(hashed_literal(F.col("literal"), salt).alias("token"), "literal")
+
+
 def enum_tokens(spark: SparkSession, text: str, salt: str) -> DataFrame:
     """(token, literal): the hashed form of each literal of the dump's enumerations."""
     literals = sorted({v for m in re.finditer(r"\benum\s*\((.*?)\)", text, re.I) for v in re.findall(r"'[^']*'", m[1])})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import new_folder
 from ..functions import text
 
 
@@ -29,11 +30,14 @@ def templates(log: DataFrame) -> DataFrame:
     return log.filter(text.has_statement(F.col("query"))).withColumn("template", text.truncate_insert(text.normalize_template(found)))
 
 
-def run_to_end(counts: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a bounded stream into a table in memory and returns it; for tests and small replays."""
-    query = counts.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return counts.sparkSession.table(name)
+def run_to_end(counts: DataFrame) -> DataFrame:
+    """Runs a bounded stream to its end and returns all its counts, late rows among them, as a table.
+
+    Each trigger replaces the table by its counts so far, so that one that runs again changes nothing."""
+    folder, checkpoint = new_folder(counts.sparkSession, "counts"), new_folder(counts.sparkSession, "stream")
+    write = lambda all_, trigger: all_.write.mode("overwrite").parquet(folder)
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return counts.sparkSession.read.schema(counts.schema).parquet(folder)
 
 
 def append_to(counts: DataFrame, path: str, checkpoint: str):

@@ -140,7 +140,7 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_type string, ts timestamp_ntz")
     df.repartition(5).write.parquet(str(tmp_path / "in"))
     stream = streaming.stream(spark, str(tmp_path / "in"), "event_type string, ts timestamp_ntz")
-    found = streaming.run_to_end(streaming.minute_counts(stream, "event_type"), "test_counts")
+    found = streaming.run_to_end(streaming.minute_counts(stream, "event_type"))
     batch = df.groupBy("event_type", "ts").count()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect()))
 

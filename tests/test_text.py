@@ -87,6 +87,33 @@ def test_ddl():
     assert [(t, c, o) for t, c, o, _ in found] == [("a.b", "MONKEY_ID", 1), ("c", "d", 1)]
 
 
+def test_dumps_are_scanned_across_blocks(spark, monkeypatch):
+    dump = """-- x int
+CREATE TABLE `a`.`b` (
+  `MONKEY_ID` int(3) NOT NULL,
+  KEY x (y),
+  name character varying(5),
+  e enum('p','q''s'), f ENUM ('z')
+);
+  stray int
+create table IF NOT EXISTS c(
+ d text
+)
+CREATE TABLE a.b (
+ again double precision
+"""
+    rows = [(f, 10 * i, line) for f in ("one", "two") for i, line in enumerate(dump.splitlines())] + [("three", 5, "d int"), ("three", 6, None), ("three", 7, "")]
+    lines = spark.createDataFrame(rows, "file string, line_no long, line string").repartition(5)
+    want = [("a.b", "MONKEY_ID", 1, "INT"), ("a.b", "name", 2, "CHARACTER VARYING"), ("a.b", "e", 3, "ENUM"), ("c", "d", 1, "TEXT"), ("a.b", "again", 1, "DOUBLE PRECISION")]
+    assert sorted(ddl.parse(dump)) == sorted(want)
+    for width in (1 << 20, 15):
+        monkeypatch.setattr(ddl, "BLOCK_LINES", width)
+        assert sorted(map(tuple, ddl.scanned(lines).collect())) == sorted((f, *w) for f in ("one", "two") for w in want)
+    tokens = {(r.token, r.literal) for r in ddl.scanned_literals(lines, "s").collect()}
+    assert tokens == {(r.token, r.literal) for r in ddl.enum_tokens(spark, dump, "s").collect()} and len(tokens) == 4
+    assert ddl.scanned(lines.filter("file = 'none'")).collect() == []
+
+
 def test_access(spark):
     schema = spark.createDataFrame([("orders", "o_id"), ("orders", "o_c"), ("s.t", "a"), ("u", "b")], '"table" string, "column" string'.replace('"', "`"))
     cases = {
