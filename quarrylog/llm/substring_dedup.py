@@ -45,6 +45,8 @@ FLUSH = 1 << 20
 #: Suffixes that a group may hold (about a megabyte), and that a task should.
 GROUP_ROWS = 16_384
 TASK_ROWS = 2_000_000
+#: Equal rows that a task writes at once.
+COPIES = 4096
 _LAST = (1 << 63) - 1
 
 
@@ -275,7 +277,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
             left = T.joined(T.Words(words.buf, words.start[kept], words.end[kept], first))
             n = np.diff(words.first)
             texts = [left.buf[left.start[a] : left.end[b - 1]].tobytes() if b > a else b"" for a, b in zip(first[:-1], first[1:], strict=True)]
-            out = {"doc_id": part.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array((n - np.diff(first)).astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}
+            out = {"doc_id": part.column("doc_id"), "times": part.column("times"), "n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array((n - np.diff(first)).astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}
             yield pa.record_batch(out | ({"kept_text": pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())} if with_text else {}))
 
 
@@ -286,17 +288,43 @@ def _copies(docs: DataFrame) -> DataFrame:
     return looked_up(prints, reliable(least), "key", "times").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False))).drop("key", "least")
 
 
+def _once(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs(doc_id, id, th, text, copy) without the rows that repeat, and one row of each of these with ``times``; None if none do."""
+    key = F.struct("id", "th").alias("key")
+    again = docs.groupBy(key).agg(F.count("*").alias("times")).filter("times > 1").withColumn("again", F.lit(True))
+    again = reliable(again)
+    if again.isEmpty():
+        return docs, None
+    marked = looked_up(docs.withColumn("key", key), again, "key", "times")
+    # tasks bring equal rows down to one before any are sent
+    several = marked.filter("again").groupBy("doc_id", "id", "th").agg(F.first("text").alias("text"), F.first("copy").alias("copy"), F.count("*").alias("times"))
+    return marked.filter("again is null").select(*docs.columns), written(several)
+
+
 def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept_text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     # a whole copy has nothing to compare: each of its windows starts in the document that it copies
-    keyed = _copies(keyed)
-    ranges = removed_ranges(keyed.filter("not copy").select("id", "th", "text")).groupBy("id", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    joined = keyed.join(ranges, ["id", "th"], "left").select("doc_id", "text", "copy", F.coalesce("ranges", F.array().cast("array<int>")).alias("ranges"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return joined.mapInArrow(lambda b: _cleaned(b, with_text), schema)
+    single, several = _once(_copies(keyed))
+    own = lambda df: df.filter("not copy").select("id", "th", "text")
+    compared = own(single) if several is None else own(single).union(own(several))
+    ranges = removed_ranges(compared).groupBy("id", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
+    schema = "doc_id long, times long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        joined = rows.join(ranges, ["id", "th"], "left").select("doc_id", "times", "text", "copy", F.coalesce("ranges", F.array().cast("array<int>")).alias("ranges"))
+        return joined.mapInArrow(lambda b: _cleaned(b, with_text), schema)
+
+    if several is None:
+        return cleaned(single.withColumn("times", F.lit(1).cast("long"))).select(*names)
+    ranges = written(ranges)
+    parts = cleaned(several).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))))
+    here = F.least(F.lit(COPIES), F.col("times") - COPIES * F.col("part"))
+    copies = parts.repartition("doc_id", "part").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), here)))
+    return cleaned(single.withColumn("times", F.lit(1).cast("long"))).select(*names).union(copies.select(*names))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,28 @@ def test_of_equal_rows_one_is_kept(spark, monkeypatch):
     assert "Window [" not in plan
 
 
+def test_rows_that_repeat_thousands_of_times(spark, monkeypatch):
+    rng = random.Random(21)
+    words = lambda n: " ".join(rng.choices(ALPHABET, k=n))
+    shared, hot = words(70), words(300)
+    base = [(1, f"{words(20)} {shared} {words(30)}"), (7, f"{shared} {hot}"), (9, f"{words(5)} {hot} {shared}"), (9, "short"), (None, shared + " x"), (12, None)]
+    want = {}
+    for r in substring_dedup.without_repeats(spark.createDataFrame(base, "doc_id long, text string")).collect():
+        want.setdefault(r.doc_id, set()).add(tuple(r))
+    took = []
+    for times in (1000, 5000):
+        rows = base + [base[1]] * times + [base[2]] * 3 + [base[4], base[5]] * 2
+        monkeypatch.setattr(substring_dedup, "COPIES", 300)
+        began = time.perf_counter()
+        found = [tuple(r) for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+        took.append(time.perf_counter() - began)
+        assert len(found) == len(rows)
+        for i in want:
+            assert {r for r in found if r[0] == i} == want[i]
+        assert sum(r[0] == 7 for r in found) == times + 1 and sum(r[0] is None for r in found) == 3
+    assert took[1] < 2 * took[0] + 2
+
+
 def _removed(rows, width=50):
     first = {}
     texts = [(d, (t or "").encode().split()) for d, t in rows]
