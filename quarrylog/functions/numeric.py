@@ -28,6 +28,16 @@ def one_hot(index: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == index).cast("double"))
 
 
+def log_scaled(value: Column, shift: Column, mean: Column, deviation: Column) -> Column:
+    """A value in log space, in units of the deviation from the mean."""
+    return (F.log(value + shift) - mean) / deviation
+
+
+def log_restored(scaled: Column, shift: Column, mean: Column, deviation: Column) -> Column:
+    """The value that ``log_scaled`` was given."""
+    return F.exp(scaled * deviation + mean) - shift
+
+
 def finite_or_zero(x: Column) -> Column:
     return F.when(F.abs(x) == F.lit(float("inf")), 0.0).otherwise(x)
 

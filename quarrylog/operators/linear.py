@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_checkpoints
+from ..functions import numeric
 from .forecast import Settings, frames
 from .gram import ridge
 from .series import asof
@@ -69,10 +70,12 @@ def applied(models: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
     chosen = asof(dates, known, ["model", "horizon"], "m").filter("m is not null").select("model", "horizon", F.col("ts").alias("as_of"), "m.*")
     both = last.join(chosen, "as_of").filter(F.col("clusters") == F.col("m_clusters"))
     # lags were scaled by the row's own date: bring them to the model's scale
-    counts = F.transform("x", lambda v: F.exp(v * F.col("deviation") + F.col("mean")) - F.col("shift"))
-    x = F.transform(counts, lambda c: (F.log(F.greatest(c + F.col("m_shift"), F.lit(1e-9))) - F.col("m_mean")) / F.col("m_deviation"))
+    own, scale = ([F.col(f"{m}{c}") for c in ("shift", "mean", "deviation")] for m in ("", "m_"))
+    # a count below what the model has seen is as little as it can tell
+    above = lambda c: F.greatest(c, 1e-9 - F.col("m_shift"))
+    x = F.transform("x", lambda v: numeric.log_scaled(above(numeric.log_restored(v, *own)), *scale))
     x = F.when((F.col("shift") == F.col("m_shift")) & (F.col("mean") == F.col("m_mean")) & (F.col("deviation") == F.col("m_deviation")), F.col("x")).otherwise(x)
-    guess = F.transform("m_weights", lambda w: F.exp(_dot(w, F.col("_x")) * F.col("m_deviation") + F.col("m_mean")) - F.col("m_shift"))
+    guess = F.transform("m_weights", lambda w: numeric.log_restored(_dot(w, F.col("_x")), *scale))
     found = both.withColumn("_x", x).withColumn("_p", F.arrays_zip("clusters", "actual", guess.alias("predicted")))
     return found.select("model", "horizon", "as_of", "ts", F.explode("_p").alias("_p")).select("model", "horizon", "as_of", F.col("_p.clusters").alias("cluster"), "ts", F.col("_p.actual").alias("actual"), F.col("_p.predicted").alias("predicted"))
 

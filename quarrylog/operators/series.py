@@ -110,6 +110,13 @@ def shifted(series: DataFrame, horizon: int, *key: str) -> DataFrame:
     return series.withColumn("target", F.lead("cnt", horizon).over(Window.partitionBy(*key).orderBy("ts")))
 
 
+def targets(series: DataFrame, horizons: Sequence[int], *key: str) -> DataFrame:
+    """(key, ts, cnt, horizon, target): each value with the ones a list of horizons later, a row each; null beyond the end."""
+    over = Window.partitionBy(*key).orderBy("ts")
+    later = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("cnt", h).over(over).alias("target")) for h in horizons])
+    return series.withColumn("_a", later).withColumn("_t", F.explode("_a")).select(*series.columns, "_t.horizon", "_t.target")
+
+
 def last_value_error(series: DataFrame, horizon: int, *key: str) -> DataFrame:
     """The error of predicting that nothing changes over a horizon."""
     before = F.lag("cnt", horizon).over(Window.partitionBy(*key).orderBy("ts"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..checkpoints import shared_checkpoints
+from ..checkpoints import new_folder, shared_checkpoints
 from ..functions import generate, numeric, plans
 from ..operators import access, advice, clustering, combine, coverage, forecast, kernel, linear, series, vectors
 from ..sources import ddl
-from ..sources.tables import cleaned_predictions, pivoted
+from ..sources.tables import append_table, cleaned_predictions, pivoted, read_table
 from . import fixtures as X
 
 
@@ -16,12 +16,23 @@ def _ts(text):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def normalize_log(spark, sf):
+def _normalized(spark, sf):
     h = X.hourly(spark, sf)
-    least = h.agg(F.min("cnt").alias("least"))  # one row
-    shifted = h.join(F.broadcast(least)).select("cluster", "ts", F.log(F.col("cnt") + 1 - F.col("least")).alias("v"))
-    stats = shifted.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
-    return shifted.join(F.broadcast(stats)).select("cluster", "ts", F.round((F.col("v") - F.col("mean")) / F.col("deviation"), 6).alias("scaled"))
+    # a row each
+    shifts = h.agg((1 - F.min("cnt")).alias("shift"))
+    logs = F.log(F.col("cnt") + F.col("shift"))
+    stats = h.join(F.broadcast(shifts)).agg(F.first("shift").alias("shift"), F.avg(logs).alias("mean"), F.stddev_pop(logs).alias("deviation"))
+    scale = (F.col("shift"), F.col("mean"), F.col("deviation"))
+    return h.join(F.broadcast(stats)).withColumn("scaled", numeric.log_scaled(F.col("cnt"), *scale)), scale
+
+
+def normalize_log(spark, sf):
+    return _normalized(spark, sf)[0].select("cluster", "ts", F.round("scaled", 6).alias("scaled"))
+
+
+def restore_log(spark, sf):
+    rows, scale = _normalized(spark, sf)
+    return rows.select("cluster", "ts", F.round(numeric.log_restored(F.col("scaled"), *scale), 6).alias("restored"))
 
 
 def constant_baseline(spark, sf):
@@ -114,7 +125,10 @@ def forecasts_networks(spark, sf):
 
 
 def ridge_ar(spark, sf):
-    found = linear.forecasts(X.hourly(spark, sf), _tops(spark, sf))
+    folder, s = new_folder(spark, "models"), forecast.Settings()
+    rows = linear.lagged(X.hourly(spark, sf), _tops(spark, sf), s)
+    append_table(linear.fitted(rows, s), "models", folder)
+    found = linear.applied(read_table(spark, "models", folder), rows, s)
     errors = combine.squared_errors(cleaned_predictions(found, "clamped"), "model", "horizon", "cluster")
     return errors.select("model", "horizon", "cluster", F.round("mse", 4).alias("mse"), F.round("mse_log", 6).alias("mse_log"), "n")
 
@@ -250,6 +264,7 @@ def _log_sql():
 
 QUERIES = {
     "normalize_log": (normalize_log, f"WITH {X.HOURLY}, v AS (SELECT cluster, ts, ln(cnt + 1 - (SELECT min(cnt) FROM hourly)) AS v FROM hourly) SELECT cluster, ts, {_R.format('(v - (SELECT avg(v) FROM v)) / (SELECT stddev_pop(v) FROM v)')} AS scaled FROM v"),
+    "restore_log": (restore_log, f"WITH {X.HOURLY} SELECT cluster, ts, CAST(cnt AS DOUBLE) AS restored FROM hourly"),
     "constant_baseline": (constant_baseline, f"WITH {X.HOURLY} SELECT cluster, {_R.format('var_pop(cnt)')} AS variance FROM hourly GROUP BY ALL"),
     "ensemble_log_mean": (ensemble_log_mean, f"WITH {X.FORECASTS}, {_CLAMPED}, {_PAIRED.format('rnn')}, {_ENS} SELECT horizon, cluster, ts, actual, {_R.format('a')} AS a, {_R.format('b')} AS b, {_R.format('predicted')} AS predicted FROM e"),
     "hybrid_spike": (hybrid_spike, f"WITH {X.FORECASTS}, {_CLAMPED}, {_PAIRED.format('rnn')}, {_ENS} SELECT horizon, cluster, ts, e.actual, {_R.format('CASE WHEN k.predicted > 1000 AND (e.predicted = 0 OR abs(e.predicted - k.predicted) / abs(e.predicted) > 1.5) THEN k.predicted ELSE e.predicted END')} AS predicted FROM e JOIN (SELECT * FROM f WHERE model = 'kr') k USING (horizon, cluster, ts)"),

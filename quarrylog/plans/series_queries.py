@@ -111,6 +111,10 @@ def lead_target(spark, sf):
     return series.shifted(X.hourly(spark, sf), 4, "cluster")
 
 
+def horizon_targets(spark, sf):
+    return series.targets(X.hourly(spark, sf), (1, 4, 12), "cluster")
+
+
 def last_value_baseline(spark, sf):
     return series.last_value_error(X.hourly(spark, sf), 2, "cluster")
 
@@ -227,6 +231,7 @@ QUERIES = {
     "version_lookup": (version_lookup, f"WITH {X.ASSIGNMENTS} SELECT * FROM assignments WHERE as_of = (SELECT max(as_of) FROM assignments WHERE as_of <= TIMESTAMP '2024-01-09 13:00:00')"),
     "lag_features": (lag_features, f"WITH {X.HOURLY} SELECT cluster, ts, array_to_string(x, ',') AS x, y FROM (SELECT cluster, ts, list(cnt) OVER (PARTITION BY cluster ORDER BY ts ROWS 5 PRECEDING) AS x, lead(cnt, 3) OVER (PARTITION BY cluster ORDER BY ts) AS y FROM hourly) WHERE len(x) = 6 AND y IS NOT NULL"),
     "lead_target": (lead_target, f"WITH {X.HOURLY} SELECT *, lead(cnt, 4) OVER (PARTITION BY cluster ORDER BY ts) AS target FROM hourly"),
+    "horizon_targets": (horizon_targets, f"WITH {X.HOURLY} SELECT cluster, ts, cnt, unnest([1, 4, 12]) AS horizon, unnest([lead(cnt, 1) OVER w, lead(cnt, 4) OVER w, lead(cnt, 12) OVER w]) AS target FROM hourly WINDOW w AS (PARTITION BY cluster ORDER BY ts)"),
     "last_value_baseline": (last_value_baseline, f"WITH {X.HOURLY} SELECT * FROM (SELECT *, cnt - lag(cnt, 2) OVER (PARTITION BY cluster ORDER BY ts) AS error FROM hourly) WHERE error IS NOT NULL"),
     "shift_stack": (shift_stack, f"WITH {X.HOURLY} SELECT cluster, ts, array_to_string(x, ',') AS stack FROM (SELECT cluster, ts, list(cnt) OVER (PARTITION BY cluster ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS x FROM hourly) WHERE len(x) = 11"),
     "sampled_minutes": (sampled_minutes, f"WITH {X.COUNTS} SELECT ts FROM (SELECT DISTINCT ts FROM counts) ORDER BY md5('0|' || strftime(ts, '%Y-%m-%d %H:%M')), ts LIMIT 100"),

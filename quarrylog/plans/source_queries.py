@@ -57,7 +57,9 @@ def series_files(spark, sf):
 def cluster_tables(spark, sf):
     folder = _folder(spark)
     tops = coverage.top_clusters(coverage.cluster_totals(X.assignments(spark, sf), X.user_counts(spark, sf)))
-    tables.write_table(X.assignments(spark, sf), "assignments", folder)
+    # half of the days a second time, which changes nothing
+    for rows in (X.assignments(spark, sf), X.assignments(spark, sf).filter(F.dayofmonth("as_of") % 2 == 0)):
+        tables.append_table(rows, "assignments", folder)
     tables.write_table(tops, "top_clusters", folder)
     tables.write_table(coverage.cluster_series(X.assignments(spark, sf), X.user_counts(spark, sf), 10, tops), "cluster_series", folder)
     series_ = tables.read_table(spark, "cluster_series", folder).groupBy("cluster").agg(F.sum("cnt").alias("cnt"))
