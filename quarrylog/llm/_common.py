@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import shared_checkpoints
+from ..checkpoints import clear, new_folder, shared_checkpoints
+
+__all__ = ["clear", "new_folder"]
 
 #: Text bytes that one numpy step works on; a longer text is a step of its own.
 SLICE_BYTES = 4 << 20
@@ -19,30 +20,20 @@ SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 24 << 20
 #: A key is hot if more than one row in so many has it.
 HOT_SHARE = 10_000
+#: Equal rows that a task writes at once.
+COPIES = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tables that ``written`` made in this process, by their paths.
-_WRITTEN: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share; see ``checkpoints``."""
     shared_checkpoints(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables that operators wrote between their steps; results that still read them must be done with."""
-    jvm = spark._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
     """What runs inside leaves no shuffle files once it has ended."""
@@ -62,13 +53,6 @@ def reliable(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A name in the shared folder that nothing has yet, and that ``clear`` deletes."""
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.{kind}"
-    _WRITTEN.append(path)
-    return path
-
-
 def written(df: DataFrame) -> DataFrame:
     """Like ``reliable``, as a Parquet table: for many rows whose columns compress well."""
     path = new_folder(df.sparkSession, "parquet")
@@ -117,6 +101,18 @@ def looked_up(big: DataFrame, small: DataFrame, key: str, times: str) -> DataFra
     return warm.unionByName(cold.select(*columns))
 
 
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row of a table as often as its column ``times`` says, without that column; many equal rows are written by many
+    tasks."""
+    most = df.agg(F.max(times).alias("n")).first().n or 0
+    rows = df
+    if most > COPIES:
+        parts = df.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES))))
+        dealt = parts.repartition("__part", *[c for c in df.columns if c != times])
+        rows = dealt.withColumn(times, F.least(F.lit(COPIES), F.col(times) - COPIES * F.col("__part"))).drop("__part")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop("__copy", times)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with at most ``limit`` bytes in ``column`` (one row at least)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

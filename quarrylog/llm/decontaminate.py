@@ -30,15 +30,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as T
-from ._common import looked_up, modest, reliable, slices, table, written
+from ._common import looked_up, modest, octets, reliable, slices, table, written
 
 MINIMUM = 5
 COVERAGE = 0.5
 #: The filter has up to 2 ** FILTER_BITS bits (16 MB), and SPARE times as many as seeds until then.
 FILTER_BITS = 27
 SPARE = 1024
-#: Items of a document that one row may hold are a part of so many.
-PARTS = 16
+#: Items of a document that one row may hold are a part of so many, at least, and take so many octets, about.
+PARTS, PART_OCTETS = 16, 1 << 20
+#: Items of a seed that one row may hold, about.
+SEED_ITEMS = 1024
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +204,15 @@ def _pairs(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     # the most frequent seeds are left out as long as they are fewer than an item needs
     upto = Window.partitionBy("item").orderBy(F.desc("rows"), "gram").rowsBetween(Window.unboundedPreceding, 0)
     chosen = known.withColumn("upto", F.sum("times").over(upto)).filter("upto >= need")
-    chosen = reliable(chosen.groupBy("gram").agg(F.max("rows").alias("rows"), F.collect_list("item").alias("items")))
-    hits = looked_up(grams, chosen, "gram", "rows").filter("items is not null")
+    chosen = reliable(chosen.select("gram", "item", "rows"))
+    sizes = reliable(chosen.groupBy("gram").agg(F.max("rows").alias("rows"), F.count("*").alias("items"), F.ceil(F.count("*") / SEED_ITEMS).alias("parts")))
+    own = looked_up(chosen, sizes.select("gram", "parts", "items"), "gram", "items").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")))
+    lists = own.groupBy("gram", "part").agg(F.collect_list("item").alias("items"), F.max("rows").alias("rows"))
+    lists = reliable(lists.select(F.struct("gram", "part").alias("key"), "items", "rows"))
+    sizes = sizes.select("gram", "parts", "rows")
+    # a seed of many items is asked for part by part
+    asked = looked_up(grams, sizes, "gram", "rows").filter("parts is not null").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    hits = looked_up(asked.select("row", F.struct("gram", "part").alias("key")), lists, "key", "rows").filter("items is not null")
     return reliable(hits.select("row", F.explode("items").alias("item")).distinct())
 
 
@@ -214,7 +223,9 @@ def _tiled(candidates: DataFrame, pairs: DataFrame, items: DataFrame, coverage:
     """_TILED rows of the pairs with enough coverage."""
     times = pairs.groupBy("item").agg(F.count("*").alias("times"))
     asked = looked_up(pairs, reliable(items.join(times, "item")), "item", "times")
-    part = F.pmod(F.xxhash64("item"), F.lit(PARTS))
+    # the whole benchmark, at worst, so that a document that holds it all has rows enough
+    parts = max(PARTS, -(-octets(items) // PART_OCTETS))
+    part = F.pmod(F.xxhash64("item"), F.lit(parts))
     asked = asked.groupBy("row", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("item", F.col("text").alias("item_text")))).alias("items"))
     both = candidates.select("row", "doc_id", "th", "text").join(asked, "row").select("doc_id", "th", "text", "items")
 

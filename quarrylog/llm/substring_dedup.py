@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as T
-from ._common import looked_up, reliable, slices, table, written
+from ._common import looked_up, reliable, repeated, slices, table, written
 
 WIDTH = 50
 GRAM = 25
@@ -45,8 +45,6 @@ FLUSH = 1 << 20
 #: Suffixes that a group may hold (about a megabyte), and that a task should.
 GROUP_ROWS = 16_384
 TASK_ROWS = 2_000_000
-#: Equal rows that a task writes at once.
-COPIES = 4096
 _LAST = (1 << 63) - 1
 
 
@@ -321,9 +319,7 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     if several is None:
         return cleaned(single.withColumn("times", F.lit(1).cast("long"))).select(*names)
     ranges = written(ranges)
-    parts = cleaned(several).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))))
-    here = F.least(F.lit(COPIES), F.col("times") - COPIES * F.col("part"))
-    copies = parts.repartition("doc_id", "part").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), here)))
+    copies = repeated(written(cleaned(several)), "times")
     return cleaned(single.withColumn("times", F.lit(1).cast("long"))).select(*names).union(copies.select(*names))
 
 

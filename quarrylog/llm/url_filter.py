@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import modest, reliable, table
+from ._common import looked_up, modest, reliable, repeated, table
 
 #: (verdict, rule); the longest rule that fits decides.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -96,12 +96,12 @@ def filtered(pages: DataFrame, rules=RULES, least: int = LEAST) -> DataFrame:
     if models:
         at = _positions(urls.filter("host <> '' or path <> ''").select(F.xxhash64(*row).alias("row"), "padded")).select("row", f"g{ORDER}")
         # the models are asked once for each distinct gram; those of lower orders are its ends
-        longest = at.select(f"g{ORDER}").distinct().withColumns({f"g{k}": F.expr(f"substring(g{ORDER}, {ORDER - k + 1})") for k in range(ORDER)})
+        longest = at.groupBy(f"g{ORDER}").agg(F.count("*").alias("times")).withColumns({f"g{k}": F.expr(f"substring(g{ORDER}, {ORDER - k + 1})") for k in range(ORDER)})
         joined = reduce(lambda df, kd: df.join(kd[1], f"g{kd[0]}", "left"), enumerate(models), longest)
         step = F.coalesce(*[F.col(f"d{k}") for k in range(len(models) - 1, -1, -1)], F.lit(0.0))
-        steps = modest(reliable(joined.select(f"g{ORDER}", F.round(step * 1e9).cast("long").alias("step"))))
+        steps = reliable(joined.select(f"g{ORDER}", F.round(step * 1e9).cast("long").alias("step"), "times"))
         # the sum is over whole billionths, so that its order does not matter
-        scores = at.join(steps, f"g{ORDER}").groupBy("row").agg((F.sum("step") / F.count("*") / 1e9).alias("score"))
+        scores = looked_up(at, steps, f"g{ORDER}", "times").groupBy("row").agg((F.sum("step") / F.count("*") / 1e9).alias("score"))
         scored = urls.filter("host <> '' or path <> ''").withColumn("row", F.xxhash64(*row)).join(scores, "row").select(*key, "score")
         scored = scored.unionByName(urls.filter("host = '' and path = ''").withColumn("score", F.lit(0.0)))
     else:
@@ -109,8 +109,7 @@ def filtered(pages: DataFrame, rules=RULES, least: int = LEAST) -> DataFrame:
     scored = reliable(scored)
     threshold = _threshold(scored.filter(F.col("said").isNotNull() & (F.col("host") != "") & ~trains)) if models else 0.0
     said = F.coalesce("said", F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block")))
-    repeated = scored.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return repeated.select("page_id", "url", "host", "path", "rule", said.alias("verdict"), "score")
+    return repeated(scored.select("page_id", "url", "host", "path", "rule", said.alias("verdict"), "score", "times"), "times")
 
 
 def _threshold(examples: DataFrame) -> float:

@@ -149,7 +149,7 @@ def test_rows_that_repeat_thousands_of_times(spark, monkeypatch):
     took = []
     for times in (1000, 5000):
         rows = base + [base[1]] * times + [base[2]] * 3 + [base[4], base[5]] * 2
-        monkeypatch.setattr(substring_dedup, "COPIES", 300)
+        monkeypatch.setattr(_common, "COPIES", 300)
         began = time.perf_counter()
         found = [tuple(r) for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
         took.append(time.perf_counter() - began)
@@ -318,6 +318,18 @@ def test_long_and_repetitive_texts(spark):
     assert found == [("1", 1, 500), ("2", 2, 400), ("None", 1, 500)] and time.perf_counter() - began < 90
 
 
+def test_a_document_with_the_whole_benchmark(spark, monkeypatch):
+    rng = random.Random(31)
+    items = [" ".join(rng.choices(ALPHABET, k=rng.randint(8, 20))) + " the words that all items end with here" for _ in range(60)]
+    docs = [(1, " and ".join(items)), (2, items[7]), (3, "nothing of it"), (4, " ".join(reversed(items)))] + [(10 + i, items[3] + f" tail {i}") for i in range(30)]
+    docs, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    usual = sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect()))
+    assert {r[1] for r in usual if r[0] == 1} == {r[1] for r in usual if r[0] == 4} == set(range(60)) and (2, 7) in {r[:2] for r in usual} and 3 not in {r[0] for r in usual}
+    for module, name, value in ((_common, "BROADCAST_BYTES", 0), (_common, "HOT_SHARE", 10), (decontaminate, "SEED_ITEMS", 4), (decontaminate, "PART_OCTETS", 200)):
+        monkeypatch.setattr(module, name, value)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect())) == usual
+
+
 def test_short_and_repeated_items(spark):
     docs = spark.createDataFrame([(1, "What is the answer, then?"), (2, "the answer is what"), (None, "THE ANSWER"), (None, "no such thing"), (4, None), (5, "... !")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "the answer"), (2, "The Answer!"), (2, "the answer"), (3, "thing"), (4, ""), (5, None), (6, "?!"), (7, "is the answer then what")], "item_id long, text string")

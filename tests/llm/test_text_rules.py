@@ -449,6 +449,18 @@ def test_broken_html_does_not_break(html):
     assert isinstance(html_text.main_text(html, "x"), str)
 
 
+def test_urls_that_most_rows_have(spark, monkeypatch):
+    rng = random.Random(15)
+    url = lambda: f"http://{rng.choice(['a', 'b'])}.{rng.choice(['net', 'org', 'example.net', 'com'])}/{rng.choice(['en', 'fr', 'de', 'x'])}/{rng.choice(['00000', 'www', 'page'])}{rng.randint(0, 99)}"
+    rows = [(i, url()) for i in range(200)] + [(7, "http://hot.net/0000000000")] * 500 + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    usual = sorted(map(repr, url_filter.filtered(df).collect()))
+    assert len(usual) == len(rows)
+    for name, value in (("BROADCAST_BYTES", 0), ("HOT_SHARE", 10), ("COPIES", 64)):
+        monkeypatch.setattr(_common, name, value)
+    assert sorted(map(repr, url_filter.filtered(df).collect())) == usual
+
+
 def test_hash_of_spans(spark):
     docs = spark.createDataFrame([(1, "a@b.co and 10.0.0.1"), (2, None)], "doc_id long, text string")
     base = {r.doc_id: r.x for r in pii.detected(docs).select("doc_id", F.sha2(pii._listed(F.col("found")), 256).alias("x")).collect()}
