@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import ordering
 from ..checkpoints import new_folder
 from ..functions import numeric, text
 from ..operators import combine, coverage, replay, series, vectors
@@ -47,6 +48,23 @@ def template_list(spark, sf):
     return spark.read.text(folder).select(F.col("value").alias("template"))
 
 
+def template_order(spark, sf):
+    """The places of the templates in their file."""
+    folder = _folder(spark)
+    tables.write_templates(X.query_log(spark, sf).select(F.concat_ws(" ", F.lit("select"), "conn").alias("template")), folder)
+    lines = ordering.numbered(logs.read_lines(spark, folder), ["file", "line_no"])
+    return lines.select(F.col("_n").alias("place"), F.col("line").alias("template"))
+
+
+def broken_rows(spark, sf):
+    """A log in which every seventh row is cut off, and what is read of it."""
+    folder = _folder(spark)
+    whole = F.concat(F.lit('"2024-01-01","00:00:00","'), "conn", F.lit('","Query","'), F.replace("query", F.lit('"'), F.lit('""')), F.lit('"'))
+    X.query_log(spark, sf).select(F.when(F.col("id") % 7 == 0, F.concat(F.lit('"2024-01-01","'), F.col("id").cast("string"), F.lit('"'))).otherwise(whole)).write.text(folder)
+    found = logs.read_anonymised(spark, folder, "mysql57", glob="*.txt")
+    return found.select("conn", F.when(F.col("rejected").isNull(), F.col("query")).alias("query"), "rejected")
+
+
 def series_files(spark, sf):
     folder = _folder(spark)
     X.hourly(spark, sf).select("cluster", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "cnt").write.partitionBy("cluster").csv(folder)
@@ -172,6 +190,8 @@ QUERIES = {
     "anonymised_log_scan": (anonymised_log_scan, f"WITH {X.LOG} SELECT {_STAMP} || '.123 EST' AS ts_text, conn, query, 'parameters: $1 = ''' || conn || '''' AS params FROM log"),
     "template_table": (template_table, "SELECT 'a' || event_type AS template, date_trunc('minute', ts) AS ts, count(*) AS cnt FROM events GROUP BY ALL"),
     "template_list": (template_list, "SELECT DISTINCT 't' || (user_id % 50) AS template FROM events"),
+    "template_order": (template_order, f"WITH {X.LOG} SELECT row_number() OVER (ORDER BY template) - 1 AS place, template FROM (SELECT DISTINCT 'select ' || conn AS template FROM log)"),
+    "broken_rows": (broken_rows, f"""WITH {X.LOG} SELECT CASE WHEN id % 7 <> 0 THEN conn END AS conn, CASE WHEN id % 7 <> 0 THEN query END AS query, CASE WHEN id % 7 = 0 THEN '"2024-01-01","' || id || '"' END AS rejected FROM log"""),
     "series_files": (series_files, f"WITH {X.HOURLY} SELECT cluster, ts, cnt FROM hourly"),
     "cluster_tables": (cluster_tables, f"""WITH {_USERS},
         x AS (SELECT cluster, time_bucket(INTERVAL 10 MINUTE, u.ts - INTERVAL 1 MINUTE, TIMESTAMP '2000-01-01') AS b, CAST(sum(cnt) AS BIGINT) AS cnt FROM user_counts u JOIN assignments a ON a.template = u.template AND date_trunc('day', u.ts) + INTERVAL 1 DAY = a.as_of WHERE (as_of, cluster) IN (SELECT (as_of, cluster) FROM ranked WHERE rank <= 3) GROUP BY ALL),

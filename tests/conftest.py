@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from quarrylog.checkpoints import clear
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -17,4 +19,5 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()
