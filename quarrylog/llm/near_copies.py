@@ -5,9 +5,10 @@
 2. A text of n shingles has at most n - ceil(SIMILARITY * n) that a near copy lacks.  A text with more shingles that no
    other text has is alone.  That is told from the shingles of one hash class of ``CLASSES`` first, which settles most texts,
    then from all shingles of the texts left.
-3. Least hashes under ``BANDS`` x ``ROWS`` permutations make ``BANDS`` keys of a text that is left.  The texts of a key are
-   paired with its shortest and its longest one and, in the order of their lengths, with the next ``NEXT`` ones; a key of many
-   texts is ordered in parts.  These pairs give most groups at little cost; nothing depends on their being all.
+3. Least hashes under ``BANDS`` x ``ROWS`` permutations make ``BANDS`` keys of a text that is left.  A key's texts are dealt to
+   parts of about ``PART_ROWS``.  A text is paired with its part's shortest and longest one and, in the order of their lengths,
+   with the next ``NEXT`` ones, and a part's shortest one with the key's.  These pairs give most groups at little cost; nothing
+   depends on their being all.
 4. Then every other pair is looked at.  With its shingles in one order for all texts, rare ones first, a text shares one of
    its first n - ceil(SIMILARITY * n) + 1 with every near copy, and what follows the first shared one bounds the overlap.  All
    pairs that this leaves and whose texts are not in one group by then are compared, in blocks of ``PART_ROWS`` texts.
@@ -103,11 +104,14 @@ def native_signed(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Data
 def candidates(texts: DataFrame) -> DataFrame:
     """(th, other): pairs to compare, of distinct texts(th, n, bands)."""
     keys = texts.select("th", "n", F.posexplode("bands").alias("band", "key")).select("th", "n", F.struct("band", "key").alias("key"))
-    ends = keys.groupBy("key").agg(F.min(F.struct("n", "th")).alias("low"), F.max(F.struct("n", "th")).alias("high"), F.count("*").alias("times")).filter("times > 1")
-    ends = reliable(ends.select("key", F.col("low.th").alias("low"), F.col("high.th").alias("high"), F.col("times").alias("of"), "times"))
+    ends = keys.groupBy("key").agg(F.min(F.struct("n", "th")).alias("low"), F.count("*").alias("times")).filter("times > 1")
+    ends = reliable(ends.select("key", F.col("low.th").alias("low"), F.col("times").alias("of"), "times"))
     shared = looked_up(keys, ends, "key", "times").filter("of > 1").withColumn("part", F.pmod(F.xxhash64("th"), F.ceil(F.col("of") / PART_ROWS)))
     order = Window.partitionBy("key", "part").orderBy("n", "th")
-    others = F.array("low", "high", *[F.lead("th", k).over(order) for k in range(1, NEXT + 1)])
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = shared.withColumns({"shortest": F.first("th").over(whole), "longest": F.last("th").over(whole)})
+    to_key = F.when(F.col("th") == F.col("shortest"), F.col("low"))
+    others = F.array("shortest", "longest", to_key, *[F.lead("th", k).over(order) for k in range(1, NEXT + 1)])
     pairs = shared.select("th", others.alias("others")).select("th", F.explode(F.array_distinct("others")).alias("other")).filter("th <> other")
     return pairs.select(F.least("th", "other").alias("th"), F.greatest("th", "other").alias("other")).distinct()
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from ._common import modest, reliable, selected, table, written
+from ._common import looked_up, modest, reliable, selected, table, written
 from .simhash_dedup import components
 
 KINDS = ("email", "ip", "card", "phone")
@@ -240,9 +240,10 @@ def _with_entities(docs: DataFrame) -> DataFrame:
     sets = written(near_copies.native_sets(texts.select("th", F.col("blank").alias("text"))))
     grouped = near_copies.groups(near_copies.native_parts(sets), lambda nodes: sets.join(modest(nodes), "th", "left_semi"))
     origins = reliable(texts.select("th", "found").join(modest(grouped), "th", "left").select("th", F.coalesce("label", "th").alias("origin"), F.transform("found", _entity).alias("values")))
-    values = origins.select("origin", F.explode("values").alias("entity")).distinct()
-    first = values.groupBy("entity").agg(F.min("origin").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    shared = reliable(values.join(first, "entity").filter("origin <> v").select(F.col("origin").alias("u"), "v").distinct())
+    values = reliable(origins.select("origin", F.explode("values").alias("entity")).distinct())
+    # an address may be in most texts
+    first = reliable(values.groupBy("entity").agg(F.min("origin").alias("v"), F.count("*").alias("n")).filter("n > 1"))
+    shared = reliable(looked_up(values, first, "entity", "n").filter("origin <> v").select(F.col("origin").alias("u"), "v").distinct())
     families = reliable(components(shared).select(F.col("node").alias("origin"), F.col("label").alias("family")))
     named = reliable(origins.join(modest(families), "origin", "left").select("th", "origin", F.coalesce("family", "origin").alias("family")))
     return texts.join(modest(named), "th")

@@ -59,9 +59,9 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_thirteen_queries_and_the_pipeline_are_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert queries.oracle_sql()["op7_quality_rules"] == quality_rules.ORACLE_SQL
 
 
