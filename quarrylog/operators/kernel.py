@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_checkpoints
-from .neighbours import LEAF_ROWS, LEAST_LEAVES, SAMPLE, Tree, fitted_tree, in_blocks, matrix_of
+from ..ordering import bounded_sample
+from .neighbours import SAMPLE, Tree, fitted_tree, in_blocks, leaves_for, matrix_of
 
 #: Pairs of a test and a training row whose weights are in memory at once.
 PAIRS = 1 << 20
@@ -83,13 +84,12 @@ def near_pairs(train: DataFrame, test: DataFrame, dims: int, test_id: str = "id"
     scale = [float(np.sqrt(v)) if v else float("inf") for v in spread]
     scaled = F.array(*[F.get("x", F.lit(k)).cast("double") / F.lit(s) for k, s in enumerate(scale)])
     rows = train.select(scaled.alias("v"), F.col("y").cast("double").alias("y"))
-    # a bounded sample
-    sample = rows.orderBy(F.xxhash64("v", "y")).limit(SAMPLE).select("v").collect()
+    few, total = bounded_sample(rows, SAMPLE, F.xxhash64("v", "y"))
+    sample = few.select("v").collect()
     if not sample:
         return None
     if leaves is None:
-        wanted = rows.count() / LEAF_ROWS if len(sample) == SAMPLE else 1
-        leaves = min(1 << int(np.ceil(np.log2(max(LEAST_LEAVES, wanted)))), SAMPLE // 4)
+        leaves = leaves_for(total)
     tree = fitted_tree(np.array([r.v for r in sample], float), leaves)
     placed = rows.mapInArrow(_leaves_of(tree), "v array<double>, y double, leaf int, away double").checkpoint()
     balls = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("away").alias("away"), F.sum("y").alias("y")).checkpoint()

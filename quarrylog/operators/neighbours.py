@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from ..checkpoints import shared_checkpoints
+from ..ordering import bounded_sample
 
 #: Vectors that the tree is fitted on, and that one leaf has about; leaves at least, for tables that are small.
 SAMPLE, LEAF_ROWS, LEAST_LEAVES = 8192, 20_000, 16
@@ -62,6 +63,11 @@ def fitted_tree(sample: np.ndarray, leaves: int) -> Tree:
     return Tree(dims, cuts, np.array(centres))
 
 
+def leaves_for(rows: int) -> int:
+    """A power of two: by the number of rows, within what the sample can tell apart."""
+    return min(1 << int(np.ceil(np.log2(max(LEAST_LEAVES, rows / LEAF_ROWS)))), SAMPLE // 4)
+
+
 def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of equally long lists."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -162,15 +168,14 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int = 1, query_id
     shared_checkpoints(spark)
     of = lambda df, name: df.filter(F.col(vector).isNotNull()).select(F.col(name).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     given, against = of(queries, query_id), of(vectors, vector_id)
-    # a bounded sample
-    sample = against.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    few, total = bounded_sample(against, SAMPLE, F.xxhash64("id"), "id")
+    sample = few.select("v").collect()
     renamed = lambda df: df.select(F.col("query").alias(query_id), F.col("vector").alias(vector_id), "cos", "rank")
     kind = against.schema["id"].dataType.simpleString()
     if not sample:
         return renamed(spark.createDataFrame([], f"query {kind}, vector {kind}, cos double, rank int"))
     if leaves is None:
-        wanted = against.count() / LEAF_ROWS if len(sample) == SAMPLE else 1
-        leaves = min(1 << int(np.ceil(np.log2(max(LEAST_LEAVES, wanted)))), SAMPLE // 4)
+        leaves = leaves_for(total)
     tree = fitted_tree(units(np.array([r.v for r in sample], float)), leaves)
     schema = f"id {kind}, v array<double>, leaf int, away double"
     placed = against.mapInArrow(_placed(tree), schema).checkpoint()

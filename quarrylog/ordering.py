@@ -1,4 +1,4 @@
-"""Places of rows in an order, and values carried along it.  A key's rows are dealt out to tasks by ranges, so that a key
+"""Places of rows in an order, values carried along it, and bounded samples.  A key's rows are dealt out to tasks by ranges, so that a key
 with most of all rows takes no longer than others."""
 
 from __future__ import annotations
@@ -56,3 +56,11 @@ def carried(rows: DataFrame, value: str, order: str, *key: str, width: int) -> D
     inside = Window.partitionBy(*key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_before"))
     return _matched(blocked, handed, [*key, "_block"]).withColumn(value, filled).drop("_block", "_before")
+
+
+def bounded_sample(rows: DataFrame, n: int, *order: str | Column) -> tuple[DataFrame, int]:
+    """(at most n rows, how many there are).  A share that gives about twice as many is drawn first, so that tasks hand on few;
+    of these the first n in the order are taken."""
+    total = rows.count()
+    drawn = rows if total <= 2 * n else rows.sample(fraction=2.0 * n / total, seed=0)
+    return drawn.orderBy(*order).limit(n), total

@@ -77,6 +77,15 @@ def test_percentiles_of_one_run(spark):
     assert [r.p99 for r in replay.latest_p99(df, "v", ("id",), last=150).collect()] == [newest[len(newest) - len(newest) // 100 - 1]]
 
 
+def test_samples_are_bounded(spark):
+    df = spark.range(20_000).repartition(50)
+    for n in (100, 1000):
+        few, total = ordering.bounded_sample(df, n, F.xxhash64("id"))
+        assert total == 20_000 and few.count() == n
+        assert sorted(few.collect()) == sorted(ordering.bounded_sample(df, n, F.xxhash64("id"))[0].collect())
+    assert ordering.bounded_sample(spark.range(5), 10, "id")[0].count() == 5 and ordering.bounded_sample(spark.range(0), 10, "id")[1] == 0
+
+
 def test_no_window_over_a_whole_file(spark):
     df = spark.createDataFrame([("f", i, f"{'160901 12:00:00' if i % 50 == 0 else ''} 7 Query\tselect {i}") for i in range(200)], "file string, line_no long, record string")
     parsed = logs.parse_mysql55(df)
