@@ -58,9 +58,9 @@ def carried(rows: DataFrame, value: str, order: str, *key: str, width: int) -> D
     return _matched(blocked, handed, [*key, "_block"]).withColumn(value, filled).drop("_block", "_before")
 
 
-def bounded_sample(rows: DataFrame, n: int, *order: str | Column) -> tuple[DataFrame, int]:
-    """(at most n rows, how many there are).  A share that gives about twice as many is drawn first, so that tasks hand on few;
-    of these the first n in the order are taken."""
+def bounded_sample(rows: DataFrame, n: int, *order: str | Column, where: Column | None = None) -> tuple[DataFrame, int]:
+    """(at most n rows, how many there are).  A share of about twice as many is drawn first, so that tasks hand on few; of those
+    that fit ``where``, the first n in the order are taken."""
     total = rows.count()
     drawn = rows if total <= 2 * n else rows.sample(fraction=2.0 * n / total, seed=0)
-    return drawn.orderBy(*order).limit(n), total
+    return (drawn if where is None else drawn.filter(where)).orderBy(*order).limit(n), total
