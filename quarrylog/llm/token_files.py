@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from tokenizers import Tokenizer
 
+from ..ordering import bounded_sample
 from ._common import new_folder, slices, table
 from ._tokens import Words, buffer_of
 from .periodic_runs import distinct_words
@@ -349,7 +350,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     as the session has shuffle partitions).  Many rows of one doc_id are parted by their text and by their place."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = given.filter(F.octet_length("text") <= SAMPLE_OCTETS).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS)
+    sample, _ = bounded_sample(given, SAMPLE_DOCS, F.xxhash64("doc_id", "text"), "doc_id", where=F.octet_length("text") <= SAMPLE_OCTETS)
     width = 2 if max(Tokenizer.from_str(_vocabulary(tokenizer_path)).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     # a bounded sample
     arrays = [np.frombuffer(r.ids, "<u4").astype(f"<u{width}").tobytes() for r in encoded(sample, tokenizer_path, end_id).select("ids").collect()]
