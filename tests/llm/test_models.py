@@ -4,9 +4,11 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarrylog.llm import _labels, quality_model, toxicity
+from quarrylog.llm import _tokens as T
 
 
 def test_network_gradients():
@@ -41,6 +43,53 @@ def test_windows_cover_every_word():
         assert len(np.unique(e.windows[(e.row == 0)][e.windows[e.row == 0] >= 0])) == n
 
 
+def _plain_score(net, text):
+    """The score of one text by the definitions, a word and a step at a time."""
+    w, h = {k: v.astype(float) for k, v in net.weights.items()}, toxicity.HIDDEN
+    words = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "")).encode().lower().split(b" ")
+    words = [x for x in words if x]
+    if not words:
+        return 0.0
+    vocabulary = net.vocabulary.tolist()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    inputs = []
+    for word in words:
+        known = xxhash.xxh64_intdigest(word, 42)
+        padded = b" " + word + b" "
+        grams = [padded[i : i + n] for n in (3, 4) for i in range(len(padded) - n + 1)]
+        buckets = [int(T.mix(np.array([int.from_bytes(g, "little") + len(g) * 2**40], np.uint64))[0]) % toxicity.CHAR_BUCKETS for g in grams]
+        inputs.append(np.r_[w["word"][vocabulary.index(known) + 1 if known in vocabulary else 0], np.mean([w["char"][b] for b in buckets], axis=0)])
+    starts = [0] if len(words) <= toxicity.WINDOW else [*range(0, len(words) - toxicity.WINDOW, toxicity.STRIDE), len(words) - toxicity.WINDOW]
+    logits = []
+    for start in starts:
+        part = inputs[start : start + toxicity.WINDOW]
+        both = []
+        for side, name in ((0, "f"), (1, "b")):
+            state, states = np.zeros(h), []
+            for x in part if side == 0 else part[::-1]:
+                given = (x @ w["x"] + w["xb"])[3 * h * side : 3 * h * (side + 1)]
+                past = state @ w[f"u{name}"]
+                reset, stay = sigmoid(given[:h] + past[:h]), sigmoid(given[h : 2 * h] + past[h : 2 * h])
+                new = np.tanh(given[2 * h :] + reset * (past[2 * h :] + w[f"n{name}"]))
+                state = (1 - stay) * new + stay * state
+                states.append(state)
+            both.append(states if side == 0 else states[::-1])
+        states = [np.r_[f, b] for f, b in zip(*both, strict=True)]
+        level = np.array([np.tanh(s @ w["a"] + w["ab"]) @ w["v"] for s in states])
+        share = np.exp(level - level.max()) / np.exp(level - level.max()).sum()
+        logits.append(sum(p * s for p, s in zip(share, states, strict=True)) @ w["o"] + w["ob"][0])
+    return sigmoid(np.log(np.sum(np.exp(logits))) + net.shift)
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    rng = random.Random(9)
+    texts, labels = _toxic_texts(rng, 120)
+    net = toxicity.train(texts, labels, 0.4, steps=20)
+    odd = [None, "", " .,!", "One", "Ünï-cödé & MIXED_case 7up!", " ".join(rng.choices(["word", "Wörd", "a", "x9"], k=toxicity.WINDOW)), " ".join(rng.choices(["word", "other", "b"], k=toxicity.WINDOW + 1)), " ".join(rng.choices(["z", "word", "more"], k=3 * toxicity.WINDOW + 5))]
+    for text, score in zip([*texts[:12], *odd], net.scores(pa.array([*texts[:12], *odd])), strict=True):
+        assert score == pytest.approx(_plain_score(net, text), abs=1e-4)
+
+
 def _toxic_texts(rng, n):
     words = [f"word{i}" for i in range(200)]
     texts, labels = [], []
