@@ -133,6 +133,12 @@ def ridge_ar(spark, sf):
     return errors.select("model", "horizon", "cluster", F.round("mse", 4).alias("mse"), F.round("mse_log", 6).alias("mse_log"), "n")
 
 
+def forecasts_kernel(spark, sf):
+    found = forecast.forecasts(X.hourly(spark, sf), _tops(spark, sf), ("kr",), (1,))
+    errors = combine.squared_errors(cleaned_predictions(found, "clamped"), "model", "horizon", "cluster")
+    return errors.select("model", "horizon", "cluster", F.round("mse", 4).alias("mse"), F.round("mse_log", 6).alias("mse_log"), "n")
+
+
 def column_weights(spark, sf):
     return ddl.scanned(X.schema_dump(spark, sf)).select("table", "column", generate.column_weight(F.col("data_type")).alias("card"))
 
@@ -235,15 +241,20 @@ _ACCESS = """tpl AS (SELECT template, count(*) AS total FROM t GROUP BY ALL), ac
 _SEEN = f"{_ACCESS}, ben AS (SELECT tab, col, ordinal, CAST(coalesce(sum(total * card * weight), 0) AS DOUBLE) AS benefit FROM sch LEFT JOIN wt USING (tab, col) LEFT JOIN tpl USING (template) GROUP BY ALL)"
 
 
-#: The regression of each date by elimination, a step a feature, on dot products of slices of its scaled series.
-_RIDGE_AR = f"""WITH RECURSIVE {X.HOURLY}, days AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS as_of FROM hourly),
+#: Each date's scaled series, and what is made of a guess of its last day.
+_WALK = f"""WITH RECURSIVE {X.HOURLY}, days AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS as_of FROM hourly),
   dates AS (SELECT as_of, 24 * d + 1 AS n FROM (SELECT as_of, least(25, date_diff('day', (SELECT min(as_of) FROM days), as_of)) AS d FROM days) WHERE d >= 10),
   grid AS (SELECT as_of, n, cluster, i, as_of + to_hours(CAST(i - n + 1 AS INTEGER)) AS ts FROM (SELECT as_of, n, unnest(range(n)) AS i FROM dates), (SELECT DISTINCT cluster FROM hourly)),
   known AS (SELECT g.as_of, n, g.cluster, i, g.ts, CAST(coalesce(cnt, 0) AS DOUBLE) AS actual FROM grid g ASOF LEFT JOIN hourly r ON g.cluster = r.cluster AND g.ts > r.ts),
   logs AS (SELECT *, ln(actual + shift) AS l FROM (SELECT *, 1 - min(actual) OVER (PARTITION BY as_of) AS shift FROM known)),
   stat AS (SELECT as_of, avg(l) AS mean, stddev_pop(l) AS deviation FROM logs WHERE i < n - 25 GROUP BY as_of),
   scaled AS (SELECT as_of, any_value(n) AS n, any_value(shift) AS shift, any_value(mean) AS mean, any_value(deviation) AS deviation, cluster, row_number() OVER (PARTITION BY as_of ORDER BY cluster) AS c, list((l - mean) / deviation ORDER BY i) AS s FROM logs JOIN stat USING (as_of) GROUP BY as_of, cluster),
-  wide AS (SELECT as_of, n, n - 49 AS m, 24 * max(c) OVER (PARTITION BY as_of) AS d, max(c) OVER (PARTITION BY as_of) AS k, c, s FROM scaled),
+  wide AS (SELECT as_of, n, n - 49 AS m, 24 * max(c) OVER (PARTITION BY as_of) AS d, max(c) OVER (PARTITION BY as_of) AS k, c, s FROM scaled),"""
+_ERRORS = """found AS (SELECT cluster, actual, greatest(exp(p * deviation + mean) - s.shift, 0) AS predicted FROM guess JOIN scaled s USING (as_of, c) JOIN known USING (as_of, cluster, i)),
+  shifts AS (SELECT cluster, 2 - least(min(actual), min(predicted)) AS z FROM found GROUP BY ALL)
+SELECT '{model}' AS model, 60 AS horizon, cluster, round(avg((actual - predicted) ** 2), 4) AS mse, round(avg((ln(actual + z) - ln(predicted + z)) ** 2), 6) AS mse_log, count(*) AS n FROM found JOIN shifts USING (cluster) GROUP BY ALL"""
+#: The regression of each date by elimination, a step a feature, on dot products of slices of its scaled series.
+_RIDGE_AR = _WALK + """
   cols AS (SELECT as_of, d, lag * k + c AS j, s[CAST(lag + 1 AS BIGINT) : CAST(lag + m AS BIGINT)] AS v FROM (SELECT *, unnest(range(25)) AS lag FROM wide)),
   matrix AS (SELECT as_of, d, list(row ORDER BY j) AS m FROM (SELECT a.as_of, a.d, a.j, list(list_dot_product(a.v, b.v) + CASE WHEN a.j = b.j THEN 1 ELSE 0 END ORDER BY b.j) AS row FROM cols a JOIN cols b USING (as_of) WHERE a.j <= a.d GROUP BY ALL) GROUP BY as_of, d),
   steps AS (SELECT as_of, d, 0 AS step, m FROM matrix
@@ -251,9 +262,16 @@ _RIDGE_AR = f"""WITH RECURSIVE {X.HOURLY}, days AS (SELECT unnest(generate_serie
   weights AS (SELECT as_of, unnest(range(1, d + 1)) AS j, unnest(m) AS w FROM steps WHERE step = d),
   inputs AS (SELECT as_of, i, (t - 1) * k + c AS j, s[CAST(i - 24 + t AS BIGINT)] AS x FROM (SELECT *, unnest(range(1, 25)) AS t FROM (SELECT *, unnest(range(n - 24, n)) AS i FROM wide))),
   guess AS (SELECT as_of, i, c, sum(x * w[c]) AS p FROM inputs JOIN weights USING (as_of, j), (SELECT DISTINCT c FROM wide) GROUP BY ALL),
-  found AS (SELECT cluster, actual, greatest(exp(p * deviation + mean) - s.shift, 0) AS predicted FROM guess JOIN scaled s USING (as_of, c) JOIN known USING (as_of, cluster, i)),
-  shifts AS (SELECT cluster, 2 - least(min(actual), min(predicted)) AS z FROM found GROUP BY ALL)
-SELECT 'ar' AS model, 60 AS horizon, cluster, round(avg((actual - predicted) ** 2), 4) AS mse, round(avg((ln(actual + z) - ln(predicted + z)) ** 2), 6) AS mse_log, count(*) AS n FROM found JOIN shifts USING (cluster) GROUP BY ALL"""
+""" + _ERRORS.format(model="ar")
+#: Weights of all training rows for each row of the last day; spreads are over training and test rows.
+_KERNEL = _WALK + """
+  vectors AS (SELECT as_of, n, e, flatten(list(s[CAST(e - 22 AS BIGINT) : CAST(e + 1 AS BIGINT)] ORDER BY c)) AS v, list(s[CAST(e + 2 AS BIGINT)] ORDER BY c) AS y FROM (SELECT *, unnest(range(23, n - 1)) AS e FROM wide) GROUP BY as_of, n, e),
+  shown AS (SELECT as_of, v FROM vectors WHERE e <= n - 27 UNION ALL SELECT as_of, v FROM vectors WHERE e >= n - least(n, 193) + 23),
+  spread AS (SELECT as_of, list(CASE WHEN x > 0 THEN sqrt(x) ELSE 1 END ORDER BY j) AS sd FROM (SELECT as_of, j, var_samp(x) AS x FROM (SELECT as_of, unnest(range(len(v))) AS j, unnest(v) AS x FROM shown) GROUP BY ALL) GROUP BY as_of),
+  units AS (SELECT as_of, n, e, y, list_transform(v, lambda x, i: x / sd[i]) AS u FROM vectors JOIN spread USING (as_of)),
+  pairs AS (SELECT as_of, z.e + 1 AS i, x.y, exp(-list_distance(z.u, x.u)) AS w FROM units z JOIN units x USING (as_of) WHERE z.e >= z.n - 25 AND x.e <= x.n - 27),
+  guess AS (SELECT as_of, i, c, sum(w * y[c]) / sum(w) AS p FROM pairs, (SELECT DISTINCT c FROM wide) GROUP BY ALL),
+""" + _ERRORS.format(model="kr")
 
 
 def _log_sql():
@@ -287,6 +305,7 @@ QUERIES = {
         w AS (SELECT te.cluster, te.ts, tr.y, exp(-sqrt((tr.x0 - te.x0) ** 2 / v0 + (tr.x1 - te.x1) ** 2 / v1 + (tr.x2 - te.x2) ** 2 / v2 + (tr.x3 - te.x3) ** 2 / v3)) AS w FROM tr, te, v)
         SELECT cluster || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS id, round(sum(w * y) / sum(w), 5) AS predicted FROM w GROUP BY cluster, ts"""),
     "ridge_ar": (ridge_ar, _RIDGE_AR),
+    "forecasts_kernel": (forecasts_kernel, _KERNEL),
     "forecasts_linear": (forecasts_linear, None),
     "forecasts_networks": (forecasts_networks, None),
     "column_weights": (column_weights, f'WITH {X.DUMP} SELECT tab AS "table", col AS "column", card FROM dump'),
