@@ -12,6 +12,8 @@ import numpy as np
 
 #: Variances of a state of which nothing is known, where the model is not stationary.
 DIFFUSE = 1e6
+#: What a covariance may still move when its gain is kept.
+STILL = 1e-9
 #: Scoring steps, and halvings of a step that is too long.
 STEPS, HALVINGS = 10, 6
 
@@ -58,41 +60,62 @@ def filtered(data: np.ndarray, m: Varma) -> tuple[float, np.ndarray]:
     noise = load @ m.sigma @ load.T
     p = stationary_covariance(t, noise)
     p = DIFFUSE * np.eye(len(t)) if p is None else p
-    a, out, total = np.zeros(len(t)), np.zeros((n, k)), 0.0
-    gain = None
+    a, out, total, start = np.zeros(len(t)), np.zeros((n, k)), 0.0, n
     for i, y in enumerate(data):
-        if gain is None or moving:
-            f = p[:k, :k]
-            try:
-                inverse = np.linalg.inv(f)
-                log_det = np.linalg.slogdet(f)[1]
-            except np.linalg.LinAlgError:
-                return -np.inf, out
-            gain = t @ p[:, :k] @ inverse
-            after = t @ p @ t.T + noise - gain @ f @ gain.T
-            moving = np.abs(after - p).max() > 1e-10 * max(1.0, np.abs(p).max())
-            p = (after + after.T) / 2
+        f = p[:k, :k]
+        try:
+            inverse = np.linalg.inv(f)
+        except np.linalg.LinAlgError:
+            return -np.inf, out
+        log_det = np.linalg.slogdet(f)[1]
+        gain = t @ p[:, :k] @ inverse
+        after = t @ p @ t.T + noise - gain @ f @ gain.T
+        still = np.abs(after - p).max() <= STILL * max(1.0, np.abs(p).max())
+        p = (after + after.T) / 2
         v = y - a[:k]
         out[i] = a[:k]
         total -= 0.5 * (k * np.log(2 * np.pi) + log_det + v @ inverse @ v)
         a = t @ a + gain @ v
+        if still:
+            start = i + 1
+            break
+    if start < n:
+        step = t.copy()
+        step[:, :k] -= gain
+        for i in range(start, n):
+            out[i] = a[:k]
+            a = step @ a + gain @ data[i]
+        rest = data[start:] - out[start:]
+        total -= 0.5 * ((n - start) * (k * np.log(2 * np.pi) + log_det) + np.einsum("ta,ab,tb->", rest, inverse, rest))
     return float(total) if np.isfinite(total) else -np.inf, out
 
 
+def shocks_of(data: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
+    """The innovations, from nothing before the first row."""
+    e = data.copy()
+    for i, a in enumerate(ar):
+        e[i + 1 :] -= data[: -i - 1] @ a.T
+    q = len(ma)
+    if q:
+        joined = np.concatenate(ma[::-1], axis=1)  # those of the oldest row first
+        for t in range(1, len(e)):
+            past = e[max(t - q, 0) : t].ravel()
+            e[t] -= joined[:, len(joined) * q - len(past) :] @ past
+    return e
+
+
 def innovations(data: np.ndarray, m: Varma) -> tuple[np.ndarray, np.ndarray]:
-    """(e, their derivatives by all coefficients), from nothing before the first row."""
+    """(the innovations, their derivatives by all coefficients)."""
     n, k = data.shape
-    p, q = len(m.ar), len(m.ma)
-    e, d = np.zeros((n, k)), np.zeros((n, k, (p + q) * k * k))
-    rows = np.arange(k)[:, None]
-    for t in range(n):
-        e[t] = data[t]
-        for i in range(min(p, t)):
-            e[t] -= m.ar[i] @ data[t - 1 - i]
-            d[t, rows, i * k * k + rows * k + np.arange(k)] -= data[t - 1 - i]
-        for j in range(min(q, t)):
-            e[t] -= m.ma[j] @ e[t - 1 - j]
-            d[t, rows, (p + j) * k * k + rows * k + np.arange(k)] -= e[t - 1 - j]
+    e = shocks_of(data, m.ar, m.ma)
+    lagged = [data] * len(m.ar) + [e] * len(m.ma)
+    d = np.zeros((n, k, len(lagged) * k * k))
+    for at, rows in enumerate(lagged):
+        lag = 1 + (at if at < len(m.ar) else at - len(m.ar))
+        for a in range(k):
+            d[lag:, a, at * k * k + a * k : at * k * k + (a + 1) * k] = -rows[:-lag]
+    for t in range(1, n):
+        for j in range(min(len(m.ma), t)):
             d[t] -= m.ma[j] @ d[t - 1 - j]
     return e, d
 
@@ -135,8 +158,9 @@ def fitted(data: np.ndarray, p: int = 6, q: int = 3, steps: int = STEPS) -> tupl
         blocks = move.reshape(p + q, k, k)
         for halving in range(HALVINGS):
             ar, ma = model.ar + blocks[:p] / 2**halving, model.ma + blocks[p:] / 2**halving
-            shocks = data - filtered(data, Varma(ar, ma, model.sigma))[1]
-            if not np.isfinite(shocks).all():
+            with np.errstate(over="ignore", invalid="ignore"):
+                shocks = shocks_of(data, ar, ma)
+            if not np.isfinite(shocks).all() or np.abs(shocks).max() > 1e9:
                 continue
             tried = Varma(ar, ma, shocks.T @ shocks / n + 1e-9 * np.eye(k))
             likelihood = filtered(data, tried)[0]
