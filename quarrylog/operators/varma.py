@@ -12,6 +12,8 @@ import numpy as np
 
 #: Variances of a state of which nothing is known, where the model is not stationary.
 DIFFUSE = 1e6
+#: Predictions so many times as large as the data are none.
+FAR = 100
 #: What a covariance may still move when its gain is kept.
 STILL = 1e-9
 #: Scoring steps, and halvings of a step that is too long.
@@ -64,10 +66,12 @@ def filtered(data: np.ndarray, m: Varma) -> tuple[float, np.ndarray]:
     for i, y in enumerate(data):
         f = p[:k, :k]
         try:
+            # rounding of a system that grows shows here: its covariance is none any more
+            root = np.linalg.cholesky(f)
             inverse = np.linalg.inv(f)
         except np.linalg.LinAlgError:
-            return -np.inf, out
-        log_det = np.linalg.slogdet(f)[1]
+            return -np.inf, np.zeros((n, k))
+        log_det = 2 * np.log(np.diag(root)).sum()
         gain = t @ p[:, :k] @ inverse
         after = t @ p @ t.T + noise - gain @ f @ gain.T
         still = np.abs(after - p).max() <= STILL * max(1.0, np.abs(p).max())
@@ -77,17 +81,20 @@ def filtered(data: np.ndarray, m: Varma) -> tuple[float, np.ndarray]:
         total -= 0.5 * (k * np.log(2 * np.pi) + log_det + v @ inverse @ v)
         a = t @ a + gain @ v
         if still:
-            start = i + 1
-            break
+            step = t.copy()
+            step[:, :k] -= gain
+            if np.abs(np.linalg.eigvals(step)).max() < 1:
+                start = i + 1
+                break
     if start < n:
-        step = t.copy()
-        step[:, :k] -= gain
         for i in range(start, n):
             out[i] = a[:k]
             a = step @ a + gain @ data[i]
         rest = data[start:] - out[start:]
         total -= 0.5 * ((n - start) * (k * np.log(2 * np.pi) + log_det) + np.einsum("ta,ab,tb->", rest, inverse, rest))
-    return float(total) if np.isfinite(total) else -np.inf, out
+    if not np.isfinite(total) or np.abs(out).max(initial=0) > FAR * max(1.0, np.abs(data).max(initial=0)):
+        return -np.inf, np.zeros((n, k))
+    return float(total), out
 
 
 def shocks_of(data: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
@@ -144,6 +151,7 @@ def fitted(data: np.ndarray, p: int = 6, q: int = 3, steps: int = STEPS) -> tupl
     model = _regressed(data, p, q)
     best = filtered(data, model)[0]
     if not np.isfinite(best):
+        # nothing that the two regressions give can be used: white noise
         model = Varma(np.zeros((p, k, k)), np.zeros((q, k, k)), data.T @ data / n + 1e-6 * np.eye(k))
         best = filtered(data, model)[0]
     likelihoods = [best]

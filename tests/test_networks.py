@@ -76,6 +76,22 @@ def test_odd_data_have_models_or_none():
         assert np.isfinite(varma.predictions(data)).all()
 
 
+def test_likelihoods_stay_likely():
+    rng = np.random.default_rng(7)
+    hours = np.arange(400)
+    for seed in range(6):
+        data = np.stack([np.sin(hours / 24 * 2 * np.pi + c) + 0.4 * rng.standard_normal(400) for c in range(4)], axis=1)
+        data[: 100 * (seed % 3)] = -2.0  # a series that begins late
+        data -= data.mean(axis=0)
+        model, likelihoods = varma.fitted(data)
+        predicted = varma.filtered(data, model)[1]
+        assert likelihoods == sorted(likelihoods) and likelihoods[-1] < 1e4
+        assert np.abs(predicted).max() < 10 and ((data - predicted) ** 2).mean() < 1.1 * data.var()
+    growing = varma.Varma(np.array([[[1.8]]]), np.array([[[3.0]]]), np.eye(1))
+    likelihood, predicted = varma.filtered(rng.standard_normal((500, 1)), growing)
+    assert likelihood < 0 and np.abs(predicted).max() < 1000
+
+
 def test_predictive_state_gradients():
     rng = np.random.default_rng(5)
     n, d, f, s, o = 6, 2, 7, 4, 3
