@@ -8,11 +8,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .checkpoints import shared_checkpoints
 
 #: A table measured to take at most so many octets is broadcast.
 BROADCAST_OCTETS = 16 << 20
+#: Rows that a task gets on average where ``dealt`` deals them out.
+TASK_ROWS = 1 << 18
 
 
 def _measured(small: DataFrame) -> DataFrame:
@@ -21,11 +24,11 @@ def _measured(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if size <= BROADCAST_OCTETS else small
 
 
-def _matched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """left with the columns of right, which has one row for all values in ``on`` that left has; nulls match nulls."""
+def _matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """left with the columns of right, which has one row at most for all values in ``on`` that left has; nulls match nulls."""
     named = right.withColumnsRenamed({c: f"_r{i}" for i, c in enumerate(on)})
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(on)])
-    return left.join(named, same).drop(*[f"_r{i}" for i in range(len(on))])
+    return left.join(named, same, how).drop(*[f"_r{i}" for i in range(len(on))])
 
 
 def numbered(rows: DataFrame, order: Sequence[str | Column], *key: str, name: str = "_n") -> DataFrame:
@@ -44,18 +47,39 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], *key: str, name: st
     return _matched(placed, _measured(shift), [*key, "_range"]).withColumn(name, F.col("_place") + F.col("_shift")).drop("_place", "_range", "_shift")
 
 
+def dealt(rows: DataFrame, total: int, *by: str) -> DataFrame:
+    """rows dealt out by columns to as many tasks as ``total`` rows need at ``TASK_ROWS`` each, whatever number of partitions is set."""
+    return rows.repartition(max(1, -(-total // TASK_ROWS)), *by)
+
+
 def carried(rows: DataFrame, value: str, order: str, *key: str, width: int) -> DataFrame:
     """rows in which a null value is that of the last row before it in its key that has one.
 
     order is a number that is unique in a key.  The last values of blocks of ``width`` numbers are carried from block to block, a row a
     block, and then inside the blocks."""
+    return counted_carried(rows, value, order, *key, width=width)[0]
+
+
+def counted_carried(rows: DataFrame, value: str, order: str, *key: str, width: int) -> tuple[DataFrame, int]:
+    """(``carried`` rows, how many there are)."""
+    shared_checkpoints(rows.sparkSession)
     blocked = rows.withColumn("_block", F.floor(F.col(order) / width))
-    last = blocked.groupBy(*key, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    # numbers are added up by hash, a row a block in each task; texts would be sorted, with all rows of a task
+    small = isinstance(rows.schema[value].dataType, NumericType)
+    at = F.when(F.col(value).isNotNull(), F.col(order))
+    last = blocked.groupBy(*key, "_block").agg((F.max_by(value, at) if small else F.max(at)).alias("_last"), F.count("*").alias("_rows")).checkpoint()
+    total = last.agg(F.sum("_rows")).first()[0] or 0
     before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     handed = last.select(*key, "_block", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    if not small:  # so far the places of the values
+        places = _measured(handed.filter(F.col("_before").isNotNull()).select(*key, F.col("_before").alias(order)).distinct().checkpoint())
+        valued = rows.filter(F.col(value).isNotNull()).select(*key, order, F.col(value).alias("_value"))
+        found = _matched(valued, places, [*key, order]).withColumnRenamed(order, "_before")
+        handed = _matched(handed, found, [*key, "_before"], "left").drop("_before").withColumnRenamed("_value", "_before")
     inside = Window.partitionBy(*key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_before"))
-    return _matched(blocked, handed, [*key, "_block"]).withColumn(value, filled).drop("_block", "_before")
+    filled = dealt(blocked, total, *key, "_block").withColumn(value, F.last(value, ignorenulls=True).over(inside))
+    joined = _matched(filled, _measured(handed.checkpoint()), [*key, "_block"])
+    return joined.withColumn(value, F.coalesce(value, "_before")).drop("_block", "_before"), total
 
 
 def bounded_sample(rows: DataFrame, n: int, *order: str | Column, where: Column | None = None) -> tuple[DataFrame, int]:

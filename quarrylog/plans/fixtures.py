@@ -94,14 +94,15 @@ FORECASTS = f"""{HOURLY}, forecasts AS (
   UNION ALL SELECT 'kr', 60, cluster, ts, CAST(cnt AS DOUBLE), CAST(CASE WHEN hour(ts) % 7 = 0 THEN cnt * 500 + 1500 ELSE cnt - hour(ts) % 5 END AS DOUBLE) FROM hourly)"""
 
 def schema_dump(spark: SparkSession, sf: str) -> DataFrame:
-    """(file, line_no, line): a dump with a table for each part, in seven files."""
+    """(file, line_no, line): a dump with a table for each part, in seven files.  Parts are dealt out first: they are few octets each and
+    may all be in one row group, and lines take seven times as long to make and to scan."""
     k = F.col("p_partkey").cast("string")
     column = lambda name, kind: F.concat(F.lit("  `"), name, F.lit("` "), kind, F.lit(","))
     kind = F.element_at(F.array(*[F.lit(t) for t in ("int(11)", "double precision", "text", "timestamp without time zone", "varchar(15)")]), (F.col("p_size") % 5 + 1).cast("int"))
     enum = F.concat(F.lit("enum('"), "p_type", F.lit("','"), "p_brand", F.lit("') NOT NULL"))
     name = F.translate("p_name", " ", "_")
     lines = F.array(F.concat(F.lit("CREATE TABLE IF NOT EXISTS `db`.`t"), k, F.lit("` (")), column(F.lit("p_partkey"), F.lit("bigint NOT NULL")), column(name, kind), F.lit("  PRIMARY KEY (`p_partkey`),"), column(F.lit("kind"), enum), F.lit(") ENGINE=InnoDB;"), F.lit("  INSERT INTO x"))
-    parts = read(spark, sf, "part").select(F.concat(F.lit("dump"), (F.col("p_partkey") % 7).cast("string")).alias("file"), "p_partkey", F.posexplode(lines).alias("i", "line"))
+    parts = read(spark, sf, "part").repartition("p_partkey").select(F.concat(F.lit("dump"), (F.col("p_partkey") % 7).cast("string")).alias("file"), "p_partkey", F.posexplode(lines).alias("i", "line"))
     return parts.select("file", (F.col("p_partkey") * 8 + F.col("i")).alias("line_no"), "line")
 
 

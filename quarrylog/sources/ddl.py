@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed_literal
-from ..ordering import carried
-from .logs import BLOCK_LINES
+from ..ordering import counted_carried, dealt
 
 _TABLE = re.compile(r"\s*CREATE TABLE\s+(?:IF NOT EXISTS\s+)?[`\"]?([\w.`\"]+?)[`\"]?\s*\(", re.I)
 _COLUMN = re.compile(r"\s*[`\"]?(\w+)[`\"]?\s+([A-Za-z]+(?: (?:varying|precision|without time zone|with time zone))?)\s*(?:\((\d+))?", re.I)
 _ENUM = r"(?i)\benum\s*\((.*?)\)"
 _BEGINS, _DECLARES = f"(?i)^{_TABLE.pattern}", f"(?i)^{_COLUMN.pattern}"
+BLOCK_LINES = 1 << 18
+#: Stands for a table's number where the last table has ended.
+ENDED = -1
 #: First words of lines that declare no column.
 KEY_WORDS = frozenset(("KEY", "PRIMARY", "UNIQUE", "CONSTRAINT", "INDEX", "FOREIGN", "FULLTEXT"))
 
@@ -44,19 +46,21 @@ def columns(spark: SparkSession, text: str) -> DataFrame:
 
 
 def scanned(lines: DataFrame) -> DataFrame:
-    """(file, table, column, ordinal, data_type) of dumps as lines(file, line_no, line).
-
-    A line belongs to the table whose statement is the last one begun above it in its file, and has not ended; what is begun is
-    carried along blocks of lines."""
-    line, begun = F.col("line"), F.struct(F.col("line_no").alias("at"), F.translate(F.regexp_extract("line", _BEGINS, 1), '`"', "").alias("name"))
-    none = F.struct(F.col("line_no").alias("at"), F.lit("").alias("name"))
-    marked = lines.select("file", "line_no", "line").withColumn("table", F.when(line.rlike(_BEGINS), begun).when(F.ltrim(line).startswith(")"), none))
-    inside = carried(marked, "table", "line_no", "file", width=BLOCK_LINES).filter((F.col("table.name") != "") & (F.col("table.at") < F.col("line_no")) & line.rlike(_DECLARES))
-    found = inside.select("file", "line_no", "table.at", F.col("table.name").alias("table"), F.regexp_extract("line", _DECLARES, 1).alias("column"), F.upper(F.regexp_extract("line", _DECLARES, 2)).alias("data_type"))
-    declared = found.filter(~F.upper("column").isin(*KEY_WORDS))
-    # the columns of one table
-    ordinal = F.row_number().over(Window.partitionBy("file", "at").orderBy("line_no"))
-    return declared.select("file", "table", "column", ordinal.alias("ordinal"), "data_type")
+    """(file, table, column, ordinal, data_type) of dumps as lines(file, line_no, line), which are numbered from 0 on.
+
+    A line belongs to the table whose statement is the last one begun above it in its file, and has not ended.  The number of
+    that statement's line is carried along blocks of lines; of the lines only names and types are.  A table's name is on its first line."""
+    begun, line = F.regexp_extract("line", _BEGINS, 1), F.col("line")
+    name = F.when(begun != "", F.translate(begun, '`"', ""))
+    table = F.when(name != "", F.col("line_no").cast("long")).when(name.isNotNull() | F.ltrim(line).startswith(")"), ENDED)
+    column, data_type = (F.when(begun == "", F.regexp_extract("line", _DECLARES, group)) for group in (1, 2))
+    marked = lines.select("file", "line_no", table.alias("table"), name.alias("name"), column.alias("column"), F.upper(data_type).alias("data_type"))
+    found, total = counted_carried(marked, "table", "line_no", "file", width=BLOCK_LINES)
+    kept = found.filter((F.col("table") != ENDED) & (F.col("name").isNotNull() | ~F.upper("column").isin("", *KEY_WORDS)))
+    # the first line and the columns of one table
+    one = Window.partitionBy("file", "table").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt(kept, total, "file", "table").select("*", F.first("name").over(one).alias("_name"), (F.row_number().over(one) - 1).alias("ordinal"))
+    return placed.filter("ordinal > 0").select("file", F.col("_name").alias("table"), "column", "ordinal", "data_type")
 
 
 def scanned_literals(lines: DataFrame, salt: str) -> DataFrame:

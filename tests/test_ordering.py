@@ -65,6 +65,29 @@ def test_values_are_carried_over_blocks(spark):
         assert len(got) == len(rows)
 
 
+def _plans(spark):
+    """Physical plans of what the session has run."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {runs.apply(i).executionId(): runs.apply(i).physicalPlanDescription() for i in range(runs.size())}
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_carrying_sorts_only_what_was_dealt_to_a_task(spark, monkeypatch, kind):
+    monkeypatch.setattr(ordering, "TASK_ROWS", 100, raising=False)
+    rows = spark.range(0, 3000, 1, 1).select((F.col("id") < 0).cast("string").alias("k"), F.col("id").alias("n"), F.when(F.col("id") % 70 == 3, F.col("id")).cast(kind).alias("v"))
+    earlier = _plans(spark)
+    df = ordering.carried(rows, "v", "n", "k", width=50).withColumn("task", F.spark_partition_id())
+    got = df.collect()
+    later = [plan for i, plan in _plans(spark).items() if i not in earlier]
+    assert later and not any("SortAggregate" in plan for plan in later)
+    sizes = {t: sum(r.task == t for r in got) for t in {r.task for r in got}}
+    assert len(sizes) > 10 and max(sizes.values()) <= 400
+    want = lambda n: None if n < 3 else (n - 3) // 70 * 70 + 3
+    assert all((None if r.v is None else int(r.v)) == want(r.n) for r in got) and len(got) == 3000
+
+
+
 def test_percentiles_of_one_run(spark):
     rng = random.Random(5)
     values = [rng.choice([None, *range(1000)]) for _ in range(700)]

@@ -44,3 +44,16 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_runs(spark, name):
     df = QUERIES[name][0](spark, SF)
     assert df.columns and df.count() >= 0
+
+
+@pytest.mark.parametrize("name", ["ddl_columns"])
+def test_no_task_sorts_what_it_reads(spark, name):
+    """Lines are sorted where they have been dealt out by number, never in the tasks that read a file."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    earlier = store.executionsCount()
+    assert QUERIES[name][0](spark, SF).collect()
+    bus.waitUntilEmpty()
+    runs = store.executionsList()
+    later = [runs.apply(i).physicalPlanDescription() for i in range(earlier, runs.size())]
+    assert later and not any("SortAggregate" in plan for plan in later)

@@ -1,7 +1,9 @@
 import re
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from quarrylog import ordering
 from quarrylog.functions import generate, text, time
 from quarrylog.operators import access
 from quarrylog.sources import ddl, logs
@@ -114,6 +116,24 @@ CREATE TABLE a.b (
     assert ddl.scanned(lines.filter("file = 'none'")).collect() == []
 
 
+def test_large_dumps_are_scanned_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ddl, "BLOCK_LINES", 20)
+    monkeypatch.setattr(ordering, "TASK_ROWS", 100, raising=False)
+    dump = [line for t in range(300) for line in (f"CREATE TABLE t{t} (", " a int,", f" b{t} text,", " KEY k (a),", ");", "INSERT INTO t VALUES " + "(1)" * 50)]
+    lines = spark.createDataFrame([("one", i, line) for i, line in enumerate(dump)], "file string, line_no long, line string").coalesce(1)
+    got = ddl.scanned(lines).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r[:-1] for r in got) == sorted(("one", *c) for c in ddl.parse("\n".join(dump))) and len(got) == 600
+    sizes = {t: sum(r.task == t for r in got) for t in {r.task for r in got}}
+    assert len(sizes) > 10 and max(sizes.values()) <= 120
+
+
+def test_dumps_with_odd_lines(spark):
+    dump = ["a int", "CREATE TABLE `` (", " no int", "CREATE TABLE x (", None, " key int", " a int", " )", " b int", "CREATE TABLE y (", "  ) ", "CREATE TABLE z(", "c text"]
+    lines = spark.createDataFrame([(f, i, line) for f in (None, "f") for i, line in enumerate(dump)], "file string, line_no int, line string")
+    found = ddl.scanned(lines)
+    assert sorted(map(str, found.collect())) == sorted(map(str, [r for f in (None, "f") for r in (Row(file=f, table="x", column="a", ordinal=1, data_type="INT"), Row(file=f, table="z", column="c", ordinal=1, data_type="TEXT"))]))
+
+
 def test_access(spark):
     schema = spark.createDataFrame([("orders", "o_id"), ("orders", "o_c"), ("s.t", "a"), ("u", "b")], '"table" string, "column" string'.replace('"', "`"))
     cases = {
