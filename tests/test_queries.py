@@ -46,7 +46,7 @@ def test_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
-@pytest.mark.parametrize("name", ["ddl_columns", "catalog_scan", "column_weights"])
+@pytest.mark.parametrize("name", ["ddl_columns", "catalog_scan", "column_weights", "index_difference"])
 def test_no_task_sorts_what_it_reads(spark, name):
     """Lines are sorted where they have been dealt out by number, never in the tasks that read a file."""
     bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
