@@ -73,7 +73,7 @@ def counted_carried(rows: DataFrame, value: str, order: str, *key: str, width: i
     handed = last.select(*key, "_block", F.last("_last", ignorenulls=True).over(before).alias("_before"))
     if not small:  # so far the places of the values
         places = _measured(handed.filter(F.col("_before").isNotNull()).select(*key, F.col("_before").alias(order)).distinct().checkpoint())
-        valued = rows.filter(F.col(value).isNotNull()).select(*key, order, F.col(value).alias("_value"))
+        valued = rows.select(*key, order, F.col(value).alias("_value"))
         found = _matched(valued, places, [*key, order]).withColumnRenamed(order, "_before")
         handed = _matched(handed, found, [*key, "_before"], "left").drop("_before").withColumnRenamed("_value", "_before")
     inside = Window.partitionBy(*key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
