@@ -75,6 +75,9 @@ def counted_carried(rows: DataFrame, value: str, order: str, *key: str, width: i
         places = _measured(handed.filter(F.col("_before").isNotNull()).select(*key, F.col("_before").alias(order)).distinct().checkpoint())
         valued = rows.select(*key, order, F.col(value).alias("_value"))
         found = _matched(valued, places, [*key, order]).withColumnRenamed(order, "_before")
+        # one value a place, where rows are given again
+        one = Window.partitionBy(*key, "_before").orderBy(F.desc_nulls_last("_value"))
+        found = found.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
         handed = _matched(handed, found, [*key, "_before"], "left").drop("_before").withColumnRenamed("_value", "_before")
     inside = Window.partitionBy(*key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = dealt(blocked, total, *key, "_block").withColumn(value, F.last(value, ignorenulls=True).over(inside))

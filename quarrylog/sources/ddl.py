@@ -57,9 +57,9 @@ def scanned(lines: DataFrame) -> DataFrame:
     marked = lines.select("file", "line_no", table.alias("table"), name.alias("name"), column.alias("column"), F.upper(data_type).alias("data_type"))
     found, total = counted_carried(marked, "table", "line_no", "file", width=BLOCK_LINES)
     kept = found.filter((F.col("table") != ENDED) & (F.col("name").isNotNull() | ~F.upper("column").isin("", *KEY_WORDS)))
-    # the first line and the columns of one table
+    # the first line and the columns of one table; rows that are given again have the place of their line
     one = Window.partitionBy("file", "table").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt(kept, total, "file", "table").select("*", F.first("name").over(one).alias("_name"), (F.row_number().over(one) - 1).alias("ordinal"))
+    placed = dealt(kept, total, "file", "table").select("*", F.first("name").over(one).alias("_name"), (F.dense_rank().over(one) - 1).alias("ordinal"))
     return placed.filter("ordinal > 0").select("file", F.col("_name").alias("table"), "column", "ordinal", "data_type")
 
 

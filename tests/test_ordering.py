@@ -65,6 +65,15 @@ def test_values_are_carried_over_blocks(spark):
         assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_rows_given_again_are_carried_to_as_often(spark, kind):
+    rows = [(i % 2, i, i if i % 7 == 0 else None) for i in range(200) for _ in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "k long, n long, v long").withColumn("v", F.col("v").cast(kind)).repartition(5)
+    for width in (5, 1000):
+        got = sorted((r.k, r.n, None if r.v is None else int(r.v)) for r in ordering.carried(df, "v", "n", "k", width=width).collect())
+        assert got == sorted((k, n, max((m for m in range(k, n + 1, 2) if m % 7 == 0), default=None)) for k, n, _ in rows)
+
+
 def _plans(spark):
     """Physical plans of what the session has run."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()

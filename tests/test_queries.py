@@ -5,6 +5,8 @@ import math
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quarrylog.plans import model_queries, series_queries, source_queries, spectral_queries, text_queries
@@ -57,3 +59,17 @@ def test_no_task_sorts_what_it_reads(spark, name):
     runs = store.executionsList()
     later = [runs.apply(i).physicalPlanDescription() for i in range(earlier, runs.size())]
     assert later and not any("SortAggregate" in plan for plan in later)
+
+
+@pytest.mark.parametrize("name", ["ddl_columns", "catalog_scan", "column_weights", "index_difference"])
+def test_parts_given_again_as_in_sql(spark, tmp_path, name):
+    """A part that is in the table three times, or twice, has its columns so many times, and nothing else."""
+    query, sql = QUERIES[name]
+    parts = pq.read_table(f"{SF}/part.parquet")
+    pq.write_table(pa.concat_tables([parts, parts, parts, parts.slice(5, 9)]), tmp_path / "part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    cursor = con.execute(sql)
+    columns = [d[0] for d in cursor.description]
+    want = sorted(map(repr, cursor.fetchall()))
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in query(spark, str(tmp_path)).collect()) == want
